@@ -97,17 +97,25 @@ def queue_detail(queue: DataFrame, skills: DataFrame, lists: tuple[str, ...] = (
     return parts.join(info, "skill_id", "left")
 
 
+def candidate_forms(logs: DataFrame) -> DataFrame:
+    """One row per log row and distinct normalized form."""
+    forms = F.array_distinct(F.transform("discovered_candidates", lambda c: c["normalized_form"]))
+    return logs.select("log_id", "document_hash", "created_at", F.explode(forms).alias("normalized_form"))
+
+
 def contains_candidate(logs: DataFrame, forms: DataFrame) -> DataFrame:
-    """log rows whose candidates hold the normalized form (containment as an equi-join)."""
-    rows = logs.select("log_id", "document_hash", "created_at",
-                       F.explode("discovered_candidates").alias("c")).select(
-        "log_id", "document_hash", "created_at", F.col("c.normalized_form").alias("normalized_form"))
-    return rows.join(forms, "normalized_form").dropDuplicates(["log_id", "normalized_form"])
+    """log rows whose candidates hold a normalized form (containment as an equi-join)."""
+    return candidate_forms(logs).join(forms, "normalized_form")
 
 
 def reanalysis_docs(activations: DataFrame, logs: DataFrame,
                     newest: int = config.REANALYSIS_MAX_DOCUMENTS) -> DataFrame:
-    """Per activated concept the newest documents that had it as an unknown candidate."""
+    """Per activated concept the newest documents that had it as an unknown candidate.
+
+    The newest rows are picked per form before the concepts join, so a frequent form stays small.
+    """
+    rows = candidate_forms(logs)
     forms = activations.select("skill_id", F.col("normalized_name").alias("normalized_form"))
-    hits = contains_candidate(logs, forms)
-    return top_k(hits, ["skill_id"], [F.col("created_at").desc(), F.col("log_id")], newest)
+    wanted = rows.join(forms.select("normalized_form").distinct(), "normalized_form", "left_semi")
+    newest_rows = top_k(wanted, ["normalized_form"], [F.col("created_at").desc(), F.col("log_id")], newest)
+    return newest_rows.join(forms, "normalized_form")

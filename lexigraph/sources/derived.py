@@ -259,6 +259,18 @@ class Derived:
                                          "x -> x.piece)"), "\n\n").alias("text"))
                 .select("doc_id", "text", F.expr(_SOURCE_TYPE).alias("source_type")))
 
+    def logs(self) -> DataFrame:
+        """Extraction log: one row per order, its part names as unknown candidates."""
+        line = self.raw("lineitem").select("l_orderkey", "l_partkey")
+        part = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+        orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "o_orderstatus")
+        names = line.join(part, "l_partkey").groupBy("l_orderkey").agg(F.collect_set("p_name").alias("names"))
+        return names.join(orders, "l_orderkey").select(
+            F.col("l_orderkey").alias("log_id"), F.sha2(F.col("l_orderkey").cast("string"), 256).alias("document_hash"),
+            F.expr(_SOURCE_TYPE).alias("source_type"), F.col("o_orderdate").alias("created_at"),
+            F.expr("transform(names, n -> struct(n as surface_form, lower(n) as normalized_form))")
+            .alias("discovered_candidates"))
+
     def cooccurrence(self) -> DataFrame:
         from lexigraph.operators import cooccur
 
@@ -390,6 +402,10 @@ fx_job_docs AS (
       E'\\n', 'We use ', body, '.') END AS piece
     FROM fx_job_parts JOIN orders ON l_orderkey = o_orderkey)
   GROUP BY 1),
+fx_logs AS (
+  SELECT DISTINCT l_orderkey AS log_id, sha256(l_orderkey::VARCHAR) AS document_hash, lower(p_name) AS normalized_form,
+    o_orderdate AS created_at, {_SOURCE_TYPE} AS source_type
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
 fx_pairs AS (
   SELECT a.doc_id, a.skill_id AS a, b.skill_id AS b, a.source_type, a.ts
   FROM (SELECT doc_id, skill_id, any_value(source_type) AS source_type, max(ts) AS ts FROM fx_mentions GROUP BY 1, 2) a
