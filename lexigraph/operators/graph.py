@@ -1,11 +1,16 @@
-"""Walks over the concept hierarchy. Edges run from the broader to the narrower concept."""
+"""Walks over the concept hierarchy. Edges run from the broader to the narrower concept.
+
+Walks advance level by level for all seeds at once and keep each (seed, node) once per level, so a shared
+ancestor is not walked again for every path that leads to it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph import config
+from lexigraph.plans.scale import cut, pick_first
 
 
 def hierarchy(edges: DataFrame) -> DataFrame:
@@ -15,3 +20,247 @@ def hierarchy(edges: DataFrame) -> DataFrame:
             .select(F.when(back, F.col("target_skill_id")).otherwise(F.col("source_skill_id")).alias("parent_id"),
                     F.when(back, F.col("source_skill_id")).otherwise(F.col("target_skill_id")).alias("child_id"))
             .distinct())
+
+
+def _walk(pairs: DataFrame, seeds: DataFrame, start: str, end: str, depth: int) -> DataFrame:
+    """(seed_id, skill_id, depth) of nodes reached from ``start`` to ``end`` within ``depth`` steps."""
+    step = pairs.select(F.col(start).alias("at"), F.col(end).alias("skill_id"))
+    front = seeds.select(F.col("id").alias("seed_id"), F.col("id").alias("at"))
+    levels = None
+    for level in range(1, depth + 1):
+        reached = front.join(step, "at").select("seed_id", "skill_id").distinct()
+        rows = reached.withColumn("depth", F.lit(level))
+        levels = rows if levels is None else levels.unionByName(rows)
+        front = reached.withColumnRenamed("skill_id", "at")
+    return levels
+
+
+def _finish(found: DataFrame, skills: DataFrame | None, shortest: bool) -> DataFrame:
+    if shortest:
+        found = found.groupBy("seed_id", "skill_id").agg(F.min("depth").alias("depth"))
+    if skills is None:
+        return found
+    return found.join(skills.filter("status = 'active'").select(F.col("id").alias("skill_id")), "skill_id",
+                      "left_semi")
+
+
+def ancestors(edges: DataFrame, seeds: DataFrame, skills: DataFrame | None = None,
+              depth: int = config.TRAVERSAL_DEPTH, shortest: bool = False) -> DataFrame:
+    """G1: active ancestors of all seeds, once per distance (or at the shortest distance)."""
+    depth = min(depth, config.TRAVERSAL_DEPTH_MAX)
+    return _finish(_walk(hierarchy(edges), seeds, "child_id", "parent_id", depth), skills, shortest)
+
+
+def descendants(edges: DataFrame, seeds: DataFrame, skills: DataFrame | None = None,
+                depth: int = config.TRAVERSAL_DEPTH, shortest: bool = False) -> DataFrame:
+    """G2"""
+    depth = min(depth, config.TRAVERSAL_DEPTH_MAX)
+    return _finish(_walk(hierarchy(edges), seeds, "parent_id", "child_id", depth), skills, shortest)
+
+
+def breadcrumbs(edges: DataFrame, skills: DataFrame, depth: int = config.TRAVERSAL_DEPTH,
+                shortest: bool = False, sep: str = " > ") -> DataFrame:
+    """Parent-chain strings per concept, all of them or the shortest."""
+    names = skills.select(F.col("id").alias("parent_id"), F.col("canonical_name").alias("name"))
+    up = hierarchy(edges).join(names, "parent_id").select(F.col("child_id").alias("top"), "parent_id", "name")
+    rows = skills.select("id", F.col("id").alias("top"), F.array("id").alias("seen"),
+                         F.array("canonical_name").alias("names"))
+    for _ in range(depth):
+        more = F.col("parent_id").isNotNull() & ~F.array_contains("seen", F.coalesce("parent_id", F.lit("")))
+        rows = rows.join(up, "top", "left").select(
+            "id", F.when(more, F.col("parent_id")).otherwise(F.col("top")).alias("top"),
+            F.when(more, F.concat(F.array("parent_id"), "seen")).otherwise(F.col("seen")).alias("seen"),
+            F.when(more, F.concat(F.array("name"), "names")).otherwise(F.col("names")).alias("names")).distinct()
+    out = rows.select("id", F.array_join("names", sep).alias("breadcrumb"), F.size("names").alias("length"))
+    if shortest:
+        out = pick_first(out, ["id"], [F.col("length"), F.col("breadcrumb")])
+    return out.distinct()
+
+
+def check_cycles(new: DataFrame, edges: DataFrame) -> DataFrame:
+    """Proposed hierarchy edges with the cycle each would close over the existing edges (NULL if none).
+
+    Walks up from the broader end of every proposed edge until the frontier is empty; a node is visited once
+    per proposed edge, with its first (shortest, then smallest) path.
+    """
+    back = F.col("relationship_type") == "child_of"
+    wanted = new.filter("relationship_type in ('parent_of', 'child_of')").select(
+        F.col("id").alias("edge_id"),
+        F.when(back, F.col("target_skill_id")).otherwise(F.col("source_skill_id")).alias("start"),
+        F.when(back, F.col("source_skill_id")).otherwise(F.col("target_skill_id")).alias("goal"))
+    up = cut(hierarchy(edges).select(F.col("child_id").alias("at"), F.col("parent_id").alias("next")))
+    front = cut(wanted.select("edge_id", "goal", F.col("start").alias("at"), F.array("start").alias("path")))
+    visited = front.select("edge_id", "at")
+    hits = front.filter("at = goal").select("edge_id", "path")
+    while True:
+        step = (front.filter("at <> goal").join(up, "at")
+                .select("edge_id", "goal", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path")))
+        step = step.groupBy("edge_id", "goal", "at").agg(F.min("path").alias("path"))
+        front = cut(step.join(visited, ["edge_id", "at"], "left_anti"))
+        if front.isEmpty():
+            break
+        visited = visited.unionByName(front.select("edge_id", "at"))
+        hits = hits.unionByName(front.filter("at = goal").select("edge_id", "path"))
+    first = pick_first(hits, ["edge_id"], [F.size("path"), F.col("path")])
+    return new.join(first.select(F.col("edge_id").alias("id"), F.col("path").alias("cycle_path")), "id", "left")
+
+
+def _strip(pairs: DataFrame) -> DataFrame:
+    """Drop edges that start at a node without a way in or end at a node without a way out, to a fixpoint."""
+    left = pairs.count()
+    while left:
+        pairs = cut(pairs.join(pairs.select(F.col("t").alias("s")).distinct(), "s", "left_semi")
+                    .join(pairs.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
+        now = pairs.count()
+        if now == left:
+            break
+        left = now
+    return pairs
+
+
+def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Carry the largest label along the edges until nothing changes."""
+    while True:
+        told = (pairs.join(labels.withColumnRenamed("v", "s"), "s")
+                .select(F.col("t").alias("v"), "label").unionByName(labels)
+                .groupBy("v").agg(F.max("label").alias("label")))
+        new = cut(told.join(labels.select("v", F.col("label").alias("old")), "v"))
+        changed = not new.filter("label <> old").isEmpty()
+        labels = new.select("v", "label")
+        if not changed:
+            return labels
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Nodes on cycles of the hierarchy, with their strongly connected component (its largest node).
+
+    Edges that cannot be on a cycle are stripped first, so later rounds touch the remainder only. In each round
+    every node takes the largest label that reaches it; the nodes that lead back to the owner of their label
+    within the same label form one component and leave the graph.
+    """
+    pairs = cut(hierarchy(edges).select(F.col("parent_id").alias("s"), F.col("child_id").alias("t")))
+    loops = pairs.filter("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
+    pairs = _strip(pairs.filter("s <> t"))
+    found = []
+    while not pairs.isEmpty():
+        nodes = pairs.select(F.col("s").alias("v")).union(pairs.select("t")).distinct()
+        labels = _spread(cut(nodes.withColumn("label", F.col("v"))), pairs)
+        s_label = labels.select(F.col("v").alias("s"), F.col("label").alias("ls"))
+        t_label = labels.select(F.col("v").alias("t"), F.col("label").alias("lt"))
+        inside = cut(pairs.join(s_label, "s").join(t_label, "t").filter("ls = lt").select("s", "t", "ls"))
+        marked = cut(labels.filter("v = label"))
+        front = marked
+        while True:
+            step = (inside.join(front.select(F.col("v").alias("t"), "label"), "t")
+                    .select(F.col("s").alias("v"), F.col("ls").alias("label")).distinct())
+            front = cut(step.join(marked.select("v"), "v", "left_anti"))
+            if front.isEmpty():
+                break
+            marked = marked.unionByName(front)
+        found.append(marked)
+        gone = marked.select("v")
+        rest = (pairs.join(gone.withColumnRenamed("v", "s"), "s", "left_anti")
+                .join(gone.withColumnRenamed("v", "t"), "t", "left_anti"))
+        pairs = _strip(cut(rest))
+    out = loops
+    for part in found:
+        many = part.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
+        out = out.unionByName(part.join(many, "label").select(F.col("v").alias("node"),
+                                                              F.col("label").alias("component")))
+    return out.groupBy("node").agg(F.max("component").alias("component"))
+
+
+# Expansion kinds in order of preference at equal confidence.
+EXPANSIONS = ("parent", "child", "sibling")
+
+
+def expand(results: DataFrame, edges: DataFrame, skills: DataFrame, depth: int = config.EXPANSION_DEPTH,
+           factor: float = config.EXPANSION_FACTOR) -> DataFrame:
+    """Parents, children and siblings of extracted concepts, at reduced confidence.
+
+    Siblings are reached through the best confidence per (document, parent), so concepts with the same parent
+    share one walk down. Concepts extracted directly are left out (J11); inactive ones too.
+    """
+    pairs = hierarchy(edges)
+    up = pairs.select(F.col("child_id").alias("skill_id"), F.col("parent_id").alias("to_id"))
+    down = pairs.select(F.col("parent_id").alias("skill_id"), F.col("child_id").alias("to_id"))
+    front = results.groupBy("doc_id", "skill_id").agg(F.max("confidence").alias("confidence"))
+    direct = front.select("doc_id", "skill_id")
+    found = None
+    for level in range(1, depth + 1):
+        def kind(rows: DataFrame, rank: int) -> DataFrame:
+            return rows.select("doc_id", F.col("to_id").alias("skill_id"),
+                               (F.col("confidence") * F.lit(factor)).alias("confidence"),
+                               F.lit(rank).alias("rank"))
+
+        parents = front.join(up, "skill_id")
+        tops = parents.groupBy("doc_id", F.col("to_id").alias("skill_id")).agg(
+            F.max("confidence").alias("confidence"))
+        rows = (kind(parents, 0).unionByName(kind(front.join(down, "skill_id"), 1))
+                .unionByName(kind(tops.join(down, "skill_id"), 2)))
+        rows = rows.groupBy("doc_id", "skill_id").agg(
+            F.max(F.struct("confidence", (-F.col("rank")).alias("order"))).alias("best"))
+        rows = rows.select("doc_id", "skill_id", F.col("best.confidence").alias("confidence"),
+                           F.col("best.order").alias("order"), F.lit(-level).alias("level"))
+        found = rows if found is None else found.unionByName(rows)
+        front = rows.select("doc_id", "skill_id", "confidence")
+    if found is None:
+        return results.select("doc_id", "skill_id", "confidence").limit(0).withColumns(
+            {"expansion_type": F.lit(""), "is_expanded": F.lit(True)})
+    if depth > 1:
+        found = found.groupBy("doc_id", "skill_id").agg(
+            F.max(F.struct("confidence", "level", "order")).alias("best")).select("doc_id", "skill_id", "best.*")
+    act = skills.filter("status = 'active'").select(F.col("id").alias("skill_id"))
+    name = F.element_at(F.array(*[F.lit(e) for e in EXPANSIONS]), 1 - F.col("order"))
+    return (found.join(act, "skill_id", "left_semi").join(direct, ["doc_id", "skill_id"], "left_anti")
+            .select("doc_id", "skill_id", "confidence", name.alias("expansion_type"),
+                    F.lit(True).alias("is_expanded")))
+
+
+def depth_histogram(edges: DataFrame, roots: DataFrame, limit: int = 8) -> DataFrame:
+    """Concepts per depth below the roots (longest way), and whether the depth is over the limit."""
+    found = _walk(hierarchy(edges), roots, "parent_id", "child_id", config.TRAVERSAL_DEPTH_MAX)
+    depths = found.groupBy("skill_id").agg(F.max("depth").alias("depth"))
+    return (depths.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
+            .withColumn("over_limit", F.col("depth") > limit))
+
+
+def multi_parent(edges: DataFrame) -> DataFrame:
+    """Concepts with more than one parent."""
+    return (hierarchy(edges).groupBy(F.col("child_id").alias("skill_id"))
+            .agg(F.count(F.lit(1)).alias("parents")).filter("parents > 1"))
+
+
+def edge_counts(skills: DataFrame, edges: DataFrame) -> DataFrame:
+    """Active edges per active concept, both roles counted."""
+    act = edges.filter("status = 'active'")
+    ends = act.select(F.col("source_skill_id").alias("id")).unionByName(
+        act.select(F.col("target_skill_id").alias("id")))
+    n = ends.groupBy("id").agg(F.count(F.lit(1)).alias("edges"))
+    return skills.filter("status = 'active'").select("id").join(n, "id", "left").fillna(0, ["edges"])
+
+
+def edge_density(skills: DataFrame, edges: DataFrame, low: int = 1, high: int = 20,
+                 target: tuple[int, int] = (2, 6)) -> DataFrame:
+    """Average edges per node with its alert, and how many nodes lie outside the bounds."""
+    n = F.col("edges")
+    mean: Column = F.avg(n)
+    return edge_counts(skills, edges).agg(
+        F.count(F.lit(1)).alias("nodes"), F.round(mean, 6).alias("mean_edges"),
+        F.count_if(n < low).alias("below"), F.count_if(n > high).alias("above"),
+        ((mean < low) | (mean > high)).alias("alert"),
+        ((mean >= target[0]) & (mean <= target[1])).alias("on_target"))
+
+
+def clusters(skills: DataFrame, k: int = 8, sparse: int = 5, seed: int = 7) -> DataFrame:
+    """Concept clusters by vector; small clusters point to gaps in the taxonomy."""
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import Normalizer
+    from pyspark.ml.functions import array_to_vector
+
+    rows = skills.filter("embedding is not null").select("id", array_to_vector("embedding").alias("raw"))
+    unit = Normalizer(inputCol="raw", outputCol="features").transform(rows)
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(unit)
+    named = model.transform(unit).select("id", "cluster")
+    sizes = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    return named.join(sizes, "cluster").withColumn("gap", F.col("size") < sparse)

@@ -120,3 +120,28 @@ def check_evidence(results: DataFrame, chunks: DataFrame, keys: tuple[str, ...]
     joined = results.join(chunks.select(*keys, "text"), list(keys), "left")
     ok = F.forall("evidence", lambda e: F.coalesce(F.contains(F.col("text"), e), F.lit(False)))
     return joined.withColumn("evidence_ok", ok).drop("text")
+
+
+def validate_edges(new: DataFrame, edges: DataFrame) -> DataFrame:
+    """Q8: proposed edges with the first rule each breaks (NULL if none): self, duplicate, cycle.
+
+    Edges that are sound one by one but close a cycle together are all marked "cycle within batch".
+    """
+    from lexigraph.operators.graph import check_cycles, cycles
+
+    self_edge = F.when(F.col("source_skill_id") == F.col("target_skill_id"), "self edge")
+    marked = check_duplicate_edges(new, edges).withColumn("__early", F.coalesce(
+        self_edge, F.when(F.col("duplicate").isNotNull(), "duplicate edge"))).drop("duplicate")
+    walked = check_cycles(marked.filter("__early is null"), edges).withColumn(
+        "reason", F.when(F.col("cycle_path").isNotNull(), "cycle"))
+    cols = ["source_skill_id", "target_skill_id", "relationship_type", "status"]
+    sound = walked.filter("reason is null").withColumn("status", F.lit("active"))
+    knots = cycles(edges.select(*cols).unionByName(sound.select(*cols)))
+    ends = [knots.select(F.col("node").alias(c), F.col("component").alias(f"__{c}")) for c in cols[:2]]
+    together = ((F.col("__source_skill_id") == F.col("__target_skill_id"))
+                & F.col("relationship_type").isin("parent_of", "child_of"))
+    late = (walked.join(ends[0], cols[0], "left").join(ends[1], cols[1], "left")
+            .withColumn("reason", F.coalesce("reason", F.when(together, "cycle within batch"))))
+    early = marked.filter("__early is not null").withColumn("reason", F.col("__early"))
+    keep = [*new.columns, "reason"]
+    return early.select(*keep).unionByName(late.select(*keep))

@@ -1 +1,87 @@
-"""."""
+"""Joined views of the taxonomy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexigraph.operators import joins
+from lexigraph.plans.registry import query
+
+
+def _join(col: str, *fields: str):
+    return F.array_join(F.transform(col, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ";")
+
+
+_ENDS = """
+WITH ends AS (
+  SELECT source_skill_id AS skill_id, target_skill_id AS other_id, 'out' AS direction, * FROM fx_edges
+  UNION ALL SELECT target_skill_id, source_skill_id, 'in', * FROM fx_edges)
+"""
+
+
+@query("j1_skill_detail", _ENDS + """,
+a AS (SELECT skill_id, string_agg(concat_ws(':', locale, surface_form, is_primary::VARCHAR), ';'
+  ORDER BY locale, surface_form, is_primary) AS aliases FROM fx_aliases GROUP BY 1),
+e AS (SELECT skill_id, string_agg(concat_ws(':', relationship_type, other_id, direction), ';'
+  ORDER BY relationship_type, other_id, direction) AS edges FROM ends GROUP BY 1)
+SELECT s.id, canonical_name, 0 AS page, aliases, edges FROM fx_skills s LEFT JOIN a ON a.skill_id = s.id
+LEFT JOIN e ON e.skill_id = s.id""")
+def _(d):
+    return joins.skill_detail(d.skills(), d.aliases(), d.edges()).select(
+        "id", "canonical_name", "page", _join("aliases", "locale", "surface_form", "is_primary").alias("aliases"),
+        _join("edges", "relationship_type", "other_id", "direction").alias("edges"))
+
+
+@query("j2_edges_by_skill", _ENDS + """
+SELECT skill_id, relationship_type, 0 AS page, string_agg(concat_ws(':', other_id, direction), ';'
+  ORDER BY other_id, direction, confidence) AS edges FROM ends GROUP BY 1, 2""")
+def _(d):
+    return joins.edges_by_skill(d.edges()).select(
+        "skill_id", "relationship_type", "page", _join("edges", "other_id", "direction").alias("edges"))
+
+
+@query("j3_related", _ENDS + """
+SELECT skill_id, other_id, direction, relationship_type, confidence, provenance FROM ends
+WHERE relationship_type IN ('related_to', 'requires') AND status = 'active'""")
+def _(d):
+    return joins.related(d.edges()).select(
+        "skill_id", "other_id", "direction", "relationship_type", "confidence", "provenance")
+
+
+@query("j5_roots", """
+SELECT id, canonical_name FROM fx_skills WHERE status = 'active' AND id NOT IN (SELECT child_id FROM fx_hierarchy)""")
+def _(d):
+    return joins.roots(d.skills(), d.edges()).select("id", "canonical_name")
+
+
+@query("j9_reanalysis_docs", """
+WITH act AS (SELECT id AS skill_id, lower(canonical_name) AS form FROM fx_skills WHERE status = 'candidate'),
+r AS (SELECT skill_id, log_id, document_hash,
+  row_number() OVER (PARTITION BY skill_id ORDER BY created_at DESC, log_id) AS rank
+  FROM act JOIN fx_logs ON normalized_form = form)
+SELECT skill_id, log_id, document_hash, rank FROM r WHERE rank <= 1000""")
+def _(d):
+    act = d.skills().filter("status = 'candidate'").select(
+        F.col("id").alias("skill_id"), F.lower("canonical_name").alias("normalized_name"))
+    return joins.reanalysis_docs(act, d.logs()).select("skill_id", "log_id", "document_hash", "rank")
+
+
+@query("j12_not_pending", """
+SELECT DISTINCT lower(p_name) AS normalized_name FROM part
+WHERE lower(p_name) NOT IN (SELECT normalized_name FROM fx_queue WHERE status = 'pending')""")
+def _(d):
+    cands = d.raw("part").select(F.lower("p_name").alias("normalized_name")).distinct()
+    return joins.not_pending(cands, d.queue())
+
+
+@query("j13_queue_detail", """
+WITH l AS (
+  SELECT queue_id, 'similar_existing' AS list, unnest(string_split(similar_existing, ',')) AS skill_id,
+    generate_subscripts(string_split(similar_existing, ','), 1) - 1 AS position FROM fx_queue
+  UNION ALL SELECT queue_id, 'suggested_parents', unnest(string_split(suggested_parents, ',')),
+    generate_subscripts(string_split(suggested_parents, ','), 1) - 1 FROM fx_queue)
+SELECT queue_id, list, position::INT AS position, skill_id, canonical_name, category, status
+FROM l LEFT JOIN fx_skills ON id = skill_id""")
+def _(d):
+    return joins.queue_detail(d.queue(), d.skills()).select(
+        "queue_id", "list", "position", "skill_id", "canonical_name", "category", "status")

@@ -271,6 +271,19 @@ class Derived:
             F.expr("transform(names, n -> struct(n as surface_form, lower(n) as normalized_form))")
             .alias("discovered_candidates"))
 
+    def queue(self) -> DataFrame:
+        """Review queue: one entry per name of a part that is still a candidate."""
+        rows = self.part().filter("status = 'candidate'")
+        return (rows.groupBy(F.lower("p_name").alias("normalized_name"))
+                .agg(F.min("p_name").alias("candidate_name"), F.count(F.lit(1)).alias("signals_count"),
+                     F.round(F.sum("p_size") / F.count(F.lit(1)) / 50, 4).alias("llm_score"),
+                     F.expr(f"min({_CATEGORY})").alias("category_guess"), F.min("p_partkey").alias("k"),
+                     F.array_sort(F.collect_set(F.expr("concat('B:', p_brand)"))).alias("similar_existing"),
+                     F.array_sort(F.collect_set(F.expr("concat('T:', p_type)"))).alias("suggested_parents"))
+                .select(F.expr("concat('RQ:', normalized_name)").alias("queue_id"), "*",
+                        F.expr("CASE k % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'deferred' ELSE 'pending' END")
+                        .alias("status")).drop("k"))
+
     def cooccurrence(self) -> DataFrame:
         from lexigraph.operators import cooccur
 
@@ -406,6 +419,13 @@ fx_logs AS (
   SELECT DISTINCT l_orderkey AS log_id, sha256(l_orderkey::VARCHAR) AS document_hash, lower(p_name) AS normalized_form,
     o_orderdate AS created_at, {_SOURCE_TYPE} AS source_type
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+fx_queue AS (
+  SELECT concat('RQ:', lower(p_name)) AS queue_id, lower(p_name) AS normalized_name, min(p_name) AS candidate_name,
+    count(*) AS signals_count, round(sum(p_size) / count(*) / 50, 4) AS llm_score, min({_CATEGORY}) AS category_guess,
+    string_agg(DISTINCT concat('B:', p_brand), ',' ORDER BY concat('B:', p_brand)) AS similar_existing,
+    string_agg(DISTINCT concat('T:', p_type), ',' ORDER BY concat('T:', p_type)) AS suggested_parents,
+    CASE min(p_partkey) % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'deferred' ELSE 'pending' END AS status
+  FROM fx_part WHERE status = 'candidate' GROUP BY lower(p_name)),
 fx_pairs AS (
   SELECT a.doc_id, a.skill_id AS a, b.skill_id AS b, a.source_type, a.ts
   FROM (SELECT doc_id, skill_id, any_value(source_type) AS source_type, max(ts) AS ts FROM fx_mentions GROUP BY 1, 2) a
