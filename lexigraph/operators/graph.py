@@ -23,16 +23,21 @@ def hierarchy(edges: DataFrame) -> DataFrame:
 
 
 def _walk(pairs: DataFrame, seeds: DataFrame, start: str, end: str, depth: int) -> DataFrame:
-    """(seed_id, skill_id, depth) of nodes reached from ``start`` to ``end`` within ``depth`` steps."""
-    step = pairs.select(F.col(start).alias("at"), F.col(end).alias("skill_id"))
+    """(seed_id, skill_id, depth) of nodes reached from ``start`` to ``end`` within ``depth`` steps.
+
+    Every level is checkpointed, so no level is computed twice, and the walk ends with the first empty one.
+    """
+    step = cut(pairs.select(F.col(start).alias("at"), F.col(end).alias("skill_id")))
     front = seeds.select(F.col("id").alias("seed_id"), F.col("id").alias("at"))
     levels = None
     for level in range(1, depth + 1):
-        reached = front.join(step, "at").select("seed_id", "skill_id").distinct()
+        reached = cut(front.join(step, "at").select("seed_id", "skill_id").distinct())
         rows = reached.withColumn("depth", F.lit(level))
         levels = rows if levels is None else levels.unionByName(rows)
+        if level == depth or reached.isEmpty():
+            return levels
         front = reached.withColumnRenamed("skill_id", "at")
-    return levels
+    raise ValueError("depth must be at least 1")
 
 
 def _finish(found: DataFrame, skills: DataFrame | None, shortest: bool) -> DataFrame:
@@ -62,7 +67,7 @@ def breadcrumbs(edges: DataFrame, skills: DataFrame, depth: int = config.TRAVERS
                 shortest: bool = False, sep: str = " > ") -> DataFrame:
     """Parent-chain strings per concept, all of them or the shortest."""
     names = skills.select(F.col("id").alias("parent_id"), F.col("canonical_name").alias("name"))
-    up = hierarchy(edges).join(names, "parent_id").select(F.col("child_id").alias("top"), "parent_id", "name")
+    up = cut(hierarchy(edges).join(names, "parent_id").select(F.col("child_id").alias("top"), "parent_id", "name"))
     rows = skills.select("id", F.col("id").alias("top"), F.array("id").alias("seen"),
                          F.array("canonical_name").alias("names"))
     for _ in range(depth):

@@ -30,7 +30,7 @@ def _(d):
 
 @query("a1_cooccurrence", f"SELECT skill_a_id, skill_b_id, {_FLAT} FROM fx_cooccurrence")
 def _(d):
-    return flat(d.cooccurrence())
+    return flat(d.fresh_cooccurrence())
 
 
 @query("a2_merge_cooccurrence", f"""
@@ -91,12 +91,12 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @query("m8_strengthen", _strengthen_sql("weight"))
 def _(d):
-    return _rounded(cooccur.strengthen(d.cooccurrence(), d.group_edges()))
+    return _rounded(cooccur.strengthen(d.fresh_cooccurrence(), d.group_edges()))
 
 
 @query("m8_strengthen_initial", _strengthen_sql("confidence"))
 def _(d):
-    return _rounded(cooccur.strengthen(d.cooccurrence(), d.group_edges(), base="confidence"))
+    return _rounded(cooccur.strengthen(d.fresh_cooccurrence(), d.group_edges(), base="confidence"))
 
 
 def _leaf_cooccurrence(d) -> DataFrame:
@@ -116,7 +116,7 @@ SELECT skill_a_id, skill_b_id, co_occurrence_count,
   round(list_cosine_similarity(a.embedding, b.embedding), 6) >= 0.3 AS near_duplicate
 FROM c JOIN fx_skills a ON a.id = skill_a_id JOIN fx_skills b ON b.id = skill_b_id""")
 def _(d):
-    keep, near = cooccur.split_near_duplicates(_leaf_cooccurrence(d), d.skills(embedding=True), 2, 0.3)
+    keep, near = cooccur.split_near_duplicates(_leaf_cooccurrence(d), d.skills(), 2, 0.3)
     cols = ["skill_a_id", "skill_b_id", "co_occurrence_count", "similarity"]
     return (keep.select(*cols, F.lit(False).alias("near_duplicate"))
             .unionByName(near.select(*cols, F.lit(True).alias("near_duplicate"))))

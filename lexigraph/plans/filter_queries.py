@@ -14,7 +14,7 @@ _SKILL_SQL = "id, external_id, canonical_name, status, category"
 
 @query("f1_active", "SELECT id, category FROM fx_skills WHERE status = 'active' AND embedding IS NOT NULL")
 def _(d):
-    return filters.active(d.skills(embedding=True), with_vector=True).select("id", "category")
+    return filters.active(d.skills(), with_vector=True).select("id", "category")
 
 
 @query("f2_list_skills", f"""
@@ -136,7 +136,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY similarity DES
 SELECT chunk_id, skill_id, similarity AS confidence FROM r WHERE rank = 1 AND similarity > 0.92""")
 def _(d):
     chunks = d.vectors().select(F.col("id").alias("query_id"), "embedding")
-    best = vectors.nearest(chunks, filters.active(d.skills(embedding=True), True), 1)
+    best = vectors.nearest(chunks, filters.active(d.skills(), True), 1)
     return filters.embedding_shortcut(best).select(
         F.col("query_id").alias("chunk_id"), F.col("id").alias("skill_id"), "confidence")
 

@@ -115,18 +115,17 @@ def _(d):
     return graph.check_cycles(new, d.edges()).select("id", F.array_join("cycle_path", " > ").alias("cycle_path"))
 
 
-@query("q8_validate_edges", _REACH + """
-SELECT id, CASE WHEN source_skill_id = target_skill_id THEN 'self edge'
-  WHEN EXISTS (SELECT 1 FROM fx_edges e WHERE e.source_skill_id = new.source_skill_id
-    AND e.target_skill_id = new.target_skill_id AND relationship_type = 'parent_of') THEN 'duplicate edge'
-  WHEN EXISTS (SELECT 1 FROM up WHERE lo = source_skill_id AND hi = target_skill_id) THEN 'cycle'
-  WHEN split_part(source_skill_id, ':', 1) || split_part(target_skill_id, ':', 1) IN ('TP', 'BTP') AND (
-    SELECT count(*) > 0 FROM new n2 WHERE n2.source_skill_id = new.target_skill_id
-      AND n2.target_skill_id = concat('BT:', (SELECT p_brand || '/' || p_type FROM part
-        WHERE concat('P:', p_partkey) = new.target_skill_id))
-      AND NOT EXISTS (SELECT 1 FROM up WHERE lo = n2.source_skill_id AND hi = n2.target_skill_id))
-    THEN 'cycle within batch'
-  ELSE NULL END AS reason FROM new""")
+@query("q8_validate_edges", _REACH + """,
+early AS (SELECT *, CASE WHEN source_skill_id = target_skill_id THEN 'self edge'
+    WHEN EXISTS (SELECT 1 FROM fx_edges e WHERE e.source_skill_id = new.source_skill_id
+      AND e.target_skill_id = new.target_skill_id AND relationship_type = 'parent_of') THEN 'duplicate edge'
+    WHEN EXISTS (SELECT 1 FROM up WHERE lo = source_skill_id AND hi = target_skill_id) THEN 'cycle' END AS reason
+  FROM new),
+links AS (SELECT parent_id AS s, child_id AS t FROM fx_hierarchy
+  UNION SELECT source_skill_id, target_skill_id FROM early WHERE reason IS NULL),
+reach(a, b) AS (SELECT s, t FROM links UNION SELECT r.a, l.t FROM reach r JOIN links l ON l.s = r.b)
+SELECT id, coalesce(reason, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE a = target_skill_id AND b = source_skill_id)
+  THEN 'cycle within batch' END) AS reason FROM early""")
 def _(d):
     return quality.validate_edges(_new_edges(d), d.edges()).select("id", "reason")
 
@@ -222,4 +221,4 @@ def _(d):
 
 @query("g10_clusters")
 def _(d):
-    return graph.clusters(d.skills(embedding=True))
+    return graph.clusters(d.skills())

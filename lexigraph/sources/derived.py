@@ -5,11 +5,37 @@ Each method is a deterministic projection or join; ``FIXTURE_SQL`` states the sa
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, wraps
+from threading import RLock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigraph.plans.scale import work_dir
+
+_STORED: dict[tuple[str, str, str], str] = {}
+_LOCK = RLock()
+
+
+def stored(build):
+    """Write a view once per session and folder as a table in the shared folder, then read it from there.
+
+    Queries then plan over plain table scans, with pushdown and column pruning, as over real taxonomy tables.
+    """
+
+    @wraps(build)
+    def read(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, build.__name__)
+        with _LOCK:
+            if key not in _STORED:
+                path = work_dir(self.spark, f"derived-{build.__name__}")
+                build(self).write.parquet(path)
+                _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    return read
+
+
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -53,7 +79,8 @@ class Derived:
     def part(self) -> DataFrame:
         return self.raw("part").withColumn("status", F.expr(_STATUS))
 
-    def skills(self, created: bool = False, embedding: bool = False) -> DataFrame:
+    @stored
+    def skills(self) -> DataFrame:
         part = self.part()
         cols = ["id", "canonical_name", "category", "status", "path", "source", "description", "p_partkey"]
         none = F.lit(None)
@@ -82,18 +109,17 @@ class Derived:
             "id", F.concat(F.lit("SK-"), F.substring(F.sha2("id", 256), 1, 8)).alias("external_id"),
             "canonical_name", F.lower(F.regexp_replace("id", "[^A-Za-z0-9]+", "-")).alias("slug"),
             "description", "status", "category", "path", F.lit(1).alias("version"), "source", "p_partkey")
-        if created:
-            first = (self.raw("lineitem").groupBy(F.col("l_partkey").alias("p_partkey"))
-                     .agg(F.min("l_shipdate").alias("created_at")))
-            skills = (skills.join(first, "p_partkey", "left")
-                      .withColumn("created_at", F.expr("coalesce(created_at, timestamp_ntz'1990-01-01 00:00:00')")))
-        if embedding:
-            vectors = self.raw("embeddings")
-            size = vectors.agg(F.count(F.lit(1)).alias("n"))
-            keyed = skills.withColumn("vec_id", F.col("p_partkey") % size.scalar())
-            skills = keyed.join(vectors.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+        first = (self.raw("lineitem").groupBy(F.col("l_partkey").alias("p_partkey"))
+                 .agg(F.min("l_shipdate").alias("created_at")))
+        skills = (skills.join(first, "p_partkey", "left")
+                  .withColumn("created_at", F.expr("coalesce(created_at, timestamp_ntz'1990-01-01 00:00:00')")))
+        vectors = self.raw("embeddings")
+        size = vectors.agg(F.count(F.lit(1)).alias("n"))
+        keyed = skills.withColumn("vec_id", F.col("p_partkey") % size.scalar())
+        skills = keyed.join(vectors.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
         return skills.drop("p_partkey")
 
+    @stored
     def aliases(self) -> DataFrame:
         """One primary alias per skill and a stock-number alias per leaf."""
         base = self.skills().filter("not startswith(id, 'P:')").select(
@@ -108,6 +134,7 @@ class Derived:
         return base.unionByName(primary).unionByName(stock).select(
             F.concat_ws("|", "skill_id", "locale", "surface_form").alias("id"), "*")
 
+    @stored
     def edges(self) -> DataFrame:
         part = self.part()
         keys = self.raw("part").select(F.col("p_partkey").alias("next_key"))
@@ -141,6 +168,7 @@ class Derived:
         return edges.withColumn("weight", F.col("confidence")).select(
             F.concat_ws("|", "relationship_type", "source_skill_id", "target_skill_id").alias("id"), "*")
 
+    @stored
     def group_edges(self) -> DataFrame:
         """Lateral edges between brand-and-type groups, carried up from their leaves."""
         group = self.raw("part").select(
@@ -180,6 +208,7 @@ class Derived:
             "concat('P:', p_partkey) as source_skill_id", "concat('P:', next_key) as target_skill_id",
             "'parent_of' as relationship_type", "'active' as status")
 
+    @stored
     def mentions(self) -> DataFrame:
         """One row per order line: a document mentions a brand-and-type concept."""
         line = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_discount",
@@ -240,6 +269,7 @@ class Derived:
                 .filter("length(surface_form) >= 6").distinct()
                 .select(F.concat(F.lit("K:"), "surface_form").alias("skill_id"), "surface_form"))
 
+    @stored
     def job_docs(self) -> DataFrame:
         """Documents with headings, written out of order lines: job descriptions and CVs."""
         line = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_returnflag")
@@ -259,6 +289,7 @@ class Derived:
                                          "x -> x.piece)"), "\n\n").alias("text"))
                 .select("doc_id", "text", F.expr(_SOURCE_TYPE).alias("source_type")))
 
+    @stored
     def logs(self) -> DataFrame:
         """Extraction log: one row per order, its part names as unknown candidates."""
         line = self.raw("lineitem").select("l_orderkey", "l_partkey")
@@ -271,6 +302,7 @@ class Derived:
             F.expr("transform(names, n -> struct(n as surface_form, lower(n) as normalized_form))")
             .alias("discovered_candidates"))
 
+    @stored
     def queue(self) -> DataFrame:
         """Review queue: one entry per name of a part that is still a candidate."""
         rows = self.part().filter("status = 'candidate'")
@@ -284,11 +316,15 @@ class Derived:
                         F.expr("CASE k % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'deferred' ELSE 'pending' END")
                         .alias("status")).drop("k"))
 
-    def cooccurrence(self) -> DataFrame:
+    def fresh_cooccurrence(self) -> DataFrame:
         from lexigraph.operators import cooccur
 
         return cooccur.cooccurrence(cooccur.document_pairs(self.mentions()))
 
+    @stored
+    def cooccurrence(self) -> DataFrame:
+        return self.fresh_cooccurrence()
+
     def locales(self) -> DataFrame:
         """Locales in use, read from the aliases; Spanish is inactive."""
         return self.aliases().select("locale").distinct().select(
