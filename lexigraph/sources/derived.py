@@ -253,6 +253,16 @@ class Derived:
             f"transform(embedding, (x, i) -> if(i < {kept}, x, cast(0 as float))) as embedding")
         return base.selectExpr("concat('v', vec_id) as id", "embedding").unionByName(planted)
 
+    @stored
+    def alias_vectors(self) -> DataFrame:
+        """A vector for the primary alias of every leaf."""
+        vectors = self.raw("embeddings")
+        size = vectors.agg(F.count(F.lit(1)).alias("n"))
+        part = self.raw("part").select("p_partkey").withColumn("vec_id", (F.col("p_partkey") * 7) % size.scalar())
+        return part.join(vectors, "vec_id").select(
+            F.expr("concat('A:', p_partkey)").alias("id"), F.expr("concat('P:', p_partkey)").alias("skill_id"),
+            "embedding")
+
     def docs(self) -> DataFrame:
         return self.raw("documents").select("doc_id", "text", F.col("lang").alias("locale"), "source")
 
@@ -429,6 +439,9 @@ fx_vectors AS (
   UNION ALL SELECT concat('v', vec_id, 'x'), list_transform(embedding::DOUBLE[], lambda x, i:
     CASE WHEN i <= [58, 52, 44, 32, 24][(vec_id % 5)::INT + 1] THEN x ELSE 0.0::DOUBLE END)
   FROM embeddings WHERE vec_id < 50),
+fx_alias_vectors AS (
+  SELECT concat('A:', p_partkey) AS id, {_LID} AS skill_id, embedding::DOUBLE[] AS embedding
+  FROM part JOIN embeddings ON vec_id = (p_partkey * 7) % (SELECT n FROM fx_vec_n)),
 fx_docs AS (SELECT doc_id, text, lang AS locale, source FROM documents),
 fx_turns AS (
   SELECT conv_id AS doc_id, turn AS chunk_index, role AS section,
