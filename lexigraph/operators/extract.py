@@ -78,7 +78,7 @@ def detect_sections(docs: DataFrame) -> DataFrame:
 
 def explode_sections(docs: DataFrame) -> DataFrame:
     """One row per detected section."""
-    return docs.select("doc_id", "doc_type", F.explode("sections").alias("s")).select(
+    return docs.select("doc_id", "doc_type", F.explode_outer("sections").alias("s")).filter("s is not null").select(
         "doc_id", "doc_type", F.col("s.name").alias("section_name"), F.col("s.type").alias("section_type"),
         F.col("s.weight").alias("weight"), F.col("s.start_offset").alias("start_offset"),
         F.col("s.end_offset").alias("end_offset"))
@@ -127,7 +127,8 @@ def chunk_sliding(docs: DataFrame, size: int = config.CHUNK_TARGET_TOKENS,
 
 def _chunk_rows(docs: DataFrame) -> DataFrame:
     keep = [c for c in docs.columns if c not in ("text", "sections", "__chunks")]
-    rows = docs.select(*keep, "text", F.posexplode("__chunks").alias("chunk_index", "c"))
+    # The outer form: for the plain one Spark would evaluate the whole array again to filter empty ones.
+    rows = docs.select(*keep, "text", F.posexplode_outer("__chunks").alias("chunk_index", "c")).filter("c is not null")
     text = F.substring(F.col("text"), F.col("c.start_offset") + 1, F.col("c.end_offset") - F.col("c.start_offset"))
     return rows.select(
         *keep, "chunk_index", F.col("c.start_offset").alias("start_offset"),
@@ -236,7 +237,7 @@ def tag_exact(chunks: DataFrame, forms: DataFrame, max_words: int = 3, locale: b
             F.sequence(F.lit(1), F.size("__w") - (n - 1)), _gram(n)))
         part = F.coalesce(part, F.expr("cast(array() as array<struct<position:int,words:int,form:string>>)"))
         grams = part if grams is None else F.concat(grams, part)
-    rows = split.select(*keys, F.explode(grams).alias("g")).select(*keys, "g.*")
+    rows = split.select(*keys, F.explode_outer(grams).alias("g")).filter("g is not null").select(*keys, "g.*")
     on = ["form", *(["locale"] if locale else [])]
     known = broadcast_if_small(forms.select("skill_id", *on).distinct())
     if max_words == 1:
