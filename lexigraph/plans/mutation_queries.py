@@ -1 +1,262 @@
-"""."""
+"""Taxonomy changes; requests are derived from the whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexigraph.operators import mutate
+from lexigraph.plans.cooccur_queries import _FLAT, flat
+from lexigraph.plans.graph_queries import _NEW_SQL, _new_edges
+from lexigraph.plans.registry import query
+
+
+def _create(d):
+    reqs = d.raw("part").select(
+        F.col("p_partkey").alias("req_id"), F.expr("concat(' <b>', p_name, '</b>   ', p_brand)").alias("name"),
+        F.lit(None).cast("string").alias("description"),
+        F.expr("CASE p_type WHEN 'PROMO' THEN 'marketing' ELSE 'tool' END").alias("category"),
+        F.lit("import").alias("source"))
+    return mutate.create_skills(d.skills(), d.aliases(), reqs)
+
+
+_NEW_ID = "concat('N:', substr(sha256(concat_ws('|', p_partkey::VARCHAR, concat(p_name, ' ', p_brand))), 1, 16))"
+
+
+@query("m1_create_skills", f"""
+SELECT {_NEW_ID} AS id, concat('SK-', substr(sha256({_NEW_ID}), 1, 8)) AS external_id,
+  concat(p_name, ' ', p_brand) AS canonical_name, 'tool' AS category, 'candidate' AS status FROM part
+WHERE p_type <> 'PROMO'""")
+def _(d):
+    return _create(d).extra["skills"].select("id", "external_id", "canonical_name", "category", "status")
+
+
+@query("m1_rejected", "SELECT p_partkey AS req_id, 'unknown category' AS reason FROM part WHERE p_type = 'PROMO'")
+def _(d):
+    return _create(d).rejected
+
+
+def _update(d):
+    reqs = d.raw("lineitem").select(F.expr("concat('P:', l_suppkey * 21)").alias("id")).distinct().select(
+        "id", F.concat(F.lit("renamed "), "id").alias("canonical_name"), F.lit("tool").alias("category"))
+    return mutate.update_skills(d.skills(), d.aliases(), reqs)
+
+
+_UPD = "WITH r AS (SELECT DISTINCT concat('P:', l_suppkey * 21) AS rid FROM lineitem) "
+
+
+@query("m2_update_skills", _UPD + """
+SELECT id, CASE WHEN rid IS NULL THEN canonical_name ELSE concat('renamed ', id) END AS canonical_name,
+  CASE WHEN rid IS NULL THEN category ELSE 'tool' END AS category, version + (rid IS NOT NULL)::INT AS version
+FROM fx_skills LEFT JOIN r ON rid = id""")
+def _(d):
+    return _update(d).tables["skills"].select("id", "canonical_name", "category", "version")
+
+
+@query("m2_aliases", _UPD + """
+SELECT id, CASE WHEN rid IS NOT NULL AND is_primary AND locale = 'en' THEN concat('renamed ', skill_id)
+  ELSE surface_form END AS surface_form FROM fx_aliases
+LEFT JOIN r ON rid = skill_id AND rid IN (SELECT id FROM fx_skills)""")
+def _(d):
+    return _update(d).tables["aliases"].select("id", "surface_form")
+
+
+@query("m2_rejected", _UPD + "SELECT rid AS id, 'unknown concept' AS reason FROM r WHERE rid NOT IN (SELECT id FROM fx_skills)")
+def _(d):
+    return _update(d).rejected
+
+
+def _alias_ops(d):
+    none = F.lit(None)
+    drop = d.aliases().filter("locale = 'en'").select(
+        F.concat(F.lit("d|"), "id").alias("op_id"), F.lit("delete").alias("op"), F.col("id").alias("alias_id"),
+        none.cast("string").alias("skill_id"), none.cast("string").alias("surface_form"),
+        none.cast("string").alias("locale"), none.cast("boolean").alias("is_primary"))
+    add = d.raw("part").select(
+        F.expr("concat('a|', p_partkey)").alias("op_id"), F.lit("add").alias("op"),
+        none.cast("string").alias("alias_id"), F.expr("concat('P:', p_partkey)").alias("skill_id"),
+        F.expr("concat('new ', p_name)").alias("surface_form"), F.lit("en").alias("locale"),
+        (F.col("p_size") > 25).alias("is_primary"))
+    return mutate.apply_alias_ops(d.aliases(), drop.unionByName(add))
+
+
+@query("m3_apply_alias_ops", """
+WITH kept AS (SELECT id, skill_id, surface_form, locale, is_primary FROM fx_aliases WHERE NOT (locale = 'en' AND NOT is_primary)),
+adds AS (SELECT concat_ws('|', concat('P:', p_partkey), 'en', concat('new ', p_name)) AS id,
+  concat('P:', p_partkey) AS skill_id, concat('new ', p_name) AS surface_form, 'en' AS locale, p_size > 25 AS is_primary
+  FROM part)
+SELECT id, skill_id, surface_form, locale, is_primary AND NOT (locale = 'en' AND skill_id IN (
+  SELECT skill_id FROM adds WHERE is_primary)) AS is_primary FROM kept
+UNION ALL SELECT * FROM adds""")
+def _(d):
+    return _alias_ops(d).tables["aliases"].select("id", "skill_id", "surface_form", "locale", "is_primary")
+
+
+@query("m3_rejected", """
+SELECT concat('d|', id) AS op_id, 'last primary alias' AS reason FROM fx_aliases WHERE locale = 'en' AND is_primary""")
+def _(d):
+    return _alias_ops(d).rejected
+
+
+def _edge_reqs(d):
+    kind = F.when(F.col("source_skill_id").startswith("T:"), "llm_predicted").otherwise("empirical")
+    return _new_edges(d).filter("source_skill_id like '%T:%'").drop("status").withColumns(
+        {"confidence": F.lit(0.4), "provenance": kind})
+
+
+@query("m4_create_edges", f"""WITH {_NEW_SQL}
+SELECT id, CASE WHEN source_skill_id LIKE 'T:%' THEN 0.5 ELSE 0.4 END::DOUBLE AS weight, 'active' AS status FROM new
+WHERE source_skill_id LIKE '%T:%' AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.source_skill_id = new.source_skill_id
+  AND e.target_skill_id = new.target_skill_id AND relationship_type = 'parent_of')""")
+def _(d):
+    return mutate.create_edges(d.edges(), d.skills(), _edge_reqs(d)).extra["edges"].select("id", "weight", "status")
+
+
+def _retire(d):
+    reqs = d.edges().filter("relationship_type in ('requires', 'related_to')").select("id", F.when(
+        F.col("relationship_type") == "requires", "delete").otherwise("deprecate").alias("action"))
+    return mutate.retire_edges(d.edges(), reqs)
+
+
+@query("m5_retire_edges", """
+SELECT id, CASE WHEN relationship_type = 'related_to' THEN 'deprecated' ELSE status END AS status FROM fx_edges
+WHERE NOT (relationship_type = 'requires' AND status IN ('pending_review', 'rejected'))""")
+def _(d):
+    return _retire(d).tables["edges"].select("id", "status")
+
+
+@query("m5_rejected", """
+SELECT id, concat('cannot delete an edge that is ', status) AS reason FROM fx_edges
+WHERE relationship_type = 'requires' AND status NOT IN ('pending_review', 'rejected')""")
+def _(d):
+    return _retire(d).rejected
+
+
+def _deprecate(d):
+    reqs = d.raw("part").filter("p_type = 'PROMO'").select(
+        F.expr("concat('P:', p_partkey)").alias("skill_id"), F.expr(
+            "CASE WHEN p_size > 45 THEN cast(array() as array<string>) ELSE "
+            "array(concat('P:', p_partkey + 1), concat('P:', p_partkey + 2)) END").alias("successor_ids"))
+    return mutate.deprecate(d.skills(), d.aliases(), d.edges(), reqs)
+
+
+_DEP = """
+WITH st AS (SELECT p.p_partkey, p.status, p.p_size, a.status AS s1, b.status AS s2,
+    coalesce(a.p_type = 'PROMO', false) OR coalesce(b.p_type = 'PROMO', false) AS batch
+  FROM fx_part p LEFT JOIN fx_part a ON a.p_partkey = p.p_partkey + 1 LEFT JOIN fx_part b ON b.p_partkey = p.p_partkey + 2
+  WHERE p.p_type = 'PROMO'),
+j AS (SELECT p_partkey, concat('P:', p_partkey) AS skill_id, CASE WHEN status <> 'active' THEN 'not active'
+  WHEN p_size > 45 THEN 'no successor' WHEN s1 IS NULL OR s2 IS NULL THEN 'unknown successor'
+  WHEN s1 IN ('deprecated', 'merged') OR s2 IN ('deprecated', 'merged') THEN 'successor is retired'
+  WHEN batch THEN 'successor is being retired' END AS reason FROM st),
+ok AS (SELECT * FROM j WHERE reason IS NULL)
+"""
+
+
+@query("m6_deprecate", _DEP + """
+SELECT id, CASE WHEN id IN (SELECT skill_id FROM ok) THEN 'deprecated' ELSE status END AS status FROM fx_skills""")
+def _(d):
+    return _deprecate(d).tables["skills"].select("id", "status")
+
+
+@query("m6_rejected", _DEP + "SELECT skill_id, reason FROM j WHERE reason IS NOT NULL")
+def _(d):
+    return _deprecate(d).rejected
+
+
+@query("m6_edges", _DEP + """
+SELECT concat('superseded_by|', skill_id, '|P:', p_partkey + i) AS id, skill_id AS source_skill_id,
+  concat('P:', p_partkey + i) AS target_skill_id FROM ok, (SELECT unnest([1, 2]) AS i)""")
+def _(d):
+    return _deprecate(d).extra["edges"].select("id", "source_skill_id", "target_skill_id")
+
+
+@query("m6_aliases", _DEP + """,
+mv AS (SELECT a.id, CASE WHEN ok.skill_id IS NULL THEN a.skill_id ELSE concat('P:', ok.p_partkey + 1) END AS skill_id, locale, is_primary,
+  ok.skill_id IS NULL AS own FROM fx_aliases a LEFT JOIN ok ON ok.skill_id = a.skill_id),
+f AS (SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY skill_id, locale ORDER BY own DESC, id) AS rn FROM mv
+  WHERE is_primary) WHERE rn = 1)
+SELECT id, skill_id, is_primary AND id IN (SELECT id FROM f) AS is_primary FROM mv""")
+def _(d):
+    return _deprecate(d).tables["aliases"].select("id", "skill_id", "is_primary")
+
+
+def _merge(d):
+    return mutate.merge_skills(d.skills(), d.aliases(), d.edges().unionByName(d.group_edges()), d.cooccurrence(),
+                               d.merge_map())
+
+
+@query("m7_merge_skills", """
+SELECT id, CASE WHEN id IN (SELECT source_id FROM fx_merge_map) THEN 'merged' ELSE status END AS status FROM fx_skills""")
+def _(d):
+    return _merge(d).tables["skills"].select("id", "status")
+
+
+@query("m7_edges", """
+WITH e AS (SELECT e.id, coalesce(a.target_id, source_skill_id) AS source_skill_id,
+  coalesce(b.target_id, target_skill_id) AS target_skill_id, relationship_type, confidence
+  FROM (SELECT * FROM fx_edges UNION ALL BY NAME SELECT * FROM fx_group_edges) e
+  LEFT JOIN fx_merge_map a ON a.source_id = source_skill_id LEFT JOIN fx_merge_map b ON b.source_id = target_skill_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_skill_id, target_skill_id, relationship_type
+  ORDER BY confidence DESC, id) AS rn FROM e WHERE source_skill_id <> target_skill_id)
+SELECT id, source_skill_id, target_skill_id, relationship_type, confidence FROM r WHERE rn = 1
+UNION ALL SELECT concat('superseded_by|', source_id, '|', target_id), source_id, target_id, 'superseded_by', 1.0
+FROM fx_merge_map""")
+def _(d):
+    return _merge(d).tables["edges"].select(
+        "id", "source_skill_id", "target_skill_id", "relationship_type", "confidence")
+
+
+@query("m7_cooccurrence", f"""
+WITH c AS (SELECT coalesce(a.target_id, skill_a_id) AS x, coalesce(b.target_id, skill_b_id) AS y, co_occurrence_count,
+  n_cv, n_jd, n_course, last_seen_at, created_at FROM fx_cooccurrence
+  LEFT JOIN fx_merge_map a ON a.source_id = skill_a_id LEFT JOIN fx_merge_map b ON b.source_id = skill_b_id),
+agg AS (SELECT least(x, y) AS skill_a_id, greatest(x, y) AS skill_b_id,
+  sum(co_occurrence_count)::BIGINT AS co_occurrence_count, sum(n_cv)::BIGINT AS n_cv, sum(n_jd)::BIGINT AS n_jd,
+  sum(n_course)::BIGINT AS n_course, max(last_seen_at) AS last_seen_at, min(created_at) AS created_at
+  FROM c WHERE x <> y GROUP BY 1, 2)
+SELECT skill_a_id, skill_b_id, {_FLAT} FROM agg""")
+def _(d):
+    return flat(_merge(d).tables["co_occurrences"])
+
+
+@query("m7_aliases", """
+SELECT a.id, coalesce(target_id, skill_id) AS skill_id, is_primary AND target_id IS NULL AS is_primary
+FROM fx_aliases a LEFT JOIN fx_merge_map ON source_id = skill_id""")
+def _(d):
+    return _merge(d).tables["aliases"].select("id", "skill_id", "is_primary")
+
+
+@query("m9_check_transitions", """
+SELECT id, status AS old_status, CASE WHEN status <> 'active' THEN 'active' WHEN category = 'tool' THEN 'candidate'
+  ELSE 'deprecated' END AS new_status FROM fx_skills
+WHERE status = 'merged' OR (status = 'active' AND category = 'tool')""")
+def _(d):
+    new = d.skills().withColumn("status", F.when(F.col("status") != "active", "active")
+                                .when(F.col("category") == "tool", "candidate").otherwise("deprecated"))
+    return mutate.check_transitions(d.skills(), new)
+
+
+@query("m15_record", _DEP + """,
+al AS (SELECT a.id FROM fx_aliases a JOIN ok ON ok.skill_id = a.skill_id),
+c AS (SELECT 'skill_deprecated' AS mutation_type, skill_id AS entity_id FROM ok
+  UNION ALL SELECT 'edge_created', concat('superseded_by|', skill_id, '|P:', p_partkey + i)
+    FROM ok, (SELECT unnest([1, 2]) AS i)
+  UNION ALL SELECT 'alias_removed', id FROM al UNION ALL SELECT 'alias_added', id FROM al)
+SELECT (SELECT max(graph_version) FROM fx_changelog) + row_number() OVER (ORDER BY entity_id, mutation_type)
+  AS graph_version, mutation_type, entity_id FROM c""")
+def _(d):
+    start = d.changelog().agg(F.coalesce(F.max("graph_version"), F.lit(0)))
+    return mutate.record([_deprecate(d).changelog], start.scalar()).select(
+        "graph_version", "mutation_type", "entity_id")
+
+
+@query("s3_upsert", """
+SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE p_name END AS name,
+  p_size + CASE WHEN p_size > 25 THEN p_size ELSE 0 END AS size FROM part
+UNION ALL SELECT -1 - p_partkey, upper(p_name), p_size FROM part WHERE p_size > 25""")
+def _(d):
+    target = d.raw("part").selectExpr("p_partkey", "p_name as name", "p_size as size")
+    some = target.filter("size > 25").withColumn("name", F.upper("name"))
+    delta = some.unionByName(some.withColumn("p_partkey", -1 - F.col("p_partkey")))
+    total = F.coalesce("t_size", F.lit(0)) + F.coalesce("d_size", F.lit(0))
+    return mutate.upsert(target, delta, ["p_partkey"], {"size": total})
