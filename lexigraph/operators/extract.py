@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph import config
-from lexigraph.functions.text import clean_html, clean_plain, estimate_tokens
+from lexigraph.functions.text import clean_html, clean_plain, estimate_tokens, let
 from lexigraph.plans.scale import broadcast_if_small, cut
 
 SECTION = "struct<name:string,type:string,weight:double,start_offset:int,end_offset:int>"
@@ -29,11 +29,6 @@ def _heading_map() -> Column:
     return F.create_map(*chain.from_iterable((F.lit(w), s) for w, s in pairs))
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and use it any number of times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def detect_sections(docs: DataFrame) -> DataFrame:
     """Document type from its headings, and the weighted sections with their character offsets.
 
@@ -212,15 +207,6 @@ def chunk_semantic(sentences: DataFrame, least: float) -> DataFrame:
             .withColumn("chunk_index", F.sum("__new").over(w)).drop("__last", "__new"))
 
 
-def _gram(n: int):
-    """The ``n`` words from a position on."""
-    def gram(i: Column) -> Column:
-        form = F.element_at("__w", i) if n == 1 else F.array_join(F.slice("__w", i, F.lit(n)), " ")
-        return F.struct(i.alias("position"), F.lit(n).alias("words"), form.alias("form"))
-
-    return gram
-
-
 def tag_exact(chunks: DataFrame, forms: DataFrame, max_words: int = 3, locale: bool = False,
               carry: tuple[str, ...] = ()) -> DataFrame:
     """Names and aliases found word for word in the text (doc_id, chunk_index, skill_id, form, position).
@@ -229,15 +215,24 @@ def tag_exact(chunks: DataFrame, forms: DataFrame, max_words: int = 3, locale: b
     longer match is dropped. Columns named in ``carry`` come along from the chunk.
     """
     keys = ["doc_id", "chunk_index", *(["locale"] if locale else []), *carry]
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    split = chunks.select(*keys, words.alias("__w"))
-    grams = None
-    for n in range(1, max_words + 1):
-        part = F.when(F.size("__w") >= n, F.transform(
-            F.sequence(F.lit(1), F.size("__w") - (n - 1)), _gram(n)))
-        part = F.coalesce(part, F.expr("cast(array() as array<struct<position:int,words:int,form:string>>)"))
-        grams = part if grams is None else F.concat(grams, part)
-    rows = split.select(*keys, F.explode_outer(grams).alias("g")).filter("g is not null").select(*keys, "g.*")
+    # No leading separator, so the position of a word is its position in the array.
+    plain = F.regexp_replace(F.lower("text"), r"^[^\p{L}\p{N}]+", "")
+    split = chunks.select(*keys, F.split(plain, r"[^\p{L}\p{N}]+").alias("w1"))
+    if max_words == 1:
+        rows = split.select(*keys, F.posexplode_outer("w1").alias("position", "form")).select(
+            *keys, (F.col("position") + 1).alias("position"), F.lit(1).alias("words"), "form")
+    else:
+        # Each word beside the words after it: the n-grams are then plain column expressions.
+        shifted = [F.slice("w1", n, F.greatest(F.size("w1"), F.lit(1))).alias(f"w{n}") for n in range(2, max_words + 1)]
+        beside = F.arrays_zip("w1", *shifted)
+        flat = split.select(*keys, F.posexplode_outer(beside).alias("position", "z"))
+        word = [F.col("z")[f"w{n}"] for n in range(1, max_words + 1)]
+        word = [F.when(w != "", w) for w in word]
+        grams = [F.struct(F.lit(n).alias("words"), F.when(
+            word[n - 1].isNotNull(), F.concat_ws(" ", *word[:n])).alias("form")) for n in range(1, max_words + 1)]
+        rows = flat.select(*keys, (F.col("position") + 1).alias("position"), F.explode(F.array(*grams)).alias("g")).select(
+            *keys, "position", "g.words", "g.form")
+    rows = rows.filter("form <> ''")
     on = ["form", *(["locale"] if locale else [])]
     known = broadcast_if_small(forms.select("skill_id", *on).distinct())
     if max_words == 1:

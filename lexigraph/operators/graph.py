@@ -191,22 +191,29 @@ def expand(results: DataFrame, edges: DataFrame, skills: DataFrame, depth: int =
     down = pairs.select(F.col("parent_id").alias("skill_id"), F.col("child_id").alias("to_id"))
     front = results.groupBy("doc_id", "skill_id").agg(F.max("confidence").alias("confidence"))
     direct = front.select("doc_id", "skill_id")
+    act = skills.filter("status = 'active'").select(F.col("id").alias("to_id"))
+    # The last level only emits, so inactive targets are dropped from the (small) edge side before the join.
+    up_last, down_last = up.join(act, "to_id", "left_semi"), down.join(act, "to_id", "left_semi")
     found = None
     for level in range(1, depth + 1):
+        to_up, to_down = (up_last, down_last) if level == depth else (up, down)
+
         def kind(rows: DataFrame, rank: int) -> DataFrame:
             return rows.select("doc_id", F.col("to_id").alias("skill_id"),
                                (F.col("confidence") * F.lit(factor)).alias("confidence"),
                                F.lit(rank).alias("rank"))
 
-        parents = front.join(up, "skill_id")
-        tops = parents.groupBy("doc_id", F.col("to_id").alias("skill_id")).agg(
+        tops = front.join(up, "skill_id").groupBy("doc_id", F.col("to_id").alias("skill_id")).agg(
             F.max("confidence").alias("confidence"))
-        rows = (kind(parents, 0).unionByName(kind(front.join(down, "skill_id"), 1))
-                .unionByName(kind(tops.join(down, "skill_id"), 2)))
-        rows = rows.groupBy("doc_id", "skill_id").agg(
-            F.max(F.struct("confidence", (-F.col("rank")).alias("order"))).alias("best"))
-        rows = rows.select("doc_id", "skill_id", F.col("best.confidence").alias("confidence"),
-                           F.col("best.order").alias("order"), F.lit(-level).alias("level"))
+        rows = (kind(front.join(to_up, "skill_id"), 0).unionByName(kind(front.join(to_down, "skill_id"), 1))
+                .unionByName(kind(tops.join(to_down, "skill_id"), 2)))
+        # One maximum per kind keeps the aggregation hash-based.
+        best = [F.max(F.when(F.col("rank") == r, F.col("confidence"))).alias(f"c{r}") for r in range(3)]
+        top = F.greatest("c0", "c1", "c2")
+        rows = rows.groupBy("doc_id", "skill_id").agg(*best).select(
+            "doc_id", "skill_id", top.alias("confidence"),
+            F.when(F.col("c0") == top, 0).when(F.col("c1") == top, -1).otherwise(-2).alias("order"),
+            F.lit(-level).alias("level"))
         found = rows if found is None else found.unionByName(rows)
         front = rows.select("doc_id", "skill_id", "confidence")
     if found is None:
@@ -215,9 +222,9 @@ def expand(results: DataFrame, edges: DataFrame, skills: DataFrame, depth: int =
     if depth > 1:
         found = found.groupBy("doc_id", "skill_id").agg(
             F.max(F.struct("confidence", "level", "order")).alias("best")).select("doc_id", "skill_id", "best.*")
-    act = skills.filter("status = 'active'").select(F.col("id").alias("skill_id"))
+        found = found.join(act.withColumnRenamed("to_id", "skill_id"), "skill_id", "left_semi")
     name = F.element_at(F.array(*[F.lit(e) for e in EXPANSIONS]), 1 - F.col("order"))
-    return (found.join(act, "skill_id", "left_semi").join(direct, ["doc_id", "skill_id"], "left_anti")
+    return (found.join(direct, ["doc_id", "skill_id"], "left_anti")
             .select("doc_id", "skill_id", "confidence", name.alias("expansion_type"),
                     F.lit(True).alias("is_expanded")))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph import config
-from lexigraph.functions.text import preview
+from lexigraph.functions.text import let, preview
 from lexigraph.plans.scale import nest_pages
 from lexigraph.schemas import RESPONSE
 
@@ -35,8 +35,7 @@ def build_requests(chunks: DataFrame, candidates: DataFrame, limit: int = config
 
 def ingest_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Model answers (chunk_id, body) as rows per concept; answers that break the schema are set aside."""
-    parsed = raw.withColumn("r", F.from_json("body", RESPONSE, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    body = F.from_json("body", RESPONSE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     needed = ("skill_id", "skill_name", "confidence", "evidence", "proficiency_hint", "context_type")
 
     def whole(x: Column) -> Column:
@@ -45,13 +44,17 @@ def ingest_responses(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
             ok = ok & x[name].isNotNull()
         return ok & x["confidence"].between(0.0, 1.0)
 
-    reason = (F.when(F.col("r._corrupt").isNotNull() | F.col("r").isNull(), "malformed")
-              .when(F.col("r.extracted_skills").isNull(), "no result list")
-              .when(~F.forall("r.extracted_skills", whole), "missing or bad field"))
-    judged = parsed.withColumn("reason", reason)
-    ok = judged.filter("reason is null").select("chunk_id", F.explode("r.extracted_skills").alias("s")).select(
-        "chunk_id", "s.*")
-    return ok, judged.filter("reason is not null").select("chunk_id", "reason")
+    def judge(r: Column) -> Column:
+        reason = (F.when(r["_corrupt"].isNotNull() | r.isNull(), "malformed")
+                  .when(r["extracted_skills"].isNull(), "no result list")
+                  .when(~F.forall(r["extracted_skills"], whole), "missing or bad field"))
+        return F.struct(reason.alias("reason"), r["extracted_skills"].alias("skills"))
+
+    # Each answer is parsed once: the list travels with its verdict and empty lists are dropped after the explode.
+    judged = raw.select("chunk_id", let(body, judge).alias("j"))
+    ok = judged.select("chunk_id", F.explode_outer(F.when(F.col("j.reason").isNull(), F.col("j.skills"))).alias("s"))
+    bad = judged.select("chunk_id", F.col("j.reason").alias("reason")).filter("reason is not null")
+    return ok.filter("s is not null").select("chunk_id", "s.*"), bad
 
 
 def text_key(text: Column) -> Column:
