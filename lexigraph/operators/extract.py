@@ -321,9 +321,9 @@ def extract_documents(docs: DataFrame, forms: DataFrame, skills: DataFrame, edge
     """
     from lexigraph.operators import filters, graph
 
-    checked = filters.check_limits(docs, max_batch=2_147_483_647)
+    checked = filters.check_limits(docs, max_batch=None)
     failed = checked.filter("reason is not null").select("doc_id", "reason")
-    good = checked.filter("reason is null").drop("reason", "batch_size")
+    good = checked.filter("reason is null").drop("reason")
     chunks = chunk_sections(detect_sections(clean_documents(good, fmt)))
     raw = extract(tag_exact(chunks, forms, max_words, carry=("section_weight",)))
     # Far smaller than the text, and read by every branch below.

@@ -81,13 +81,19 @@ def path_prefixes(skills: DataFrame) -> DataFrame:
 
 
 def check_limits(docs: DataFrame, max_chars: int = config.MAX_TEXT_LENGTH,
-                 max_batch: int = config.BATCH_MAX_DOCUMENTS, batch: str = "source") -> DataFrame:
-    """documents with the first limit they break (NULL if none)."""
-    sizes = docs.groupBy(batch).agg(F.count(F.lit(1)).alias("batch_size"))
+                 max_batch: int | None = config.BATCH_MAX_DOCUMENTS, batch: str = "source") -> DataFrame:
+    """documents with the first limit they break (NULL if none); no batch limit if ``max_batch`` is None.
+
+    Only the over-full batches join the documents, so texts are not shuffled for the others' sake.
+    """
     n = F.coalesce(F.length("text"), F.lit(0))
-    reason = (F.when(n < 1, "text is empty").when(n > max_chars, "text is too long")
-              .when(F.col("batch_size") > max_batch, "batch is too large"))
-    return docs.join(sizes, batch).withColumn("reason", reason)
+    reason = F.when(n < 1, "text is empty").when(n > max_chars, "text is too long")
+    if max_batch is None:
+        return docs.withColumn("reason", reason)
+    full = (docs.groupBy(batch).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_batch)
+            .select(batch, F.lit(True).alias("__full")))
+    return docs.join(full, batch, "left").withColumn("reason", reason.when(
+        F.col("__full"), "batch is too large")).drop("__full")
 
 
 def name_limits(skills: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph import config
@@ -73,10 +73,11 @@ EDGE_KEY = ["source_skill_id", "target_skill_id", "relationship_type"]
 def check_duplicate_edges(new: DataFrame, edges: DataFrame) -> DataFrame:
     """Q3: proposed edges with the kind of duplicate: "existing", "batch" (a repeat within it) or NULL."""
     known = edges.select(*EDGE_KEY).distinct().withColumn("__known", F.lit(True))
-    nth = F.row_number().over(Window.partitionBy(*EDGE_KEY).orderBy("id"))
-    return (new.join(known, EDGE_KEY, "left").withColumn("__n", nth)
-            .withColumn("duplicate", F.when(F.col("__known"), "existing").when(F.col("__n") > 1, "batch"))
-            .drop("__known", "__n"))
+    first = new.groupBy(*EDGE_KEY).agg(F.min("id").alias("__first"))
+    return (new.join(known, EDGE_KEY, "left").join(first, EDGE_KEY)
+            .withColumn("duplicate", F.when(F.col("__known"), "existing")
+                        .when(F.col("id") > F.col("__first"), "batch"))
+            .drop("__known", "__first"))
 
 
 def orphans(skills: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
