@@ -73,9 +73,9 @@ def _pair_blocks(queries: DataFrame, vectors: DataFrame, match, block_rows: int)
     nq = max(1, -(-queries.count() // block_rows))
     nv = max(1, -(-vectors.count() // block_rows))
     left = (queries.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-            .withColumn("__v", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).cast("bigint")))
+            .withColumn("__v", F.expr(f"explode(sequence(0L, {nv - 1}L))")))
     right = (vectors.withColumn("__v", F.pmod(F.xxhash64("id"), F.lit(nv)))
-             .withColumn("__q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("bigint")))
+             .withColumn("__q", F.expr(f"explode(sequence(0L, {nq - 1}L))")))
     return (left.groupBy("__q", "__v").cogroup(right.groupBy("__q", "__v"))
             .applyInPandas(match, "query_id string, id string, similarity double"))
 
