@@ -11,12 +11,14 @@ gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigraph.llm import vec
 
@@ -87,23 +89,29 @@ def _repeated(h: np.ndarray, row: np.ndarray, first_too: bool) -> np.ndarray:
     return out
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id`` and ``MEASURES`` (long) of the whole text."""
+def measures(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """Columns ``carry`` (default: ``doc_id``) of each row, and ``__q``: a struct of ``MEASURES`` (long) of its whole text."""
+    carry = carry or ["doc_id"]
+    wide = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [_measure(data, off) for _, _, data, off in vec.slices(b.column(1))]
+            parts = [_measure(data, off) for _, _, data, off in vec.slices(b.column(b.num_columns - 1))]
             cols = [np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True)] or [np.zeros(0, np.int64)] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, cols)], ["doc_id", *MEASURES])
+            found = pa.StructArray.from_arrays([*map(pa.array, cols)], list(MEASURES))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], found], [*b.schema.names[:-1], "__q"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    out = T.StructType([*wide.schema.fields[:-1], T.StructField("__q", T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))])
+    return wide.mapInArrow(run, out)
 
 
 def votes(measured: DataFrame) -> DataFrame:
-    """Adds ``pattern``: one letter a rule, g(ood), b(ad) or - (abstains)."""
-    one = [F.when(F.expr(x) <= F.lit(good), "g").when(F.expr(x) >= F.lit(bad), "b").otherwise("-") for x, good, bad in RULES.values()]
-    return measured.withColumn("pattern", F.concat(*one))
+    """Adds ``__pattern``: one letter a rule, g(ood), b(ad) or - (abstains)."""
+    one = []
+    for formula, good, bad in RULES.values():
+        x = F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"__q.\1", formula))
+        one.append(F.when(x <= F.lit(good), "g").when(x >= F.lit(bad), "b").otherwise("-"))
+    return measured.withColumn("__pattern", F.concat(*one))
 
 
 #: Bounds of the rates of bad votes: a rule errs on few good documents and finds a fair share of the bad ones.
@@ -138,49 +146,22 @@ def fit(patterns: dict[str, int], rounds: int = 200, prior: float = 0.85) -> dic
     return {p: float(x) for p, x in zip(names, post, strict=True)}
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``doc_id``, the base measures, ``base_failed``, ``quality`` (posterior probability of good) and ``kept``."""
-    voted = votes(measures(docs))
-    counts = voted.groupBy("pattern").count()
-    post = fit({r["pattern"]: r["count"] for r in counts.collect()})
-    spark = docs.sparkSession
-    known = spark.createDataFrame(list(post.items()) or [("", 0.0)], "pattern string, quality double")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return (voted.join(F.broadcast(known), "pattern", "left")  # at most 3 ** len(RULES) rows
-            .withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & (F.col("quality") >= threshold))
-            .select("doc_id", *MEASURES[:5], "base_failed", "kept", "quality"))
+def _judged(docs: DataFrame, carry: list[str], threshold: float) -> DataFrame:
+    counts = votes(measures(docs)).groupBy("__pattern").count()
+    post = fit({r["__pattern"]: r["count"] for r in counts.collect()})
+    known = docs.sparkSession.createDataFrame(list(post.items()) or [("", 0.0)], "__pattern string, __good double")
+    failed = F.expr("__q.n_words < 10 or 100 * __q.n_repeat_words > 20 * __q.n_words")
+    return (votes(measures(docs, carry)).join(F.broadcast(known), "__pattern", "left")  # at most 3 ** len(RULES) rows
+            .withColumn("__failed", failed).withColumn("__kept", ~failed & (F.col("__good") >= threshold)))
 
 
-def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns.
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``doc_id``, the base measures, ``base_failed``, ``kept`` and ``quality``, the posterior probability of good."""
+    return _judged(docs, ["doc_id"], threshold).select(
+        "doc_id", *[F.col(f"__q.{m}").alias(m) for m in MEASURES[:5]], F.col("__failed").alias("base_failed"),
+        F.col("__kept").alias("kept"), F.col("__good").alias("quality"))
 
-    The decision follows from the text alone, so it is made beside the row and nothing is joined or shuffled.
-    """
-    voted = votes(measures(docs))
-    post = fit({r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()})
-    good = sorted(p for p, x in post.items() if x >= threshold)
-    schema = docs.schema
-    place = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fine = set(good)
-        for b in batches:
-            parts = [_measure(data, off) for _, _, data, off in vec.slices(b.column(place))]
-            if not parts:
-                continue
-            m = dict(zip(MEASURES, (np.concatenate(x).astype(float) for x in zip(*parts, strict=True)), strict=True))
-            yield b.filter(pa.array(_passes(m, fine)))
-
-    return docs.mapInArrow(run, schema)
-
-
-def _passes(m: dict[str, np.ndarray], fine: set[str]) -> np.ndarray:
-    """The rules of ``RULES`` and the base rule over arrays instead of columns."""
-    names = {"greatest": np.maximum, "abs": np.abs, **m}
-    letters = []
-    for expr, good, bad in RULES.values():
-        x = eval(expr, {"__builtins__": {}}, names)  # noqa: S307  the fixed formulas above
-        letters.append(np.where(x <= good, "g", np.where(x >= bad, "b", "-")))
-    pattern = np.array(["".join(p) for p in zip(*letters, strict=True)])
-    return (m["n_words"] >= 10) & (100 * m["n_repeat_words"] <= 20 * m["n_words"]) & np.isin(pattern, list(fine))
+def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns. Decided beside the row: no text is shuffled."""
+    return _judged(docs, docs.columns, threshold).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
