@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import html_extract, quality, toxicity
+from lexigraph.llm import html_extract, langid, quality, toxicity
 from lexigraph.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -24,7 +29,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op9_quality_rules, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op9_quality_rules, op10_html_extraction)}
 
 
 def all_sql() -> dict[str, str]:
