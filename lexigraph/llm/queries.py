@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import html_extract, langid, minhash, quality, toxicity
+from lexigraph.llm import html_extract, langid, minhash, prefix_free, quality, toxicity
 from lexigraph.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op7_minhash, op9_quality_rules, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op7_minhash, op9_quality_rules, op10_html_extraction)}
 
 
 def all_sql() -> dict[str, str]:
