@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import html_extract, langid, minhash, prefix_free, quality, toxicity
+from lexigraph.llm import html_extract, langid, minhash, packing, prefix_free, quality, toxicity
 from lexigraph.llm.common import table
 
 
@@ -28,6 +29,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -37,7 +42,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op7_minhash, op9_quality_rules, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op7_minhash, op8_best_fit_packing, op9_quality_rules, op10_html_extraction)}
 
 
 def all_sql() -> dict[str, str]:
