@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigraph.llm import html_extract, langid, linededup, minhash, packing, prefix_free, quality, sharding, toxicity
+from lexigraph.llm import decontaminate, html_extract, langid, linededup, minhash, packing, prefix_free, quality, sharding, toxicity
 from lexigraph.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_free.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.flag(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op5_line_dedup, op6_sharding, op7_minhash, op8_best_fit_packing, op9_quality_rules, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontamination, op5_line_dedup, op6_sharding, op7_minhash, op8_best_fit_packing, op9_quality_rules, op10_html_extraction)}
 
 
 def all_sql() -> dict[str, str]:
