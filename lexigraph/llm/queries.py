@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from lexigraph.llm import decontaminate, html_extract, langid, linededup, minhash, packing, prefix_free, quality, sharding, toxicity
 from lexigraph.llm.common import table
 
@@ -53,8 +54,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontamination, op5_line_dedup, op6_sharding, op7_minhash, op8_best_fit_packing, op9_quality_rules, op10_html_extraction)}
+    return {f.__name__: f for f in (
+        op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontamination, op5_line_dedup, op6_sharding, op7_minhash, op8_best_fit_packing,
+        op9_quality_rules, op10_html_extraction, pipeline)}
 
 
 def all_sql() -> dict[str, str]:
