@@ -133,7 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, rounds: int = 3, per_round: int =
     label = (labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .filter(~held_out()))
     label = label.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(label, "doc_id").select("text", "toxic")
+    # At most ``sample`` ids and marks: texts stay where they are.
+    rows = docs.select("doc_id", "text").join(F.broadcast(label), "doc_id").select("text", "toxic")
     known: dict[str, float] = {}
     for _ in range(rounds):
         found = _round(rows, Grammar(known) if known else None, per_round, share, least, precision)
