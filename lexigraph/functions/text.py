@@ -12,9 +12,14 @@ from pyspark.sql.types import StringType
 
 from lexigraph import config
 
-# Accented letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+# Letters that do not decompose and their plain forms (the first two lines one to one).
+STROKED = "đłøħŧıŋ"
+PLAIN = "dlohtin"
+LIGATURES = (("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"))
+
+# A name in a text: letters and digits, dots inside or before them, plus and hash signs after them; or a sentence mark.
+NAME_TOKEN = r"\.?[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*[+#]*|[.!?]+"
+SENTENCE_MARK = r"^[.!?]+$"
 
 # Markup rewritten in this order by ``clean_html``.
 HTML_RULES = (
@@ -58,6 +63,17 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+@pandas_udf(StringType())
+def without_marks(text: pd.Series) -> pd.Series:
+    """Letters without their accents (Spark has no decomposition)."""
+    def bare(s: str | None) -> str | None:
+        if s is None or s.isascii():
+            return s
+        return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
+
+    return text.map(bare)
+
+
 def sanitize(col: Column, normalize: bool = True) -> Column:
     """Q2: a display name without markup, in NFC, with single spaces."""
     bare = F.regexp_replace(col, r"<[^>]*>", "")
@@ -71,17 +87,24 @@ def normalized_name(col: Column) -> Column:
 
 
 def slug(col: Column) -> Column:
-    """URL form of a name: plain lower-case words joined by hyphens, at most 100 characters."""
-    plain = F.translate(F.lower(col), ACCENTED, PLAIN)
+    """URL form of a name: plain lower-case words joined by hyphens, at most 100 characters; empty if no Latin letter is left."""
+    plain = F.translate(F.lower(without_marks(F.lower(col))), STROKED, PLAIN)
+    for letter, two in LIGATURES:
+        plain = F.replace(plain, F.lit(letter), F.lit(two))
     plain = F.regexp_replace(F.regexp_replace(plain, r"\+", "-plus"), "#", "-sharp")
     hyphened = F.regexp_replace(plain, "[^a-z0-9]+", "-")
     return F.regexp_replace(F.left(F.regexp_replace(hyphened, "^-+|-+$", ""), F.lit(config.SLUG_MAX_LENGTH)),
                             "-+$", "")
 
 
+def name_tokens(col: Column) -> Column:
+    """Lower-case tokens of a text for dictionary look-ups: names such as c++, node.js and .net stay whole."""
+    return F.regexp_extract_all(F.lower(col), F.lit(NAME_TOKEN), 0)
+
+
 def external_id(col: Column) -> Column:
     """A public id that is the same on every run."""
-    return F.concat(F.lit("SK-"), F.substring(F.sha2(col, 256), 1, 8))
+    return F.concat(F.lit("SK-"), F.substring(F.sha2(col, 256), 1, 16))
 
 
 def split_words(col: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph import config
-from lexigraph.functions.text import clean_html, clean_plain, estimate_tokens, let
+from lexigraph.functions.text import SENTENCE_MARK, clean_html, clean_plain, estimate_tokens, let, name_tokens
 from lexigraph.plans.scale import broadcast_if_small, cut
 
 SECTION = "struct<name:string,type:string,weight:double,start_offset:int,end_offset:int>"
@@ -207,44 +207,38 @@ def chunk_semantic(sentences: DataFrame, least: float) -> DataFrame:
             .withColumn("chunk_index", F.sum("__new").over(w)).drop("__last", "__new"))
 
 
-def tag_exact(chunks: DataFrame, forms: DataFrame, max_words: int = 3, locale: bool = False,
-              carry: tuple[str, ...] = ()) -> DataFrame:
-    """Names and aliases found word for word in the text (doc_id, chunk_index, skill_id, form, position).
+def tag_exact(chunks: DataFrame, forms: DataFrame, locale: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Names and aliases found word for word in the text (doc_id, chunk_index, skill_id, form, position, words).
 
-    Word n-grams meet the dictionary of ``forms(skill_id, form[, locale])`` in an equi-join. A match inside a
-    longer match is dropped. Columns named in ``carry`` come along from the chunk.
+    Text and ``forms(skill_id, form[, locale])`` go through one tokenizer, so ``C++`` or ``Node.js`` match as they stand; no
+    match runs over a sentence mark. Token n-grams, of the lengths that the dictionary has, meet it in an equi-join. A match
+    inside a longer match is dropped. ``position`` counts tokens, sentence marks included. Columns in ``carry`` come along.
     """
     keys = ["doc_id", "chunk_index", *(["locale"] if locale else []), *carry]
-    # No leading separator, so the position of a word is its position in the array.
-    plain = F.regexp_replace(F.lower("text"), r"^[^\p{L}\p{N}]+", "")
-    split = chunks.select(*keys, F.split(plain, r"[^\p{L}\p{N}]+").alias("w1"))
-    if max_words == 1:
-        rows = split.select(*keys, F.posexplode_outer("w1").alias("position", "form")).select(
-            *keys, (F.col("position") + 1).alias("position"), F.lit(1).alias("words"), "form")
+    on = ["__key", *(["locale"] if locale else [])]
+    plain = F.filter(name_tokens(F.col("form")), lambda t: ~t.rlike(SENTENCE_MARK))
+    known = forms.select("skill_id", "form", *(["locale"] if locale else []), F.array_join(plain, " ").alias("__key"),
+                         F.size(plain).alias("words")).filter("words > 0").distinct()
+    lengths = sorted(r["words"] for r in known.select("words").distinct().collect())  # as many as the longest form has words
+    split = chunks.select(*keys, F.transform(name_tokens(F.col("text")), lambda t: F.when(~t.rlike(SENTENCE_MARK), t)).alias("w1"))
+    if lengths in ([], [1]):
+        rows = split.select(*keys, F.posexplode_outer("w1").alias("position", "__key")).select(
+            *keys, (F.col("position") + 1).alias("position"), "__key")
     else:
-        # Each word beside the words after it: the n-grams are then plain column expressions.
-        shifted = [F.slice("w1", n, F.greatest(F.size("w1"), F.lit(1))).alias(f"w{n}") for n in range(2, max_words + 1)]
-        beside = F.arrays_zip("w1", *shifted)
-        flat = split.select(*keys, F.posexplode_outer(beside).alias("position", "z"))
-        word = [F.col("z")[f"w{n}"] for n in range(1, max_words + 1)]
-        word = [F.when(w != "", w) for w in word]
-        grams = [F.struct(F.lit(n).alias("words"), F.when(
-            word[n - 1].isNotNull(), F.concat_ws(" ", *word[:n])).alias("form")) for n in range(1, max_words + 1)]
-        rows = flat.select(*keys, (F.col("position") + 1).alias("position"), F.explode(F.array(*grams)).alias("g")).select(
-            *keys, "position", "g.words", "g.form")
-    rows = rows.filter("form <> ''")
-    on = ["form", *(["locale"] if locale else [])]
-    known = broadcast_if_small(forms.select("skill_id", *on).distinct())
-    if max_words == 1:
-        return rows.join(known, on)
-    hits = rows.join(broadcast_if_small(forms.select(*on).distinct()), on)
-    w = Window.partitionBy("doc_id", "chunk_index").orderBy("position", F.desc("words"))
-    end = F.col("position") + F.col("words")
-    before = F.max(F.struct(end.alias("end"), (-F.col("position")).alias("start"))).over(
-        w.rowsBetween(Window.unboundedPreceding, -1))
-    inside = (F.col("__b.end") > end) | ((F.col("__b.end") == end) & (-F.col("__b.start") < F.col("position")))
-    kept = hits.withColumn("__b", before).filter(~F.coalesce(inside, F.lit(False))).drop("__b")
-    return kept.join(known, on)
+        # Each token beside those after it: the n-grams are then plain column expressions.
+        most = lengths[-1]
+        shifted = [F.slice("w1", n, F.greatest(F.size("w1"), F.lit(1))).alias(f"w{n}") for n in range(2, most + 1)]
+        flat = split.select(*keys, F.posexplode_outer(F.arrays_zip("w1", *shifted)).alias("position", "z"))
+        word = [F.col("z")[f"w{n}"] for n in range(1, most + 1)]
+        grams = [F.concat(*[x for w in word[:n] for x in (F.lit(" "), w)][1:]) for n in lengths]  # NULL over a sentence mark
+        rows = flat.select(*keys, (F.col("position") + 1).alias("position"), F.explode(F.array(*grams)).alias("__key"))
+    hits = rows.filter("__key is not null").join(broadcast_if_small(known.select(*on, "words").distinct()), on)
+    if lengths not in ([], [1]):
+        w = Window.partitionBy("doc_id", "chunk_index").orderBy("position", F.desc("words"))
+        before = F.max(F.col("position") + F.col("words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        inside = F.coalesce(before >= F.col("position") + F.col("words"), F.lit(False))
+        hits = hits.withColumn("__in", inside).filter("not __in").drop("__in")
+    return hits.join(broadcast_if_small(known.drop("words")), on).drop("__key")
 
 
 RESULT = ["doc_id", "chunk_index", "skill_id", "confidence", "evidence", "proficiency_hint", "context_type",
@@ -312,7 +306,7 @@ def extraction_metadata(chunks: DataFrame, results: DataFrame, cached: DataFrame
 
 
 def extract_documents(docs: DataFrame, forms: DataFrame, skills: DataFrame, edges: DataFrame, fmt: str = "plain",
-                      max_words: int = 3, expand: bool = True, least: float = config.MIN_CONFIDENCE,
+                      expand: bool = True, least: float = config.MIN_CONFIDENCE,
                       max_skills: int | None = None, depth: int = config.EXPANSION_DEPTH) -> dict[str, DataFrame]:
     """Documents to concepts; the text is read once for the results.
 
@@ -325,7 +319,7 @@ def extract_documents(docs: DataFrame, forms: DataFrame, skills: DataFrame, edge
     failed = checked.filter("reason is not null").select("doc_id", "reason")
     good = checked.filter("reason is null").drop("reason")
     chunks = chunk_sections(detect_sections(clean_documents(good, fmt)))
-    raw = extract(tag_exact(chunks, forms, max_words, carry=("section_weight",)))
+    raw = extract(tag_exact(chunks, forms, carry=("section_weight",)))
     # Far smaller than the text, and read by every branch below.
     merged = cut(merge_results(apply_weighting(raw)))
     direct = merged.select("doc_id", "skill_id", "confidence", F.lit(None).cast("string").alias("expansion_type"),

@@ -27,14 +27,14 @@ def _(d):
 @query("f3_lookup", """
 WITH keys AS (
   SELECT DISTINCT CASE WHEN l_linenumber % 3 = 0 THEN concat('P:', l_partkey) WHEN l_linenumber % 3 = 1
-    THEN concat('p-', l_partkey) ELSE concat('SK-', substr(sha256(concat('P:', l_partkey)), 1, 8)) END AS key
+    THEN concat('p-', l_partkey) ELSE concat('SK-', substr(sha256(concat('P:', l_partkey)), 1, 16)) END AS key
   FROM lineitem)
 SELECT DISTINCT key, id, canonical_name FROM keys JOIN fx_skills
 ON key = id OR key = external_id OR key = slug""")
 def _(d):
     keys = d.raw("lineitem").select(F.expr(
         "CASE WHEN l_linenumber % 3 = 0 THEN concat('P:', l_partkey) WHEN l_linenumber % 3 = 1 THEN "
-        "concat('p-', l_partkey) ELSE concat('SK-', substr(sha2(concat('P:', l_partkey), 256), 1, 8)) END AS key"))
+        "concat('p-', l_partkey) ELSE concat('SK-', substr(sha2(concat('P:', l_partkey), 256), 1, 16)) END AS key"))
     return filters.lookup(d.skills(), keys.distinct()).select("key", "id", "canonical_name")
 
 

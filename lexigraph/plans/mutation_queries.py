@@ -23,7 +23,7 @@ _NEW_ID = "concat('N:', substr(sha256(concat_ws('|', p_partkey::VARCHAR, concat(
 
 
 @query("m1_create_skills", f"""
-SELECT {_NEW_ID} AS id, concat('SK-', substr(sha256({_NEW_ID}), 1, 8)) AS external_id,
+SELECT {_NEW_ID} AS id, concat('SK-', substr(sha256({_NEW_ID}), 1, 16)) AS external_id,
   concat(p_name, ' ', p_brand) AS canonical_name, 'tool' AS category, 'candidate' AS status FROM part
 WHERE p_type <> 'PROMO'""")
 def _(d):

@@ -39,7 +39,7 @@ SELECT doc_id, skill_id, 1.0::DOUBLE AS confidence, string_agg(DISTINCT form, ',
 def _(d):
     path = work_dir(d.spark, "t1")
     forms = d.dictionary().withColumnRenamed("surface_form", "form")
-    jobs.finish(jobs.stream_extract(_spread(d, d.docs(), 2), forms, path, 1))
+    jobs.finish(jobs.stream_extract(_spread(d, d.docs(), 2), forms, path))
     return jobs.output(d.spark, path).select("doc_id", "skill_id", "confidence",
                                              F.array_join("evidence", ",").alias("evidence"))
 

@@ -160,15 +160,34 @@ def _forms(d) -> DataFrame:
     return d.dictionary().withColumnRenamed("surface_form", "form")
 
 
-_TAGS = """
-toks AS (SELECT doc_id, unnest(ws) AS form, generate_subscripts(ws, 1) AS position FROM (SELECT doc_id,
-  list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM fx_docs)),
-tags AS (SELECT doc_id, skill_id, form, position FROM toks JOIN fx_dictionary ON surface_form = form)"""
+# One tokenizer for text and forms; a match inside a longer one, and one over a sentence mark, does not count.
+_TOKENS = r"regexp_extract_all(lower({c}), '\.?[\p{{L}}\p{{N}}]+(?:\.[\p{{L}}\p{{N}}]+)*[+#]*|[.!?]+')"
+
+
+def _tags_sql(docs: str, forms: str, most: int) -> str:
+    grams = " UNION ALL ".join(
+        f"SELECT doc_id, position, {n} AS words, array_to_string(ws[position:position + {n - 1}], ' ') AS key FROM toks "
+        f"WHERE position + {n - 1} <= len(ws)" for n in range(1, most + 1))
+    return f"""
+known AS (SELECT DISTINCT skill_id, form, len(t) AS words, array_to_string(t, ' ') AS key FROM (SELECT skill_id, form,
+  list_filter({_TOKENS.format(c="form")}, lambda t: NOT regexp_full_match(t, '[.!?]+')) AS t FROM {forms})),
+toks AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS position
+  FROM (SELECT doc_id, {_TOKENS.format(c="text")} AS ws FROM {docs})),
+grams AS ({grams}),
+hits AS (SELECT g.* FROM grams g JOIN (SELECT DISTINCT key, words FROM known) USING (key, words)
+  WHERE NOT regexp_matches(key, '(^| )[.!?]+( |$)')),
+kept AS (SELECT *, max(position + words) OVER (PARTITION BY doc_id ORDER BY position, words DESC
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hits),
+tags AS (SELECT doc_id, skill_id, form, position, words FROM kept JOIN known USING (key, words)
+  WHERE coalesce(reach, 0) < position + words)"""
+
+
+_TAGS = _tags_sql("fx_docs", "(SELECT skill_id, surface_form AS form FROM fx_dictionary)", 5)
 
 
 @query("j8_tag_exact", f"WITH {_TAGS} SELECT doc_id, skill_id, form, position::INT AS position FROM tags")
 def _(d):
-    return extract.tag_exact(_doc_chunks(d), _forms(d), 1).select("doc_id", "skill_id", "form", "position")
+    return extract.tag_exact(_doc_chunks(d), _forms(d)).select("doc_id", "skill_id", "form", "position")
 
 
 def _phrase_forms(d) -> DataFrame:
@@ -178,22 +197,14 @@ def _phrase_forms(d) -> DataFrame:
         .distinct().select(F.concat(F.lit("W:"), "form").alias("skill_id"), "form")
 
 
-_PHRASES = """
-forms AS (SELECT DISTINCT unnest([lower(p_name), split_part(lower(p_name), ' ', 2)]) AS form FROM part),
-toks AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS position FROM (SELECT doc_id,
-  list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS ws FROM fx_job_docs)),
-grams AS (SELECT doc_id, position, ws[position] AS form, 1 AS words FROM toks
-  UNION ALL SELECT doc_id, position, concat(ws[position], ' ', ws[position + 1]), 2 FROM toks
-  WHERE position < len(ws)),
-hits AS (SELECT * FROM grams JOIN forms USING (form)),
-kept AS (SELECT * FROM hits h WHERE NOT (words = 1 AND EXISTS (SELECT 1 FROM hits l WHERE l.doc_id = h.doc_id
-  AND l.words = 2 AND l.position IN (h.position, h.position - 1))))"""
+_PHRASES = _tags_sql("fx_job_docs", """(SELECT DISTINCT concat('W:', f) AS skill_id, f AS form FROM (
+  SELECT unnest([lower(p_name), split_part(lower(p_name), ' ', 2)]) AS f FROM part))""", 2)
 
 
-@query("j8_tag_phrases", f"WITH {_PHRASES} SELECT doc_id, form, position::INT AS position, words FROM kept")
+@query("j8_tag_phrases", f"WITH {_PHRASES} SELECT doc_id, form, position::INT AS position, words::INT AS words FROM tags")
 def _(d):
     chunks = d.job_docs().withColumn("chunk_index", F.lit(0))
-    return extract.tag_exact(chunks, _phrase_forms(d), 2).select("doc_id", "form", "position", "words")
+    return extract.tag_exact(chunks, _phrase_forms(d)).select("doc_id", "form", "position", "words")
 
 
 @query("j10_assign_sections", f"""WITH {_SECTIONS},
@@ -210,7 +221,7 @@ def _(d):
 
 
 @query("x8_extract", f"""WITH {_TAGS}
-SELECT doc_id, skill_id, 1.0::DOUBLE AS confidence, string_agg(DISTINCT form, ',') AS evidence, 'exact' AS origin
+SELECT doc_id, skill_id, 1.0::DOUBLE AS confidence, string_agg(DISTINCT form, ',' ORDER BY form) AS evidence, 'exact' AS origin
 FROM tags GROUP BY 1, 2
 UNION ALL SELECT doc_id, skill_id, confidence, evidence, 'model' FROM (
   SELECT m.doc_id, skill_id, max(confidence) AS confidence, min(evidence) AS evidence FROM fx_mentions m
@@ -222,7 +233,7 @@ def _(d):
     answers = answers.withColumns({"chunk_index": F.lit(0), "proficiency_hint": F.lit("unknown"),
                                    "context_type": F.lit("explicit"), "section_weight": F.lit(1.0)})
     answers = answers.join(chunks.select("doc_id"), "doc_id", "left_semi")
-    out = extract.extract(extract.tag_exact(chunks, _forms(d), 1, carry=("section_weight",)), responses=answers)
+    out = extract.extract(extract.tag_exact(chunks, _forms(d), carry=("section_weight",)), responses=answers)
     return out.select("doc_id", "skill_id", "confidence", F.array_join("evidence", ",").alias("evidence"), "origin")
 
 
@@ -254,7 +265,7 @@ def _(d):
     chunks = _doc_chunks(d)
     cached = d.raw("labels").select("doc_id", F.lit(0).alias("chunk_index")).distinct()
     found = extract.merge_results(extract.extract(extract.tag_exact(
-        chunks, _forms(d), 1, carry=("section_weight",))))
+        chunks, _forms(d), carry=("section_weight",))))
     return extract.extraction_metadata(chunks, found, cached)
 
 
@@ -262,7 +273,7 @@ def _extracted(d, **kw):
     docs = d.job_docs().withColumnRenamed("source_type", "source")
     forms = d.raw("part").select(F.lower("p_name").alias("form")).distinct().select(
         F.concat(F.lit("W:"), "form").alias("skill_id"), "form")
-    return extract.extract_documents(docs, forms, d.skills(), d.edges(), max_words=2, **kw)
+    return extract.extract_documents(docs, forms, d.skills(), d.edges(), **kw)
 
 
 # A part name counts once per document, at the best weight of the sections that list it.

@@ -106,7 +106,7 @@ class Derived:
             "p_partkey")
         skills = types.select(*cols).unionByName(brands).unionByName(both).unionByName(leaves)
         skills = skills.select(
-            "id", F.concat(F.lit("SK-"), F.substring(F.sha2("id", 256), 1, 8)).alias("external_id"),
+            "id", F.concat(F.lit("SK-"), F.substring(F.sha2("id", 256), 1, 16)).alias("external_id"),
             "canonical_name", F.lower(F.regexp_replace("id", "[^A-Za-z0-9]+", "-")).alias("slug"),
             "description", "status", "category", "path", F.lit(1).alias("version"), "source", "p_partkey")
         first = (self.raw("lineitem").groupBy(F.col("l_partkey").alias("p_partkey"))
@@ -273,10 +273,11 @@ class Derived:
             "text")
 
     def dictionary(self) -> DataFrame:
-        """Alias forms: the distinct words of six or more letters in the benchmark passages."""
-        return (self.raw("benchmark")
-                .select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("surface_form"))
-                .filter("length(surface_form) >= 6").distinct()
+        """Alias forms: the distinct words of the benchmark passages, and the first two to five words of each as they stand."""
+        raw = self.raw("benchmark").select("text", F.split("text", r"\s+").alias("w"))
+        words = raw.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("surface_form"))
+        openings = raw.select(F.explode(F.expr("transform(sequence(2, 5), n -> array_join(slice(w, 1, n), ' '))")).alias("surface_form"))
+        return (words.unionByName(openings).filter("surface_form <> ''").distinct()
                 .select(F.concat(F.lit("K:"), "surface_form").alias("skill_id"), "surface_form"))
 
     @stored
@@ -372,7 +373,7 @@ fx_skill_base AS (
     concat(p_type, '.', replace(p_brand, '#', '_'), '.P', p_partkey), {_SOURCE},
     CASE WHEN p_partkey % 17 <> 0 THEN concat(p_name, ' of size ', p_size) END, p_partkey FROM fx_part),
 fx_skills AS (
-  SELECT id, concat('SK-', substr(sha256(id), 1, 8)) AS external_id, canonical_name,
+  SELECT id, concat('SK-', substr(sha256(id), 1, 16)) AS external_id, canonical_name,
     lower(regexp_replace(id, '[^A-Za-z0-9]+', '-', 'g')) AS slug, description, status, category, path,
     1 AS version, source, coalesce(first_at, TIMESTAMP '1990-01-01') AS created_at,
     e.embedding::DOUBLE[] AS embedding
@@ -449,8 +450,9 @@ fx_turns AS (
   FROM conversations),
 fx_dictionary AS (
   SELECT DISTINCT concat('K:', w) AS skill_id, w AS surface_form
-  FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM benchmark)
-  WHERE length(w) >= 6),
+  FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS w FROM benchmark
+    UNION ALL SELECT array_to_string(regexp_split_to_array(text, '\\s+')[1:n], ' ') FROM benchmark, generate_series(2, 5) g(n))
+  WHERE w <> ''),
 fx_job_parts AS (
   SELECT l_orderkey, l_returnflag, string_agg(DISTINCT p_name, ', ' ORDER BY p_name) AS body
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),

@@ -55,11 +55,11 @@ def output(spark: SparkSession, path: str, name: str = "out") -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
-def stream_extract(docs: DataFrame, forms: DataFrame, path: str, max_words: int = 3, once: bool = True) -> StreamingQuery:
+def stream_extract(docs: DataFrame, forms: DataFrame, path: str, once: bool = True) -> StreamingQuery:
     """Concepts of arriving documents; a document arrives whole, so a batch can merge its results."""
     def work(batch: DataFrame) -> DataFrame:
         chunks = extract.chunk_sections(extract.detect_sections(extract.clean_documents(batch)))
-        tags = extract.tag_exact(chunks, forms, max_words, carry=("section_weight",))
+        tags = extract.tag_exact(chunks, forms, carry=("section_weight",))
         return extract.merge_results(extract.apply_weighting(extract.extract(tags)))
 
     return to_batches(docs, path, work, once)

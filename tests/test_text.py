@@ -81,10 +81,25 @@ def test_longest_tag_wins(spark):
     forms = spark.createDataFrame([("ml", "machine learning"), ("m", "machine"), ("l", "learning"), ("py", "python")],
                                   "skill_id string, form string")
     chunks = docs(spark, "Machine learning, Python; a machine.").withColumn("chunk_index", F.lit(0))
-    got = rows(extract.tag_exact(chunks, forms, 2), "position", "skill_id")
+    got = rows(extract.tag_exact(chunks, forms), "position", "skill_id")
     assert got == [(1, "ml"), (3, "py"), (5, "m")]
 
 
+def test_names_with_punctuation_and_long_forms(spark):
+    forms = spark.createDataFrame([(f, f) for f in ("C++", "Node.js", ".NET", "Expert", "C#", "java script", "site reliability engineering lead", "C")],
+                                  "skill_id string, form string")
+    text_ = "Expert in C++, Node.js and .NET. C# too; we write java. Script by a Site Reliability Engineering Lead."
+    got = {r.skill_id for r in extract.tag_exact(docs(spark, text_).withColumn("chunk_index", F.lit(0)), forms).collect()}
+    assert got == {"C++", "Node.js", ".NET", "Expert", "C#", "site reliability engineering lead"}
+
+
+def test_slugs_of_other_scripts(spark):
+    names = ["Tiếng Việt", "Łódź", "Straße", "日本語", "C++", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = [r[0] for r in df.orderBy("i").select(text.slug(F.col("n"))).collect()]
+    assert got == ["tieng-viet", "lodz", "strasse", "", "c-plus-plus", None]
+
+
 def test_merge_results(spark):
     r = spark.createDataFrame([(1, 0, "s", 0.8, ["a"], "beginner"), (1, 1, "s", 0.9, ["b", "a"], "expert"),
                                (1, 0, "t", 0.5, [], "unknown")],
