@@ -49,37 +49,52 @@ def _finish(found: DataFrame, skills: DataFrame | None, shortest: bool) -> DataF
                       "left_semi")
 
 
+def _allowed(depth: int) -> None:
+    if not 1 <= depth <= config.TRAVERSAL_DEPTH_MAX:
+        raise ValueError(f"depth must be 1 to {config.TRAVERSAL_DEPTH_MAX}")
+
+
 def ancestors(edges: DataFrame, seeds: DataFrame, skills: DataFrame | None = None,
               depth: int = config.TRAVERSAL_DEPTH, shortest: bool = False) -> DataFrame:
     """G1: active ancestors of all seeds, once per distance (or at the shortest distance)."""
-    depth = min(depth, config.TRAVERSAL_DEPTH_MAX)
+    _allowed(depth)
     return _finish(_walk(hierarchy(edges), seeds, "child_id", "parent_id", depth), skills, shortest)
 
 
 def descendants(edges: DataFrame, seeds: DataFrame, skills: DataFrame | None = None,
                 depth: int = config.TRAVERSAL_DEPTH, shortest: bool = False) -> DataFrame:
     """G2"""
-    depth = min(depth, config.TRAVERSAL_DEPTH_MAX)
+    _allowed(depth)
     return _finish(_walk(hierarchy(edges), seeds, "parent_id", "child_id", depth), skills, shortest)
 
 
-def breadcrumbs(edges: DataFrame, skills: DataFrame, depth: int = config.TRAVERSAL_DEPTH,
+def breadcrumbs(edges: DataFrame, skills: DataFrame, depth: int | None = None,
                 shortest: bool = False, sep: str = " > ") -> DataFrame:
-    """Parent-chain strings per concept, all of them or the shortest."""
+    """Parent-chain strings per concept up to the root, all of them or the shortest.
+
+    With ``depth`` chains end after so many parents; ``truncated`` tells which had more. A chain never visits a concept twice.
+    """
     names = skills.select(F.col("id").alias("parent_id"), F.col("canonical_name").alias("name"))
     up = cut(hierarchy(edges).join(names, "parent_id").select(F.col("child_id").alias("top"), "parent_id", "name"))
-    rows = skills.select("id", F.col("id").alias("top"), F.array("id").alias("seen"),
-                         F.array("canonical_name").alias("names"))
-    for _ in range(depth):
-        more = F.col("parent_id").isNotNull() & ~F.array_contains("seen", F.coalesce("parent_id", F.lit("")))
-        rows = rows.join(up, "top", "left").select(
-            "id", F.when(more, F.col("parent_id")).otherwise(F.col("top")).alias("top"),
-            F.when(more, F.concat(F.array("parent_id"), "seen")).otherwise(F.col("seen")).alias("seen"),
-            F.when(more, F.concat(F.array("name"), "names")).otherwise(F.col("names")).alias("names")).distinct()
-    out = rows.select("id", F.array_join("names", sep).alias("breadcrumb"), F.size("names").alias("length"))
-    if shortest:
-        out = pick_first(out, ["id"], [F.col("length"), F.col("breadcrumb")])
-    return out.distinct()
+    front = skills.select("id", F.col("id").alias("top"), F.array("id").alias("seen"), F.array("canonical_name").alias("names"))
+    ends, level = None, 0
+    while True:
+        grown = front.join(up, "top", "left").withColumn("more", F.coalesce(~F.array_contains("seen", F.col("parent_id")), F.lit(False)))
+        grown = cut(grown)
+        # A chain ends where no parent is left that it has not visited.
+        over = (grown.groupBy("id", "top", "seen", "names").agg(F.bool_or("more").alias("__any"))
+                .filter("not __any" if depth is None or level < depth else "true")
+                .select("id", "names", F.col("__any").alias("truncated")))
+        ends = over if ends is None else ends.unionByName(over)
+        if depth is not None and level >= depth:
+            break
+        front = cut(grown.filter("more").select("id", F.col("parent_id").alias("top"), F.concat(F.array("parent_id"), "seen").alias("seen"),
+                                                F.concat(F.array("name"), "names").alias("names")).distinct())
+        if front.isEmpty():
+            break
+        level += 1
+    out = ends.select("id", F.array_join("names", sep).alias("breadcrumb"), F.size("names").alias("length"), "truncated").distinct()
+    return pick_first(out, ["id"], [F.col("length"), F.col("breadcrumb")]) if shortest else out
 
 
 def check_cycles(new: DataFrame, edges: DataFrame) -> DataFrame:
@@ -186,7 +201,7 @@ def expand(results: DataFrame, edges: DataFrame, skills: DataFrame, depth: int =
     Siblings are reached through the best confidence per (document, parent), so concepts with the same parent
     share one walk down. Concepts extracted directly are left out (J11); inactive ones too.
     """
-    pairs = hierarchy(edges)
+    pairs = cut(hierarchy(edges)) if depth > 1 else hierarchy(edges)
     up = pairs.select(F.col("child_id").alias("skill_id"), F.col("parent_id").alias("to_id"))
     down = pairs.select(F.col("parent_id").alias("skill_id"), F.col("child_id").alias("to_id"))
     front = results.groupBy("doc_id", "skill_id").agg(F.max("confidence").alias("confidence"))
@@ -214,6 +229,8 @@ def expand(results: DataFrame, edges: DataFrame, skills: DataFrame, depth: int =
             "doc_id", "skill_id", top.alias("confidence"),
             F.when(F.col("c0") == top, 0).when(F.col("c1") == top, -1).otherwise(-2).alias("order"),
             F.lit(-level).alias("level"))
+        if depth > 1:
+            rows = cut(rows)  # read by the result and three times by the next level
         found = rows if found is None else found.unionByName(rows)
         front = rows.select("doc_id", "skill_id", "confidence")
     if found is None:
@@ -230,9 +247,27 @@ def expand(results: DataFrame, edges: DataFrame, skills: DataFrame, depth: int =
 
 
 def depth_histogram(edges: DataFrame, roots: DataFrame, limit: int = 8) -> DataFrame:
-    """Concepts per depth below the roots (longest way), and whether the depth is over the limit."""
-    found = _walk(hierarchy(edges), roots, "parent_id", "child_id", config.TRAVERSAL_DEPTH_MAX)
-    depths = found.groupBy("skill_id").agg(F.max("depth").alias("depth"))
+    """Concepts per depth below the roots (longest way), and whether the depth is over the limit.
+
+    Walks until no concept is left below, keeping the deepest place of each. Concepts on cycles (G5) have no longest way; they
+    are left out with everything that is reached through them only.
+    """
+    pairs = cut(hierarchy(edges).select(F.col("parent_id").alias("at"), F.col("child_id").alias("skill_id")))
+    looped = cut(cycles(edges).select(F.col("node").alias("skill_id")))
+    step = cut(pairs.join(looped, "skill_id", "left_anti").join(looped.withColumnRenamed("skill_id", "at"), "at", "left_anti"))
+    front = roots.select(F.col("id").alias("at")).distinct()
+    depths, level = None, 0
+    while True:
+        level += 1
+        reached = cut(front.join(step, "at").select("skill_id").distinct())
+        if reached.isEmpty():
+            break
+        rows = reached.withColumn("depth", F.lit(level))
+        # Reached again further down: the deeper place counts.
+        depths = rows if depths is None else cut(depths.join(reached, "skill_id", "left_anti").unionByName(rows))
+        front = reached.withColumnRenamed("skill_id", "at")
+    if depths is None:
+        depths = step.select("skill_id", F.lit(0).alias("depth")).limit(0)
     return (depths.groupBy("depth").agg(F.count(F.lit(1)).alias("nodes"))
             .withColumn("over_limit", F.col("depth") > limit))
 

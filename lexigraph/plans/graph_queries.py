@@ -49,24 +49,56 @@ _CRUMBS = """
 WITH walk(id, top, path, n) AS (
   SELECT id, id, canonical_name, 1 FROM fx_skills
   UNION ALL SELECT w.id, h.parent_id, concat(s.canonical_name, ' > ', w.path), w.n + 1 FROM walk w
-  JOIN fx_hierarchy h ON h.child_id = w.top JOIN fx_skills s ON s.id = h.parent_id WHERE w.n <= 5),
+  JOIN fx_hierarchy h ON h.child_id = w.top JOIN fx_skills s ON s.id = h.parent_id),
 ends AS (SELECT DISTINCT id, path AS breadcrumb, n AS length FROM walk
   WHERE top NOT IN (SELECT child_id FROM fx_hierarchy))
 """
 
 
-@query("g3_breadcrumbs", _CRUMBS + "SELECT id, breadcrumb, length FROM ends")
+@query("g3_breadcrumbs", _CRUMBS + "SELECT id, breadcrumb, length, false AS truncated FROM ends")
 def _(d):
     return graph.breadcrumbs(d.edges(), d.skills())
 
 
 @query("g3_breadcrumb_shortest", _CRUMBS + """
-SELECT id, breadcrumb, length FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length, breadcrumb) AS rn
+SELECT id, breadcrumb, length, false AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY length, breadcrumb) AS rn
   FROM ends) WHERE rn = 1""")
 def _(d):
     return graph.breadcrumbs(d.edges(), d.skills(), shortest=True)
 
 
+# Chains of fifteen parts, fourteen edges deep.
+_CHAIN = "SELECT p_partkey AS k, p_name FROM part"
+
+
+def _chain(d):
+    """Edges k -> k + 1 within blocks of fifteen parts, and the parts as concepts."""
+    k = d.raw("part").select(F.col("p_partkey").alias("k"), "p_name").distinct()
+    after = k.select((F.col("k") - 1).alias("k"))
+    e = k.join(after, "k").filter("k % 15 <> 0").selectExpr(
+        "concat('C|', k) AS id", "concat('P:', k) AS source_skill_id", "concat('P:', k + 1) AS target_skill_id",
+        "'parent_of' AS relationship_type", "1.0D AS confidence", "'active' AS status", "'human_curated' AS provenance", "1.0D AS weight")
+    skills = k.selectExpr("concat('P:', k) AS id", "p_name AS canonical_name", "'active' AS status")
+    return e, skills
+
+
+@query("g3_breadcrumbs_deep", f"""WITH walk(k, top, path, n) AS (
+  SELECT k, k, p_name, 1 FROM ({_CHAIN})
+  UNION ALL SELECT w.k, p.k, concat(p.p_name, ' > ', w.path), w.n + 1 FROM walk w JOIN ({_CHAIN}) p ON p.k = w.top - 1 AND p.k % 15 <> 0)
+SELECT concat('P:', k) AS id, arg_max(path, n) AS breadcrumb, max(n)::INT AS length, false AS truncated FROM walk GROUP BY k""")
+def _(d):
+    return graph.breadcrumbs(*_chain(d))
+
+
+@query("g3_breadcrumbs_limited", f"""WITH walk(k, top, path, n) AS (
+  SELECT k, k, p_name, 1 FROM ({_CHAIN})
+  UNION ALL SELECT w.k, p.k, concat(p.p_name, ' > ', w.path), w.n + 1 FROM walk w JOIN ({_CHAIN}) p ON p.k = w.top - 1 AND p.k % 15 <> 0
+  WHERE w.n <= 8)
+SELECT concat('P:', w.k) AS id, arg_max(path, n) AS breadcrumb, max(n)::INT AS length, (w.k - 1) % 15 > 8 AS truncated FROM walk w GROUP BY w.k""")
+def _(d):
+    return graph.breadcrumbs(*_chain(d), depth=8)
+
+
 # Proposed edges: every part above its brand, its type, the group it is in and the next part.
 _NEW_SQL = """
 new AS (
@@ -185,13 +217,20 @@ def _(d):
 WITH down(skill_id, depth) AS (
   SELECT DISTINCT child_id, 1 FROM fx_hierarchy WHERE parent_id NOT IN (SELECT child_id FROM fx_hierarchy)
     AND parent_id IN (SELECT id FROM fx_skills WHERE status = 'active')
-  UNION SELECT h.child_id, x.depth + 1 FROM down x JOIN fx_hierarchy h ON h.parent_id = x.skill_id WHERE x.depth < 10),
+  UNION SELECT h.child_id, x.depth + 1 FROM down x JOIN fx_hierarchy h ON h.parent_id = x.skill_id),
 m AS (SELECT skill_id, max(depth) AS depth FROM down GROUP BY 1)
 SELECT depth, count(*) AS nodes, depth > 8 AS over_limit FROM m GROUP BY 1""")
 def _(d):
     return graph.depth_histogram(d.edges(), joins.roots(d.skills(), d.edges()))
 
 
+@query("g7_depth_histogram_deep", f"""
+SELECT ((k - 1) % 15)::INT AS depth, count(*) AS nodes, (k - 1) % 15 > 8 AS over_limit FROM ({_CHAIN}) WHERE (k - 1) % 15 > 0 GROUP BY ALL""")
+def _(d):
+    e, skills = _chain(d)
+    return graph.depth_histogram(e, joins.roots(skills, e))
+
+
 @query("g8_multi_parent", """
 SELECT child_id AS skill_id, count(*) AS parents FROM fx_hierarchy GROUP BY 1 HAVING count(*) > 1""")
 def _(d):

@@ -16,6 +16,24 @@ def test_ancestors_in_a_diamond_and_a_chain(spark, make_edges, make_skills):
     assert ("d", "a > b > d") in rows(got, "id", "breadcrumb") and ("d", "a > c > d") in rows(got, "id", "breadcrumb")
 
 
+def test_deep_chains_are_whole(spark, make_edges, make_skills):
+    import pytest
+
+    names = [f"n{i:02d}" for i in range(15)]
+    chain, skills = make_edges(list(zip(names, names[1:]))), make_skills(names)
+    got = {r.id: (r.length, r.truncated) for r in graph.breadcrumbs(chain, skills).collect()}
+    assert got["n14"] == (15, False) and len(got) == 15
+    cut_ = {r.id: (r.breadcrumb, r.truncated) for r in graph.breadcrumbs(chain, skills, depth=2).collect()}
+    assert cut_["n14"] == ("n12 > n13 > n14", True) and cut_["n02"] == ("n00 > n01 > n02", False)
+    roots = spark.createDataFrame([("n00",)], "id string")
+    assert sum(r.nodes for r in graph.depth_histogram(chain, roots).collect()) == 14
+    looped = make_edges([*zip(names, names[1:]), ("n14", "n12"), ("n00", "x"), ("n03", "x")])
+    assert {r.depth: r.nodes for r in graph.depth_histogram(looped, roots).collect()}[4] == 2  # n04, and x at its deepest place
+    assert graph.breadcrumbs(looped, make_skills([*names, "x"])).filter("id = 'n13'").count() >= 1
+    with pytest.raises(ValueError):
+        graph.ancestors(chain, roots, depth=11)
+
+
 def test_cycle_checks(spark, make_edges):
     e = make_edges([("a", "b"), ("b", "c"), ("a", "d"), ("c", "d")])
     new = spark.createDataFrame(edge_rows([("b", "a"), ("c", "a"), ("b", "d"), ("d", "e")]), EDGE)
