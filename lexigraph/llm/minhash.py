@@ -5,11 +5,11 @@ A document is the set of its distinct word shingles. Equal sets are one class an
 and the similarity of a candidate pair is estimated from the count of equal bit pairs, corrected for chance (a quarter
 of them agree anyway). Pairs within six standard deviations of the threshold are confirmed on their full sets.
 
-Candidates are never all pairs of a bucket. Each bucket's members are compared with its first member (a minimum, taken
-before the shuffle as well). Where a bucket then still holds several components, the members outside its largest one are
-compared with the others; a bucket with more than ``WIDE`` of those is first cut finer by a second band. No
-pair that shares a band and could still join two components is left out, so components are those of all links; a
-link of exactly the threshold is missed by all bands with a probability below 1e-8.
+Candidates are never written out as all pairs of a bucket. Each bucket's members are compared with its first member (a
+minimum, taken before the shuffle as well). Where a bucket then still holds several components, its members' sets meet in
+tiles of bounded size, and only pairs that could still join two components are compared, the likeliest first, each in the
+first bucket that it shares. So components are those of all links; a link of exactly the threshold is missed by all bands
+with a probability below 1e-8.
 
 Null or empty text, or text without words: an empty set, linked with nothing. A null id is linked with nothing (null
 component, kept). Rows with one id are one document: what any of its texts is linked with counts for it. An empty table
@@ -35,7 +35,7 @@ K = BANDS * ROWS
 LANES = 32  # two-bit lanes in a long
 SIG = tuple(f"s{i}" for i in range(K // LANES))
 MARGIN = 0.2  # six standard deviations of the estimate at a similarity of 0.85
-WIDE = 64
+TILE = 400_000  # shingles on each side of a tile, about
 _rng = np.random.default_rng(5)
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * vec.U(2) + vec.U(1)
 _B = _rng.integers(1, 1 << 63, K, dtype=np.uint64)
@@ -115,90 +115,127 @@ def estimate(a: str, b: str) -> Column:
     return 1 - (differ / F.lit(float(K))) / 0.75
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            pair = pa.array([x.as_py(), y.as_py()], pa.large_string())
-            data, off = vec.utf8(pair)
+        for lo, hi, data, off in vec.slices(b.column(1)):
             value, first = shingles(data, off)
-            p, q = value[:first[1]], value[first[1]:]
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-class _Links:
-    """Confirms candidate pairs: first on the packed signatures, then on the full sets of those that remain."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, percent: int):
-        self.docs, self.percent = docs.select("doc_id", "text"), percent
-        self.sig = reps.select("doc_id", F.struct(*SIG).alias("sig"))
-        self.kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """``pairs``: (a, b) with a < b, repeats allowed. Returns the confirmed ones."""
-        rough = (pairs.distinct()
-                 .join(self.sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("x")), "a")
-                 .join(self.sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("y")), "b")
-                 .filter(estimate("x", "y") >= self.percent / 100 - MARGIN).select("a", "b"))
-        rough = cut(rough.distinct())
-        if not rough.limit(1).count():
-            return rough
-        ids = rough.select(F.col("a").alias("doc_id")).unionByName(rough.select(F.col("b").alias("doc_id"))).distinct()
-        texts = cut(self.docs.join(ids, "doc_id").distinct())
-        # Each pair carries its member's text to its leader, which many pairs share.
-        wide = (rough.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-                .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb"))
-        percent = self.percent
-        return cut(wide.mapInArrow(lambda it: _confirm(it, percent), f"a {self.kind}, b {self.kind}"))
-
-
-def near_duplicates(docs: DataFrame, percent: int = 85, depth: int = 3) -> DataFrame:
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(vec.signed(value)))],
+                                             ["id", "set"])
+
+
+def _tile(left: dict, right: dict, same: bool, percent: int) -> list[tuple[int, int]]:
+    """Places (in ``left``, in ``right``) of links that join components; ``same``: both sides are one, take each pair once.
+
+    A side has ``sig`` (rows of longs), ``bands``, ``band`` (the bucket's place among the bands), ``part`` and ``set``.
+    """
+    n, m = len(left["part"]), len(right["part"])
+    odd = vec.U(0x5555555555555555)
+    differ = np.zeros((n, m), np.int16)
+    for k in range(len(SIG)):
+        x = left["sig"][:, k, None] ^ right["sig"][None, :, k]
+        differ += np.bitwise_count((x | (x >> vec.U(1))) & odd)
+    likely = 1 - (differ / K) / 0.75
+    wanted = (likely >= percent / 100 - MARGIN) & (left["part"][:, None] != right["part"][None, :])
+    if same:
+        wanted &= np.triu(np.ones((n, m), bool), 1)
+    for k in range(int(left["band"])):  # met in an earlier bucket
+        wanted &= left["bands"][:, k, None] != right["bands"][None, :, k]
+    i, j = np.nonzero(wanted)
+    order = np.argsort(-likely[i, j], kind="stable")
+    up: dict[int, int] = {}
+
+    def root(p):
+        while p in up:
+            p = up[p]
+        return p
+
+    out = []
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        p, q = root(int(left["part"][a])), root(int(right["part"][b]))
+        if p == q:
+            continue
+        x, y = left["set"][a], right["set"][b]
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            continue
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            up[p] = q
+            out.append((a, b))
+    return out
+
+
+def _block(t: pa.Table, percent: int) -> pa.Table:
+    """One tile of a bucket: columns key, i, j, side, band, id, part (a number), bands, signature, set."""
+    side = t.column("side").to_numpy()
+    part = t.column("part").to_numpy()
+    wide = lambda name, k: np.array(t.column(name).combine_chunks().flatten()).view(np.uint64).reshape(-1, k)
+    bands, sig = wide("bands", BANDS), wide("sig", len(SIG))
+    sets = t.column("set").combine_chunks()
+    ids = t.column("id").combine_chunks()
+    same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+
+    def take(at):
+        return {"part": part[at], "bands": bands[at], "sig": sig[at], "band": t.column("band")[0].as_py(),
+                "set": [np.asarray(sets[int(k)].values) for k in at]}
+
+    left = np.flatnonzero(side == 0)
+    right = left if same else np.flatnonzero(side == 1)
+    found = _tile(take(left), take(right), same, percent)
+    a, b = [left[x] for x, _ in found], [right[y] for _, y in found]
+    return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (smallest id reachable over links) and ``kept`` of every row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
     sigs = cut(signatures(docs))
     known = sigs.filter("doc_id is not null and n_shingles > 0")
-    same = (known.groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", *SIG)).alias("r"))
-            .select("c1", "c2", "n_shingles", "r.*"))
-    same = cut(same)
-    reps = same.select("doc_id", "bands", *SIG)
-    prove = _Links(docs, reps, percent)
+    same = cut(known.groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("doc_id", "bands", *SIG)).alias("r"))
+               .select("c1", "c2", "n_shingles", "r.*"))
+    reps = same.select(F.col("doc_id").alias("id"), "n_shingles", "bands", F.struct(*SIG).alias("sig"))
     # Texts of one id that are in several classes are one document.
-    alias = known.groupBy("doc_id").agg(F.min("c1").alias("p"), F.max("c1").alias("q")).filter("p <> q").select("doc_id")
-    joined = (known.join(alias, "doc_id").join(same.select("c1", "c2", "n_shingles", F.col("doc_id").alias("rep")), ["c1", "c2", "n_shingles"])
+    several = known.groupBy("doc_id").agg(F.min("c1").alias("p"), F.max("c1").alias("q")).filter("p <> q").select("doc_id")
+    joined = (known.join(several, "doc_id").join(same.select("c1", "c2", "n_shingles", F.col("doc_id").alias("rep")), ["c1", "c2", "n_shingles"])
               .select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).filter("a <> b"))
-    links, rows = joined, reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    for level in range(depth):
-        groups = rows.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
-        rows = cut(rows.join(groups, "key"))
-        links = cut(links.unionByName(prove.of(rows.filter("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")))).distinct())
-        parts = components(links)
-        placed = (rows.filter("id <> leader").join(parts, "id", "left")
-                  .select("key", "id", F.coalesce("component", "id").alias("part")))
-        # Per bucket: its largest component and how many members are outside of it.
-        sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-        main = (sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-                .filter("outside > 0"))
-        open_rows = cut(placed.join(main, "key"))
-        last = level == depth - 1
-        narrow = open_rows if last else open_rows.filter(F.col("outside") <= WIDE)
-        left = narrow.filter("part <> main").select("key", F.col("id").alias("x"), F.col("part").alias("px"))
-        right = narrow.select("key", F.col("id").alias("y"), F.col("part").alias("py"), (F.col("part") != F.col("main")).alias("out"))
-        pairs = (left.join(right, "key").filter("px <> py and (not out or x < y)")
-                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        links = cut(links.unionByName(prove.of(pairs)).distinct())
-        if last:
-            break
-        wide = open_rows.filter(F.col("outside") > WIDE).select("key", F.col("id").alias("doc_id"))
-        rows = (wide.join(reps.select("doc_id", "bands"), "doc_id").select("key", "doc_id", F.explode("bands").alias("band"))
-                .filter("band <> key").select(F.xxhash64("key", "band").alias("key"), F.col("doc_id").alias("id")))
-        rows = cut(rows)
-        if not rows.limit(1).count():
-            break
+
+    keys = reps.select(F.posexplode("bands").alias("band", "key"), "id")
+    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).filter("leader < last").select("key", "leader")
+    rows = cut(keys.join(shared, "key"))  # members of buckets that two or more share
+    met = rows.select("id").distinct()
+    sets = cut(docs.select("doc_id", "text").join(met.withColumnRenamed("id", "doc_id"), "doc_id").select("doc_id", "text")
+               .mapInArrow(_sets, f"id {kind}, set array<long>"))
+
+    pairs = (rows.filter("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+             .join(reps.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("na")), "a")
+             .join(reps.select(F.col("id").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("nb")), "b")
+             .filter((estimate("x", "y") >= percent / 100 - MARGIN) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+             .select("a", "b").distinct())
+    both = F.size(F.array_intersect("sa", "sb"))
+    linked = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+              .join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+              .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    links = cut(linked.unionByName(joined).distinct())
     parts = components(links)
-    placed = (same.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-              .select("c1", "c2", "n_shingles", F.coalesce("component", "doc_id").alias("__part")))
-    found = sigs.select("doc_id", "n_shingles", "c1", "c2").join(placed, ["c1", "c2", "n_shingles"], "left")
+
+    # Buckets in which several components are left, in tiles.
+    placed = (rows.select("key", "band", "id").join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"))
+    open_ = (placed.join(reps.select("id", "n_shingles"), "id").groupBy("key")
+             .agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+             .filter("p <> q and n > 2").select("key", F.ceil(F.col("total") / F.lit(float(TILE))).cast("int").alias("tiles")))
+    tiled = placed.join(open_, "key").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    sides = F.concat(
+        F.transform(F.sequence("t", F.col("tiles") - 1), lambda j: F.struct(F.col("t").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+        F.transform(F.filter(F.sequence(F.lit(0), F.col("t")), lambda i: i < F.col("t")),
+                    lambda i: F.struct(i.alias("i"), F.col("t").alias("j"), F.lit(1).alias("side"))))
+    spread = (tiled.select("key", "band", "id", F.xxhash64("part").alias("part"), F.explode(sides).alias("s")).select("key", "band", "id", "part", "s.*")
+              .join(reps.select("id", "bands", F.array(*[F.col(f"sig.{c}") for c in SIG]).alias("sig")).join(sets, "id"), "id"))
+    more = spread.groupBy("key", "i", "j").applyInArrow(lambda t: _block(t, percent), f"a {kind}, b {kind}")
+    more = cut(more.distinct())
+    if more.limit(1).count():
+        parts = components(links.unionByName(more))
+    classes = (same.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+               .select("c1", "c2", "n_shingles", F.coalesce("component", "doc_id").alias("__part")))
+    found = sigs.select("doc_id", "n_shingles", "c1", "c2").join(classes, ["c1", "c2", "n_shingles"], "left")
     part = F.when(F.col("doc_id").isNotNull(), F.coalesce("__part", "doc_id"))
     return found.select("doc_id", "n_shingles", part.alias("component_id"), F.coalesce(F.col("doc_id") == part, F.lit(True)).alias("kept"))
 

@@ -102,8 +102,8 @@ def test_near_duplicates_against_brute_force(spark, texts):
 
 
 def test_near_duplicates_in_wide_buckets(spark, monkeypatch):
-    """Many texts around a few centres at similarities near the threshold, with buckets cut finer."""
-    monkeypatch.setattr(minhash, "WIDE", 3)
+    """Many texts around one centre at similarities near the threshold, with buckets cut into many tiles."""
+    monkeypatch.setattr(minhash, "TILE", 2_000)
     rng = np.random.default_rng(4)
     texts, n = {}, 0
     base = [f"w{i}" for i in range(120)]
