@@ -61,12 +61,18 @@ MUTATION_TYPES = (
     "alias_removed", "edge_created", "edge_updated", "edge_deprecated",
 )
 
-# (locale, display name) seeded on first load.
+# Fixed values: (locale, display name) seeded on first load.
 SEED_LOCALES = (
     ("en", "English"), ("vi", "Vietnamese"), ("fr", "French"), ("ja", "Japanese"), ("zh", "Chinese"),
 )
 
-# Section rules: (document type, section type, weight, heading words).
+# Fixed values: (name, slug, category) of the root concepts seeded on first load.
+SEED_ROOTS = (
+    ("Technology", "technology", "domain"), ("Business", "business", "domain"), ("Design", "design", "domain"),
+    ("Science", "science", "domain"), ("Languages", "languages", "domain"), ("Soft Skills", "soft-skills", "domain"),
+)
+
+# Fixed values. Section rules: (document type, section type, weight, heading words).
 SECTION_RULES = (
     ("jd", "requirements", 1.0, "requirements|qualifications"),
     ("jd", "responsibilities", 0.9, "responsibilities|duties"),
@@ -80,7 +86,7 @@ SECTION_RULES = (
     ("cv", "summary", 0.7, "summary|objective"),
 )
 
-# Allowed status changes of a skill.
+# Allowed status changes of a skill.
 TRANSITIONS = (
     ("candidate", "active"), ("active", "deprecated"), ("active", "merged"), ("deprecated", "active"),
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph import config
@@ -10,6 +10,7 @@ from lexigraph.functions.text import normalized_name
 from lexigraph.operators import cooccur, mutate, search
 from lexigraph.operators.mutate import Change, entries
 from lexigraph.operators.windows import assign_versions
+from lexigraph.plans.scale import cut
 
 
 def route_candidates(verdicts: DataFrame, auto_alias: bool = True) -> DataFrame:
@@ -49,34 +50,42 @@ def decide(queue: DataFrame, skills: DataFrame, aliases: DataFrame, edges: DataF
 
     Approve creates an active concept, edges from the suggested parents (predicted, weight 0.5) and an activation
     event; merge adds the name as an alias of the target; reject and defer only close or postpone the entry.
-    Decided entries, unknown ones and merges without a known target are rejected.
+    Decided entries, unknown ones and merges without a known target are rejected; of several decisions on one entry the
+    first (by decision, target and notes) counts. Suggested parents that are not active concepts come back in
+    ``extra["rejected_edges"]``.
     """
     info = queue.select("queue_id", F.col("status").alias("__st"), "candidate_name", "normalized_name",
                         "category_guess", "suggested_parents")
     targets = skills.filter("status = 'active'").select(F.col("id").alias("merge_target_id"), F.lit(True).alias("__ok"))
-    judged = decisions.join(info, "queue_id", "left").join(targets, "merge_target_id", "left")
+    nth = F.row_number().over(Window.partitionBy("queue_id").orderBy("decision", "merge_target_id", "notes"))
+    judged = decisions.withColumn("__nth", nth).join(info, "queue_id", "left").join(targets, "merge_target_id", "left")
     judged = judged.withColumn("reason", (
         F.when(F.col("__st").isNull(), "unknown entry").when(~F.col("__st").isin("pending", "deferred"), "already decided")
+        .when(F.col("__nth") > 1, "decided twice")
         .when((F.col("decision") == "merge") & F.col("__ok").isNull(), "unknown merge target")
-        .when(~F.col("decision").isin("approve", "reject", "merge", "defer"), "unknown decision")))
+        .when(~F.coalesce(F.col("decision").isin("approve", "reject", "merge", "defer"), F.lit(False)), "unknown decision")))
+    judged = cut(judged)
     good = judged.filter("reason is null")
     state = F.create_map(*[F.lit(x) for x in ("approve", "approved", "reject", "rejected", "merge", "merged",
                                               "defer", "deferred")])
-    done = good.select("queue_id", F.element_at(state, F.col("decision")).alias("__new"), "decision", "notes")
-    new_queue = queue.join(done, "queue_id", "left").withColumn("status", F.coalesce("__new", "status")).drop("__new")
     approved = good.filter("decision = 'approve'")
     made = mutate.create_skills(skills, aliases, approved.select(
         F.col("queue_id").alias("req_id"), F.col("candidate_name").alias("name"),
         F.lit(None).cast("string").alias("description"), F.col("category_guess").alias("category"),
         F.lit("llm_discovered").alias("source")), status="active")
-    born = made.extra["skills"].select(F.col("id").alias("skill_id"), F.col("canonical_name"))
-    parents = approved.select(F.trim("candidate_name").alias("canonical_name"), "normalized_name",
-                              "suggested_parents").join(born, "canonical_name")
-    new_edges = parents.select(F.explode("suggested_parents").alias("source_skill_id"),
-                               F.col("skill_id").alias("target_skill_id")).select(
+    born = made.extra["requested"].withColumnRenamed("req_id", "queue_id")
+    parents = approved.select("queue_id", "normalized_name", "suggested_parents").join(born, "queue_id")
+    asked = parents.select("queue_id", "skill_id", F.explode("suggested_parents").alias("parent_id")).distinct()
+    alive = skills.filter("status = 'active'").select(F.col("id").alias("parent_id"))
+    lost = asked.join(alive, "parent_id", "left_anti").select("queue_id", "parent_id", F.lit("unknown or retired parent").alias("reason"))
+    unmade = made.rejected.withColumnRenamed("req_id", "queue_id")
+    new_edges = asked.join(alive, "parent_id", "left_semi").select(
+        F.col("parent_id").alias("source_skill_id"), F.col("skill_id").alias("target_skill_id")).select(
         F.concat_ws("|", F.lit("parent_of"), "source_skill_id", "target_skill_id").alias("id"), "source_skill_id",
         "target_skill_id", F.lit("parent_of").alias("relationship_type"), F.lit(0.5).alias("confidence"),
         F.lit("active").alias("status"), F.lit("llm_predicted").alias("provenance"), F.lit(0.5).alias("weight"))
+    done = good.join(unmade.select("queue_id"), "queue_id", "left_anti").select("queue_id", F.element_at(state, F.col("decision")).alias("__new"), "decision", "notes")
+    new_queue = queue.join(done, "queue_id", "left").withColumn("status", F.coalesce("__new", "status")).drop("__new")
     merged = good.filter("decision = 'merge'").select(
         F.concat_ws("|", "merge_target_id", F.lit("en"), "candidate_name").alias("id"),
         F.col("merge_target_id").alias("skill_id"), F.col("candidate_name").alias("surface_form"),
@@ -86,8 +95,8 @@ def decide(queue: DataFrame, skills: DataFrame, aliases: DataFrame, edges: DataF
     return Change({"queue": new_queue, "skills": made.tables["skills"],
                    "aliases": made.tables["aliases"].unionByName(merged, allowMissingColumns=True),
                    "edges": edges.unionByName(new_edges, allowMissingColumns=True)}, log,
-                  judged.filter("reason is not null").select("queue_id", "reason"),
-                  {"edges": new_edges, "aliases": merged, "skills": made.extra["skills"],
+                  judged.filter("reason is not null").select("queue_id", "reason").unionByName(unmade.select("queue_id", "reason")),
+                  {"rejected_edges": lost, "edges": new_edges, "aliases": merged, "skills": made.extra["skills"],
                    "activations": parents.select("skill_id", "normalized_name")})
 
 

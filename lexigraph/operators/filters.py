@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph import config
-from lexigraph.plans.scale import top_k
+from lexigraph.plans.scale import broadcast_if_small, top_k
 
 
 def active(df: DataFrame, with_vector: bool = False) -> DataFrame:
@@ -92,7 +92,7 @@ def check_limits(docs: DataFrame, max_chars: int = config.MAX_TEXT_LENGTH,
         return docs.withColumn("reason", reason)
     full = (docs.groupBy(batch).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_batch)
             .select(batch, F.lit(True).alias("__full")))
-    return docs.join(full, batch, "left").withColumn("reason", reason.when(
+    return docs.join(broadcast_if_small(full), batch, "left").withColumn("reason", reason.when(
         F.col("__full"), "batch is too large")).drop("__full")
 
 

@@ -115,11 +115,17 @@ def log_metrics(log: DataFrame, by: list[str], exact: bool = True) -> DataFrame:
 
 
 def cost_alerts(log: DataFrame, factor: float = 1.2) -> DataFrame:
-    """Cost per day against the mean of the seven days before (one row per day)."""
+    """Cost per day against the mean of the seven calendar days before (one row per day).
+
+    A day without cost counts as zero; before the first week is over the mean is that of the days since the first.
+    """
     daily = log.groupBy(F.expr(DAY).alias("day")).agg(F.round(F.sum("cost"), 4).alias("cost"))
-    before = Window.orderBy("day").rowsBetween(-7, -1)
-    return daily.withColumn("mean_before", F.round(F.avg("cost").over(before), 4)).withColumn(
-        "alert", F.coalesce(F.col("cost") > F.col("mean_before") * factor, F.lit(False)))
+    daily = daily.withColumn("__n", F.datediff(F.to_date("day"), F.lit("1970-01-01").cast("date")))
+    before = Window.orderBy("__n").rangeBetween(-7, -1)
+    age = F.col("__n") - F.min("__n").over(Window.orderBy("__n").rangeBetween(Window.unboundedPreceding, 0))
+    mean = F.when(age > 0, F.coalesce(F.sum("cost").over(before), F.lit(0.0)) / F.least(age, F.lit(7)))
+    return daily.withColumn("mean_before", F.round(mean, 4)).withColumn(
+        "alert", F.coalesce(F.col("cost") > F.col("mean_before") * factor, F.lit(False))).drop("__n")
 
 
 def job_status(documents: DataFrame) -> DataFrame:

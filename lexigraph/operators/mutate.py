@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph import config
 from lexigraph.functions.text import external_id, sanitize
-from lexigraph.operators import cooccur, quality, windows
+from lexigraph.operators import cooccur, graph, quality, windows
 from lexigraph.plans.scale import cut
 
 
@@ -50,14 +50,15 @@ def record(changes: list[DataFrame], start: Column | int, actor: str = "system")
 def create_skills(skills: DataFrame, aliases: DataFrame, reqs: DataFrame, status: str = "candidate") -> Change:
     """M1: concepts from requests (req_id, name, description, category, source), each with a primary English alias."""
     named = reqs.withColumn("name", sanitize(F.col("name")))
-    reason = (F.when(F.length("name") < 1, "name is empty")
+    reason = (F.when(F.coalesce(F.length("name"), F.lit(0)) < 1, "name is empty")
               .when(F.length("name") > config.NAME_MAX_LENGTH, "name is too long")
               .when(F.length("description") > config.DESCRIPTION_MAX_LENGTH, "description is too long")
               .when(F.col("category").isNotNull() & ~F.col("category").isin(*config.CATEGORIES), "unknown category"))
     judged = named.withColumn("reason", reason)
     good = judged.filter("reason is null").withColumn("id", F.concat(F.lit("N:"), F.substring(
         F.sha2(F.concat_ws("|", F.col("req_id").cast("string"), "name"), 256), 1, 16)))
-    rows = windows.unique_slugs(good, skills.select("slug")).select(
+    slugged = windows.unique_slugs(good, skills.select("slug"))
+    rows = slugged.select(
         "id", external_id(F.col("id")).alias("external_id"), F.col("name").alias("canonical_name"), "slug",
         "description", F.lit(status).alias("status"), "category", F.col("slug").alias("path"),
         F.lit(1).alias("version"), "source")
@@ -69,7 +70,8 @@ def create_skills(skills: DataFrame, aliases: DataFrame, reqs: DataFrame, status
         entries(forms, "alias_added", "alias", "id", "surface_form", "locale"))
     return Change({"skills": skills.unionByName(rows, allowMissingColumns=True),
                    "aliases": aliases.unionByName(forms, allowMissingColumns=True)}, log,
-                  judged.filter("reason is not null").select("req_id", "reason"), {"skills": rows, "aliases": forms})
+                  judged.filter("reason is not null").select("req_id", "reason"),
+                  {"skills": rows, "aliases": forms, "requested": slugged.select("req_id", F.col("id").alias("skill_id"))})
 
 
 FIELDS = ("canonical_name", "description", "category", "status")
@@ -102,29 +104,48 @@ def update_skills(skills: DataFrame, aliases: DataFrame, reqs: DataFrame) -> Cha
 def apply_alias_ops(aliases: DataFrame, ops: DataFrame) -> Change:
     """M3: delete, update and add aliases, in that order.
 
-    ``ops(op_id, op, alias_id, skill_id, surface_form, locale, is_primary)``. A delete that would leave a concept
-    without a primary alias in a locale that has one is rejected. A new primary alias demotes the old one.
+    ``ops(op_id, op, alias_id, skill_id, surface_form, locale, is_primary)``. Deletes and updates that would leave a concept
+    without a primary alias in a locale that has one are rejected, as are unknown aliases, forms that are missing or too
+    long, and adds of an alias that is there already (of several equal adds the first is made). A new primary alias demotes
+    the old one.
     """
-    deletes = ops.filter("op = 'delete'").select("op_id", F.col("alias_id").alias("id"))
-    hit = aliases.join(deletes, "id")
     keys = ["skill_id", "locale"]
-    gone = hit.groupBy(*keys).agg(F.count_if(F.col("is_primary")).alias("__gone"))
+    change = ops.filter("op in ('delete', 'update')").select(
+        "op_id", "op", F.col("alias_id").alias("id"), F.col("surface_form").alias("__surface_form"), F.col("locale").alias("__locale"),
+        F.col("is_primary").alias("__is_primary"))
+    hit = aliases.join(change, "id")
+    moves = F.col("__locale").isNotNull() & (F.col("__locale") != F.col("locale"))
+    loses = F.col("is_primary") & ((F.col("op") == "delete") | moves | ~F.coalesce("__is_primary", F.lit(True)))
+    long = F.length("__surface_form") > config.ALIAS_MAX_LENGTH
+    # Adds first, for what they may bring: a primary alias of the same concept and locale.
+    wanted = ops.filter("op = 'add'").withColumn("id", F.concat_ws("|", "skill_id", "locale", "surface_form"))
+    wanted = (wanted.withColumn("__nth", F.row_number().over(Window.partitionBy("id").orderBy("op_id")))
+              .join(aliases.select("id", F.lit(True).alias("__there")), "id", "left"))
+    added_reason = (F.when(F.coalesce(F.length("surface_form"), F.lit(0)) < 1, "form is missing")
+                    .when(F.length("surface_form") > config.ALIAS_MAX_LENGTH, "form is too long")
+                    .when(F.col("__there") | (F.col("__nth") > 1), "alias exists"))
+    wanted = wanted.withColumn("reason", added_reason)
+    added = wanted.filter("reason is null").select(
+        "id", "skill_id", "surface_form", "locale", F.lit("curated").alias("source"), "is_primary", F.lit(2).alias("__order"))
+    counted = hit.withColumn("__loses", loses).groupBy(*keys).agg(F.count_if("__loses").alias("__gone"))
     have = (aliases.join(hit.select(*keys).distinct(), keys, "left_semi").groupBy(*keys)
             .agg(F.count_if(F.col("is_primary")).alias("__have")))
-    judged = hit.join(gone, keys).join(have, keys).withColumn(
-        "reason", F.when(F.col("is_primary") & (F.col("__have") <= F.col("__gone")), "last primary alias"))
-    removed = judged.filter("reason is null").select("id")
-    rejected = judged.filter("reason is not null").select("op_id", "reason").unionByName(
-        deletes.join(aliases.select("id"), "id", "left_anti").select("op_id", F.lit("unknown alias").alias("reason")))
+    gain = (added.select(*keys, "is_primary").unionByName(hit.filter("op = 'update' and __is_primary").select(
+        "skill_id", F.coalesce("__locale", "locale").alias("locale"), F.col("__is_primary").alias("is_primary")))
+        .filter("is_primary").groupBy(*keys).agg(F.count(F.lit(1)).alias("__gain")))
+    judged = (hit.join(counted, keys).join(have, keys).join(gain, keys, "left").withColumn(
+        "reason", F.when(long, "form is too long").when(
+            loses & (F.col("__have") <= F.col("__gone")) & ((F.col("op") == "delete") | F.col("__gain").isNull()), "last primary alias")))
+    good = judged.filter("reason is null")
+    removed = good.filter("op = 'delete'").select("id")
+    rejected = (judged.filter("reason is not null").select("op_id", "reason")
+                .unionByName(change.join(aliases.select("id"), "id", "left_anti").select("op_id", F.lit("unknown alias").alias("reason")))
+                .unionByName(wanted.filter("reason is not null").select("op_id", "reason")))
     left = aliases.join(removed, "id", "left_anti")
-    edits = ops.filter("op = 'update'").select(
-        F.col("alias_id").alias("id"), *[F.col(c).alias(f"__{c}") for c in ("surface_form", "locale", "is_primary")])
+    edits = good.filter("op = 'update'").select("id", *[f"__{c}" for c in ("surface_form", "locale", "is_primary")])
     edited = left.join(edits, "id", "left").withColumns({
         **{c: F.coalesce(f"__{c}", c) for c in ("surface_form", "locale", "is_primary")},
         "__order": F.col("__is_primary").isNotNull().cast("int")}).select(*aliases.columns, "__order")
-    added = ops.filter("op = 'add'").select(
-        F.concat_ws("|", "skill_id", "locale", "surface_form").alias("id"), "skill_id", "surface_form", "locale",
-        F.lit("curated").alias("source"), "is_primary", F.lit(2).alias("__order"))
     new = windows.enforce_primary(edited.unionByName(added, allowMissingColumns=True), F.col("__order").desc())
     log = entries(added, "alias_added", "alias", "id", "surface_form", "locale").unionByName(
         entries(removed, "alias_removed", "alias", "id"))
@@ -220,8 +241,15 @@ def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc:
     """M7: fold sources into survivors (``merges(source_id, target_id)``, one level).
 
     Ids are mapped in every table, then regrouped: self-loops go, the more certain of equivalent edges stays,
-    counts of pairs that become one are added, survivors keep their own primary aliases.
+    counts of pairs that become one are added, survivors keep their own primary aliases. A merge that would close a
+    cycle in the hierarchy is rejected.
     """
+    def mapped(df: DataFrame, *cols: str) -> DataFrame:
+        for c in cols:
+            df = df.join(to.select(F.col("s").alias(c), F.col("t").alias("__to")), c, "left").withColumn(
+                c, F.coalesce("__to", c)).drop("__to")
+        return df
+
     state = skills.select("id", "status")
     judged = (merges.join(state.withColumnsRenamed({"id": "source_id", "status": "__s"}), "source_id", "left")
               .join(state.withColumnsRenamed({"id": "target_id", "status": "__t"}), "target_id", "left")
@@ -233,13 +261,18 @@ def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc:
         .when(F.col("__s").isNull() | F.col("__t").isNull(), "unknown concept")
         .when((F.col("__s") != "active") | (F.col("__t") != "active"), "not active")
         .when(F.col("__chain"), "survivor is merged too").when(F.col("__n") > 1, "merged twice")))
+    judged = cut(judged)
     to = cut(judged.filter("reason is null").select(F.col("source_id").alias("s"), F.col("target_id").alias("t")))
-
-    def mapped(df: DataFrame, *cols: str) -> DataFrame:
-        for c in cols:
-            df = df.join(to.select(F.col("s").alias(c), F.col("t").alias("__to")), c, "left").withColumn(
-                c, F.coalesce("__to", c)).drop("__to")
-        return df
+    old = cut(graph.cycles(edges).select("node"))
+    while True:  # without the merges that close a cycle the rest may still close another
+        looped = graph.cycles(mapped(edges, "source_skill_id", "target_skill_id").filter("source_skill_id <> target_skill_id"))
+        fresh = looped.join(old, "node", "left_anti").select(F.col("node").alias("t"))
+        bad = cut(to.join(fresh, "t", "left_semi").select("s"))
+        if bad.isEmpty():
+            break
+        to = cut(to.join(bad, "s", "left_anti"))
+        judged = judged.join(bad.select(F.col("s").alias("source_id"), F.lit(True).alias("__cycle")), "source_id", "left").withColumn(
+            "reason", F.coalesce("reason", F.when(F.col("__cycle"), "closes a cycle"))).drop("__cycle")
 
     new_skills = skills.join(to.select(F.col("s").alias("id"), F.lit(True).alias("__m")), "id", "left").withColumn(
         "status", F.when(F.col("__m"), "merged").otherwise(F.col("status"))).select(*skills.columns)
@@ -263,6 +296,9 @@ def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc:
         entries(edges.join(to.select(F.col("s").alias("source_skill_id")), "source_skill_id", "left_semi").unionByName(
             edges.join(to.select(F.col("s").alias("target_skill_id")), "target_skill_id", "left_semi")).distinct(),
             "edge_updated", "edge", "id", "source_skill_id", "target_skill_id"))
+    taken = aliases.join(to.select(F.col("s").alias("skill_id"), F.col("t").alias("survivor")), "skill_id")
+    log = (log.unionByName(entries(taken, "alias_removed", "alias", "id", "skill_id"))
+           .unionByName(entries(taken, "alias_added", "alias", "id", F.col("survivor").alias("skill_id"))))
     return Change({"skills": new_skills, "aliases": _remap_aliases(aliases, to),
                    "edges": moved.unionByName(links, allowMissingColumns=True), "co_occurrences": counts}, log,
                   judged.filter("reason is not null").select("source_id", "target_id", "reason"))

@@ -39,8 +39,10 @@ def audit_constraints(skills: DataFrame, aliases: DataFrame, edges: DataFrame,
         _hits(skills, "skills", "canonical_name missing", F.col("canonical_name").isNull()),
         _hits(skills, "skills", "path missing", F.col("path").isNull()),
         _repeated(skills, "skills", "id repeated", ["id"]),
-        _repeated(skills, "skills", "external_id repeated", ["external_id"]),
-        _repeated(skills, "skills", "slug repeated", ["slug"]),
+        _hits(skills, "skills", "external_id missing", F.col("external_id").isNull()),
+        _hits(skills, "skills", "slug missing", F.col("slug").isNull()),
+        _repeated(skills.filter("external_id is not null"), "skills", "external_id repeated", ["external_id"]),
+        _repeated(skills.filter("slug is not null"), "skills", "slug repeated", ["slug"]),
         _hits(aliases, "aliases", "source", outside("source", config.ALIAS_SOURCES)),
         _hits(aliases, "aliases", "surface_form missing", F.col("surface_form").isNull()),
         missing(aliases, "aliases", "skill_id"),

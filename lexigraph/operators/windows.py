@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph import config
 from lexigraph.functions.text import slug
-from lexigraph.plans.scale import pick_first
+from lexigraph.plans.scale import cut, pick_first
 
 
 def enforce_primary(aliases: DataFrame, newest: Column | None = None) -> DataFrame:
@@ -20,13 +20,36 @@ def enforce_primary(aliases: DataFrame, newest: Column | None = None) -> DataFra
 
 
 def unique_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Slugs for new names; the second use of a slug gets -2, the third -3, counting those in use.
+    """Slugs for new names (id, name); the second use of a slug gets -2, the third -3, counting those in use.
+
+    A numbered slug may be another name's own, or equal another after cutting to length; such rows go another round, against
+    all slugs given out so far. A name without a Latin letter or digit gets a slug from its id.
+    """
+    own = F.concat(F.lit("skill-"), F.left(F.sha2("id", 256), F.lit(12)))
+    left = new.withColumn("base", F.coalesce(F.nullif(slug(F.col("name")), F.lit("")), own))
+    taken, done = existing.select("slug"), None
+    while True:
+        given = cut(_numbered(left, taken))
+        first = Window.partitionBy("slug").orderBy("id")
+        clash = (given.withColumn("__nth", F.row_number().over(first))
+                 .join(taken.filter("slug is not null").distinct().withColumn("__there", F.lit(True)), "slug", "left"))
+        again = F.coalesce("__there", F.lit(False)) | (F.col("__nth") > 1)
+        fine = clash.filter(~again).drop("__nth", "__there", "base")
+        done = fine if done is None else done.unionByName(fine)
+        left = cut(clash.filter(again).drop("__nth", "__there", "slug"))
+        if left.isEmpty():
+            return done.select(*new.columns, "slug") if "slug" not in new.columns else done
+        taken = taken.unionByName(fine.select("slug"))
+
+
+def _numbered(based: DataFrame, existing: DataFrame) -> DataFrame:
+    """Adds ``slug`` to rows (id, base): the base, with a number from the second use on.
 
     Names are first numbered within hashed parts of their slug group, then the parts are offset by the sizes of
     those before them, so a slug that a third of all names share is not numbered in one task.
     """
     parts = 64
-    based = new.withColumn("base", slug(F.col("name"))).withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    based = based.withColumn("__p", F.pmod(F.xxhash64("id"), F.lit(parts)))
     nth = F.row_number().over(Window.partitionBy("base", "__p").orderBy("id"))
     sizes = based.groupBy("base", "__p").agg(F.count(F.lit(1)).alias("n"))
     start = F.coalesce(F.sum("n").over(Window.partitionBy("base").orderBy("__p").rowsBetween(
@@ -41,7 +64,7 @@ def unique_slugs(new: DataFrame, existing: DataFrame) -> DataFrame:
     no = F.col("__n") + F.col("__start") + F.coalesce("__used", F.lit(0))
     end = F.when(no > 1, F.concat(F.lit("-"), no.cast("string"))).otherwise("")
     room = F.lit(config.SLUG_MAX_LENGTH) - F.length(end)
-    return numbered.withColumn("slug", F.concat(F.left("base", room), end)).drop("base", "__p", "__n", "__start", "__used")
+    return numbered.withColumn("slug", F.concat(F.left("base", room), end)).drop("__p", "__n", "__start", "__used")
 
 
 def queue_list(queue: DataFrame, status: str = "pending", category: str | None = None,
@@ -57,9 +80,10 @@ def queue_list(queue: DataFrame, status: str = "pending", category: str | None =
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:
-    """Of equivalent edges the one with the higher confidence stays."""
+    """Of equivalent edges an active one stays before any other, then the one with the higher confidence."""
+    live = [(F.col("status") == "active").desc()] if "status" in edges.columns else []
     return pick_first(edges, ["source_skill_id", "target_skill_id", "relationship_type"],
-                      [F.col("confidence").desc(), F.col("id")])
+                      [*live, F.col("confidence").desc(), F.col("id")])
 
 
 def assign_versions(batch: DataFrame, start: Column | int, order: tuple[str, ...] = ("ts", "entity_id", "mutation_type"),
@@ -69,8 +93,6 @@ def assign_versions(batch: DataFrame, start: Column | int, order: tuple[str, ...
     The batch is range-partitioned by the order, numbered within each partition, and every partition is offset
     by the sizes of those before it: no single task sees the whole batch.
     """
-    from lexigraph.plans.scale import cut
-
     ranged = cut(batch.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()))
     sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -14,14 +14,16 @@ from lexigraph.sources import exchange, tables
 
 def _tables(d) -> tables.Tables:
     return {"skills": d.skills(), "aliases": d.aliases(), "edges": d.edges(), "co_occurrences": d.cooccurrence(),
-            "locales": d.locales(), "changelog": d.changelog(), "queue": d.queue()}
+            "locales": d.locales(), "changelog": d.changelog().drop("value"), "queue": d.queue(),
+            "extraction_logs": d.logs().drop("log_id")}
 
 
 _COUNTS = """
 SELECT 'skills' AS "table", count(*) AS rows FROM fx_skills UNION ALL SELECT 'aliases', count(*) FROM fx_aliases
 UNION ALL SELECT 'edges', count(*) FROM fx_edges UNION ALL SELECT 'co_occurrences', count(*) FROM fx_cooccurrence
 UNION ALL SELECT 'locales', count(*) FROM fx_locales UNION ALL SELECT 'changelog', count(*) FROM fx_changelog
-UNION ALL SELECT 'queue', count(*) FROM fx_queue"""
+UNION ALL SELECT 'queue', count(*) FROM fx_queue
+UNION ALL SELECT 'extraction_logs', count(DISTINCT log_id) FROM fx_logs"""
 
 
 def _saved(d):
@@ -42,7 +44,7 @@ def _(d):
 
 @query("s7_restore_round_trip", """
 SELECT t AS "table", s AS side, 0::BIGINT AS rows FROM (SELECT unnest(['skills', 'aliases', 'edges', 'co_occurrences',
-  'locales', 'changelog', 'queue']) AS t), (SELECT unnest(['left', 'right']) AS s)""")
+  'locales', 'changelog', 'queue', 'extraction_logs']) AS t), (SELECT unnest(['left', 'right']) AS s)""")
 def _(d):
     return tables.round_trip(_tables(d), _saved(d))
 
@@ -71,6 +73,17 @@ def _(d):
     return again.select("slug", "canonical_name")
 
 
+@query("s2_seed_root_concepts", """
+SELECT slug, canonical_name, category FROM fx_skills UNION ALL SELECT slug, name, 'domain' FROM (VALUES ('technology', 'Technology'),
+  ('business', 'Business'), ('design', 'Design'), ('science', 'Science'), ('languages', 'Languages'), ('soft-skills', 'Soft Skills'))
+  AS r(slug, name) WHERE slug NOT IN (SELECT slug FROM fx_skills)""")
+def _(d):
+    roots = tables.seed_roots(d.spark)
+    _, once = tables.seed(d.locales(), d.skills(), tables.seed_locales(d.spark), roots)
+    _, twice = tables.seed(d.locales(), once, tables.seed_locales(d.spark), roots)
+    return twice.select("slug", "canonical_name", "category")
+
+
 @query("s4_read_documents", "SELECT doc_id::VARCHAR AS id, text, source AS source_type, lang FROM documents")
 def _(d):
     path = work_dir(d.spark, "documents")

@@ -137,12 +137,25 @@ def _(d):
 
 @query("a13_cost_alerts", """
 WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(cost), 4) AS cost FROM fx_log GROUP BY 1),
-m AS (SELECT *, round(avg(cost) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 4) AS mean_before FROM c)
+n AS (SELECT *, datediff('day', DATE '1970-01-01', day::DATE) AS n FROM c),
+m AS (SELECT day, cost, round(CASE WHEN n > min(n) OVER () THEN coalesce(sum(cost) OVER (ORDER BY n RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0)
+  / least(n - min(n) OVER (), 7) END, 4) AS mean_before FROM n)
 SELECT *, coalesce(cost > mean_before * 1.2, false) AS alert FROM m""")
 def _(d):
     return metrics.cost_alerts(d.log())
 
 
+@query("a13_cost_alerts_gaps", """
+WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(cost), 4) AS cost FROM fx_log WHERE day(ts) % 4 <> 0 GROUP BY 1),
+n AS (SELECT *, datediff('day', DATE '1970-01-01', day::DATE) AS n FROM c),
+m AS (SELECT day, cost, round(CASE WHEN n > min(n) OVER () THEN coalesce(sum(cost) OVER (ORDER BY n RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0)
+  / least(n - min(n) OVER (), 7) END, 4) AS mean_before FROM n)
+SELECT *, coalesce(cost > mean_before * 1.2, false) AS alert FROM m""")
+def _(d):
+    log = d.log()
+    return metrics.cost_alerts(log.withColumn("__d", F.expr(metrics.DAY)).filter("day(to_date(__d)) % 4 <> 0").drop("__d"))
+
+
 @query("a14_job_status", """
 WITH s AS (SELECT o_custkey AS job_id, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS completed,
   count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders GROUP BY 1)

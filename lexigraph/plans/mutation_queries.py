@@ -55,7 +55,7 @@ def _(d):
 @query("m2_aliases", _UPD + """
 SELECT id, CASE WHEN rid IS NOT NULL AND is_primary AND locale = 'en' THEN concat('renamed ', skill_id)
   ELSE surface_form END AS surface_form FROM fx_aliases
-LEFT JOIN r ON rid = skill_id AND rid IN (SELECT id FROM fx_skills)""")
+LEFT JOIN (SELECT rid FROM r JOIN fx_skills ON id = rid) ON rid = skill_id""")
 def _(d):
     return _update(d).tables["aliases"].select("id", "surface_form")
 
@@ -193,11 +193,11 @@ def _(d):
 
 @query("m7_edges", """
 WITH e AS (SELECT e.id, coalesce(a.target_id, source_skill_id) AS source_skill_id,
-  coalesce(b.target_id, target_skill_id) AS target_skill_id, relationship_type, confidence
+  coalesce(b.target_id, target_skill_id) AS target_skill_id, relationship_type, confidence, status
   FROM (SELECT * FROM fx_edges UNION ALL BY NAME SELECT * FROM fx_group_edges) e
   LEFT JOIN fx_merge_map a ON a.source_id = source_skill_id LEFT JOIN fx_merge_map b ON b.source_id = target_skill_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_skill_id, target_skill_id, relationship_type
-  ORDER BY confidence DESC, id) AS rn FROM e WHERE source_skill_id <> target_skill_id)
+  ORDER BY status = 'active' DESC, confidence DESC, id) AS rn FROM e WHERE source_skill_id <> target_skill_id)
 SELECT id, source_skill_id, target_skill_id, relationship_type, confidence FROM r WHERE rn = 1
 UNION ALL SELECT concat('superseded_by|', source_id, '|', target_id), source_id, target_id, 'superseded_by', 1.0
 FROM fx_merge_map""")
@@ -226,6 +226,27 @@ def _(d):
     return _merge(d).tables["aliases"].select("id", "skill_id", "is_primary")
 
 
+# Merges that close a cycle: a part into the group above its group's chain.
+def _closing(d):
+    e = d.raw("part").select(F.col("p_partkey").alias("k")).distinct().filter("k % 3 = 0").selectExpr("explode(array(0, 1)) AS i", "k").selectExpr(
+        "concat('E|', k, '|', i) AS id", "concat('P:', k + i) AS source_skill_id", "concat('P:', k + i + 1) AS target_skill_id",
+        "'parent_of' AS relationship_type", "1.0D AS confidence", "'active' AS status", "'human_curated' AS provenance", "1.0D AS weight")
+    ids = e.select(F.explode(F.array("source_skill_id", "target_skill_id")).alias("id")).distinct()
+    skills = ids.selectExpr("id", "id AS canonical_name", "'active' AS status")
+    k = d.raw("part").select(F.col("p_partkey").alias("k")).distinct().filter("k % 3 = 0")
+    merges = k.filter("k % 2 = 0").selectExpr("concat('P:', k + 2) AS source_id", "concat('P:', k) AS target_id").unionByName(
+        k.filter("k % 2 = 1").selectExpr("concat('P:', k + 1) AS source_id", "concat('P:', k) AS target_id"))
+    forms = d.aliases().limit(0)
+    return mutate.merge_skills(skills, forms, e, d.cooccurrence().limit(0), merges)
+
+
+@query("m7_rejects_cycles", """
+SELECT concat('P:', k + 2) AS source_id, concat('P:', k) AS target_id, 'closes a cycle' AS reason
+FROM (SELECT DISTINCT p_partkey AS k FROM part) WHERE k % 6 = 0""")
+def _(d):
+    return _closing(d).rejected
+
+
 @query("m9_check_transitions", """
 SELECT id, status AS old_status, CASE WHEN status <> 'active' THEN 'active' WHEN category = 'tool' THEN 'candidate'
   ELSE 'deprecated' END AS new_status FROM fx_skills

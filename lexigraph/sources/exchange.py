@@ -82,14 +82,19 @@ def extraction_log(results: DataFrame) -> DataFrame:
 
 
 def backfill_embeddings(df: DataFrame, cache: DataFrame, embed_fn: Callable[[list[str]], list[list[float]]],
-                        batch: int = config.EMBEDDING_BATCH_SIZE) -> tuple[DataFrame, DataFrame]:
+                        batch: int = config.EMBEDDING_BATCH_SIZE, now: Column | None = None,
+                        days: int = config.EMBEDDING_CACHE_DAYS) -> tuple[DataFrame, DataFrame]:
     """Fill missing vectors of ``df(id, text, embedding)`` from the cache or the outside function.
 
     Each distinct text is embedded once, in batches; returns the filled table and the new cache rows (key,
-    embedding). Store the new rows before reusing both outputs, else the function runs for each of them.
+    embedding). Store the new rows before reusing both outputs, else the function runs for each of them. A NULL text
+    keeps its NULL vector. Cached vectors older than ``days`` count as absent, if the cache has ``created_at``. Only the ids of
+    rows without a vector meet the cache; their texts travel once, to be embedded.
     """
+    if "created_at" in cache.columns and now is not None:
+        cache = cache.filter(F.col("created_at") > now - F.expr(f"interval {days} days"))
     keyed = df.withColumn("key", text_key(F.col("text")))
-    missing = keyed.filter("embedding is null").groupBy("key").agg(F.min("text").alias("text"))
+    missing = keyed.filter("embedding is null and text is not null").groupBy("key").agg(F.min("text").alias("text"))
     todo = missing.join(cache.select("key"), "key", "left_anti")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,10 @@ def load_taxonomy(spark: SparkSession, folder: str, names: tuple[str, ...] = tup
 
 
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Columns and types of the stored table; missing columns become NULL."""
+    """Columns and types of the stored table; missing columns become NULL, a column that it does not know is an error."""
+    unknown = set(df.columns) - set(SCHEMAS[name].names)
+    if unknown:
+        raise ValueError(f"{name} has no column {', '.join(sorted(unknown))}")
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                        for f in SCHEMAS[name].fields])
 
@@ -29,6 +32,13 @@ def seed(locales: DataFrame, skills: DataFrame, new_locales: DataFrame, new_root
     return (locales.unionByName(more, allowMissingColumns=True), skills.unionByName(roots, allowMissingColumns=True))
 
 
+def seed_roots(spark: SparkSession) -> DataFrame:
+    """The six root concepts of the first load, one per category."""
+    rows = spark.createDataFrame(list(config.SEED_ROOTS), "canonical_name string, slug string, category string")
+    return rows.select(F.concat(F.lit("R:"), "slug").alias("id"), "canonical_name", "slug", F.col("slug").alias("path"), "category",
+                       F.lit("active").alias("status"), F.lit("curator").alias("source"), F.lit(1).alias("version"))
+
+
 def seed_locales(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b, True) for a, b in config.SEED_LOCALES],
                                  "locale string, display_name string, is_active boolean")

@@ -152,3 +152,78 @@ def test_evaluation(spark):
     pred, gold = spark.createDataFrame([(1, "a"), (1, "b")], s), spark.createDataFrame([(1, "a"), (2, "c")], s)
     r = metrics.evaluate(pred, gold).first()
     assert (r.tp, r.fp, r.fn, r.precision, r.recall, r.f1, r.passed) == (1, 1, 1, 0.5, 0.5, 0.5, False)
+
+
+REQ = "req_id string, name string, description string, category string, source string"
+
+
+def test_no_request_is_lost(spark):
+    reqs = spark.createDataFrame([("1", "Web", None, "tool", "c"), ("2", "Web", None, "tool", "c"), ("3", "Web 2", None, "tool", "c"),
+                                  ("4", None, None, "tool", "c"), ("5", " ", None, "tool", "c"), ("6", "日本語", None, None, "c"),
+                                  ("7", "x" * 300, None, None, "c"), ("8", "Gadget", None, "nonsense", "c")], REQ)
+    none = spark.createDataFrame([], FULL)
+    out = mutate.create_skills(none, spark.createDataFrame([], ALIAS), reqs)
+    assert out.extra["skills"].count() + out.rejected.count() == 8
+    slugs = [r.slug for r in out.extra["skills"].collect()]
+    assert len(set(slugs)) == len(slugs) == 4 and {"web", "web-2"} < set(slugs) and all(slugs)
+    assert {r.req_id for r in out.rejected.collect()} == {"4", "5", "7", "8"}
+
+
+def test_slugs_are_unique_against_those_in_use(spark):
+    have = spark.createDataFrame([("web",), ("web-3",), (None,)], "slug string")
+    new = spark.createDataFrame([("a", "Web"), ("b", "Web 3"), ("c", "Web 4"), ("d", "Web")], "id string, name string")
+    got = [r.slug for r in windows.unique_slugs(new, have).collect()]
+    assert len(set(got)) == 4 and not {"web", "web-3"} & set(got)
+
+
+def test_alias_ops_keep_one_primary(spark):
+    al = spark.createDataFrame([("a1", "s", "one", "en", "curated", True), ("a2", "s", "two", "en", "curated", False),
+                                ("s|en|three", "s", "three", "en", "curated", False)], ALIAS)
+    ops = spark.createDataFrame(
+        [("1", "add", None, "s", "three", "en", False), ("2", "update", "a1", None, None, None, False), ("3", "update", "zz", None, "q", None, None),
+         ("4", "add", None, "s", "four", "en", False), ("5", "add", None, "s", "four", "en", False), ("6", "add", None, "s", None, "en", False)],
+        "op_id string, op string, alias_id string, skill_id string, surface_form string, locale string, is_primary boolean")
+    out = mutate.apply_alias_ops(al, ops)
+    assert rows(out.rejected, "op_id", "reason") == [("1", "alias exists"), ("2", "last primary alias"), ("3", "unknown alias"),
+                                                    ("5", "alias exists"), ("6", "form is missing")]
+    left = out.tables["aliases"].collect()
+    assert len(left) == len({r.id for r in left}) == 4 and sum(r.is_primary for r in left) == 1
+    # A new primary may take over in the same batch.
+    take = spark.createDataFrame([("1", "update", "a1", None, None, None, False), ("2", "update", "a2", None, None, None, True)], ops.schema)
+    out = mutate.apply_alias_ops(al, take)
+    assert out.rejected.count() == 0 and [r.id for r in out.tables["aliases"].collect() if r.is_primary] == ["a2"]
+
+
+def test_merge_that_closes_a_cycle(spark, make_edges, make_skills):
+    cooc = spark.createDataFrame([], "skill_a_id string, skill_b_id string, co_occurrence_count long, source_type_counts map<string,long>, "
+                                     "last_seen_at timestamp_ntz, created_at timestamp_ntz")
+    merges = spark.createDataFrame([("c", "a"), ("e", "d")], "source_id string, target_id string")
+    al = spark.createDataFrame([("x", "e", "eee", "en", "curated", True)], ALIAS)
+    out = mutate.merge_skills(make_skills(list("abcde")), al, make_edges([("a", "b"), ("b", "c"), ("a", "d"), ("a", "e")]), cooc, merges)
+    assert rows(out.rejected, "source_id", "reason") == [("c", "closes a cycle")]
+    assert {r.id: r.status for r in out.tables["skills"].collect()}["c"] == "active"
+    assert {"alias_removed", "alias_added"} <= {r.mutation_type for r in out.changelog.collect()}
+
+
+def test_decisions_are_applied_once(spark, make_skills, make_edges):
+    queue = spark.createDataFrame([("q1", "New  Tool", "new tool", "tool", 3, 0.5, [], ["p", "gone"], "pending"),
+                                   ("q2", "Other", "other", "tool", 3, 0.5, [], [], "pending"),
+                                   ("q3", None, "nameless", "tool", 3, 0.5, [], [], "pending")],
+                                  "queue_id string, candidate_name string, normalized_name string, category_guess string, signals_count long, "
+                                  "llm_score double, similar_existing array<string>, suggested_parents array<string>, status string")
+    skills = spark.createDataFrame([("p", "SK-p", "p", "p", None, "active", "tool", "p", 1, "curator")], FULL)
+    dec = spark.createDataFrame([("q1", "approve", None, "a"), ("q2", "approve", None, "b"), ("q2", "reject", None, "c"), ("q3", "approve", None, "d")],
+                                "queue_id string, decision string, merge_target_id string, notes string")
+    out = discovery.decide(queue, skills, spark.createDataFrame([], ALIAS), spark.createDataFrame([], EDGE), dec)
+    state = rows(out.tables["queue"], "queue_id", "status")
+    assert state == [("q1", "approved"), ("q2", "approved"), ("q3", "pending")]
+    assert rows(out.rejected, "queue_id", "reason") == [("q2", "decided twice"), ("q3", "name is empty")]
+    assert rows(out.extra["edges"], "source_skill_id") == [("p",)]
+    assert rows(out.extra["rejected_edges"], "parent_id") == [("gone",)] and out.extra["activations"].count() == 2
+
+
+def test_cost_means_follow_the_calendar(spark):
+    day = 86_400_000_000
+    log = spark.createDataFrame([(0, 7.0), (60 * day, 1.0), (61 * day, 2.0)], "ts_us long, cost double").withColumn("ts", F.timestamp_micros("ts_us"))
+    got = {r.day: (r.mean_before, r.alert) for r in metrics.cost_alerts(log).collect()}
+    assert got["1970-01-01"] == (None, False) and got["1970-03-02"] == (0.0, True) and got["1970-03-03"] == (round(1 / 7, 4), True)
