@@ -18,8 +18,8 @@ from lexigraph import config
 from lexigraph.plans.scale import fits, top_k
 
 DIGITS = 6
-# Vectors sent to every executor at most: rows times dimensions.
-BROADCAST_MAX_VALUES = 64_000_000
+# Vectors sent to every executor at most: rows times dimensions (64 MB).
+BROADCAST_MAX_VALUES = 8_000_000
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -51,21 +51,51 @@ def truncate(vector: Column, dims: int) -> Column:
     return F.when(square > 0, F.transform(head, lambda x: x.cast("double") / F.sqrt(square)))
 
 
-def _best(q_ids, q, ids, m, k, least, groups=None, group_of=None, exclude_self=False):
-    """Matches of a block of queries within a block of vectors: per query the best ``k`` at or above ``least``."""
-    sims = np.round(q @ m.T, DIGITS)
-    sims[np.isnan(sims)] = -np.inf
-    if exclude_self:
-        sims[np.asarray(q_ids, dtype=object)[:, None] == np.asarray(ids, dtype=object)[None, :]] = -np.inf
-    if groups is not None:
-        sims[np.asarray(groups, dtype=object)[:, None] != np.asarray(group_of, dtype=object)[None, :]] = -np.inf
-    floor = np.full((len(q), 1), -2.0 if least is None else least)
-    if k is not None and k < m.shape[0]:
-        kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
-        floor = np.maximum(floor, kth)
-    rows, cols = np.nonzero(sims >= floor)
-    return pd.DataFrame({"query_id": np.asarray(q_ids, dtype=object)[rows],
-                         "id": np.asarray(ids, dtype=object)[cols], "similarity": sims[rows, cols]})
+def _codes(values, known: np.ndarray) -> np.ndarray:
+    """Place of each value in the sorted array ``known``; -1 for others."""
+    values = np.asarray(values, dtype=object)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+class _Side:
+    """Vectors to compare with, in order of their ids; ids and groups are compared as numbers."""
+
+    def __init__(self, ids, m: np.ndarray, groups=None):
+        order = np.argsort(np.asarray(ids, dtype=object), kind="stable")
+        self.ids, self.m = np.asarray(ids, dtype=object)[order], m[order]
+        self.names = None if groups is None else np.unique(np.asarray(groups, dtype=object).astype(str))
+        self.groups = None if groups is None else _codes(np.asarray(groups, dtype=object)[order].astype(str).astype(object), self.names.astype(object))
+
+    def best(self, q_ids, q: np.ndarray, k, least, groups=None, exclude_self=False, later=False) -> pd.DataFrame:
+        """Per query the best ``k`` (ties by id) at or above ``least``; ``later``: only ids after the query's own."""
+        sims = np.round(q @ self.m.T, DIGITS)
+        sims[np.isnan(sims)] = -np.inf
+        if exclude_self or later:
+            own = np.searchsorted(self.ids, np.asarray(q_ids, dtype=object))
+            if later:
+                sims[np.arange(len(self.ids))[None, :] < own[:, None]] = -np.inf
+            mine = _codes(q_ids, self.ids)
+            for r in np.flatnonzero(mine >= 0):  # copies of one id stand side by side
+                c = mine[r]
+                while c < len(self.ids) and self.ids[c] == self.ids[mine[r]]:
+                    sims[r, c] = -np.inf
+                    c += 1
+        if groups is not None:
+            asked = _codes(np.asarray(groups, dtype=object).astype(str).astype(object), self.names.astype(object))
+            sims[asked[:, None] != self.groups[None, :]] = -np.inf
+        floor = np.full((len(q), 1), -2.0 if least is None else least)
+        if k is not None and k < len(self.ids):
+            kth = -np.partition(-sims, k - 1, axis=1)[:, k - 1:k]
+            floor = np.maximum(floor, kth)
+        rows, cols = np.nonzero(sims >= floor)
+        found = sims[rows, cols]
+        if k is not None and len(rows):
+            order = np.lexsort((cols, -found, rows))
+            rows, cols, found = rows[order], cols[order], found[order]
+            nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols, found = rows[nth < k], cols[nth < k], found[nth < k]
+        return pd.DataFrame({"query_id": np.asarray(q_ids, dtype=object)[rows], "id": self.ids[cols], "similarity": found})
 
 
 def _pair_blocks(queries: DataFrame, vectors: DataFrame, match, block_rows: int) -> DataFrame:
@@ -81,13 +111,14 @@ def _pair_blocks(queries: DataFrame, vectors: DataFrame, match, block_rows: int)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float | None = None,
-            same_group: bool = False, exclude_self: bool = False,
+            same_group: bool = False, exclude_self: bool = False, later: bool = False,
             block_rows: int = config.VECTOR_BLOCK_ROWS) -> DataFrame:
     """Best matches per query (query_id, id, similarity), exact.
 
     ``queries(query_id, embedding[, grp])`` against ``vectors(id, embedding[, grp])``: the best ``k`` if given,
     at or above ``least`` if given, within the same ``grp`` if asked. Vectors that fit a checked size are sent to
-    all executors and the queries are streamed past them without a shuffle; larger sets meet block by block.
+    all executors and the queries are streamed past them without a shuffle; larger sets meet block by block. Each block
+    returns ``k`` rows a query at most. With ``later`` a query meets only ids after its own (each pair once).
     """
     if k is None and least is None:
         raise ValueError("give k, least or both")
@@ -98,28 +129,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float
     if first is None:
         return q.select("query_id", F.lit("").alias("id"), F.lit(0.0).alias("similarity")).limit(0)
 
-    def run(ids, m, group_of, batch: pd.DataFrame) -> pd.DataFrame:
-        return _best(batch["query_id"].tolist(), _unit(_matrix(batch["embedding"])), ids, m, k, least,
-                     batch["grp"].tolist() if same_group else None, group_of, exclude_self)
+    def run(side: _Side, batch: pd.DataFrame) -> pd.DataFrame:
+        return side.best(batch["query_id"].tolist(), _unit(_matrix(batch["embedding"])), k, least,
+                         batch["grp"].tolist() if same_group else None, exclude_self, later)
+
+    def side_of(frame: pd.DataFrame) -> _Side:
+        return _Side(frame["id"].tolist(), _unit(_matrix(frame["embedding"])), frame["grp"].tolist() if same_group else None)
 
     def join_blocks(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
-        return run(right["id"].tolist(), _unit(_matrix(right["embedding"])),
-                   right["grp"].tolist() if same_group else None, left)
+        return run(side_of(right), left)
 
     if fits(v, BROADCAST_MAX_VALUES // max(1, first["n"])):
-        local = v.toPandas()
-        held = q.sparkSession.sparkContext.broadcast(
-            (local["id"].tolist(), _unit(_matrix(local["embedding"])),
-             local["grp"].tolist() if same_group else None))
+        held = q.sparkSession.sparkContext.broadcast(side_of(v.toPandas()))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, m, group_of = held.value
-            step = max(1, min(1024, 8_000_000 // max(1, len(ids))))
+            side = held.value
+            step = max(1, min(1024, 8_000_000 // max(1, len(side.ids))))
             for batch in batches:
                 for at in range(0, len(batch), step):
-                    yield run(ids, m, group_of, batch.iloc[at:at + step])
+                    yield run(side, batch.iloc[at:at + step])
 
         found = q.mapInPandas(scan, "query_id string, id string, similarity double")
     else:

@@ -102,10 +102,17 @@ def _windows(text: Column, start: Column, size: int, overlap: int, snap: bool) -
         firsts = F.when(F.size(words) > 0, F.sequence(F.lit(0), last, F.lit(step)))
         sizes = F.transform(words, lambda w: F.length(w))
         total = lambda a, frm, n: F.aggregate(F.slice(a, frm, n), F.lit(0), lambda x, y: x + y)
-        return let(sizes, lambda lens: F.transform(firsts, lambda at: let(
-            F.struct(total(lens, F.lit(1), at).alias("head"), end_of(words, at).alias("end")), lambda x: F.struct(
+        def heads(lens: Column) -> Column:
+            """Where each window starts: the sum of the words before it, carried on from window to window."""
+            at_ = lambda a, at: a["sum"] + F.when(at > 0, total(lens, at - step + 1, F.lit(step))).otherwise(0)
+            return F.aggregate(firsts, F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("all")),
+                               lambda a, at: F.struct(at_(a, at).alias("sum"), F.concat(a["all"], F.array(at_(a, at))).alias("all")),
+                               lambda a: a["all"])
+
+        return let(sizes, lambda lens: let(heads(lens), lambda head: F.transform(firsts, lambda at, i: let(
+            F.struct(F.get(head, i).alias("head"), end_of(words, at).alias("end")), lambda x: F.struct(
                 (start + x["head"]).alias("start_offset"),
-                (start + x["head"] + total(lens, at + 1, x["end"] - at)).alias("end_offset")))))
+                (start + x["head"] + total(lens, at + 1, x["end"] - at)).alias("end_offset"))))))
 
     none = F.expr("cast(array() as array<struct<start_offset:int,end_offset:int>>)")
     return F.coalesce(let(F.regexp_extract_all(text, F.lit(r"\S+\s*"), 0), windows), none)

@@ -84,7 +84,7 @@ def similar_pairs(vectors: DataFrame, high: float = config.RELATED_HIGH_SIMILARI
         F.col("rep").alias("skill_a_id"), F.col("id").alias("skill_b_id"), F.lit(1.0).alias("similarity"),
         F.lit("identical").alias("relation"))
     v = reps.select(F.col("rep").alias("id"), "embedding")
-    found = nearest(v.withColumnRenamed("id", "query_id"), v, None, low, exclude_self=True)
+    found = nearest(v.withColumnRenamed("id", "query_id"), v, None, low, exclude_self=True, later=True)
     s = F.col("similarity")
     pairs = found.filter("query_id < id").select(
         F.col("query_id").alias("skill_a_id"), F.col("id").alias("skill_b_id"), "similarity",

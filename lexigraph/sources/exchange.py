@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexigraph import config
 from lexigraph.functions.text import let, preview
-from lexigraph.plans.scale import nest_pages
+from lexigraph.plans.scale import broadcast_if_small, nest_pages
 from lexigraph.schemas import RESPONSE
 
 
@@ -71,7 +71,9 @@ def split_cached(chunks: DataFrame, cache: DataFrame, now: Column,
     """Chunks with a valid cached result and those without; ``cache(key, created_at, ...)``, keys unique."""
     valid = cache.filter(F.col("created_at") > now - F.expr(f"interval {days} days"))
     keyed = chunks.withColumn("key", result_key(F.col("text"), F.col("candidate_ids")))
-    return keyed.join(valid.drop("created_at"), "key"), keyed.join(valid.select("key"), "key", "left_anti")
+    # A cache of checked size goes to the chunks, so that their texts stay where they are.
+    return (keyed.join(broadcast_if_small(valid.drop("created_at")), "key"),
+            keyed.join(broadcast_if_small(valid.select("key")), "key", "left_anti"))
 
 
 def extraction_log(results: DataFrame) -> DataFrame:

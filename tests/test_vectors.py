@@ -85,3 +85,13 @@ def test_chunk_without_vector_uses_keywords(spark):
                                    "query_id string, text string, embedding array<float>")
     got = rows(search.candidates(chunks, skills, 5, skills), "query_id", "id")
     assert got == [("c1", "s1"), ("c1", "s2"), ("c2", "s2")]
+
+
+def test_equal_vectors_give_k_rows_a_block():
+    from lexigraph.functions.vectors import _Side
+
+    side = _Side([f"i{n:04d}" for n in range(2000)], np.ones((2000, 2)) / np.sqrt(2))
+    got = side.best(["i0003", "zz"], np.ones((2, 2)) / np.sqrt(2), 5, None, exclude_self=True)
+    assert got[got.query_id == "i0003"].id.tolist() == ["i0000", "i0001", "i0002", "i0004", "i0005"] and len(got) == 10
+    later = side.best(["i1997"], np.ones((1, 2)) / np.sqrt(2), None, 0.5, exclude_self=True, later=True)
+    assert later.id.tolist() == ["i1998", "i1999"]
