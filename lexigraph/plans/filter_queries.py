@@ -204,16 +204,16 @@ def _(d):
 
 
 @query("q3_duplicate_edges", """
-WITH p AS (SELECT DISTINCT concat('P:', l_partkey) AS s, concat('P:', l_partkey + l_linenumber) AS t,
-    l_linenumber AS n FROM lineitem),
+WITH p AS (SELECT DISTINCT concat('P:', l_partkey) AS s, concat('P:', l_partkey + l_linenumber) AS t
+  FROM lineitem),
 new AS (SELECT concat_ws('|', s, t, 'related_to', k) AS id, s, t
-  FROM p, (SELECT unnest(['a', 'b']) AS k) WHERE n <= 2)
+  FROM p, (SELECT unnest(['a', 'b']) AS k))
 SELECT id, CASE WHEN e.id IS NOT NULL THEN 'existing' WHEN rn > 1 THEN 'batch' END AS duplicate
 FROM (SELECT *, row_number() OVER (PARTITION BY s, t ORDER BY id) AS rn FROM new) n
 LEFT JOIN (SELECT source_skill_id, target_skill_id, min(id) FROM fx_edges WHERE relationship_type = 'related_to'
   GROUP BY 1, 2) e(s, t, id) ON e.s = n.s AND e.t = n.t""".replace("SELECT id, CASE", "SELECT n.id, CASE"))
 def _(d):
-    new = d.raw("lineitem").filter("l_linenumber <= 2").selectExpr(
+    new = d.raw("lineitem").selectExpr(
         "concat('P:', l_partkey) as source_skill_id", "concat('P:', l_partkey + l_linenumber) as target_skill_id",
         "'related_to' as relationship_type").distinct().withColumn("k", F.explode(F.array(F.lit("a"), F.lit("b"))))
     new = new.withColumn("id", F.concat_ws("|", *quality.EDGE_KEY, "k"))

@@ -137,17 +137,18 @@ def _(d):
         "id", F.col("cycle_path").isNotNull().alias("closes_cycle"))
 
 
-@query("g4_cycle_paths", """
-WITH e AS (SELECT concat('P:', p_partkey) AS s, concat('B:', p_brand) AS t, concat('BT:', p_brand, '/', p_type) AS g
-  FROM part)
-SELECT concat_ws('|', s, t) AS id, CASE WHEN EXISTS (SELECT 1 FROM fx_hierarchy h WHERE h.child_id = s AND h.parent_id = g)
-  THEN concat_ws(' > ', s, g, t) END AS cycle_path FROM e""")
+@query("g4_cycle_paths", "WITH " + _NEW_SQL.strip() + """,
+walk(id, node, goal, path) AS (SELECT id, source_skill_id, target_skill_id, [source_skill_id] FROM new
+  UNION ALL SELECT w.id, h.parent_id, w.goal, list_append(w.path, h.parent_id) FROM walk w
+  JOIN fx_hierarchy h ON h.child_id = w.node WHERE w.node <> w.goal)
+SELECT n.id, array_to_string(p.path, ' > ') AS cycle_path FROM new n LEFT JOIN (
+  SELECT id, path, row_number() OVER (PARTITION BY id ORDER BY len(path), path) AS rn FROM walk WHERE node = goal) p
+ON p.id = n.id AND p.rn = 1""")
 def _(d):
-    new = _new_edges(d).filter("source_skill_id like 'P:%' and target_skill_id like 'B:%'")
-    return graph.check_cycles(new, d.edges()).select("id", F.array_join("cycle_path", " > ").alias("cycle_path"))
+    return graph.check_cycles(_new_edges(d), d.edges()).select("id", F.array_join("cycle_path", " > ").alias("cycle_path"))
 
 
-@query("q8_validate_edges", _REACH + """,
+VALIDATED = _REACH + """,
 early AS (SELECT *, CASE WHEN source_skill_id = target_skill_id THEN 'self edge'
     WHEN EXISTS (SELECT 1 FROM fx_edges e WHERE e.source_skill_id = new.source_skill_id
       AND e.target_skill_id = new.target_skill_id AND relationship_type = 'parent_of') THEN 'duplicate edge'
@@ -155,9 +156,13 @@ early AS (SELECT *, CASE WHEN source_skill_id = target_skill_id THEN 'self edge'
   FROM new),
 links AS (SELECT parent_id AS s, child_id AS t FROM fx_hierarchy
   UNION SELECT source_skill_id, target_skill_id FROM early WHERE reason IS NULL),
-reach(a, b) AS (SELECT s, t FROM links UNION SELECT r.a, l.t FROM reach r JOIN links l ON l.s = r.b)
-SELECT id, coalesce(reason, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE a = target_skill_id AND b = source_skill_id)
-  THEN 'cycle within batch' END) AS reason FROM early""")
+reach(a, b) AS (SELECT s, t FROM links UNION SELECT r.a, l.t FROM reach r JOIN links l ON l.s = r.b),
+judged AS (SELECT id, source_skill_id, coalesce(reason, CASE WHEN EXISTS (SELECT 1 FROM reach WHERE a = target_skill_id
+  AND b = source_skill_id) THEN 'cycle within batch' END) AS reason FROM early)
+"""
+
+
+@query("q8_validate_edges", VALIDATED + "SELECT id, reason FROM judged")
 def _(d):
     return quality.validate_edges(_new_edges(d), d.edges()).select("id", "reason")
 

@@ -66,12 +66,12 @@ def _(d):
 @query("a9_match_coverage", """
 WITH x AS (SELECT (SELECT count(*) FROM fx_mentions) AS matched,
   (SELECT round(avg(confidence), 4) FROM fx_mentions) AS mean_confidence,
-  (SELECT count(*) FROM fx_logs WHERE normalized_form LIKE 'red%') AS unmatched),
+  (SELECT count(*) FROM fx_logs) AS unmatched),
 y AS (SELECT *, round(matched / (matched + unmatched), 6) AS coverage FROM x)
 SELECT *, coverage > 0.95 AS on_target, coverage < 0.8 AS coverage_alert, mean_confidence < 0.6 AS confidence_alert
 FROM y""")
 def _(d):
-    unknown = d.logs().select(F.explode("discovered_candidates").alias("c")).filter("c.normalized_form like 'red%'")
+    unknown = d.logs().select(F.explode("discovered_candidates").alias("c"))
     return metrics.match_coverage(d.mentions(), unknown)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.operators import mutate
 from lexigraph.plans.cooccur_queries import _FLAT, flat
-from lexigraph.plans.graph_queries import _NEW_SQL, _new_edges
+from lexigraph.plans.graph_queries import VALIDATED, _new_edges
 from lexigraph.plans.registry import query
 
 
@@ -99,14 +99,13 @@ def _(d):
 
 def _edge_reqs(d):
     kind = F.when(F.col("source_skill_id").startswith("T:"), "llm_predicted").otherwise("empirical")
-    return _new_edges(d).filter("source_skill_id like '%T:%'").drop("status").withColumns(
+    return _new_edges(d).drop("status").withColumns(
         {"confidence": F.lit(0.4), "provenance": kind})
 
 
-@query("m4_create_edges", f"""WITH {_NEW_SQL}
-SELECT id, CASE WHEN source_skill_id LIKE 'T:%' THEN 0.5 ELSE 0.4 END::DOUBLE AS weight, 'active' AS status FROM new
-WHERE source_skill_id LIKE '%T:%' AND NOT EXISTS (SELECT 1 FROM fx_edges e WHERE e.source_skill_id = new.source_skill_id
-  AND e.target_skill_id = new.target_skill_id AND relationship_type = 'parent_of')""")
+@query("m4_create_edges", VALIDATED + """
+SELECT id, CASE WHEN source_skill_id LIKE 'T:%' THEN 0.5 ELSE 0.4 END::DOUBLE AS weight, 'active' AS status FROM judged
+WHERE reason IS NULL""")
 def _(d):
     return mutate.create_edges(d.edges(), d.skills(), _edge_reqs(d)).extra["edges"].select("id", "weight", "status")
 
