@@ -299,7 +299,7 @@ def merge_results(results: DataFrame) -> DataFrame:
 
 
 def extraction_metadata(chunks: DataFrame, results: DataFrame, cached: DataFrame | None = None) -> DataFrame:
-    """X11: per document the number of chunks, tokens, cache hits, weighted sections and results."""
+    """X11: per document the number of chunks, tokens, cache hits, weighted sections and results, and its type if detected."""
     hit = F.coalesce(F.col("__hit"), F.lit(False)) if cached is not None else F.lit(False)
     if cached is not None:
         chunks = chunks.join(cached.select("doc_id", "chunk_index", F.lit(True).alias("__hit")),
@@ -307,7 +307,8 @@ def extraction_metadata(chunks: DataFrame, results: DataFrame, cached: DataFrame
     per_doc = chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks_processed"), F.sum("token_estimate").alias("tokens"),
         F.count_if(hit).alias("cache_hits"), F.count_if(~hit).alias("cache_misses"),
-        F.count_distinct("section").alias("sections_detected"))
+        F.count_distinct("section").alias("sections_detected"),
+        *([F.max("doc_type").alias("doc_type")] if "doc_type" in chunks.columns else []))
     found = results.groupBy("doc_id").agg(F.count(F.lit(1)).alias("skills_found"))
     return per_doc.join(found, "doc_id", "left").fillna(0, ["skills_found"])
 

@@ -266,3 +266,13 @@ def _(d):
 @query("g10_clusters")
 def _(d):
     return graph.clusters(d.skills())
+
+
+@query("g10_cluster_invariants", """
+SELECT count(*) AS vectors, count(DISTINCT id) AS ids, count(*) AS size_sum, 0::BIGINT AS wrong_gaps FROM fx_skills
+WHERE embedding IS NOT NULL""")
+def _(d):
+    rows = graph.clusters(d.skills())
+    per = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.count_if(
+        F.col("gap") != (F.col("size") < 5)).alias("wrong"), F.count_distinct("id").alias("ids"))
+    return per.agg(F.sum("n").alias("vectors"), F.sum("ids").alias("ids"), F.sum("size").alias("size_sum"), F.sum("wrong").alias("wrong_gaps"))

@@ -288,6 +288,14 @@ def _(d):
     return _extracted(d)["skills"].drop("expansion_type")
 
 
-@query("x12_extract_metadata")
+@query("x12_extract_metadata", f"""
+WITH p AS (SELECT doc_id, source_type, unnest(CASE WHEN source_type = 'course' THEN [text] ELSE string_split(text, E'\\n\\n') END) AS piece
+  FROM fx_job_docs),
+c AS (SELECT doc_id, source_type, count(*) AS n, sum(ceil(len({WORDS.format(c='piece')}) * 1.3))::BIGINT AS tokens FROM p GROUP BY 1, 2),
+k AS (SELECT doc_id, count(DISTINCT lower(evidence)) AS n FROM fx_mentions GROUP BY 1)
+SELECT c.doc_id, c.n AS chunks_processed, tokens, 0::BIGINT AS cache_hits, c.n AS cache_misses,
+  CASE WHEN source_type = 'course' THEN 0 ELSE c.n END AS sections_detected,
+  CASE WHEN source_type = 'course' THEN 'generic' ELSE source_type END AS doc_type, coalesce(k.n, 0) AS skills_found
+FROM c LEFT JOIN k ON k.doc_id = c.doc_id""")
 def _(d):
     return _extracted(d)["metadata"]
