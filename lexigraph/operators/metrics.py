@@ -139,20 +139,31 @@ def job_status(documents: DataFrame) -> DataFrame:
     return s.withColumn("progress_pct", F.round(ended * 100 / F.col("total"), 4)).withColumn("status", status)
 
 
-def rate_violations(log: DataFrame, limit: int, window_us: int = 60_000_000, per_bucket: int = 16) -> DataFrame:
-    """Calls above the limit within a sliding window, per key.
+def over_limit(limit: int | dict[str, int] | None, calls: str = "calls") -> Column:
+    """Whether a count is over the limit; with a dict by ``request_class`` (an unknown class has the lowest of them)."""
+    limit = config.RATE_LIMITS if limit is None else limit
+    if isinstance(limit, int):
+        return F.col(calls) > limit
+    table = F.create_map(*[F.lit(x) for pair in limit.items() for x in pair])
+    return F.col(calls) > F.coalesce(F.try_element_at(table, F.col("request_class")), F.lit(min(limit.values())))
+
+
+def rate_violations(log: DataFrame, limit: int | dict[str, int] | None = None, window_us: int = 60_000_000,
+                    per_bucket: int = 16) -> DataFrame:
+    """Calls above the limit within a sliding window, per key (and request class, if limits go by class).
 
     Time is cut into buckets of several windows and each call is also handed to the next bucket if it may count
     there, so the calls of one busy key are spread over its buckets instead of sorted in one task.
     """
+    keys = ["key"] if isinstance(limit, int) else ["key", "request_class"]
     width = window_us * per_bucket
     bucket = F.floor(F.col("ts_us") / F.lit(width)).cast("bigint")
     late = F.col("ts_us") >= (bucket + 1) * width - window_us
     spread = log.withColumn("__b", F.explode(F.when(late, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))))
-    w = Window.partitionBy("key", "__b").orderBy("ts_us").rangeBetween(-window_us, 0)
+    w = Window.partitionBy(*keys, "__b").orderBy("ts_us").rangeBetween(-window_us, 0)
     counted = spread.withColumn("calls", F.count(F.lit(1)).over(w))
     own = F.floor(F.col("ts_us") / F.lit(width)).cast("bigint") == F.col("__b")
-    return counted.filter(own & (F.col("calls") > limit)).drop("__b")
+    return counted.filter(own & over_limit(limit)).drop("__b")
 
 
 def discovery_summary(routed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.operators import metrics, quality
@@ -176,3 +177,23 @@ SELECT event_id, key, calls FROM (SELECT event_id, key, count(*) OVER (PARTITION
 @query("a15_rate_violations", RATE_SQL)
 def _(d):
     return metrics.rate_violations(d.log(), 3, 6 * 3_600_000_000).select("event_id", "key", "calls")
+
+
+# Small limits per request class, so that the sparse log has violations of each.
+RATES = {"read": 3, "extract": 1, "mutate": 2}
+
+
+def classed(log: DataFrame) -> DataFrame:
+    return log.withColumn("request_class", F.expr(
+        "CASE WHEN task IN ('view', 'click') THEN 'read' WHEN task = 'purchase' THEN 'mutate' ELSE 'extract' END"))
+
+
+@query("a15_rate_classes", """
+WITH c AS (SELECT *, CASE WHEN task IN ('view', 'click') THEN 'read' WHEN task = 'purchase' THEN 'mutate' ELSE 'extract' END AS request_class
+  FROM fx_log)
+SELECT event_id, key, request_class, calls FROM (SELECT event_id, key, request_class, count(*) OVER (PARTITION BY key, request_class ORDER BY ts_us
+  RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS calls FROM c)
+WHERE calls > CASE request_class WHEN 'read' THEN 3 WHEN 'mutate' THEN 2 ELSE 1 END""")
+def _(d):
+    return metrics.rate_violations(classed(d.log()), RATES, 6 * 3_600_000_000).select("event_id", "key", "request_class", "calls")
+

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.plans.cooccur_queries import _FLAT, flat
+from lexigraph.plans.metric_queries import RATES, classed
 from lexigraph.plans.registry import query
 from lexigraph.plans.scale import work_dir
 from lexigraph.plans.text_queries import _TAGS
@@ -27,6 +28,18 @@ def _spread(d: Derived, rows: DataFrame, files: int) -> DataFrame:
     return jobs.file_stream(d.spark, folder, rows.schema, files_per_batch=1)
 
 
+def _ordered(d: Derived, files: int = 3) -> DataFrame:
+    """The event table as a stream of several files that arrive one after another in event time."""
+    raw = d.raw("events")
+    first, last = raw.select(F.min(micros("ts")), F.max(micros("ts"))).first()
+    width = (last - first) // files + 1 if first is not None else 1
+    folder = work_dir(d.spark, "arrivals")
+    for i in range(files):
+        part = F.floor((micros("ts") - F.lit(first or 0)) / F.lit(width)) == i
+        raw.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.file_stream(d.spark, folder, raw.schema, files_per_batch=1)
+
+
 def _over(d: Derived, events: DataFrame) -> Derived:
     """Derived views whose event table is a stream."""
     s = Derived(d.spark, d.dir)
@@ -52,7 +65,7 @@ c AS (SELECT normalized_form, session, count(*) // 5 AS n FROM s GROUP BY 1, 2)
 SELECT normalized_form, sum(n)::BIGINT AS triggers FROM c GROUP BY 1 HAVING sum(n) > 0""")
 def _(d):
     path = work_dir(d.spark, "t2")
-    jobs.finish(jobs.stream_signals(_over(d, _events(d)).signals(), path, gap_us=43_200_000_000))
+    jobs.finish(jobs.stream_signals(_over(d, _ordered(d)).signals(), path, gap_us=43_200_000_000))
     return jobs.output(d.spark, path).groupBy("normalized_form").agg(F.sum("triggers").alias("triggers"))
 
 
@@ -91,7 +104,7 @@ def _(d):
 @query("t6_stream_changelog", "SELECT graph_version, mutation_type, entity_id FROM fx_changelog WHERE graph_version > 100")
 def _(d):
     path = work_dir(d.spark, "t6")
-    log = jobs.stream_changelog(_over(d, _events(d)).changelog(), 100)
+    log = jobs.stream_changelog(_over(d, _ordered(d)).changelog(), 100)
     jobs.finish(jobs.to_batches(log, path, lambda b: b))
     return jobs.output(d.spark, path).select("graph_version", "mutation_type", "entity_id")
 
@@ -138,13 +151,25 @@ WITH w AS (SELECT key, (ts_us // 3600000000 - i) * 3600000000 AS start_us FROM f
 SELECT key, start_us::BIGINT AS start_us, count(*) AS calls FROM w GROUP BY 1, 2 HAVING count(*) > 3""")
 def _(d):
     path = work_dir(d.spark, "t10")
-    jobs.finish(jobs.stream_rates(_over(d, _events(d)).log(), path, 3, "6 hours", "1 hour", "6 hours"))
+    jobs.finish(jobs.stream_rates(_over(d, _ordered(d)).log(), path, 3, "6 hours", "1 hour", "6 hours"))
     return jobs.read_latest(d.spark, path, ["key", "start_us"], "calls")
 
 
+@query("t10_stream_rate_classes", """
+WITH c AS (SELECT *, CASE WHEN task IN ('view', 'click') THEN 'read' WHEN task = 'purchase' THEN 'mutate' ELSE 'extract' END AS request_class
+  FROM fx_log),
+w AS (SELECT key, request_class, (ts_us // 3600000000 - i) * 3600000000 AS start_us FROM c, (SELECT unnest(generate_series(0, 5)) AS i))
+SELECT key, request_class, start_us::BIGINT AS start_us, count(*) AS calls FROM w GROUP BY ALL
+HAVING count(*) > CASE request_class WHEN 'read' THEN 3 WHEN 'mutate' THEN 2 ELSE 1 END""")
+def _(d):
+    path = work_dir(d.spark, "t10c")
+    jobs.finish(jobs.stream_rates(classed(_over(d, _ordered(d)).log()), path, RATES, "6 hours", "1 hour", "6 hours"))
+    return jobs.read_latest(d.spark, path, ["key", "request_class", "start_us"], "calls")
+
+
 @query("t11_stream_velocity", """
 SELECT normalized_form, strftime(ts, '%Y-%m-%d') AS day, count(*) AS mentions FROM fx_signals GROUP BY 1, 2""")
 def _(d):
     path = work_dir(d.spark, "t11")
-    jobs.finish(jobs.stream_velocity(_over(d, _events(d)).signals(), path))
+    jobs.finish(jobs.stream_velocity(_over(d, _ordered(d)).signals(), path))
     return jobs.read_latest(d.spark, path, ["normalized_form", "day"], "mentions")

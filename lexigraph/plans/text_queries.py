@@ -288,6 +288,15 @@ def _(d):
     return _extracted(d)["skills"].drop("expansion_type")
 
 
+# The batch job over the documents table itself (texts without headings, so every weight is 1).
+@query("x12_extract_texts", f"""WITH {_TAGS}
+SELECT DISTINCT doc_id, skill_id, 1.0::DOUBLE AS confidence FROM tags""")
+def _(d):
+    none = d.edges().limit(0)
+    out = extract.extract_documents(d.docs(), _forms(d), d.skills(), none, expand=False)
+    return out["skills"].select("doc_id", "skill_id", "confidence")
+
+
 @query("x12_extract_metadata", f"""
 WITH p AS (SELECT doc_id, source_type, unnest(CASE WHEN source_type = 'course' THEN [text] ELSE string_split(text, E'\\n\\n') END) AS piece
   FROM fx_job_docs),

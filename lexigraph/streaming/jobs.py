@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexigraph import config
-from lexigraph.operators import cooccur, extract, joins
+from lexigraph.operators import cooccur, extract, joins, metrics
 
 Batch = Callable[[DataFrame], DataFrame]
 
@@ -220,14 +220,15 @@ def stale_ids(cdc: DataFrame) -> DataFrame:
     return cdc.filter("entity_type = 'skill'").select(F.explode(ids).alias("id")).distinct()
 
 
-def stream_rates(log: DataFrame, path: str, limit: int, window: str = "1 minute", slide: str = "10 seconds",
-                 late: str = "1 minute", once: bool = True) -> StreamingQuery:
-    """Sliding windows in which a key is over the limit (counted per window before the shuffle)."""
+def stream_rates(log: DataFrame, path: str, limit: int | dict[str, int] | None = None, window: str = "1 minute",
+                 slide: str = "10 seconds", late: str = "1 minute", once: bool = True) -> StreamingQuery:
+    """Sliding windows in which a key is over the limit, by request class if limits go by class (counted before the shuffle)."""
+    keys = ["key"] if isinstance(limit, int) else ["key", "request_class"]
     counted = event_time(log).withWatermark("event_time", late).groupBy(
-        "key", F.window("event_time", window, slide).alias("w")).agg(
+        *keys, F.window("event_time", window, slide).alias("w")).agg(
         F.count(F.lit(1)).alias("calls"))
-    return to_batches(counted.select("key", F.unix_micros("w.start").alias("start_us"), "calls"), path,
-                      lambda b: b.filter(F.col("calls") > limit), once, mode="update")
+    return to_batches(counted.select(*keys, F.unix_micros("w.start").alias("start_us"), "calls"), path,
+                      lambda b: b.filter(metrics.over_limit(limit)), once, mode="update")
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
