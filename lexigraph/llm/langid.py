@@ -74,7 +74,8 @@ def learn(docs: DataFrame, sample: int = 8_000, smooth: float = 0.5) -> Model:
     rows = (docs.filter(~held_out()).filter("lang is not null and text is not null and doc_id is not null")
             .select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang"))
     chosen = rows.orderBy("h", "doc_id").limit(sample).select("doc_id", "lang").distinct()
-    rows = docs.filter("lang is not null").select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
+    # At most ``sample`` ids: texts stay where they are.
+    rows = docs.filter("lang is not null").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
