@@ -150,6 +150,40 @@ def _words(col: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
+def _slack(q: Column) -> Column:
+    """Typos allowed in a query: two a word of five letters or more, one a word of three or four, none in shorter ones."""
+    return F.aggregate(_words(q), F.lit(0), lambda n, w: n + F.when(F.length(w) >= 5, 2).when(F.length(w) >= 3, 1).otherwise(0))
+
+
+def typo_matches(queries: DataFrame, forms: DataFrame) -> DataFrame:
+    """Pairs (q, form) within the query's slack in edit distance; both inputs hold distinct strings. No pair is lost.
+
+    A query is cut into one piece more than it may have typos, so one piece stands unchanged in the form, moved by that many
+    places at most. Pieces are joined with the forms' substrings of the same length and place, then compared in full.
+    """
+    d, size = F.col("d"), F.length("q")
+    cut_at = lambda i: F.floor(i * F.col("n") / (d + 1)).cast("int")
+    q = queries.select("q", _slack(F.col("q")).alias("d"), size.alias("n")).filter("d > 0 and n > d")
+    piece = F.transform(F.sequence(F.lit(0), d), lambda i: F.struct(
+        cut_at(i).alias("at"), (cut_at(i + 1) - cut_at(i)).alias("size")))
+    flat = q.select("q", "d", "n", F.explode(piece).alias("p")).select("q", "d", "n", F.col("p.at").alias("at0"), F.col("p.size").alias("size"))
+    flat = flat.withColumn("piece", F.substring(F.col("q"), F.col("at0") + 1, F.col("size")))
+    sizes = sorted(r["size"] for r in flat.select("size").distinct().collect())  # no more than the longest query has letters
+    if not sizes:
+        return queries.select("q", F.col("q").alias("form")).limit(0)
+    moved = flat.select("q", "d", "n", "piece", F.explode(F.sequence(F.greatest(F.col("at0") - d, F.lit(0)), F.col("at0") + d)).alias("at"))
+    none = F.expr("cast(array() as array<struct<at:int,piece:string>>)")
+
+    def spots(m: int) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.length("form") - m), lambda i: F.struct(
+            i.alias("at"), F.substring(F.col("form"), i + 1, F.lit(m)).alias("piece")))
+        return F.when(F.length("form") >= m, found).otherwise(none)
+
+    parts = forms.select("form", F.explode(F.flatten(F.array(*[spots(m) for m in sizes]))).alias("s")).select("form", "s.at", "s.piece")
+    near = moved.join(parts, ["piece", "at"]).filter(F.abs(F.length("form") - F.col("n")) <= d).select("q", "d", "form").distinct()
+    return near.filter(F.levenshtein("q", "form") <= d).select("q", "form")
+
+
 def highlight(name: Column, q: Column) -> Column:
     """The name with the first place where it holds the query marked."""
     at = F.instr(F.lower(name), q)
@@ -163,7 +197,7 @@ def keyword_search(queries: DataFrame, skills: DataFrame, aliases: DataFrame, li
                    category: str | None = None, status: str = "active") -> DataFrame:
     """Exact, prefix, typo-tolerant and description hits per query, best tier first, id breaks ties.
 
-    Every kind of hit is an equi-join: on the form, on the exploded prefixes, on the rarest shared trigrams, on
+    Every kind of hit is an equi-join: on the form, on the exploded prefixes, on pieces that a typo leaves whole, on
     the rarest query word in descriptions.
     """
     docs = skills.filter(F.col("status") == status)
@@ -187,10 +221,7 @@ def keyword_search(queries: DataFrame, skills: DataFrame, aliases: DataFrame, li
         "form", F.explode(F.array_distinct(heads)).alias("q"))
     all_forms = alias_forms.unionByName(names).distinct()
     prefix = hit(q.join(prefixes, "q").join(all_forms, "form"), "prefix")
-    slack = 2 * F.size(_words(F.col("q")))
-    close = trigram_matches(q, all_forms.select("form").distinct()).filter(
-        F.levenshtein("q", "form") <= slack)
-    typo = hit(close.join(all_forms, "form"), "typo")
+    typo = hit(typo_matches(q, all_forms.select("form").distinct()).join(all_forms, "form"), "typo")
     text = docs.filter("description is not null").select("id", _words(F.col("description")).alias("words"))
     said = text.select("id", F.explode("words").alias("w"))
     freq = said.groupBy("w").agg(F.count(F.lit(1)).alias("df"))

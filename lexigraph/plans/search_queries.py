@@ -174,7 +174,7 @@ def _(d):
 
 
 _KEYWORD = f"""
-{_Q}, {_FORMS}, {_TRI},
+{_Q}, {_FORMS},
 docs AS (SELECT * FROM fx_skills WHERE status = 'active'),
 wq AS (SELECT q, list_distinct(list_filter(regexp_split_to_array(q, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))
   AS words FROM q),
@@ -183,8 +183,8 @@ hits AS (
   UNION ALL SELECT q, id, 4 FROM q JOIN forms ON form = q
   UNION ALL SELECT q, id, 3 FROM q JOIN forms ON starts_with(form, q) OR len(list_filter(
     regexp_split_to_array(form, '[^\\p{{L}}\\p{{N}}]+'), lambda w: starts_with(w, q))) > 0
-  UNION ALL SELECT q, id, 2 FROM tri JOIN forms USING (form) JOIN wq USING (q)
-    WHERE similarity >= 0.3 AND levenshtein(q, form) <= 2 * len(words)
+  UNION ALL SELECT q, id, 2 FROM wq JOIN forms ON levenshtein(q, form) <= list_sum(list_transform(words, lambda w:
+    CASE WHEN length(w) >= 5 THEN 2 WHEN length(w) >= 3 THEN 1 ELSE 0 END))
   UNION ALL SELECT q, id, 1 FROM wq JOIN docs ON description IS NOT NULL AND len(list_intersect(words,
     regexp_split_to_array(lower(description), '[^\\p{{L}}\\p{{N}}]+'))) = len(words)),
 best AS (SELECT q, id, max(score) AS score FROM hits GROUP BY 1, 2),

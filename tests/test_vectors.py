@@ -95,3 +95,21 @@ def test_equal_vectors_give_k_rows_a_block():
     assert got[got.query_id == "i0003"].id.tolist() == ["i0000", "i0001", "i0002", "i0004", "i0005"] and len(got) == 10
     later = side.best(["i1997"], np.ones((1, 2)) / np.sqrt(2), None, 0.5, exclude_self=True, later=True)
     assert later.id.tolist() == ["i1998", "i1999"]
+
+
+def test_typos_match_brute_force(spark):
+    words = ["python", "pyton", "javascript", "machine learning", "mahcine lerning", "c", "go", "rust", "rest", "docker", "dokcer", "sql"]
+    q = spark.createDataFrame([(w,) for w in (*words, "pyhton", "machne learnin")], "q string")
+    forms = spark.createDataFrame([(w,) for w in words], "form string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    slack = lambda s: sum(2 if len(w) >= 5 else 1 if len(w) >= 3 else 0 for w in s.split())
+    want = sorted((a, b) for a in (*words, "pyhton", "machne learnin") for b in words if slack(a) and distance(a, b) <= slack(a))
+    assert rows(search.typo_matches(q, forms), "q", "form") == want and ("pyhton", "python") in want
