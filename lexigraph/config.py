@@ -56,6 +56,7 @@ ALIAS_SOURCES = ("curated", "llm_discovered", "user_submitted")
 EDGE_TYPES = ("parent_of", "child_of", "related_to", "requires", "superseded_by")
 PROVENANCES = ("human_curated", "llm_predicted", "embedding_similarity", "empirical")
 EDGE_STATUSES = ("active", "pending_review", "rejected", "deprecated")
+QUEUE_STATUSES = ("pending", "approved", "rejected", "merged", "deferred")
 MUTATION_TYPES = (
     "skill_created", "skill_updated", "skill_deprecated", "skill_merged", "alias_added",
     "alias_removed", "edge_created", "edge_updated", "edge_deprecated",

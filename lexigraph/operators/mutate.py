@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigraph import config
 from lexigraph.functions.text import external_id, sanitize
-from lexigraph.operators import cooccur, graph, quality, windows
+from lexigraph.operators import graph, quality, windows
 from lexigraph.plans.scale import cut
 
 

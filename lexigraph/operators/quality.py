@@ -21,8 +21,12 @@ def _repeated(df: DataFrame, table: str, rule: str, cols: list[str]) -> DataFram
 
 
 def audit_constraints(skills: DataFrame, aliases: DataFrame, edges: DataFrame,
-                      cooc: DataFrame | None = None) -> DataFrame:
-    """Q1: one row per broken CHECK, NOT NULL, UNIQUE, foreign-key or self-edge rule."""
+                      cooc: DataFrame | None = None, changelog: DataFrame | None = None,
+                      queue: DataFrame | None = None) -> DataFrame:
+    """Q1: one row per broken CHECK, NOT NULL, UNIQUE, foreign-key or self-edge rule.
+
+    Changelog entries must have a known mutation type, queue entries a known status and one pending entry per name.
+    """
     def outside(col: str, allowed: tuple[str, ...]) -> Column:
         return F.col(col).isNotNull() & ~F.col(col).isin(*allowed)
 
@@ -63,6 +67,13 @@ def audit_constraints(skills: DataFrame, aliases: DataFrame, edges: DataFrame,
             _repeated(keyed, "co_occurrences", "pair repeated", ["skill_a_id", "skill_b_id"]),
             missing(keyed, "co_occurrences", "skill_a_id"), missing(keyed, "co_occurrences", "skill_b_id"),
         ]
+    if changelog is not None:
+        log = changelog.withColumn("id", F.col("graph_version").cast("string"))
+        found.append(_hits(log, "changelog", "mutation_type", outside("mutation_type", config.MUTATION_TYPES)))
+    if queue is not None:
+        asked = queue.withColumn("id", F.col("queue_id"))
+        found += [_hits(asked, "queue", "status", outside("status", config.QUEUE_STATUSES)),
+                  _repeated(queue.filter("status = 'pending'"), "queue", "pending name repeated", ["normalized_name"])]
     out = found[0]
     for rows in found[1:]:
         out = out.unionByName(rows)

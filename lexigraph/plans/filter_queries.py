@@ -193,7 +193,7 @@ WITH ae AS ({_AUDIT_EDGES}), v AS (
   UNION ALL SELECT 'skills', 'slug repeated', slug FROM fx_skills GROUP BY slug HAVING count(*) > 1)
 SELECT tbl AS "table", rule, entity_id FROM v""")
 def _(d):
-    return quality.audit_constraints(d.skills(), d.aliases(), _audit_edges(d), d.cooccurrence())
+    return quality.audit_constraints(d.skills(), d.aliases(), _audit_edges(d), d.cooccurrence(), d.changelog(), d.queue())
 
 
 @query("q2_sanitize", """

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from conftest import EDGE, edge_rows, rows
+from conftest import EDGE, rows
 from lexigraph.operators import cooccur, discovery, metrics, mutate, windows
 from lexigraph.plans.scale import nest_pages, self_pairs
 
