@@ -17,26 +17,38 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+#: Labels that are sent to all tasks at most (a few MB), and rows of a link table a partition holds.
+FEW, ROWS = 100_000, 100_000
+
+
+def _packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """A stored table in as few partitions as its rows ask for, and how many rows it has."""
+    df = cut(df)
+    n = df.count()
+    return df.coalesce(max(1, -(-n // ROWS))), n
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` for every id in ``links``: the smallest id that can be reached.
 
     Each round every id takes the smallest label among its neighbours, then labels are followed twice as far (pointer
     jumping), so that the number of rounds follows the logarithm of a component's width. A neighbour's label is a
-    minimum, taken before the shuffle as well, so that one id with very many links is no hot key.
+    minimum, taken before the shuffle as well, so that one id with very many links is no hot key. Small label tables (of
+    a checked size) are sent to the tasks; the result is the same.
     """
-    both = cut(links.select(F.col(a).alias("u"), F.col(b).alias("v"))
-               .unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m"))
-                 .select(F.col("u").alias("id"), F.least("u", "m").alias("component")))
+    both, _ = _packed(links.select(F.col(a).alias("u"), F.col(b).alias("v"))
+                      .unionByName(links.select(F.col(b).alias("u"), F.col(a).alias("v"))).filter("u <> v").distinct())
+    labels, n = _packed(both.groupBy("u").agg(F.min("v").alias("m"))
+                        .select(F.col("u").alias("id"), F.least("u", "m").alias("component")))
+    sent = F.broadcast if n <= FEW else (lambda df: df)
     while True:
-        near = (both.join(labels.withColumnRenamed("id", "v"), "v")
+        near = (both.join(sent(labels.withColumnRenamed("id", "v")), "v")
                 .groupBy(F.col("u").alias("id")).agg(F.min("component").alias("near")))
         # The label of the old label's holder also learns of a smaller one.
-        hooked = (labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new")))
+        hooked = (labels.join(sent(near), "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("new")))
         roots = hooked.groupBy(F.col("old").alias("root")).agg(F.min("new").alias("best"))
-        step = (hooked.join(roots, F.col("new") == F.col("root"), "left")
-                .select("id", "old", F.least("new", F.coalesce("best", "new")).alias("component")))
-        step = cut(step)
+        step, _ = _packed(hooked.join(sent(roots), F.col("new") == F.col("root"), "left")
+                          .select("id", "old", F.least("new", F.coalesce("best", "new")).alias("component")))
         changed = step.filter("component < old").limit(1).count()
         labels = step.select("id", "component")
         if not changed:

@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     reps = same.select(F.col("doc_id").alias("id"), "n_shingles", "bands", F.struct(*SIG).alias("sig"))
     # Texts of one id that are in several classes are one document.
     several = known.groupBy("doc_id").agg(F.min("c1").alias("p"), F.max("c1").alias("q")).filter("p <> q").select("doc_id")
+    several = cut(several)
     joined = (known.join(several, "doc_id").join(same.select("c1", "c2", "n_shingles", F.col("doc_id").alias("rep")), ["c1", "c2", "n_shingles"])
               .select(F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).filter("a <> b"))
 
@@ -214,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     linked = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
               .join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
               .filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
-    links = cut(linked.unionByName(joined).distinct())
+    links = cut((linked.unionByName(joined) if several.limit(1).count() else linked).distinct())
     parts = components(links)
 
     # Buckets in which several components are left, in tiles.
