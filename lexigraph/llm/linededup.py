@@ -68,7 +68,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, list of (h1, h2, chunk)) -> the bytes of each chunk asked for."""
+    """(doc_id, text, list of (h1, h2, chunk, first)) -> the bytes of each chunk asked for."""
     for b in batches:
         for lo, hi, data, off in vec.slices(b.column(1)):
             (row, start, end, _, _), _ = chunks(data, off)
@@ -79,8 +79,8 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = first[mine] + flat.field(2).to_numpy()
             raw = data.tobytes()
             blob = pa.array([raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(mine)), flat.field(2), flat.field(0), flat.field(1), blob],
-                                             ["doc_id", "chunk", "h1", "h2", "bytes"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(mine)), flat.field(2), flat.field(0), flat.field(1), flat.field(3), blob],
+                                             ["doc_id", "chunk", "h1", "h2", "first", "bytes"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
@@ -91,19 +91,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     firsts = (rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "chunk")).alias("f"), F.count(F.lit(1)).alias("n"))
               .filter("n > 1").select("h1", "h2", F.col("f.doc_id").alias("fd"), F.col("f.chunk").alias("fc")))
     # Repeats and the places they repeat; each document is asked for its own once.
-    asked = rows.join(firsts, ["h1", "h2"])
-    lists = asked.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2", "chunk")).alias("want"))
-    found = known.join(lists, "doc_id").select("doc_id", "text", "want").mapInArrow(
-        _bytes, f"doc_id {kind}, chunk long, h1 long, h2 long, bytes binary").withColumn("digest", F.unhex(F.sha2("bytes", 256)))
-    return _compared(found, firsts)
-
-
-def _compared(found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Those of ``found`` whose bytes are those of their first place."""
-    found = cut(found)
-    origin = (found.join(firsts, ["h1", "h2"]).filter("doc_id = fd and chunk = fc")
-              .select("h1", "h2", "fd", "fc", F.col("bytes").alias("original")).dropDuplicates(["h1", "h2"]))
-    return (found.join(origin, ["h1", "h2"]).filter("(doc_id <> fd or chunk <> fc) and bytes = original")
+    asked = rows.join(firsts, ["h1", "h2"]).withColumn("first", (F.col("doc_id") == F.col("fd")) & (F.col("chunk") == F.col("fc")))
+    lists = asked.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2", "chunk", "first")).alias("want"))
+    found = cut(known.join(lists, "doc_id").select("doc_id", "text", "want").mapInArrow(
+        _bytes, f"doc_id {kind}, chunk long, h1 long, h2 long, first boolean, bytes binary"))
+    origin = found.filter("first").select("h1", "h2", F.col("bytes").alias("original")).dropDuplicates(["h1", "h2"])
+    return (found.filter("not first").join(origin, ["h1", "h2"]).filter("bytes = original")
             .select("doc_id", "chunk").distinct())
 
 
