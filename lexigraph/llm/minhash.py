@@ -35,6 +35,7 @@ K = BANDS * ROWS
 LANES = 32  # two-bit lanes in a long
 SIG = tuple(f"s{i}" for i in range(K // LANES))
 MARGIN = 0.2  # six standard deviations of the estimate at a similarity of 0.85
+STRIP = 256  # rows of a tile compared at once
 TILE = 400_000  # shingles on each side of a tile, about
 _rng = np.random.default_rng(5)
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * vec.U(2) + vec.U(1)
@@ -130,37 +131,39 @@ def _tile(left: dict, right: dict, same: bool, percent: int) -> list[tuple[int,
     """
     n, m = len(left["part"]), len(right["part"])
     odd = vec.U(0x5555555555555555)
-    differ = np.zeros((n, m), np.int16)
-    for k in range(len(SIG)):
-        x = left["sig"][:, k, None] ^ right["sig"][None, :, k]
-        differ += np.bitwise_count((x | (x >> vec.U(1))) & odd)
-    likely = 1 - (differ / K) / 0.75
-    wanted = (likely >= percent / 100 - MARGIN) & (left["part"][:, None] != right["part"][None, :])
-    if same:
-        wanted &= np.triu(np.ones((n, m), bool), 1)
-    for k in range(int(left["band"])):  # met in an earlier bucket
-        wanted &= left["bands"][:, k, None] != right["bands"][None, :, k]
-    i, j = np.nonzero(wanted)
-    order = np.argsort(-likely[i, j], kind="stable")
     up: dict[int, int] = {}
+    out = []
 
     def root(p):
         while p in up:
             p = up[p]
         return p
 
-    out = []
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        p, q = root(int(left["part"][a])), root(int(right["part"][b]))
-        if p == q:
-            continue
-        x, y = left["set"][a], right["set"][b]
-        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            continue
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            up[p] = q
-            out.append((a, b))
+    for lo in range(0, n, STRIP):  # bounds the memory of the comparison
+        rows = slice(lo, min(lo + STRIP, n))
+        differ = np.zeros((rows.stop - lo, m), np.int16)
+        for k in range(len(SIG)):
+            x = left["sig"][rows, k, None] ^ right["sig"][None, :, k]
+            differ += np.bitwise_count((x | (x >> vec.U(1))) & odd)
+        likely = 1 - (differ / np.float32(K)) / np.float32(0.75)
+        wanted = (likely >= percent / 100 - MARGIN) & (left["part"][rows, None] != right["part"][None, :])
+        if same:
+            wanted &= np.arange(m)[None, :] > np.arange(lo, rows.stop)[:, None]
+        for k in range(int(left["band"])):  # met in an earlier bucket
+            wanted &= left["bands"][rows, k, None] != right["bands"][None, :, k]
+        i, j = np.nonzero(wanted)
+        order = np.argsort(-likely[i, j], kind="stable")
+        for a, b in zip((i[order] + lo).tolist(), j[order].tolist(), strict=True):
+            p, q = root(int(left["part"][a])), root(int(right["part"][b]))
+            if p == q:
+                continue
+            x, y = left["set"][a], right["set"][b]
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                up[p] = q
+                out.append((a, b))
     return out
 
 
