@@ -1,9 +1,11 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication over windows of lines.
 
-A rolling hash over the hashes of ``SPAN`` lines in a row closes a chunk where it is a multiple of ``DIVISOR``, so that
-inserting or dropping a line moves boundaries near it only. A chunk with at least two lines that hold a word is removed where the
-same chunk stands earlier in the corpus (smaller id, or earlier in the document); its first place stays. Digests find the
-candidates; each is removed only after its bytes have been compared with those of the first place.
+A line is removed where it is part of a repeated passage: two or more lines in a row that hold a word, or one line of over
+``LONG`` words, that stand earlier in the corpus (smaller id, or earlier in the document) in the same bytes. A run of
+lines is repeated if each two neighbours in it are, so every window of two lines with a word (and the lines without one
+between them) is a candidate, and so is every long line. Windows are made of their own lines only: no line before or after a
+passage decides whether it is found. Digests find the candidates; each is removed only after its bytes have been
+compared with those of the first place. The first place of every line stays.
 
 Null text stays null, empty text empty. Rows with a null id stay as they are and are compared with nothing. Rows that share an id are
 one place: neither is earlier. Lines are cut at line feeds only. What remains is joined by line feeds.
@@ -23,68 +25,72 @@ from pyspark.sql import types as T
 from lexigraph.llm import vec
 from lexigraph.plans.scale import cut
 
-SPAN, DIVISOR = 2, 4
+LONG = 50  # a line of more words counts alone
 
 
-def chunks(data: np.ndarray, off: np.ndarray, span: int = SPAN, divisor: int = DIVISOR):
-    """Chunks of a slice: (row, start, end, lines, lines with a word), end without the closing line feed; and lines a row."""
-    rows = len(off) - 1
+def lines(data: np.ndarray, off: np.ndarray):
+    """Lines of a slice: row, start, end (without the line feed), words; and where each row's lines begin (one more)."""
     feed = np.flatnonzero(data == 10)
     full = np.flatnonzero(off[:-1] < off[1:])
     start = np.sort(np.concatenate((off[:-1][full], feed + 1)), kind="stable")
     # A line feed at a text's end opens an empty last line, which begins where the next text does.
     owner = np.searchsorted(off, feed, "right") - 1
     row = np.sort(np.concatenate((full, owner)))
-    end = np.empty(len(start), np.int64)
     last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
-    end[:] = np.where(last, off[row + 1], np.append(start[1:], 0) - 1)
-    h = vec.Prefix(data, vec.BASE1, vec.TABLE1).of(start, end)
-    words = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(vec.Words(data, off).inside, out=words[1:])
-    real = words[end] > words[start]
-    rolled = h.copy()
-    for k in range(1, span):
-        before = np.zeros(len(h), np.uint64)
-        before[k:] = np.where(row[k:] == row[:-k], h[:-k], vec.U(0))
-        rolled = rolled * vec.U(31) + before
-    closes = (vec.mix(rolled) % vec.U(divisor) == 0) | last
-    tail = np.flatnonzero(closes)
-    head = np.append(0, tail[:-1] + 1) if len(tail) else tail
-    good = np.concatenate(([0], np.cumsum(real)))
-    return (row[tail], start[head], end[tail], tail - head + 1, good[tail + 1] - good[head]), np.bincount(row, minlength=rows)
+    end = np.where(last, off[row + 1], np.append(start[1:], 0) - 1)
+    begins = vec.Words(data, off).start
+    words = np.searchsorted(begins, end) - np.searchsorted(begins, start)
+    return row, start, end, words, np.searchsorted(row, np.arange(len(off)))
+
+
+def _last(row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Per line the next line of its row that holds a word: the end of the window that begins there (-1: none)."""
+    real = np.flatnonzero(words > 0)
+    out = np.full(len(row), -1)
+    near = np.flatnonzero(row[real[1:]] == row[real[:-1]])
+    out[real[near]] = real[near + 1]
+    return out
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A window's number is twice its first line's number in the text, and one more for a line alone."""
     for b in batches:
         for lo, hi, data, off in vec.slices(b.column(1)):
-            (row, start, end, _, good), _ = chunks(data, off)
-            number = np.arange(len(row)) - np.searchsorted(row, np.arange(hi - lo))[row] if len(row) else row
-            at = np.flatnonzero(good >= 2)
-            one = vec.Prefix(data, vec.BASE1, vec.TABLE1).of(start[at], end[at])
-            two = vec.Prefix(data, vec.BASE2, vec.TABLE2).of(start[at], end[at])
+            row, start, end, words, first = lines(data, off)
+            last = _last(row, words)
+            pair, alone = np.flatnonzero(last >= 0), np.flatnonzero(words > LONG)
+            head, tail = np.concatenate((pair, alone)), np.concatenate((last[pair], alone))
+            number = 2 * (head - first[row[head]]) + np.repeat([0, 1], [len(pair), len(alone)])
+            one = vec.Prefix(data, vec.BASE1, vec.TABLE1).of(start[head], end[tail])
+            two = vec.Prefix(data, vec.BASE2, vec.TABLE2).of(start[head], end[tail])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(lo, hi - lo).take(pa.array(row[at])), pa.array(number[at].astype(np.int64)), pa.array(vec.signed(one)), pa.array(vec.signed(two))],
+                [b.column(0).slice(lo, hi - lo).take(pa.array(row[head])), pa.array(number.astype(np.int64)), pa.array(vec.signed(one)), pa.array(vec.signed(two))],
                 ["doc_id", "chunk", "h1", "h2"])
 
 
+def _spans(number: np.ndarray, mine: np.ndarray, row: np.ndarray, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the windows ``number`` of the rows ``mine``."""
+    head = first[mine] + number // 2
+    return head, np.where(number % 2 == 0, _last(row, words)[head], head)
+
+
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, list of (h1, h2, chunk, first)) -> the bytes of each chunk asked for."""
+    """(doc_id, text, list of (h1, h2, chunk, first)) -> the bytes of each window asked for."""
     for b in batches:
         for lo, hi, data, off in vec.slices(b.column(1)):
-            (row, start, end, _, _), _ = chunks(data, off)
-            first = np.searchsorted(row, np.arange(hi - lo + 1))
+            row, start, end, words, first = lines(data, off)
             want = b.column(2).slice(lo, hi - lo)
             flat = want.flatten()
             mine = np.repeat(np.arange(hi - lo), pc.list_value_length(want).to_numpy())
-            at = first[mine] + flat.field(2).to_numpy()
+            head, tail = _spans(flat.field(2).to_numpy(), mine, row, words, first)
             raw = data.tobytes()
-            blob = pa.array([raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.binary())
+            blob = pa.array([raw[s:e] for s, e in zip(start[head].tolist(), end[tail].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(mine)), flat.field(2), flat.field(0), flat.field(1), flat.field(3), blob],
                                              ["doc_id", "chunk", "h1", "h2", "first", "bytes"])
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, chunk): the chunks to remove."""
+    """(doc_id, chunk): the windows to remove, by their numbers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.filter("doc_id is not null").select("doc_id", "text")
     rows = known.mapInArrow(_digests, f"doc_id {kind}, chunk long, h1 long, h2 long")
@@ -101,25 +107,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(columns..., text, chunks to remove) -> columns, what is left of the text, its lines and the removed ones."""
+    """(columns..., text, windows to remove) -> columns, what is left of the text, its lines and the removed ones."""
     for b in batches:
         texts, lists = b.column(b.num_columns - 2), b.column(b.num_columns - 1)
-        out, lines, removed = [], [], []
+        out, total, removed = [], [], []
         for lo, hi, data, off in vec.slices(texts):
-            (row, start, end, count, _), total = chunks(data, off)
-            first = np.searchsorted(row, np.arange(hi - lo + 1))
+            row, start, end, words, first = lines(data, off)
+            gone = lists.slice(lo, hi - lo)
+            mine = np.repeat(np.arange(hi - lo), pc.fill_null(pc.list_value_length(gone), 0).to_numpy())
+            head, tail = _spans(gone.flatten().to_numpy(), mine, row, words, first)
+            edge = np.bincount(head, minlength=len(row) + 1) - np.bincount(tail + 1, minlength=len(row) + 1)
+            stays = np.cumsum(edge)[:-1] == 0
+            n = np.bincount(row[~stays], minlength=hi - lo)
+            total += np.diff(first).tolist()
+            removed += n.tolist()
+            raw = data.tobytes()
             for i in range(hi - lo):
-                raw, gone = texts[lo + i].as_py(), lists[lo + i].as_py()
-                lines.append(int(total[i]))
-                if not gone:
-                    out.append(raw)
-                    removed.append(0)
-                    continue
-                mine, drop = range(first[i], first[i + 1]), set(gone)
-                keep = [data[start[c]:end[c]].tobytes() for k, c in enumerate(mine) if k not in drop]
-                out.append(b"\n".join(keep).decode())
-                removed.append(int(sum(count[c] for k, c in enumerate(mine) if k in drop)))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(removed, pa.int64())],
+                at = np.arange(first[i], first[i + 1])[stays[first[i]:first[i + 1]]] if n[i] else ()
+                out.append(b"\n".join([raw[s:e] for s, e in zip(start[at].tolist(), end[at].tolist(), strict=True)]).decode() if n[i] else texts[lo + i].as_py())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
                                          [*b.schema.names[:-2], "__text", "__lines", "__removed"])
 
 
@@ -143,7 +149,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def shortened(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks gone from ``text`` (and ``n_chars`` counted again, if there is such a column)."""
+    """``docs`` with repeated lines gone from ``text`` (and ``n_chars`` counted again, if there is such a column)."""
     out = deduplicate(docs)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -155,6 +155,45 @@ def test_line_chunks_resist_shifts(spark):
     assert removed[1] == 0 and removed[2] >= 50
 
 
+def brute_passages(texts):
+    """Every two neighbouring lines with a word, and every line of over 50 words, by their bytes."""
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        lines = t.split("\n") if t else []
+        real = [k for k, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
+        spans = list(itertools.pairwise(real)) + [(k, k) for k in real if len(re.findall(r"[^\x20\x09-\x0D]+", lines[k])) > 50]
+        gone = set()
+        for a, b in sorted(spans):
+            s = "\n".join(lines[a:b + 1])
+            if s in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(s)
+        out[i] = (len(lines), len(gone), hashlib.sha256("\n".join(x for k, x in enumerate(lines) if k not in gone).encode()).hexdigest())
+    return out
+
+
+def test_repeated_passages_against_brute_force(spark, texts):
+    assert {r[0]: tuple(r)[1:] for r in queries.op5_line_dedup(spark, FOLDER).collect()} == brute_passages(texts)
+
+
+def test_passages_of_few_lines_go_in_any_host(spark):
+    """Passages of 1 to 8 lines in hosts of their own lines; a short line alone, and the first place of each, stay."""
+    line = lambda *at: " ".join(f"w{k}-" + "-".join(map(str, at)) for k in range(60))
+    rows, want = [], {}
+    for n in range(1, 9):
+        passage = [line("passage", n, k) for k in range(n)]
+        for host in range(12):
+            before, after = ([line("host", n, host, side, k) for k in range(1 + host % 4)] for side in (0, 1))
+            rows.append((100 * n + host, "\n".join([*before, "short", "", *passage, *after])))
+            want[100 * n + host] = n if host else 0
+    rows += [(1, ""), (2, None), (3, "\n\n"), (4, "a\na\na"), (5, "b\n\nc\n"), (6, "x\nb\n\nc\n")]
+    want |= {1: 0, 2: 0, 3: 0, 4: 2, 5: 0, 6: 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r[0]: tuple(r)[1:] for r in linededup.report(df).collect()}
+    pair = {i for i, t in rows if i >= 100 and i % 100}  # each "short" with its first passage line is a repeated pair
+    assert {i: v[1] - 2 * (i in pair) for i, v in got.items()} == want and got == brute_passages(dict(rows))
+
+
 def test_templates_find_other_numbers_and_names(spark):
     item = "Yesterday in Paris our friend Alice bought 12 apples and gave 5 kg of them to her neighbour Bob before noon."
     same = "Yesterday in Rome our friend Carol bought 30 apples and gave 7 lb of them to her neighbour Dave before noon."
