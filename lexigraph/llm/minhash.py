@@ -9,7 +9,7 @@ Candidates are never written out as all pairs of a bucket. Each bucket's members
 minimum, taken before the shuffle as well). Where a bucket then still holds several components, its members' sets meet in
 tiles of bounded size, and only pairs that could still join two components are compared, the likeliest first, each in the
 first bucket that it shares. So components are those of all links; a link of exactly the threshold is missed by all bands
-with a probability below 1e-8.
+with a probability below 1e-8 at 85 percent and of about 3e-6 at 80.
 
 Null or empty text, or text without words: an empty set, linked with nothing. A null id is linked with nothing (null
 component, kept). Rows with one id are one document: what any of its texts is linked with counts for it. An empty table
@@ -18,6 +18,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,6 @@ BANDS, ROWS = 32, 5
 K = BANDS * ROWS
 LANES = 32  # two-bit lanes in a long
 SIG = tuple(f"s{i}" for i in range(K // LANES))
-MARGIN = 0.2  # six standard deviations of the estimate at a similarity of 0.85
 STRIP = 256  # rows of a tile compared at once
 TILE = 400_000  # shingles on each side of a tile, about
 _rng = np.random.default_rng(5)
@@ -105,6 +105,12 @@ def signatures(docs: DataFrame) -> DataFrame:
         _signatures, f"doc_id {kind}, n_shingles long, c1 long, c2 long, {', '.join(f'{s} long' for s in SIG)}, bands array<long>")
 
 
+def margin(percent: int) -> float:
+    """Six standard deviations of the estimate at a similarity of ``percent`` (rounded up: 0.2 at 85, 0.23 at 80)."""
+    agree = 0.25 + 0.75 * percent / 100
+    return math.ceil(600 * math.sqrt(agree * (1 - agree) / K) / 0.75) / 100
+
+
 def estimate(a: str, b: str) -> Column:
     """Similarity by counts of equal two-bit lanes, corrected for the quarter that agrees by chance."""
     odd = F.lit(0x5555555555555555)
@@ -146,7 +152,7 @@ def _tile(left: dict, right: dict, same: bool, percent: int) -> list[tuple[int,
             x = left["sig"][rows, k, None] ^ right["sig"][None, :, k]
             differ += np.bitwise_count((x | (x >> vec.U(1))) & odd)
         likely = 1 - (differ / np.float32(K)) / np.float32(0.75)
-        wanted = (likely >= percent / 100 - MARGIN) & (left["part"][rows, None] != right["part"][None, :])
+        wanted = (likely >= percent / 100 - margin(percent)) & (left["part"][rows, None] != right["part"][None, :])
         if same:
             wanted &= np.arange(m)[None, :] > np.arange(lo, rows.stop)[:, None]
         for k in range(int(left["band"])):  # met in an earlier bucket
@@ -212,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = (rows.filter("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
              .join(reps.select(F.col("id").alias("a"), F.col("sig").alias("x"), F.col("n_shingles").alias("na")), "a")
              .join(reps.select(F.col("id").alias("b"), F.col("sig").alias("y"), F.col("n_shingles").alias("nb")), "b")
-             .filter((estimate("x", "y") >= percent / 100 - MARGIN) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
+             .filter((estimate("x", "y") >= percent / 100 - margin(percent)) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")))
              .select("a", "b").distinct())
     both = F.size(F.array_intersect("sa", "sb"))
     linked = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")

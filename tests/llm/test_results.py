@@ -117,6 +117,19 @@ def test_near_duplicates_in_wide_buckets(spark, monkeypatch):
     assert {r[0]: tuple(r)[1:] for r in minhash.near_duplicates(df).collect()} == brute_components(texts)
 
 
+def test_near_dedup_stage_links_from_80_percent(spark):
+    """Pairs of 100 shingles with two changed words (0.818) or three (0.739)."""
+    rows = []
+    for i in range(20):
+        w = [f"t{i}w{k}" for k in range(104)]
+        other = [f"new{k}" if k in ((20, 60) if i < 10 else (20, 50, 80)) else x for k, x in enumerate(w)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    assert 0.8 <= len(sets(rows[0][1]) & sets(rows[1][1])) / len(sets(rows[0][1]) | sets(rows[1][1])) < 0.85
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, FOLDER).collect()}
+    assert kept == {i for i, v in brute_components(dict(rows), 80).items() if v[2]} == set(range(0, 20, 2)) | set(range(20, 40))
+
+
 def brute_lines(texts):
     seen, out = set(), {}
     for i, t in sorted(texts.items()):
