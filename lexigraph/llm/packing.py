@@ -49,17 +49,31 @@ def encoder(ranks_path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@lru_cache(maxsize=2)
+def tokenizer(ranks_path: str):
+    """The tokenizer file of the same name: slower, but its pattern has no limit on white space in a row."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(f"{ranks_path.removesuffix('.tiktoken')}.json")
+
+
+def encoded(text: str, ranks_path: str) -> np.ndarray:
+    try:
+        return encoder(ranks_path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:  # about a million blanks or line feeds in a row: the pattern's stack is full
+        return np.array(tokenizer(ranks_path).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
 def pieces(docs: DataFrame, ranks_path: str, cap: int = CAP, end: int = END) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``, its task and its rank among the task's equal lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path)
         task, seen = TaskContext.get().partitionId(), Counter()
         for b in batches:
             for lo in range(0, b.num_rows, 2000):
                 row, out = [], []
                 for i, text in enumerate(b.column(1).slice(lo, 2000)):
-                    ids = np.append(encode.encode_to_numpy(text.as_py() or "", allowed_special="all"), np.uint32(end)).astype("<u4")
+                    ids = np.append(encoded(text.as_py() or "", ranks_path), np.uint32(end)).astype("<u4")
                     at, k = 0, 0
                     while at < len(ids):
                         n = (len(ids) % cap or cap) if at == 0 and len(ids) > cap else min(cap, len(ids) - at)

@@ -298,6 +298,15 @@ def test_ranks_give_the_tokenizers_ids(text):
     assert list(packing.encoder(RANKS).encode(text, allowed_special="all")) == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", " \n"])
+def test_long_runs_give_the_tokenizers_ids(spark, run):
+    text = "x" + run * 1_200_000 + "y"
+    want = np.array([*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 2], "<u4")
+    rows = packing.pack(spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string"), RANKS).collect()
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == len(want) and {r["doc_id"] for r in rows} == {1, 2}
+    assert all(r["ids_crc32"] == zlib.crc32(want[r["start"]:r["start"] + r["length"]].tobytes()) for r in rows if r["doc_id"] == 1)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=20))
 def test_plan_uses_every_piece_once(histogram):
