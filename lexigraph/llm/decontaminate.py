@@ -6,8 +6,10 @@ items are hash-joined. A document holds an item if enough of the item's windows
 of the item's always has become the same value in the document (other numbers and names may have been put in).
 
 A bit table of fixed size, made of the benchmark's windows, drops in the scan all document windows that cannot join.
-An item shorter than a window is one window of its own length; items under ``LEAST`` tokens are too common to judge and
-match nothing. Windows of placeholders mostly say nothing and are left out. Null or empty texts have no windows. Rows with
+An item shorter than a window is one window of its own length. Windows of placeholders mostly say nothing as templates, and so
+do items under ``LEAST`` tokens: these are joined by their literal values (in lower case) instead, so that verbatim copies are
+found and other fillings are not. An item counts by its templates alone, or by all its windows. An item of a single token is
+too common to judge and matches nothing. Null or empty texts have no windows. Rows with
 a null id are answered for with a null id and never contaminated. Rows that share an id are one document. Equal items
 are found alike.
 """
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lexigraph.llm import vec
 
-WINDOW, LEAST = 8, 4
+WINDOW, LEAST, SHORTEST = 8, 4, 2
 BITS = 1 << 23
 SHARE = 0.5
 #: Units of measure that count after a number. Fixed values.
@@ -43,6 +45,7 @@ _stop = np.zeros(256, bool)
 _stop[np.frombuffer(b".!?:;\n\"", np.uint8)] = True
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, 3, dtype=np.uint64)
 NUMBER, UNIT, NAME = (int(x) for x in _SEEDS)
+LITERAL = vec.U(0x6C62272E07BB0142)  # keys of literal windows differ from those of templates
 
 
 def _word_hash(words: list[bytes]) -> np.ndarray:
@@ -91,24 +94,32 @@ def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return token, value, number | unit | name, np.searchsorted(row, np.arange(rows + 1))
 
 
-def windows(data: np.ndarray, off: np.ndarray, sizes: list[int]):
-    """(row, place, hash) of all windows of ``sizes`` tokens with fewer slots than half, with the tokens' values and slots."""
+def windows(data: np.ndarray, off: np.ndarray, sizes: list[int], literal: list[int]):
+    """(row, place, hash, size, first token, literal, slots) of windows, with the tokens' values and slots.
+
+    As templates all windows of ``sizes`` tokens with at most half slots; by their values all windows of ``literal`` tokens.
+    """
     token, value, slot, first = template(data, off)
     count = np.diff(first)
     row = np.repeat(np.arange(len(count)), count)
     slots = np.concatenate(([0], np.cumsum(slot)))
-    out = []
-    for size in sizes:
-        h = vec.window_hash(token, size)
-        at = np.flatnonzero((row[:len(h)] == row[size - 1:]) & (2 * (slots[size:] - slots[:-size]) <= size)) if len(h) else np.zeros(0, np.int64)
-        out.append((row[at], at - first[row[at]], vec.mix(h[at] + vec.U(size)), np.full(len(at), size), at))
+    none = np.zeros(0, np.int64)
+    out = [(none, none, np.zeros(0, np.uint64), none, none, np.zeros(0, bool), none)]
+    for size, exact in [*((n, False) for n in sizes), *((n, True) for n in literal)]:
+        h = vec.window_hash(value if exact else token, size)
+        at = np.flatnonzero(row[:len(h)] == row[size - 1:]) if len(h) else none
+        held = slots[at + size] - slots[at]
+        if not exact:
+            at, held = at[2 * held <= size], held[2 * held <= size]
+        key = vec.mix(h[at] + vec.U(size) + (LITERAL if exact else vec.U(0)))
+        out.append((row[at], at - first[row[at]], key, np.full(len(at), size), at, np.full(len(at), exact), held))
     return [np.concatenate(x) for x in zip(*out, strict=True)], value, slot, count
 
 
 def _emit(ids: pa.Array, found, value: np.ndarray, slot: np.ndarray, keep: np.ndarray, extra: list[pa.Array], names: list[str]) -> pa.RecordBatch:
-    row, place, h, size, at = (x[keep] for x in found)
+    row, place, h, size, at, literal, _ = (x[keep] for x in found)
     inside = np.repeat(at, size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-    taken = slot[inside]
+    taken = slot[inside] & ~np.repeat(literal, size)
     lengths = np.add.reduceat(taken.astype(np.int64), np.cumsum(size) - size) if len(size) else np.zeros(0, np.int64)
     offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
     values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(vec.signed(value[inside[taken]])))
@@ -116,22 +127,24 @@ def _emit(ids: pa.Array, found, value: np.ndarray, slot: np.ndarray, keep: np.nd
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, h, place, slots, n_windows``: the windows of each item (those of an item under ``window`` tokens: one)."""
+    """``item_id, h, place, slots, n_templates, n_windows, size, literal``: the windows of each item (of an item under ``window`` tokens: one)."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in vec.slices(b.column(1)):
-                found, value, slot, count = windows(data, off, list(range(LEAST, window + 1)))
-                row, size = found[0], found[3]
-                keep = np.flatnonzero(size == np.minimum(count[row], window))
+                found, value, slot, count = windows(data, off, list(range(LEAST, window + 1)), list(range(SHORTEST, window + 1)))
+                row, _, _, size, _, literal, held = found
+                keep = np.flatnonzero((size == np.minimum(count[row], window)) & (~literal | (2 * held > size) | (size < LEAST)))
                 total = np.bincount(row[keep], minlength=hi - lo)
+                templates = np.bincount(row[keep][~literal[keep]], minlength=hi - lo)
                 yield _emit(b.column(0).slice(lo, hi - lo), found, value, slot, keep,
-                            [pa.array(total[row[keep]].astype(np.int64)), pa.array(size[keep].astype(np.int32))],
-                            ["item_id", "h", "place", "slots", "n_windows", "size"])
+                            [pa.array(templates[row[keep]].astype(np.int64)), pa.array(total[row[keep]].astype(np.int64)),
+                             pa.array(size[keep].astype(np.int32)), pa.array(literal[keep])],
+                            ["item_id", "h", "place", "slots", "n_templates", "n_windows", "size", "literal"])
 
     return benchmark.filter("item_id is not null").select("item_id", "text").mapInArrow(
-        run, f"item_id {kind}, h long, place long, slots array<long>, n_windows long, size int")
+        run, f"item_id {kind}, h long, place long, slots array<long>, n_templates long, n_windows long, size int, literal boolean")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, bits: int = BITS) -> DataFrame:
@@ -143,7 +156,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     table = np.zeros(bits // 64, np.uint64)
     for r in items.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).collect():
         table[r["word"]] = np.uint64(r["bits"] & (1 << 64) - 1)
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
+    kinds = sorted((r["size"], r["literal"]) for r in items.select("size", "literal").distinct().collect())
+    sizes, exact = [n for n, x in kinds if not x], [n for n, x in kinds if x]
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -151,9 +165,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
         known = sent.value
         for b in batches:
             for lo, hi, data, off in vec.slices(b.column(1)):
-                if not sizes:
+                if not kinds:
                     continue
-                found, value, slot, _ = windows(data, off, sizes)
+                found, value, slot, _ = windows(data, off, sizes, exact)
                 h = found[2]
                 place = ((h >> vec.U(6)) % vec.U(bits // 64)).astype(np.int64)
                 keep = np.flatnonzero((known[place] >> (h & vec.U(63))) & vec.U(1))
@@ -165,8 +179,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     hits = found.select("doc_id", "h", "values").join(items.withColumnRenamed("place", "at"), "h")
     hits = hits.filter(F.size("slots") == F.size("values"))
     # One row for each window of an item and each way its slots are filled in the document.
-    ways = hits.groupBy("doc_id", "item_id", "at", "n_windows", "slots", "values").agg(F.count(F.lit(1)).alias("n"))
-    seen = ways.groupBy("doc_id", "item_id").agg((F.count_distinct("at") / F.max("n_windows")).alias("share")).filter(F.col("share") >= share)
+    ways = hits.groupBy("doc_id", "item_id", "at", "literal", "n_templates", "n_windows", "slots", "values").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda column, total: F.coalesce(F.count_distinct(column) / F.nullif(F.max(total), F.lit(0)), F.lit(0.0))
+    seen = (ways.groupBy("doc_id", "item_id").agg(
+        F.greatest(of(F.when(~F.col("literal"), F.col("at")), "n_templates"), of(F.col("at"), "n_windows")).alias("share"),
+        of(F.when(F.col("literal"), F.col("at")), "n_windows").alias("verbatim")).filter(F.col("share") >= share))
     pairs = (ways.filter(F.size("slots") > 0).join(seen.select("doc_id", "item_id"), ["doc_id", "item_id"])
              .select("doc_id", "item_id", "at", F.explode(F.arrays_zip("slots", "values")).alias("p")))
     # A value of the item's agrees if one value stands for it in most of the windows that hold it.
@@ -175,7 +192,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     windows_of = pairs.groupBy("doc_id", "item_id", F.col("p.slots").alias("slots")).agg(F.count_distinct("at").alias("all"))
     agree = (held.join(windows_of, ["doc_id", "item_id", "slots"]).groupBy("doc_id", "item_id")
              .agg((F.sum("most") / F.sum("all")).alias("agree")))
-    return (seen.join(agree, ["doc_id", "item_id"], "left").filter(F.coalesce("agree", F.lit(1.0)) >= 0.7)
+    return (seen.join(agree, ["doc_id", "item_id"], "left").filter((F.coalesce("agree", F.lit(1.0)) >= 0.7) | (F.col("verbatim") >= share))
             .select("doc_id", "item_id", "share"))
 
 

@@ -229,6 +229,19 @@ def test_decontamination_finds_verbatim_passages(spark, texts):
     assert got == want
 
 
+def test_decontamination_finds_verbatim_items_full_of_slots(spark):
+    """Numbers, Title Case, upper case, lists of names and items of two or three tokens: copies are found, other fillings are not."""
+    items = {1: "Compute 17 + 25 - 9 + 3", 2: "The Rise And Fall Of The Third Roman Empire In Ten Long Acts", 3: "NAME ALL THE RIVERS THAT FLOW INTO THE BLACK SEA",
+             4: "Paris, Rome, Madrid, Berlin, Vienna, Lisbon, Dublin, Warsaw, Athens, Prague", 5: "Evaluate 81 / 9", 6: "Solve 1234567"}
+    others = {1: "Compute 18 + 26 - 8 + 4", 2: "The Song And Tale Of The Last Greek Kingdom In Six Short Parts", 3: "LIST ALL THE CITIES THAT STAND BESIDE THE WHITE LAKE",
+              4: "Oslo, Bern, Minsk, Kyiv, Riga, Sofia, Tunis, Cairo, Accra, Lima", 5: "Evaluate 82 / 8", 6: "Solve 7654321"}
+    rows = [(k, f"Some words before it: {x}. And more words.") for k, x in items.items()] + [(10 + k, f"we first say {x}") for k, x in items.items()]
+    rows += [(20 + k, f"Some words before it: {x}. And more words.") for k, x in others.items()] + [(30 + k, x) for k, x in others.items()]
+    flagged = decontaminate.flag(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {r["doc_id"]: r["item_ids"] for r in flagged.collect()}
+    assert got == {i: [i % 10] if i < 20 else [] for i, _ in rows}
+
+
 def least_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
