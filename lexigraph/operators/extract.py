@@ -315,15 +315,16 @@ def extraction_metadata(chunks: DataFrame, results: DataFrame, cached: DataFrame
 
 def extract_documents(docs: DataFrame, forms: DataFrame, skills: DataFrame, edges: DataFrame, fmt: str = "plain",
                       expand: bool = True, least: float = config.MIN_CONFIDENCE,
-                      max_skills: int | None = None, depth: int = config.EXPANSION_DEPTH) -> dict[str, DataFrame]:
+                      max_skills: int | None = None, depth: int = config.EXPANSION_DEPTH,
+                      max_chars: int | None = config.MAX_TEXT_LENGTH) -> dict[str, DataFrame]:
     """Documents to concepts; the text is read once for the results.
 
-    Documents over a limit are set aside ("failed") and do not stop the others. Returns the tables skills,
+    Documents over a limit are set aside ("failed") and do not stop the others; ``max_chars`` None: texts of any length. Returns the tables skills,
     failed, metadata, chunks and direct (before expansion; the input to co-occurrence).
     """
     from lexigraph.operators import filters, graph
 
-    checked = filters.check_limits(docs, max_batch=None)
+    checked = filters.check_limits(docs, max_chars, max_batch=None)
     failed = checked.filter("reason is not null").select("doc_id", "reason")
     good = checked.filter("reason is null").drop("reason")
     chunks = chunk_sections(detect_sections(clean_documents(good, fmt)))

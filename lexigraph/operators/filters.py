@@ -80,14 +80,16 @@ def path_prefixes(skills: DataFrame) -> DataFrame:
     return skills.select("id", "path", F.explode(prefixes).alias("ancestor_path"))
 
 
-def check_limits(docs: DataFrame, max_chars: int = config.MAX_TEXT_LENGTH,
+def check_limits(docs: DataFrame, max_chars: int | None = config.MAX_TEXT_LENGTH,
                  max_batch: int | None = config.BATCH_MAX_DOCUMENTS, batch: str = "source") -> DataFrame:
-    """documents with the first limit they break (NULL if none); no batch limit if ``max_batch`` is None.
+    """documents with the first limit they break (NULL if none); no limit on texts or batches where it is None.
 
     Only the over-full batches join the documents, so texts are not shuffled for the others' sake.
     """
     n = F.coalesce(F.length("text"), F.lit(0))
-    reason = F.when(n < 1, "text is empty").when(n > max_chars, "text is too long")
+    reason = F.when(n < 1, "text is empty")
+    if max_chars is not None:
+        reason = reason.when(n > max_chars, "text is too long")
     if max_batch is None:
         return docs.withColumn("reason", reason)
     full = (docs.groupBy(batch).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > max_batch)

@@ -293,7 +293,7 @@ def _(d):
 SELECT DISTINCT doc_id, skill_id, 1.0::DOUBLE AS confidence FROM tags""")
 def _(d):
     none = d.edges().limit(0)
-    out = extract.extract_documents(d.docs(), _forms(d), d.skills(), none, expand=False)
+    out = extract.extract_documents(d.docs(), _forms(d), d.skills(), none, expand=False, max_chars=None)
     return out["skills"].select("doc_id", "skill_id", "confidence")
 
 

@@ -120,3 +120,13 @@ def test_full_job(spark, make_edges, make_skills):
     assert got == {"py": (1.0, None), "doc": (0.75, None), "tea": (0.5, None), "lang": (0.6, "parent"),
                    "java": (0.6, "sibling")}
     assert rows(out["failed"]) == [(1, "text is empty"), (2, "text is too long")]
+
+
+def test_text_length_is_limited_or_not(spark, make_skills, make_edges):
+    d = spark.createDataFrame([("long", "filler " * 20_000 + "python"), ("short", "python")], "doc_id string, text string").withColumn("source", F.lit("generic"))
+    forms = spark.createDataFrame([("py", "python")], "skill_id string, form string")
+    got = {}
+    for most in (config.MAX_TEXT_LENGTH, None):
+        out = extract.extract_documents(d, forms, make_skills(["py"]), make_edges([]), expand=False, max_chars=most)
+        got[most] = rows(out["skills"], "doc_id", "skill_id"), rows(out["failed"], "doc_id")
+    assert got == {config.MAX_TEXT_LENGTH: ([("short", "py")], [("long",)]), None: ([("long", "py"), ("short", "py")], [])}
