@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lexigraph.llm import decontaminate, html_extract, langid, linededup, minhash, packing, prefix_free, quality, sharding, toxicity
+from lexigraph.llm import align, audit, decontaminate, html_extract, langid, linededup, minhash, packing, prefix_free, quality, sharding, toxicity, warc
 from lexigraph.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.measure(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -61,8 +73,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_toxicity, op2_language_id, op3_suffix_dedup, op4_decontamination, op5_line_dedup, op6_sharding, op7_minhash, op8_best_fit_packing,
-        op9_quality_rules, op10_html_extraction, pipeline)}
+        op9_quality_rules, op10_html_extraction, op11_filter_audit, op12_warc, op13_token_alignment, pipeline)}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op7_minhash": minhash.SQL}
+    return {"op7_minhash": minhash.SQL, "op11_filter_audit": audit.SQL, "op12_warc": warc.SQL}
