@@ -70,7 +70,7 @@ def side_b(model_path: str):
 def plain(text: str, ranks_path: str) -> list[int]:
     """A's ids of a text in which the strings of special tokens are text like any other."""
     try:
-        return encoder(ranks_path).encode_ordinary(text)
+        return encoder(ranks_path).encode(text, allowed_special=set(), disallowed_special=())
     except ValueError:  # about a million blanks or line feeds in a row
         tok = tokenizer(ranks_path)
         tok.encode_special_tokens = True

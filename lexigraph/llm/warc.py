@@ -130,7 +130,10 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int
         key, mark, value = line.partition(b":")
         if not mark or not key.strip():
             raise Damage("broken header line")
-        headers[key.strip().decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+        key = key.strip().decode("utf-8", "replace").lower()
+        if key in headers and key != "warc-concurrent-to":  # two headers run into each other
+            raise Damage("repeated header field")
+        headers[key] = value.strip().decode("utf-8", "replace")
     size = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", size):
         raise Damage("no content length")
