@@ -134,6 +134,8 @@ def parse(data: bytes | memoryview, at: int) -> tuple[dict[str, str], bytes, int
         if key in headers and key != "warc-concurrent-to":  # two headers run into each other
             raise Damage("repeated header field")
         headers[key] = value.strip().decode("utf-8", "replace")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        raise Damage("missing header field")
     size = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", size):
         raise Damage("no content length")

@@ -136,8 +136,9 @@ def test_salvage_recovers_every_record_that_is_whole(zipped, seed, harm):
             places[k] = (len(data), len(p))
         data += p
     rows = list(warc.salvage(data))
-    found = {int(r[3]["warc-record-id"][10:-1]): (r[1], r[2]) for r in rows if r[0] == "record"}
-    assert {k: found.get(k) for k in places} == places
+    # What is whole is found at its place (a byte of an unzipped header may also be wrong without a trace, so others may be found).
+    found = {(r[1], r[2]): r[3]["warc-record-id"] for r in rows if r[0] == "record"}
+    assert {at: found.get(at) for at in places.values()} == {at: f"<urn:page:{k}>" for k, at in places.items()}
     # A gap is exactly what no record or padding covers, and each hurt record that did not survive lies in one.
     covered = bytearray(len(data))
     for r in rows:
@@ -149,12 +150,12 @@ def test_salvage_recovers_every_record_that_is_whole(zipped, seed, harm):
 
 def test_salvage_names_what_failed():
     (a, b), plain = archive(2), archive(2, zipped=False)
-    wrong = warc.record("resource", [("WARC-Record-ID", "<urn:page:5>")], b"body").replace(b"body", b"bodY")
+    wrong = warc.record("resource", [("WARC-Record-ID", "<urn:page:5>"), ("WARC-Date", "x")], b"body").replace(b"body", b"bodY")
     reason = lambda data: [r[3] for r in warc.salvage(data) if r[0] == "gap"]
     assert reason(a[:-3]) == ["member cut short"] and reason(a[:40] + bytes([a[40] ^ 1]) + a[41:] + b) == ["member does not decompress"]
     assert reason(wrong) == ["wrong block digest"] and reason(plain[0][:-9] + plain[1]) == ["no end behind the block"] or reason(plain[0][:-9] + plain[1]) == ["wrong block digest"]
     assert reason(b"junk" + a) == ["no version line"] and reason(b"\r\n\0" + a + b"\0" + b) == []
-    assert reason(gzip.compress(b"no record")) == ["no version line"] and reason(b"WARC/1.1\r\nX: 1\r\n\r\n") == ["no content length"]
+    assert reason(gzip.compress(b"no record")) == ["no version line"] and reason(b"WARC/1.1\r\nX: 1\r\n\r\n") == ["missing header field"]
     two = gzip.compress(plain[0] + plain[1])  # two records in one member
     assert [r[0] for r in warc.salvage(two)] == ["record", "record"]
 
