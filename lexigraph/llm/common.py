@@ -17,6 +17,14 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has (Spark does not tell capitals apart)."""
+    taken = {c.lower() for c in df.columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 #: Labels that are sent to all tasks at most (a few MB), and rows of a link table a partition holds.
 FEW, ROWS = 100_000, 100_000
 

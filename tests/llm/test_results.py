@@ -130,37 +130,6 @@ def test_near_dedup_stage_links_from_80_percent(spark):
     assert kept == {i for i, v in brute_components(dict(rows), 80).items() if v[2]} == set(range(0, 20, 2)) | set(range(20, 40))
 
 
-def brute_lines(texts):
-    seen, out = set(), {}
-    for i, t in sorted(texts.items()):
-        lines = (t or "").encode().split(b"\n") if t else []
-        chunks, now, before = [], [], 0
-        for line in lines:
-            raw = np.frombuffer(line, np.uint8)
-            h = int(vec.Prefix(raw, vec.BASE1, vec.TABLE1).of(np.array([0]), np.array([len(raw)]))[0])
-            now.append(line)
-            if int(vec.mix(np.array([(h * 31 + before) % (1 << 64)], np.uint64))[0]) % linededup.DIVISOR == 0:
-                chunks.append(now)
-                now = []
-            before = h
-        chunks += [now] if now else []
-        keep, removed = [], 0
-        for c in chunks:
-            whole = b"\n".join(c)
-            if sum(bool(x.strip(b" \t\r\x0b\x0c")) for x in c) >= 2:
-                if whole in seen:
-                    removed += len(c)
-                    continue
-                seen.add(whole)
-            keep += c
-        out[i] = (len(lines), removed, hashlib.sha256(b"\n".join(keep)).hexdigest())
-    return out
-
-
-def test_line_dedup_against_brute_force(spark, texts):
-    assert {r[0]: tuple(r)[1:] for r in queries.op5_line_dedup(spark, FOLDER).collect()} == brute_lines(texts)
-
-
 def test_line_chunks_resist_shifts(spark):
     lines = [f"line number {i} of a passage" for i in range(60)]
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(["new first line", *lines]))], "doc_id long, text string")
@@ -442,11 +411,47 @@ def test_pipeline_against_its_parts(spark, docs, texts):
     kept = {r["doc_id"]: r["text"] for r in quality.keep(docs).collect()}
     judged = {r["doc_id"] for r in quality.judge(docs).collect() if r["kept"]}
     assert set(kept) == judged
-    lines = brute_lines(kept)
+    lines = brute_passages(kept)
     shorter = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, docs.filter(docs.doc_id.isin(list(kept))), FOLDER).collect()}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in shorter.items()} == {i: v[2] for i, v in lines.items()}
-    unique = {i for i, v in brute_components(shorter).items() if v[2]}
+    unique = {i for i, v in brute_components(shorter, 80).items() if v[2]}
     items = [r["text"] for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     flat = lambda t: " " + " ".join(re.findall(r"\w+", t.lower())) + " "
     left = {i for i in unique if not any(flat(x) in flat(shorter[i]) for x in items)}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, FOLDER).collect()} == left
+
+
+def test_chunks_carry_long_passages():
+    """Chunks are cut by their lines alone, so that a passage's inner chunks are the same in any host and form one run."""
+    line = lambda k: f"line {k} of some passage".encode()
+    passage = [line(k) for k in range(40)]
+
+    def spans(rows):
+        data = np.frombuffer(b"\n".join(rows), np.uint8)
+        row, start, end, words, _ = linededup.lines(data, np.array([0, len(data)]))
+        h = vec.Prefix(data, vec.BASE1, vec.TABLE1).of(start, end)
+        return {(int(a), int(b)) for a, b in zip(*linededup.chunks(h, row, np.flatnonzero(words > 0)), strict=True)}
+
+    one, two = spans([b"host one", *passage]), spans([b"other", b"host", b"", *passage, b"end"])
+    shared = {(a - 1, b - 1) for a, b in one} & {(a - 3, b - 3) for a, b in two}
+    assert len(shared) >= 3 and len(one) - len(shared) <= 2
+    found = [{"line": a, "n": b - a + 1, "kind": linededup.CHUNK, "fd": 7, "fl": a + 2} for a, b in one]
+    found += [{"line": k, "n": 2, "kind": linededup.PAIR, "fd": 7, "fl": k + 2} for k in range(1, 40)] + [{"line": 50, "n": 2, "kind": linededup.PAIR, "fd": 3, "fl": 0}]
+    assert sorted(linededup.grow(found)) == [(1, 40, 7, 3), (50, 2, 3, 0)]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(__import__("hypothesis").HealthCheck))
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c d", "", " ", "e", "f g h", "i"]), max_size=12), min_size=1, max_size=12))
+def test_small_line_texts_against_brute_force(spark, texts):
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = linededup.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: tuple(r)[1:] for r in got.collect()} == brute_passages(dict(rows))
+
+
+def test_inner_names_do_not_clash(spark):
+    """Columns of any name pass through ``line_dedup`` unchanged."""
+    names = ["id", "gone", "_gone", "shortened", "lines", "Removed", "line", "n", "fd", "want", "__text", "__id", "__removed"]
+    df = spark.createDataFrame([(k, "same one\nsame two\nsame three", *[f"{n}{k}" for n in names]) for k in range(2)], ["doc_id", "text", *names])
+    got = {r["doc_id"]: r for r in linededup.shortened(df).collect()}
+    assert got[0]["text"] == "same one\nsame two\nsame three" and got[1]["text"] == ""
+    assert all(got[k][n] == f"{n}{k}" for k in range(2) for n in names)
