@@ -8,8 +8,9 @@ mask (the filters it fails) as it arrives; when a smaller id of its text comes,
 the one that fails the fifth filter too counted instead. The sums of all changes are the counters; the orders are worked out
 on counters alone (a part's 32 masks), never on documents.
 
-Copies are summed per task before they travel to their key, so a text that very many rows share sends a few sums. State lies in
-RocksDB, its changes under the checkpoint folder; batches write their changes to folders of their number, so one that is
+Copies are summed per task before they travel to their key, so a text that very many rows share sends a few sums. State takes
+about 80 bytes a text and lies in the session's state store (RocksDB where ``spark.sql.streaming.stateStore.providerClass``
+names it: to be set where the state of all texts outgrows the executors' memory), its changes under the checkpoint folder; batches write their changes to folders of their number, so one that is
 repeated after a loss counts once. The files are dealt to at most ``BATCHES`` micro-batches whatever their number, so labels,
 which each batch joins by id, are read that often.
 
@@ -35,7 +36,6 @@ FILTERS = "ABCDE"
 BATCHES = 4
 TEXTS = 1024  # rows of the table per bucket of texts
 MASK_E = 16
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WHO = ["part", "mask", "quality", "toxic", "n"]
 HELD = ["digest", "best", *WHO]
 CHANGES = "part string, mask int, quality int, toxic int, n long"
@@ -111,8 +111,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     def save(batch: DataFrame, number: int) -> None:
         total(batch).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    conf = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-            "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    conf = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
