@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexigraph import config
 from lexigraph.functions.text import SENTENCE_MARK, clean_html, clean_plain, estimate_tokens, let, name_tokens
-from lexigraph.plans.scale import broadcast_if_small, cut
+from lexigraph.plans.scale import cut, fits
 
 SECTION = "struct<name:string,type:string,weight:double,start_offset:int,end_offset:int>"
 
@@ -214,38 +214,57 @@ def chunk_semantic(sentences: DataFrame, least: float) -> DataFrame:
             .withColumn("chunk_index", F.sum("__new").over(w)).drop("__last", "__new"))
 
 
-def tag_exact(chunks: DataFrame, forms: DataFrame, locale: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+def anchored_forms(known: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Each distinct form (``__key``, ``__plain``: its tokens) by its rarest token: ``anchor`` and ``__off``, the tokens before it.
+
+    Rare: few forms have the token (``counts(token, df)``: fewer documents, where such counts are at hand), then long. The choice
+    decides how many places are compared, never what is found.
+    """
+    rest = [c for c in known.columns if c not in ("skill_id", "form")]
+    each = known.select(*rest).distinct().select(*rest, F.posexplode("__plain").alias("__off", "anchor"))
+    df = counts.select(F.col("token").alias("anchor"), F.col("df").cast("long")) if counts is not None else (
+        each.groupBy("anchor").agg(F.count(F.lit(1)).alias("df")))
+    least = F.min(F.struct(F.coalesce("df", F.lit(0)), -F.length("anchor"), "anchor", "__off"))
+    best = each.join(df, "anchor", "left").groupBy(*[c for c in rest if c != "__plain"]).agg(least.alias("a"), F.first("__plain").alias("__plain"))
+    return best.select(*rest, F.col("a.anchor").alias("anchor"), F.col("a.__off").alias("__off"))
+
+
+def tag_exact(chunks: DataFrame, forms: DataFrame, locale: bool = False, carry: tuple[str, ...] = (),
+              counts: DataFrame | None = None, max_rows: int = config.BROADCAST_MAX_ROWS) -> DataFrame:
     """Names and aliases found word for word in the text (doc_id, chunk_index, skill_id, form, position, words).
 
     Text and ``forms(skill_id, form[, locale])`` go through one tokenizer, so ``C++`` or ``Node.js`` match as they stand; no
-    match runs over a sentence mark. Token n-grams, of the lengths that the dictionary has, meet it in an equi-join. A match
-    inside a longer match is dropped. ``position`` counts tokens, sentence marks included. Columns in ``carry`` come along.
+    match runs over a sentence mark. Each form waits at its rarest token: one equi-join of the text's tokens with these
+    anchors, then the form is compared in place, so neither plan nor rows grow with the longest form. A dictionary
+    of up to ``max_rows`` forms is broadcast and the text is not shuffled; a larger one meets the tokens by a shuffle, each with the
+    tokens around it. A match inside a longer match is dropped. ``position`` counts tokens, sentence marks included.
+    Columns in ``carry`` come along.
     """
     keys = ["doc_id", "chunk_index", *(["locale"] if locale else []), *carry]
-    on = ["__key", *(["locale"] if locale else [])]
+    more = ["locale"] if locale else []
     plain = F.filter(name_tokens(F.col("form")), lambda t: ~t.rlike(SENTENCE_MARK))
-    known = forms.select("skill_id", "form", *(["locale"] if locale else []), F.array_join(plain, " ").alias("__key"),
-                         F.size(plain).alias("words")).filter("words > 0").distinct()
-    lengths = sorted(r["words"] for r in known.select("words").distinct().collect())  # as many as the longest form has words
-    split = chunks.select(*keys, F.transform(name_tokens(F.col("text")), lambda t: F.when(~t.rlike(SENTENCE_MARK), t)).alias("w1"))
-    if lengths in ([], [1]):
-        rows = split.select(*keys, F.posexplode_outer("w1").alias("position", "__key")).select(
-            *keys, (F.col("position") + 1).alias("position"), "__key")
+    # The dictionary is tokenised once; all that follows reads the stored rows.
+    known = cut(forms.select("skill_id", "form", *more, plain.alias("__plain")).filter("size(__plain) > 0").distinct()
+                .withColumns({"__key": F.array_join("__plain", " "), "words": F.size("__plain")}))
+    anchors = anchored_forms(known, counts)
+    tokens = F.transform(name_tokens(F.col("text")), lambda t: F.when(~t.rlike(SENTENCE_MARK), t)).alias("__tokens")
+    at = chunks.select(*keys, tokens).select(*keys, "__tokens", F.posexplode_outer("__tokens").alias("__at", "anchor"))
+    first = F.col("__at") - F.col("__off")  # where the match would begin, from 0
+    if small := fits(anchors, max_rows):
+        at, anchors, begin = at.filter("anchor is not null"), F.broadcast(anchors), first
     else:
-        # Each token beside those after it: the n-grams are then plain column expressions.
-        most = lengths[-1]
-        shifted = [F.slice("w1", n, F.greatest(F.size("w1"), F.lit(1))).alias(f"w{n}") for n in range(2, most + 1)]
-        flat = split.select(*keys, F.posexplode_outer(F.arrays_zip("w1", *shifted)).alias("position", "z"))
-        word = [F.col("z")[f"w{n}"] for n in range(1, most + 1)]
-        grams = [F.concat(*[x for w in word[:n] for x in (F.lit(" "), w)][1:]) for n in lengths]  # NULL over a sentence mark
-        rows = flat.select(*keys, (F.col("position") + 1).alias("position"), F.explode(F.array(*grams)).alias("__key"))
-    hits = rows.filter("__key is not null").join(broadcast_if_small(known.select(*on, "words").distinct()), on)
-    if lengths not in ([], [1]):
-        w = Window.partitionBy("doc_id", "chunk_index").orderBy("position", F.desc("words"))
-        before = F.max(F.col("position") + F.col("words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        inside = F.coalesce(before >= F.col("position") + F.col("words"), F.lit(False))
-        hits = hits.withColumn("__in", inside).filter("not __in").drop("__in")
-    return hits.join(broadcast_if_small(known.drop("words")), on).drop("__key")
+        most = known.agg(F.max("words")).first()[0]
+        around = F.slice("__tokens", F.greatest(F.col("__at") - F.lit(most - 2), F.lit(1)), F.lit(2 * most - 1))
+        at = at.filter("anchor is not null").withColumn("__tokens", around)
+        begin = first - F.greatest(F.col("__at") - F.lit(most - 1), F.lit(0))
+    same = F.when((begin >= 0) & (begin + F.col("words") <= F.size("__tokens")), F.slice("__tokens", begin + 1, F.col("words")) == F.col("__plain")).otherwise(False)
+    hits = at.join(anchors, ["anchor", *more]).filter(same).select(*keys, (first + 1).alias("position"), "__key", "words")
+    w = Window.partitionBy("doc_id", "chunk_index").orderBy("position", F.desc("words"))
+    before = F.max(F.col("position") + F.col("words")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.coalesce(before >= F.col("position") + F.col("words"), F.lit(False))
+    hits = hits.withColumn("__in", inside).filter("not __in").drop("__in")
+    named = known.drop("__plain", "words")
+    return hits.join(F.broadcast(named) if small and fits(named, max_rows) else named, ["__key", *more]).drop("__key")
 
 
 RESULT = ["doc_id", "chunk_index", "skill_id", "confidence", "evidence", "proficiency_hint", "context_type",
