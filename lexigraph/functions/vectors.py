@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from lexigraph import config
-from lexigraph.plans.scale import fits, top_k
+from lexigraph.plans.scale import cut, fits, top_k
 
 DIGITS = 6
 # Vectors sent to every executor at most: rows times dimensions (64 MB).
@@ -98,18 +98,134 @@ class _Side:
         return pd.DataFrame({"query_id": np.asarray(q_ids, dtype=object)[rows], "id": self.ids[cols], "similarity": found})
 
 
-def _pair_blocks(queries: DataFrame, vectors: DataFrame, match, block_rows: int) -> DataFrame:
-    """Meet every block of queries with every block of vectors; both sides are hashed into blocks."""
-    nq = max(1, -(-queries.count() // block_rows))
-    nv = max(1, -(-vectors.count() // block_rows))
-    left = (queries.withColumn("__q", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-            .withColumn("__v", F.expr(f"explode(sequence(0L, {nv - 1}L))")))
-    right = (vectors.withColumn("__v", F.pmod(F.xxhash64("id"), F.lit(nv)))
-             .withColumn("__q", F.expr(f"explode(sequence(0L, {nq - 1}L))")))
-    return (left.groupBy("__q", "__v").cogroup(right.groupBy("__q", "__v"))
+#: Centres at most, and what rounding may take from a bound: of an angle, and of a similarity (which has six digits).
+MAX_CENTRES, SLACK = 4_096, 2e-6
+
+
+class Cells:
+    """Vectors dealt to cells around sampled centres; a cell knows its size and its widest angle to the centre.
+
+    A query at an angle ``t`` to the centre meets no vector of the cell at less than ``t`` minus that widest angle (triangle
+    inequality on the sphere), which bounds its similarity to all of them.
+    """
+
+    def __init__(self, centres: np.ndarray, sizes: np.ndarray, radii: np.ndarray):
+        self.centres, self.sizes, self.radii = centres, sizes, radii
+
+    def angles(self, m: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(m @ self.centres.T, -1.0, 1.0))
+
+    def bounds(self, angles: np.ndarray) -> np.ndarray:
+        """No vector of the cell is more similar to a query at these angles."""
+        most = np.cos(np.maximum(angles - self.radii - SLACK, 0.0)) + SLACK
+        return np.where(self.sizes > 0, most, -np.inf)
+
+    def near(self, angles: np.ndarray, k: int) -> np.ndarray:
+        """The nearest cells that hold ``k`` vectors together, per query as a mask."""
+        order = np.argsort(angles, axis=1, kind="stable")
+        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        mask = np.zeros(angles.shape, bool)
+        np.put_along_axis(mask, order, (before < k) & (self.sizes[order] > 0), axis=1)
+        return mask
+
+
+def _steps(batch: pd.DataFrame, width: int) -> Iterator[pd.DataFrame]:
+    """Rows of a batch in runs whose similarities to ``width`` others stay small."""
+    step = max(1, min(1024, 8_000_000 // max(1, width)))
+    for at in range(0, len(batch), step):
+        yield batch.iloc[at:at + step]
+
+
+def deal(vectors: DataFrame, dims: int) -> tuple[DataFrame, Cells]:
+    """``vectors`` with their ``cell``, stored, and the cells. Centres are about the square root of the vectors, of a bounded size.
+
+    Vectors without length match nothing and are left out.
+    """
+    n = vectors.count()
+    most = max(1, min(MAX_CENTRES, BROADCAST_MAX_VALUES // (2 * dims), int(np.ceil(np.sqrt(n)))))
+    sample = vectors.select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(most).toPandas()
+    centres = _unit(_matrix(sample["embedding"]))
+    centres = np.unique(centres[~np.isnan(centres).any(axis=1)], axis=0)
+    if not len(centres):
+        centres = np.eye(1, dims)
+    held = vectors.sparkSession.sparkContext.broadcast(Cells(centres, np.zeros(len(centres)), np.zeros(len(centres))))
+    names = [c for c in vectors.columns if c != "embedding"]
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in _steps(batch, len(held.value.centres)):
+                m = _unit(_matrix(part["embedding"]))
+                good = ~np.isnan(m).any(axis=1)
+                angles = held.value.angles(m[good])
+                cell = angles.argmin(axis=1) if len(angles) else np.zeros(0, int)
+                yield part[good].assign(cell=cell.astype(np.int64), angle=angles[np.arange(len(cell)), cell])
+
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
+    placed = cut(vectors.select(*names, "embedding").mapInPandas(
+        place, ", ".join(f"{c} {kinds[c]}" for c in (*names, "embedding")) + ", cell long, angle double"))
+    sizes, radii = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("r")).collect():
+        sizes[r["cell"]], radii[r["cell"]] = r["n"], r["r"]
+    return placed.drop("angle"), Cells(centres, sizes, radii)
+
+
+def meetings(queries: DataFrame, cells: Cells, near: int | None = None, least: float | None = None) -> DataFrame:
+    """``queries`` once for every ``cell`` they have to meet: the nearest ones that hold ``near`` vectors, or those that may hold
+    a vector at or above ``least`` (and the query's own ``floor``, if it has one) and were not among the nearest."""
+    held = queries.sparkSession.sparkContext.broadcast(cells)
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    second = "floor" in kinds
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = held.value
+        for batch in batches:
+            for part in _steps(batch, len(c.centres)):
+                m = _unit(_matrix(part["embedding"]))
+                part, m = part[~np.isnan(m).any(axis=1)], m[~np.isnan(m).any(axis=1)]
+                if not len(part):
+                    continue
+                angles = c.angles(m)
+                mask = np.ones(angles.shape, bool) if near is None else c.near(angles, near)
+                if second or near is None:
+                    floor = np.full(len(part), -np.inf if least is None else least)
+                    if second:
+                        floor = np.maximum(floor, part["floor"].to_numpy(dtype=float, na_value=-np.inf))
+                        mask = ~mask
+                    mask &= c.bounds(angles) >= floor[:, None]
+                row, cell = np.nonzero(mask)
+                yield part.iloc[row].assign(cell=cell.astype(np.int64))
+
+    return queries.mapInPandas(meet, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", cell long")
+
+
+def _meet_in_cells(asked: DataFrame, placed: DataFrame, cells: Cells, match, block_rows: int) -> DataFrame:
+    """Every asked query meets the vectors of its cell. Large cells, and cells that very many queries ask, are cut into blocks."""
+    spark = asked.sparkSession
+    blocks = spark.createDataFrame([(i, max(1, -(-int(n) // block_rows))) for i, n in enumerate(cells.sizes)], "cell long, __nv long")
+    asks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("long").alias("__nq"))
+    blocks = F.broadcast(blocks.join(asks, "cell").limit(MAX_CENTRES))  # a row a cell
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = (asked.join(blocks, "cell").withColumn("__q", F.pmod(F.xxhash64("query_id"), "__nq")).withColumn("__v", spread("__nv")).drop("__nq", "__nv", "floor"))
+    right = (placed.join(blocks, "cell").withColumn("__v", F.pmod(F.xxhash64("id"), "__nv")).withColumn("__q", spread("__nq")).drop("__nq", "__nv"))
+    return (left.groupBy("cell", "__q", "__v").cogroup(right.groupBy("cell", "__q", "__v"))
             .applyInPandas(match, "query_id string, id string, similarity double"))
 
 
+def _search_cells(queries: DataFrame, vectors: DataFrame, dims: int, k: int | None, least: float | None, match, block_rows: int,
+                  spare: int) -> DataFrame:
+    """Exact search in the cells that can hold a result. With ``k``, a query first meets the nearest cells that hold enough
+    vectors; its ``k``-th similarity there is the floor that any other cell's bound has to reach."""
+    placed, cells = deal(vectors, dims)
+    if k is None:
+        return _meet_in_cells(meetings(queries, cells, None, least), placed, cells, match, block_rows)
+    near = k + spare
+    first = cut(_meet_in_cells(meetings(queries, cells, near), placed, cells, match, block_rows))
+    kth = (top_k(first, ["query_id"], [F.col("similarity").desc(), F.col("id")], k).filter(F.col("rank") == k)
+           .groupBy("query_id").agg(F.max("similarity").alias("floor")))
+    asked = meetings(queries.join(kth, "query_id", "left"), cells, near, least)
+    return first.unionByName(_meet_in_cells(asked, placed, cells, match, block_rows))
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float | None = None,
             same_group: bool = False, exclude_self: bool = False, later: bool = False,
             block_rows: int = config.VECTOR_BLOCK_ROWS) -> DataFrame:
@@ -117,8 +233,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float
 
     ``queries(query_id, embedding[, grp])`` against ``vectors(id, embedding[, grp])``: the best ``k`` if given,
     at or above ``least`` if given, within the same ``grp`` if asked. Vectors that fit a checked size are sent to
-    all executors and the queries are streamed past them without a shuffle; larger sets meet block by block. Each block
-    returns ``k`` rows a query at most. With ``later`` a query meets only ids after its own (each pair once).
+    all executors and the queries are streamed past them without a shuffle; larger sets are dealt to cells, and a query meets
+    only cells that can hold a result. Each block returns ``k`` rows a query at most. With ``later`` a query meets only ids after its own (each pair once).
     """
     if k is None and least is None:
         raise ValueError("give k, least or both")
@@ -153,7 +269,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, least: float
 
         found = q.mapInPandas(scan, "query_id string, id string, similarity double")
     else:
-        found = _pair_blocks(q, v, join_blocks, block_rows)
+        found = _search_cells(q, v, first["n"], k, least, join_blocks, block_rows, 1 if exclude_self or later else 0)
     if k is None:
         return found
     return top_k(found, ["query_id"], [F.col("similarity").desc(), F.col("id")], k)

@@ -113,3 +113,46 @@ def test_typos_match_brute_force(spark):
     slack = lambda s: sum(2 if len(w) >= 5 else 1 if len(w) >= 3 else 0 for w in s.split())
     want = sorted((a, b) for a in (*words, "pyhton", "machne learnin") for b in words if slack(a) and distance(a, b) <= slack(a))
     assert rows(search.typo_matches(q, forms), "q", "form") == want and ("pyhton", "python") in want
+
+
+@pytest.mark.parametrize("k,least", [(3, None), (None, 0.9), (2, 0.95)])
+def test_cells_prune_and_lose_nothing(spark, monkeypatch, k, least):
+    """Clustered vectors, copies of one, a zero vector: results of brute force, and few of all pairs are compared."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    m = np.concatenate([c + 0.05 * rng.normal(size=(40, 16)) for c in centres] + [np.tile(centres[0], (50, 1)), np.zeros((1, 16))]).astype("float32")
+    q = np.concatenate([c + 0.05 * rng.normal(size=(5, 16)) for c in centres] + [np.zeros((1, 16)), rng.normal(size=(2, 16))]).astype("float32")
+    monkeypatch.setattr(vectors, "BROADCAST_MAX_VALUES", 1024)
+    pairs = []
+    whole = vectors._meet_in_cells
+
+    def counted(asked, placed, cells, match, block_rows):
+        pairs.append(sum(int(cells.sizes[r["cell"]]) for r in asked.select("cell").collect()))
+        return whole(asked, placed, cells, match, block_rows)
+
+    monkeypatch.setattr(vectors, "_meet_in_cells", counted)
+    got = vectors.nearest(frame(spark, q, "query_id", "q"), frame(spark, m), k, least, block_rows=32)
+    with np.errstate(invalid="ignore"):
+        unit = lambda x: x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        s = np.round(unit(q) @ unit(m).T, 6)
+    want = []
+    for i in range(len(q)):
+        order = [j for j in sorted(range(len(m)), key=lambda j: (-s[i, j], f"v{j:03d}")) if s[i, j] >= (-2 if least is None else least)]
+        want += [(f"q{i:03d}", f"v{j:03d}", float(s[i, j])) for j in order[:k]]
+    assert rows(got, "query_id", "id", "similarity") == sorted(want)
+    assert sum(pairs) < 0.35 * len(q) * len(m)
+
+
+def test_bound_of_a_cell_holds():
+    rng = np.random.default_rng(6)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    m, q, c = unit(rng.normal(size=(300, 5))), unit(rng.normal(size=(200, 5))), unit(rng.normal(size=(9, 5)))
+    cells = vectors.Cells(c, np.zeros(9), np.zeros(9))
+    angles = cells.angles(m)
+    home = angles.argmin(axis=1)
+    cells.sizes = np.bincount(home, minlength=9)
+    cells.radii = np.array([angles[home == i, i].max() if (home == i).any() else 0 for i in range(9)])
+    best = np.stack([(q @ m[home == i].T).max(axis=1) if (home == i).any() else np.full(200, -np.inf) for i in range(9)], axis=1)
+    assert (cells.bounds(cells.angles(q)) >= best).all()
+    near = cells.near(cells.angles(q), 60)
+    assert ((near * cells.sizes).sum(axis=1) >= 60).all()
