@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import permutations
+from string import ascii_uppercase
 
 import pandas as pd
 import pyarrow as pa
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexigraph.functions.text import let
 from lexigraph.plans.scale import work_dir
 
 FILTERS = "ABCDE"
@@ -45,10 +47,10 @@ def text_mask(text: Column) -> Column:
     """Bits of the filters A to D that a text fails."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    upper = F.length(F.regexp_replace(text, "[^A-Z]", ""))
-    tests = [F.size(words) < 50, 100 * F.size(F.array_distinct(words)).cast("long") < 65 * F.size(words).cast("long"),
-             100 * upper.cast("long") > 5 * F.length(text).cast("long"), text.rlike(r"[#$%&*|]")]
-    return sum((F.when(t, 1 << k).otherwise(0) for k, t in enumerate(tests)), F.lit(0)).cast("int")
+    few = let(words, lambda w: (F.size(w) < 50).cast("int") + F.when(100 * F.size(F.array_distinct(w)).cast("long") < 65 * F.size(w).cast("long"), 2).otherwise(0))
+    upper = F.length(text) - F.length(F.translate(text, ascii_uppercase, ""))
+    tests = [100 * upper.cast("long") > 5 * F.length(text).cast("long"), text.rlike(r"[#$%&*|]")]
+    return sum((F.when(t, 4 << k).otherwise(0) for k, t in enumerate(tests)), few).cast("int")
 
 
 def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
