@@ -277,7 +277,9 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     folder = work_dir(spark, "warc")
     write(pages, folder, least)
-    return resolve(read(spark, folder, payloads=False, id_type=pages.schema["page_id"].dataType.simpleString()))
+    found = work_dir(spark, "warc_records")  # the archives are read once
+    read(spark, folder, payloads=False, id_type=pages.schema["page_id"].dataType.simpleString()).drop("payload", "archive").write.parquet(found)
+    return resolve(spark.read.parquet(found))
 
 
 SQL = """
