@@ -28,9 +28,10 @@ UNDETERMINED = "und"
 SCRIPTS = (("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F),
            ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F),
            ("devanagari", 0x900, 0x97F), ("bengali", 0x980, 0x9FF), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF),
-           ("hangul", 0x1100, 0x11FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
+           ("hangul", 0x1100, 0x11FF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
+           ("han", 0x20000, 0x323AF))
 _names = sorted({n for n, _, _ in SCRIPTS})
-_SIZE = 0x20000
+_SIZE = 0x110000
 _script = np.zeros(_SIZE, np.uint8)
 for _name, _lo, _hi in SCRIPTS:
     _script[_lo:_hi + 1] = _names.index(_name) + 1
@@ -41,8 +42,7 @@ N_SCRIPTS = len(_names) + 1
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts (lower case, a blank between two), and each word's start, end and text number."""
     points = np.frombuffer(" ".join(t.lower() for t in texts).encode("utf-32-le", "replace"), np.uint32)
-    at = np.minimum(points, _SIZE - 1)
-    inside = _letter[at] & (points < _SIZE)
+    inside = _letter[points]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     ends = np.cumsum([len(t.lower()) + 1 for t in texts])

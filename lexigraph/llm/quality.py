@@ -163,5 +163,9 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. Decided beside the row: no text is shuffled."""
-    return _judged(docs, docs.columns, threshold).filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, with all their columns. Decided beside the row: no text is shuffled.
+
+    A row travels as one struct, so that its columns may have any name.
+    """
+    packed = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+    return _judged(packed, ["__row"], threshold).filter("__kept").select("__row.*")

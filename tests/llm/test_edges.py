@@ -144,3 +144,20 @@ def test_stages(spark, odd, none, name, stage):
         assert out.columns == odd.columns
     assert out.count() > 0
     assert stage(spark, none, folder).count() == 0
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    names = ["__q", "__good", "__text", "__pattern", "__kept", "__failed", "__row", "n_words"]
+    text = "The committee met on Tuesday to talk about the plan, and nobody objected to it at the time. " * 4
+    df = spark.createDataFrame([(k, f"{k} {text}", *[f"{n}{k}" for n in names]) for k in range(3)], ["doc_id", "text", *names])
+    got = {r["doc_id"]: r for r in quality.keep(df).collect()}
+    kept = {r["doc_id"] for r in quality.judge(df).collect() if r["kept"]}
+    assert set(got) == kept and all(got[k][n] == f"{n}{k}" for k in got for n in names) and list(quality.keep(df).columns) == df.columns
+
+
+def test_letters_beyond_the_first_planes(spark):
+    """Ideographs from U+20000 on are letters: their text has a language."""
+    docs = spark.createDataFrame([(k, "これは 日本語 の 文章 です" if k % 2 else "this is some english text", "ja" if k % 2 else "en") for k in range(60)], "doc_id long, text string, lang string")
+    ask = spark.createDataFrame([(1, "\U00020000\U00020001\U0002A6D6", None), (2, "123 !?", None)], docs.schema)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(ask, langid.learn(docs)).collect()}
+    assert got[1] in ("ja", "en") and got[2] == "und"
