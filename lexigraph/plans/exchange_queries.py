@@ -114,6 +114,21 @@ def _(d):
     return exchange.build_requests(chunks, cands).select("chunk_id", "prompt")
 
 
+# Prompts with the documents' own chunks: each chunk takes the vector of its document's number.
+@query("s9_document_requests", f"""
+WITH v AS (SELECT doc_id::VARCHAR AS chunk_id, text, v.embedding FROM fx_docs JOIN fx_vectors v ON v.id = concat('v', doc_id)),
+s AS (SELECT chunk_id, k.id, external_id, canonical_name, {sim('v', 'k')} AS similarity FROM v JOIN fx_skills k ON {_ACTIVE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY similarity DESC, id) AS rank FROM s),
+l AS (SELECT chunk_id, string_agg(concat('[', external_id, '] ', canonical_name), E'\\n' ORDER BY rank) AS lines FROM r WHERE rank <= 100 GROUP BY 1)
+SELECT d.doc_id::VARCHAR AS chunk_id, concat_ws(E'\\n\\n', lines, text) AS prompt FROM fx_docs d LEFT JOIN l ON l.chunk_id = d.doc_id::VARCHAR""")
+def _(d):
+    docs = d.docs().select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    vectors = d.vectors().select(F.col("id").alias("vec"), "embedding")
+    asks = docs.select(F.col("chunk_id").alias("query_id"), F.concat(F.lit("v"), "chunk_id").alias("vec")).join(vectors, "vec").select("query_id", "embedding")
+    cands = search.candidates(asks, d.skills()).withColumnRenamed("query_id", "chunk_id")
+    return exchange.build_requests(docs, cands).select("chunk_id", "prompt")
+
+
 def _responses(d):
     m = d.mentions().withColumn("ev", F.col("evidence")[0])
     body = F.expr("""concat('{"extracted_skills":[{', CASE WHEN chunk_index = 5 THEN '' ELSE

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexigraph.operators import graph, joins, quality
+from lexigraph.operators import density, graph, joins, quality
 from lexigraph.plans.registry import query
+from lexigraph.plans.search_queries import sim
+
+NEAR = 0.7000005  # between two values of six digits
 
 
 @query("g0_hierarchy", "SELECT * FROM fx_hierarchy")
@@ -276,3 +279,41 @@ def _(d):
     per = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.count_if(
         F.col("gap") != (F.col("size") < 5)).alias("wrong"), F.count_distinct("id").alias("ids"))
     return per.agg(F.sum("n").alias("vectors"), F.sum("ids").alias("ids"), F.sum("size").alias("size_sum"), F.sum("wrong").alias("wrong_gaps"))
+
+
+# Clusters of one level of the density tree: neighbours within reach of each other, from all pairs.
+_REACH = f"""
+s AS (SELECT a.id AS x, b.id AS y, {sim('a', 'b')} AS similarity FROM fx_vectors a JOIN fx_vectors b ON a.id <> b.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY similarity DESC, y) AS rank FROM s QUALIFY rank <= 5),
+core AS (SELECT x AS id, round(1 - min(similarity), 6) AS core FROM near GROUP BY 1),
+reach_pairs AS (SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b,
+  greatest(round(1 - similarity, 6), p.core, q.core, 0.000001) AS w
+  FROM near JOIN core p ON p.id = x JOIN core q ON q.id = y)"""
+
+
+@query("g10_reach_graph", f"WITH {_REACH} SELECT a, b, w FROM reach_pairs")
+def _(d):
+    return density.reach_graph(d.vectors())
+
+
+@query("g10_density_cut", f"""WITH {_REACH},
+e AS (SELECT a, b FROM reach_pairs WHERE w <= {NEAR} UNION SELECT b, a FROM reach_pairs WHERE w <= {NEAR}),
+reached(v, t) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM reached r JOIN e ON e.a = r.t),
+named AS (SELECT v, min(t) AS cluster, count(*) AS size FROM reached GROUP BY 1)
+SELECT id, cluster, size FROM fx_vectors LEFT JOIN (SELECT * FROM named WHERE size >= 5) ON v = id""")
+def _(d):
+    return density.density_cut(d.vectors(), NEAR)
+
+
+# The most stable clusters over all levels; tests compare them with a brute-force tree.
+@query("g10_density_clusters")
+def _(d):
+    return density.density_clusters(d.vectors())
+
+
+@query("g10_density_invariants", "SELECT count(DISTINCT id) AS ids, 0::BIGINT AS wrong FROM fx_vectors")
+def _(d):
+    rows = density.density_clusters(d.vectors())
+    per = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min("id").alias("first"))
+    wrong = F.col("cluster").isNotNull() & ((F.col("n") != F.col("size")) | (F.col("first") != F.col("cluster")) | (F.col("n") < 5))
+    return per.agg(F.sum("n").alias("ids"), F.count_if(wrong).alias("wrong"))

@@ -107,6 +107,7 @@ def backfill_embeddings(df: DataFrame, cache: DataFrame, embed_fn: Callable[[lis
 
     fresh = todo.mapInPandas(run, "key string, embedding array<float>")
     known = cache.select("key", "embedding").unionByName(fresh)
-    filled = keyed.join(known.withColumnRenamed("embedding", "__e"), "key", "left").withColumn(
-        "embedding", F.coalesce("embedding", "__e")).drop("key", "__e")
+    asking = keyed.filter("embedding is null and text is not null").select("id", "key").distinct()
+    given = asking.join(known, "key").select("id", "key", F.col("embedding").alias("__e"))
+    filled = keyed.join(broadcast_if_small(given), ["id", "key"], "left").withColumn("embedding", F.coalesce("embedding", "__e")).select(*df.columns)
     return filled, fresh
