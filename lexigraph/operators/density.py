@@ -166,7 +166,7 @@ def highest_chosen(clusters: DataFrame) -> DataFrame:
 
 
 def density_clusters(vectors: DataFrame, k: int = 5, least: int = 5, sparse: int = 8, range_edges: int = 200_000) -> DataFrame:
-    """``id, cluster`` (its smallest id; NULL: noise), ``size`` and ``gap`` (a cluster of under ``sparse`` vectors) of every vector.
+    """``id, cluster`` (its smallest id; NULL: noise), ``size`` (0 for noise) and ``gap`` (a cluster of under ``sparse`` vectors) of every vector.
 
     Vectors without length have no neighbours and are noise.
     """
@@ -176,7 +176,7 @@ def density_clusters(vectors: DataFrame, k: int = 5, least: int = 5, sparse: int
     member = places.join(highest_chosen(clusters), F.col("home") == F.col("cid")).filter("top is not null").select(F.col("v").alias("id"), "top")
     named = member.groupBy("top").agg(F.min("id").alias("cluster"), F.count(F.lit(1)).alias("size"))
     return (every.join(member.join(named, "top").drop("top"), "id", "left")
-            .withColumn("gap", F.coalesce(F.col("size") < sparse, F.lit(False))))
+            .withColumns({"size": F.coalesce("size", F.lit(0).cast("bigint")), "gap": F.coalesce(F.col("size") < sparse, F.lit(False))}))
 
 
 def density_cut(vectors: DataFrame, distance: float, k: int = 5, least: int = 5) -> DataFrame:
@@ -184,4 +184,5 @@ def density_cut(vectors: DataFrame, distance: float, k: int = 5, least: int = 5)
     every = vectors.filter("embedding is not null").select(F.col("id").cast("string").alias("id")).distinct()
     _, labels = spanning_tree(reach_graph(vectors, k).filter(F.col("w") <= distance))
     named = labels.groupBy("component").agg(F.min("v").alias("cluster"), F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
-    return every.join(labels.join(named, "component").select(F.col("v").alias("id"), "cluster", "size"), "id", "left")
+    found = labels.join(named, "component").select(F.col("v").alias("id"), "cluster", "size")
+    return every.join(found, "id", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("bigint")))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigraph import config
+from lexigraph.plans.scale import broadcast_if_small, cut
 
 DAY = "date_format(ts, 'yyyy-MM-dd')"
 
@@ -104,14 +105,67 @@ def regression(history: DataFrame, most: float = 0.01) -> DataFrame:
         "passed", F.coalesce(F.col("drop") <= most, F.lit(True)))
 
 
-def log_metrics(log: DataFrame, by: list[str], exact: bool = True) -> DataFrame:
-    """Latency percentiles, error rate and load by every combination of the given columns."""
-    def pct(p: float) -> Column:
-        return F.percentile("latency", F.lit(p)) if exact else F.percentile_approx("latency", p, 10_000)
+def cube_rows(log: DataFrame, by: list[str], *carry: str) -> DataFrame:
+    """Each row once for every subset of ``by``: its key ``__g`` (NULL where a column is rolled up; ``__set`` tells which) and ``carry``."""
+    keys = [F.struct(F.lit(s).alias("__set"), *[(F.col(c) if s >> k & 1 else F.lit(None).cast(log.schema[c].dataType)).alias(c) for k, c in enumerate(by)])
+            for s in range(1 << len(by))]
+    return log.select(F.explode(F.array(*keys)).alias("__g"), *carry)
 
-    return log.cube(*by).agg(
-        F.count(F.lit(1)).alias("requests"), F.round(pct(0.5), 4).alias("p50"), F.round(pct(0.95), 4).alias("p95"),
-        F.round(pct(0.99), 4).alias("p99"), F.round(F.avg(F.col("failed").cast("int")), 6).alias("error_rate"))
+
+def exact_quantiles(rows: DataFrame, points: tuple[float, ...], value: str = "latency", buckets: int = 1024) -> DataFrame:
+    """``__g`` and ``q`` (an array, one value a point; between two ranks by proportion) of every group of ``rows(__g, value)``.
+
+    Rank selection by histograms: a round counts the values of each group in buckets of the intervals that hold a wanted
+    rank, and keeps of each the bucket the rank falls into, until its values are all equal. A task holds buckets, never a
+    group's values; an interval shrinks by the number of buckets each round.
+    """
+    rows = rows.select("__g", F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    whole = rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("__n") - 1)).alias("at")) for i, p in enumerate(points)])
+    asked = whole.withColumn("__w", F.explode(wanted)).withColumn("__rank", F.explode(F.array(F.floor("__w.at"), F.ceil("__w.at"))))
+    ranks = cut(asked.select("__g", "__rank", "__lo", "__hi", F.lit(0).cast("bigint").alias("__before")).distinct())
+    spots = cut(asked.select("__g", "__w.i", "__w.at").distinct())
+    while not ranks.filter("__lo < __hi").isEmpty():
+        open_ = ranks.filter("__lo < __hi").select("__g", "__lo", "__hi", "__before").distinct()
+        # The largest value has a bucket of its own, so that every interval gets smaller.
+        place = F.when(F.col("__v") == F.col("__hi"), F.lit(buckets)).otherwise(
+            F.least(F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets), F.lit(buckets - 1)))
+        counts = (rows.join(broadcast_if_small(open_), "__g").filter("__v between __lo and __hi")
+                  .groupBy("__g", "__lo", "__hi", "__before", place.alias("__b"))
+                  .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__first"), F.max("__v").alias("__last")))
+        w = Window.partitionBy("__g", "__lo", "__hi").orderBy("__b")
+        upto = counts.withColumn("__upto", F.col("__before") + F.sum("__c").over(w)).drop("__before")
+        found = ranks.drop("__before").filter("__lo < __hi").join(upto, ["__g", "__lo", "__hi"]).filter("__rank < __upto and __rank >= __upto - __c")
+        ranks = cut(ranks.filter("__lo = __hi").unionByName(found.select(
+            "__g", "__rank", F.col("__first").alias("__lo"), F.col("__last").alias("__hi"), (F.col("__upto") - F.col("__c")).alias("__before"))))
+    low, high = (ranks.select("__g", F.col("__rank").alias(f"__{x}"), F.col("__lo").alias(x)) for x in ("a", "b"))
+    both = (spots.withColumns({"__a": F.floor("at"), "__b": F.ceil("at")}).join(low, ["__g", "__a"]).join(high, ["__g", "__b"])
+            .select("__g", F.struct("i", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.col("__a"))).alias("x")).alias("q")))
+    return both.groupBy("__g").agg(F.transform(F.array_sort(F.collect_list("q")), lambda q: q["x"]).alias("q"))
+
+
+def log_metrics(log: DataFrame, by: list[str], exact: bool = True, load: bool = False) -> DataFrame:
+    """Latency percentiles, error rate and load by every combination of the given columns.
+
+    With ``load`` also what the log has columns for: requests a minute between the first and the last (``ts_us``; NULL for a single
+    moment), the share of ``cache_hit``, and sums of ``input_tokens`` and ``output_tokens``.
+    """
+    minutes = (F.max("ts_us") - F.min("ts_us")) / F.lit(60e6)
+    more = {"ts_us": F.round(F.when(minutes > 0, F.count(F.lit(1)) / minutes), 6).alias("per_minute"),
+            "cache_hit": F.round(F.avg(F.col("cache_hit").cast("int")), 6).alias("cache_hit_ratio"),
+            "input_tokens": F.sum("input_tokens").alias("input_tokens"), "output_tokens": F.sum("output_tokens").alias("output_tokens")}
+    has = [c for c in more if load and c in log.columns]
+    rows = cube_rows(log, by, "latency", "failed", *has)
+    points = (0.5, 0.95, 0.99)
+    sums = [F.count(F.lit(1)).alias("requests"), F.round(F.avg(F.col("failed").cast("int")), 6).alias("error_rate"), *[more[c] for c in has]]
+    if exact:
+        q = exact_quantiles(rows, points).withColumnRenamed("__g", "__h")
+        out = rows.groupBy("__g").agg(*sums).join(q, F.col("__g").eqNullSafe(F.col("__h")), "left")
+    else:
+        out = rows.groupBy("__g").agg(*sums, F.percentile_approx("latency", list(points), 10_000).alias("q"))
+    extra = [c for c in out.columns if c not in ("__g", "__h", "q", "requests", "error_rate")]
+    return out.select(*[F.col(f"__g.{c}").alias(c) for c in by], "requests",
+                      *[F.round(F.col("q")[i], 4).alias(f"p{round(100 * p)}") for i, p in enumerate(points)], "error_rate", *extra)
 
 
 def cost_alerts(log: DataFrame, factor: float = 1.2) -> DataFrame:

@@ -300,7 +300,7 @@ def _(d):
 e AS (SELECT a, b FROM reach_pairs WHERE w <= {NEAR} UNION SELECT b, a FROM reach_pairs WHERE w <= {NEAR}),
 reached(v, t) AS (SELECT a, a FROM e UNION SELECT r.v, e.b FROM reached r JOIN e ON e.a = r.t),
 named AS (SELECT v, min(t) AS cluster, count(*) AS size FROM reached GROUP BY 1)
-SELECT id, cluster, size FROM fx_vectors LEFT JOIN (SELECT * FROM named WHERE size >= 5) ON v = id""")
+SELECT id, cluster, coalesce(size, 0) AS size FROM fx_vectors LEFT JOIN (SELECT * FROM named WHERE size >= 5) ON v = id""")
 def _(d):
     return density.density_cut(d.vectors(), NEAR)
 

@@ -136,6 +136,20 @@ def _(d):
     return metrics.log_metrics(log, ["task", "tier"])
 
 
+@query("a12_load_metrics", """
+WITH l AS (SELECT *, CASE WHEN key % 2 = 0 THEN 'small' ELSE 'large' END AS tier, event_id % 3 <> 0 AS hit,
+  event_id % 500 AS tin, event_id % 90 AS tout FROM fx_log)
+SELECT task, tier, count(*) AS requests, round(quantile_cont(latency, 0.5), 4) AS p50,
+  round(quantile_cont(latency, 0.95), 4) AS p95, round(quantile_cont(latency, 0.99), 4) AS p99,
+  round(avg(failed::INT), 6) AS error_rate, round(count(*) / ((max(ts_us) - min(ts_us)) / 60e6), 6) AS per_minute,
+  round(avg(hit::INT), 6) AS cache_hit_ratio, sum(tin)::BIGINT AS input_tokens, sum(tout)::BIGINT AS output_tokens
+FROM l GROUP BY CUBE (task, tier)""")
+def _(d):
+    log = d.log().withColumns({"tier": F.when(F.col("key") % 2 == 0, "small").otherwise("large"), "cache_hit": F.col("event_id") % 3 != 0,
+                               "input_tokens": F.col("event_id") % 500, "output_tokens": F.col("event_id") % 90})
+    return metrics.log_metrics(log, ["task", "tier"], load=True)
+
+
 @query("a13_cost_alerts", """
 WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, round(sum(cost), 4) AS cost FROM fx_log GROUP BY 1),
 n AS (SELECT *, datediff('day', DATE '1970-01-01', day::DATE) AS n FROM c),
