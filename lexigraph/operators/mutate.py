@@ -74,6 +74,20 @@ def create_skills(skills: DataFrame, aliases: DataFrame, reqs: DataFrame, status
                   {"skills": rows, "aliases": forms, "requested": slugged.select("req_id", F.col("id").alias("skill_id"))})
 
 
+def create_unique_skills(skills: DataFrame, aliases: DataFrame, reqs: DataFrame, alias_vectors: DataFrame, status: str = "candidate") -> Change:
+    """M1 with V4: requests carry a vector; those nearly equal to a concept are rejected as its duplicates, doubtful ones go to
+    ``extra["review"]`` (req_id, name, skill_id, similarity), the rest is created. A request without a vector is not compared."""
+    from lexigraph.operators import search
+
+    asked = reqs.select(F.col("req_id").cast("string").alias("query_id"), "embedding").filter("embedding is not null")
+    near = cut(search.check_duplicates(asked, skills, alias_vectors)).select(F.col("query_id").alias("__req"), "skill_id", "similarity", "verdict")
+    judged = cut(reqs.drop("embedding").join(near, F.col("req_id").cast("string") == F.col("__req"), "left").drop("__req"))
+    made = create_skills(skills, aliases, judged.filter("coalesce(verdict, 'unique') = 'unique'").drop("skill_id", "similarity", "verdict"), status)
+    again = judged.filter("verdict = 'duplicate'").select("req_id", F.concat(F.lit("duplicate of "), "skill_id").alias("reason"))
+    return Change(made.tables, made.changelog, made.rejected.unionByName(again),
+                  made.extra | {"review": judged.filter("verdict = 'review'").select("req_id", "name", "skill_id", "similarity")})
+
+
 FIELDS = ("canonical_name", "description", "category", "status")
 
 

@@ -8,6 +8,7 @@ from lexigraph.operators import mutate
 from lexigraph.plans.cooccur_queries import _FLAT, flat
 from lexigraph.plans.graph_queries import VALIDATED, _new_edges
 from lexigraph.plans.registry import query
+from lexigraph.plans.search_queries import V4_SQL
 
 
 def _create(d):
@@ -35,6 +36,20 @@ def _(d):
     return _create(d).rejected
 
 
+# What becomes of requests that carry a vector.
+@query("m1_checked_requests", f"""WITH {V4_SQL}
+SELECT query_id AS req_id, CASE verdict WHEN 'duplicate' THEN concat('duplicate of ', skill_id) WHEN 'review' THEN concat('review: ', skill_id)
+  ELSE 'created' END AS outcome FROM verdicts""")
+def _(d):
+    none = F.lit(None).cast("string")
+    reqs = d.vectors().select(F.col("id").alias("req_id"), F.concat(F.lit("New "), "id").alias("name"), none.alias("description"),
+                              F.lit("tool").alias("category"), F.lit("curator").alias("source"), "embedding")
+    out = mutate.create_unique_skills(d.skills(), d.aliases(), reqs, d.alias_vectors())
+    made = out.extra["requested"].select("req_id", F.lit("created").alias("outcome"))
+    return (made.unionByName(out.rejected.select("req_id", F.col("reason").alias("outcome")))
+            .unionByName(out.extra["review"].select("req_id", F.concat(F.lit("review: "), "skill_id").alias("outcome"))))
+
+
 def _update(d):
     reqs = d.raw("lineitem").select(F.expr("concat('P:', l_suppkey * 21)").alias("id")).distinct().select(
         "id", F.concat(F.lit("renamed "), "id").alias("canonical_name"), F.lit("tool").alias("category"))
@@ -60,6 +75,14 @@ def _(d):
     return _update(d).tables["aliases"].select("id", "surface_form")
 
 
+@query("m2_alias_renames", _UPD + """
+SELECT id, CASE WHEN rid IS NOT NULL AND is_primary AND locale = 'en' THEN concat('renamed ', skill_id)
+  ELSE surface_form END AS surface_form FROM fx_aliases
+LEFT JOIN (SELECT rid FROM r JOIN fx_skills ON id = rid) ON rid = skill_id""")
+def _(d):
+    return _update(d).tables["aliases"].select("id", "surface_form")
+
+
 @query("m2_rejected", _UPD + "SELECT rid AS id, 'unknown concept' AS reason FROM r WHERE rid NOT IN (SELECT id FROM fx_skills)")
 def _(d):
     return _update(d).rejected
