@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -130,3 +131,46 @@ def test_text_length_is_limited_or_not(spark, make_skills, make_edges):
         out = extract.extract_documents(d, forms, make_skills(["py"]), make_edges([]), expand=False, max_chars=most)
         got[most] = rows(out["skills"], "doc_id", "skill_id"), rows(out["failed"], "doc_id")
     assert got == {config.MAX_TEXT_LENGTH: ([("short", "py")], [("long",)]), None: ([("long", "py"), ("short", "py")], [])}
+
+
+@pytest.mark.parametrize("way", ["broadcast", "shuffle", "counts"])
+def test_anchored_forms_match_brute_force(spark, way):
+    """Forms of 1 to 60 words at their rarest token, found by either join; forms that share tokens, keys or places; sentence marks."""
+    import random
+
+    import regex
+
+    rng = random.Random(4)
+    words = ["a", "b", "c", "C++", "node.js", "d", "."]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) for _ in range(30)] + ["", None, "x " * 50 + " ".join(f"w{k}" for k in range(60)) + " . b a"]
+    forms = [(f"s{k}", " ".join(rng.choice(words[:-1]) for _ in range(rng.randint(1, 5)))) for k in range(25)]
+    forms += [("long", " ".join(f"W{k}" for k in range(60))), ("up", "NODE.JS"), ("up2", "node.js"), ("none", "..."), ("part", "w3 w4"), ("cross", "b. a")]
+    tokens = lambda s: regex.findall(r"\.?[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*[+#]*|[.!?]+", (s or "").lower())
+    mark = lambda t: regex.fullmatch(r"[.!?]+", t) is not None
+    want = set()
+    for i, text in enumerate(texts):
+        t, hits = tokens(text), {}
+        for skill, form in forms:
+            plain = [x for x in tokens(form) if not mark(x)]
+            for p in range(len(t) - len(plain) + 1):
+                if plain and t[p:p + len(plain)] == plain:
+                    hits.setdefault((p + 1, len(plain)), set()).add((skill, form))
+        reach = 0
+        for p, n in sorted(hits, key=lambda h: (h[0], -h[1])):
+            if reach < p + n:
+                want |= {(i, s, f, p, n) for s, f in hits[p, n]}
+            reach = max(reach, p + n)
+    chunks = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id int, chunk_index int, text string")
+    counts = spark.createDataFrame([(w.lower(), k) for k, w in enumerate(words)], "token string, df int") if way == "counts" else None
+    got = extract.tag_exact(chunks, spark.createDataFrame(forms, "skill_id string, form string"), counts=counts, max_rows=3 if way == "shuffle" else 1000)
+    assert sorted(map(tuple, got.select("doc_id", "skill_id", "form", "position", "words").collect())) == sorted(want) and len(want) > 100
+
+
+def test_plan_does_not_follow_the_longest_form(spark):
+    chunks = spark.createDataFrame([(1, 0, "a b c")], "doc_id int, chunk_index int, text string")
+    sizes = []
+    for n in (2, 60):
+        forms = spark.createDataFrame([("s", " ".join(f"w{k}" for k in range(n))), ("t", "a b")], "skill_id string, form string")
+        plan = extract.tag_exact(chunks, forms)._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan))
+    assert abs(sizes[1] - sizes[0]) < 200
