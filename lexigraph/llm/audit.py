@@ -97,7 +97,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, batches: int = B
     whole = spark.read.parquet(path)
     light = lambda df: df.select("doc_id", F.coalesce(F.col(part), F.lit("")).alias("part"), text_mask(F.col("text")).alias("mask"),
                                  F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"))
-    files = whole.inputFiles()
+    files = spark.read.format("binaryFile").load(path).inputFiles()  # a listing; that of a cached table would be empty
     # Spark streams folders and patterns: a table that is a single file is named by a pattern that only it matches.
     place = f"{path[:-1]}[{path[-1]}]" if len(files) == 1 and files[0].endswith(path.rsplit("/", 1)[-1]) else path
     stream = (spark.readStream.schema(whole.select("doc_id", "text", part).schema)
