@@ -125,17 +125,67 @@ def check_cycles(new: DataFrame, edges: DataFrame) -> DataFrame:
     return new.join(first.select(F.col("edge_id").alias("id"), F.col("path").alias("cycle_path")), "id", "left")
 
 
-def _strip(pairs: DataFrame) -> DataFrame:
-    """Drop edges that start at a node without a way in or end at a node without a way out, to a fixpoint."""
+def _strip(pairs: DataFrame, rounds: int) -> tuple[DataFrame, bool]:
+    """Drop edges that start at a node without a way in or end at a node without a way out; True at the fixpoint."""
     left = pairs.count()
-    while left:
+    for _ in range(rounds):
+        if not left:
+            break
         pairs = cut(pairs.join(pairs.select(F.col("t").alias("s")).distinct(), "s", "left_semi")
                     .join(pairs.select(F.col("s").alias("t")).distinct(), "t", "left_semi").select("s", "t"))
         now = pairs.count()
         if now == left:
-            break
+            return pairs, True
         left = now
-    return pairs
+    return pairs, not left
+
+
+def _fold(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Replace every chain of nodes with one way in and one way out by a single edge (None if there is no such node).
+
+    Returns the shorter graph, the nodes taken out as (node, s, t) with the edge they became, and the rings that are
+    nothing but a chain as (node, component). Pointers to the chain's end double in every round, so the rounds grow with
+    the logarithm of the longest chain. On a ring no end is found; there the largest node seen stops growing.
+    """
+    ins = pairs.groupBy(F.col("t").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("before")).filter("n = 1")
+    outs = pairs.groupBy(F.col("s").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("after")).filter("n = 1")
+    inner = cut(ins.drop("n").join(outs.drop("n"), "v"))
+    if inner.isEmpty():
+        return None
+    names = inner.select("v")
+    follows = inner.select("v", "after").join(names.select(F.col("v").alias("after"), F.lit(True).alias("__in")), "after", "left")
+    # ``far``: the furthest inner node known ahead; ``top``: the largest node up to there; ``ended``: it is the chain's last.
+    at = cut(follows.select("v", F.when(F.col("__in"), F.col("after")).otherwise(F.col("v")).alias("far"),
+                            F.when(F.col("__in"), F.greatest("v", "after")).otherwise(F.col("v")).alias("top"),
+                            F.col("__in").isNull().alias("ended")))
+    open_before = None
+    while True:
+        ahead = at.select(F.col("v").alias("far"), F.col("far").alias("__far"), F.col("top").alias("__top"), F.col("ended").alias("__ended"))
+        grown = cut(at.join(ahead, "far").select("v", F.col("__far").alias("far"), F.greatest("top", "__top").alias("top"),
+                                                 (F.col("ended") | F.col("__ended")).alias("ended"), (F.col("__top") > F.col("top")).alias("more")))
+        open_now, more = grown.filter("not ended").agg(F.count(F.lit(1)), F.coalesce(F.bool_or("more"), F.lit(False))).first()
+        at = grown.drop("more")
+        if not open_now or (open_now == open_before and not more):
+            break
+        open_before = open_now
+    rings = at.filter("not ended").select(F.col("v").alias("node"), F.col("top").alias("component"))
+    chains = at.filter("ended").select("v", F.col("far").alias("last"))
+    first = (inner.join(names.select(F.col("v").alias("before")), "before", "left_anti").join(chains, "v")
+             .select("last", F.col("before").alias("s")))
+    ends = first.join(inner.select(F.col("v").alias("last"), F.col("after").alias("t")), "last")
+    folded = cut(chains.join(ends, "last").select(F.col("v").alias("node"), "s", "t"))
+    rest = (pairs.join(names.withColumnRenamed("v", "s"), "s", "left_anti").join(names.withColumnRenamed("v", "t"), "t", "left_anti"))
+    return cut(rest.unionByName(folded.select("s", "t")).distinct()), folded, cut(rings)
+
+
+def _unfold(found: DataFrame, folded: DataFrame) -> DataFrame:
+    """Add the nodes of chains that begin and end in the same component, or in the same node."""
+    back = folded.filter("s = t").select("node", "s").join(found.withColumnRenamed("node", "s"), "s", "left").select(
+        "node", "s", F.coalesce("component", "s").alias("component"))
+    within = (folded.filter("s <> t").join(found.select(F.col("node").alias("s"), "component"), "s")
+              .join(found.select(F.col("node").alias("t"), F.col("component").alias("__end")), "t").filter("component = __end"))
+    return cut(found.unionByName(back.select("node", "component")).unionByName(back.select(F.col("s").alias("node"), "component"))
+               .unionByName(within.select("node", "component")).distinct())
 
 
 def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -151,18 +201,30 @@ def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, strip_rounds: int = 8) -> DataFrame:
     """Nodes on cycles of the hierarchy, with their strongly connected component (its largest node).
 
-    Edges that cannot be on a cycle are stripped first, so later rounds touch the remainder only. In each round
-    every node takes the largest label that reaches it; the nodes that lead back to the owner of their label
-    within the same label form one component and leave the graph.
+    Edges that cannot be on a cycle are stripped first. What is left after ``strip_rounds`` rounds has its chains folded to
+    single edges (logarithmic rounds), is stripped again, and so on; on the rest every node takes the largest label
+    that reaches it, and the nodes that lead back to the owner of their label within the same label form one component
+    and leave the graph. Rounds thus grow with the number of branching nodes in a row, not with the length of paths.
     """
     pairs = cut(hierarchy(edges).select(F.col("parent_id").alias("s"), F.col("child_id").alias("t")))
-    loops = pairs.filter("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
-    pairs = _strip(pairs.filter("s <> t"))
-    found = []
-    while not pairs.isEmpty():
+    found = pairs.filter("s = t").select(F.col("s").alias("node"), F.col("s").alias("component"))
+    pairs, folds = pairs.filter("s <> t"), []
+    while True:
+        pairs, steady = _strip(pairs, strip_rounds)
+        if pairs.isEmpty():
+            break
+        shorter = _fold(pairs)
+        if shorter is not None:
+            pairs, folded, rings = shorter
+            folds.append(folded)
+            found = found.unionByName(rings)
+            pairs = pairs.filter("s <> t")
+            continue
+        if not steady:
+            continue
         nodes = pairs.select(F.col("s").alias("v")).union(pairs.select("t")).distinct()
         labels = _spread(cut(nodes.withColumn("label", F.col("v"))), pairs)
         s_label = labels.select(F.col("v").alias("s"), F.col("label").alias("ls"))
@@ -177,17 +239,19 @@ def cycles(edges: DataFrame) -> DataFrame:
             if front.isEmpty():
                 break
             marked = marked.unionByName(front)
-        found.append(marked)
+        many = marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
+        found = found.unionByName(marked.join(many, "label").select(F.col("v").alias("node"), F.col("label").alias("component")))
         gone = marked.select("v")
-        rest = (pairs.join(gone.withColumnRenamed("v", "s"), "s", "left_anti")
-                .join(gone.withColumnRenamed("v", "t"), "t", "left_anti"))
-        pairs = _strip(cut(rest))
-    out = loops
-    for part in found:
-        many = part.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
-        out = out.unionByName(part.join(many, "label").select(F.col("v").alias("node"),
-                                                              F.col("label").alias("component")))
-    return out.groupBy("node").agg(F.max("component").alias("component"))
+        pairs = cut(pairs.join(gone.withColumnRenamed("v", "s"), "s", "left_anti")
+                    .join(gone.withColumnRenamed("v", "t"), "t", "left_anti"))
+    # Chains come back in the reverse order; a component is then named by its largest node.
+    found = cut(found.groupBy("node").agg(F.max("component").alias("component")))
+    for folded in reversed(folds):
+        found = _unfold(found, folded)
+    if folds:
+        largest = found.groupBy("component").agg(F.max("node").alias("__top"))
+        found = found.join(largest, "component").select("node", F.col("__top").alias("component"))
+    return found.groupBy("node").agg(F.max("component").alias("component"))
 
 
 # Expansion kinds in order of preference at equal confidence.

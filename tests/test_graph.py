@@ -67,6 +67,35 @@ def test_cycles_match_brute_force(make_edges):
     assert graph.cycles(make_edges([("a", "b"), ("b", "c")])).count() == 0
 
 
+def test_folded_chains_match_brute_force(make_edges):
+    """Sparse graphs: long chains between few branching nodes, loops, rings and dead ends, folded from the first round on."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        pairs, free = set(), iter(range(100, 1000))
+        for _ in range(9):
+            path = [rng.randrange(6), *(next(free) for _ in range(rng.randrange(9))), rng.randrange(6)]
+            pairs |= set(zip(path, path[1:]))
+        ring = [next(free) for _ in range(11)]
+        tail = [ring[3], *(next(free) for _ in range(7))]
+        pairs |= set(zip(ring, ring[1:] + ring[:1])) | set(zip(tail, tail[1:])) | {(tail[4], tail[4]), (ring[5], ring[5])}
+        named = [(f"n{a:04d}", f"n{b:04d}") for a, b in sorted(pairs)]
+        want = components(named)
+        assert set(rows(graph.cycles(make_edges(named), strip_rounds=1), "node", "component")) == want
+        assert set(rows(graph.cycles(make_edges(named)), "node", "component")) == want
+
+
+def test_long_cycles_take_few_rounds(make_edges, monkeypatch):
+    rounds, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rounds.append(1) or cut(df))
+    names = [f"n{i:04d}" for i in range(4096)]
+    ring = list(zip(names, names[1:] + names[:1]))
+    # A plain ring, and one that leads through a branching node into a dead end as long.
+    for pairs in (ring, [*ring, *((a + "x", b + "x") for a, b in ring[:-1]), (names[7], names[0] + "x")]):
+        rounds.clear()
+        got = rows(graph.cycles(make_edges(pairs)), "node", "component")
+        assert got == [(n, names[-1]) for n in names] and len(rounds) <= 50
+
+
 def test_expand_never_repeats_or_revives(spark, make_edges, make_skills):
     e = make_edges([("p", "x"), ("p", "y"), ("p", "old"), ("x", "k"), ("g", "p")])
     skills = make_skills(["p", "x", "y", "k", "g"]).unionByName(make_skills(["old"], "deprecated"))
