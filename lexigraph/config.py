@@ -40,6 +40,7 @@ RATE_LIMITS = {"read": 100, "extract": 20, "mutate": 50}
 DEBOUNCE_MS = 500
 MAX_ATTEMPTS = 3
 REANALYSIS_MAX_DOCUMENTS = 1000
+SEARCH_BUCKETS = 64
 COOCCURRENCE_EDGE_THRESHOLD = 20
 COOCCURRENCE_NORMALIZATION = 100
 

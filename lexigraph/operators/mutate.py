@@ -277,11 +277,15 @@ def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc:
         .when(F.col("__chain"), "survivor is merged too").when(F.col("__n") > 1, "merged twice")))
     judged = cut(judged)
     to = cut(judged.filter("reason is null").select(F.col("source_id").alias("s"), F.col("target_id").alias("t")))
-    old = cut(graph.cycles(edges).select("node"))
+    old = None  # concepts on cycles before the merges; asked for only where a survivor lies on one afterwards
     while True:  # without the merges that close a cycle the rest may still close another
         looped = graph.cycles(mapped(edges, "source_skill_id", "target_skill_id").filter("source_skill_id <> target_skill_id"))
-        fresh = looped.join(old, "node", "left_anti").select(F.col("node").alias("t"))
-        bad = cut(to.join(fresh, "t", "left_semi").select("s"))
+        met = cut(to.join(looped.select(F.col("node").alias("t")), "t", "left_semi"))
+        if met.isEmpty():
+            break
+        if old is None:
+            old = cut(graph.cycles(edges).select(F.col("node").alias("t")))
+        bad = cut(met.join(old, "t", "left_anti").select("s"))
         if bad.isEmpty():
             break
         to = cut(to.join(bad, "s", "left_anti"))

@@ -10,6 +10,7 @@ from lexigraph.plans.metric_queries import RATES, classed
 from lexigraph.plans.registry import query
 from lexigraph.plans.scale import work_dir
 from lexigraph.plans.text_queries import _TAGS
+from lexigraph.sources import exchange
 from lexigraph.sources.derived import Derived, micros
 from lexigraph.streaming import jobs
 
@@ -88,6 +89,20 @@ def _(d):
     return jobs.read_sync(d.spark, path).drop("mutation_type")
 
 
+@query("t4_search_documents", """
+WITH last AS (SELECT entity_id, arg_max(mutation_type, graph_version) AS change FROM fx_changelog GROUP BY 1)
+SELECT s.id, external_id, canonical_name, slug, description, category, status, 0 AS page,
+  string_agg(DISTINCT surface_form, ',' ORDER BY surface_form) AS aliases
+FROM fx_skills s JOIN last ON entity_id = s.id LEFT JOIN fx_aliases a ON a.skill_id = s.id
+WHERE status = 'active' AND change NOT IN ('skill_deprecated', 'skill_merged') GROUP BY ALL""")
+def _(d):
+    path = work_dir(d.spark, "t4")
+    documents = exchange.search_documents(d.skills(), d.aliases())
+    jobs.load_search_documents(documents.limit(0), path)
+    jobs.finish(jobs.stream_search_documents(_over(d, _events(d, 3)).changelog(), lambda: documents, path))
+    return jobs.read_search_documents(d.spark, path).withColumn("aliases", F.array_join("aliases", ","))
+
+
 @query("t5_stream_reanalysis", """
 WITH act AS (SELECT id AS skill_id, lower(canonical_name) AS form FROM fx_skills WHERE status = 'candidate'),
 r AS (SELECT skill_id, log_id, row_number() OVER (PARTITION BY skill_id ORDER BY created_at DESC, log_id) AS rank

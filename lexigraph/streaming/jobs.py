@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -159,6 +159,83 @@ def read_sync(spark: SparkSession, path: str) -> DataFrame:
     return sync_ops(output(spark, path))
 
 
+def _published(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """(bucket, version, rows): which batch wrote each bucket last, as of batch ``number``."""
+    return spark.read.schema("bucket int, version int, rows bigint").parquet(f"{path}/index/batch={number}")
+
+
+def _stored_documents(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
+    """Rows of the bucket versions in ``index`` (at most one row a bucket comes to the driver, to name the folders)."""
+    schema = spark.read.parquet(f"{path}/layout").schema
+    found = [f"{path}/docs/batch={r.version}/bucket={r.bucket}" for r in index.filter("rows > 0").collect()]
+    if not found:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{path}/docs").parquet(*found).select(*schema.names)
+
+
+def _publish(rows: DataFrame, touched: DataFrame, before: DataFrame | None, path: str, number: int) -> None:
+    """Write the touched buckets whole; the index comes last and makes the batch valid."""
+    spark, folder = rows.sparkSession, f"{path}/docs/batch={number}"
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    sizes = spark.read.schema(rows.schema).parquet(folder).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    index = touched.select("bucket", F.lit(number).alias("version")).join(sizes, "bucket", "left").fillna(0, ["rows"])
+    if before is not None:
+        index = index.unionByName(before.join(touched, "bucket", "left_anti"))
+    save(index.coalesce(1), f"{path}/index", number)
+
+
+def load_search_documents(documents: DataFrame, path: str, version: int = 0, buckets: int = config.SEARCH_BUCKETS) -> None:
+    """First load of the search documents (S8) as of a graph version, dealt to buckets by a hash of the id.
+
+    Choose ``buckets`` so that one holds about a file's worth of documents; it stays fixed for the life of the sink.
+    """
+    rows = documents.withColumns({"graph_version": F.lit(version).cast("bigint"), "deleted": F.lit(False), "bucket": _bucket(buckets)})
+    rows.limit(0).write.mode("overwrite").parquet(f"{path}/layout")
+    _publish(rows, documents.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")), None, path, -1)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+
+
+def apply_search_changes(batch: DataFrame, number: int, documents: Callable[[], DataFrame], path: str) -> None:
+    """Bring the buckets that a batch of changes touches up to date; all others keep their files.
+
+    An operation counts if it is newer than what the sink holds of its concept, so late ones change nothing. Concepts
+    that were deleted, or have no document any more, stay as tombstones with their version. A batch reads only what the
+    one before it published, so it may run again after a failure.
+    """
+    spark = batch.sparkSession
+    save(sync_ops(batch), f"{path}/ops", number)
+    ops = spark.read.schema("entity_id string, graph_version bigint, mutation_type string, op string").parquet(
+        f"{path}/ops/batch={number}").select(F.col("entity_id").alias("id"), "graph_version", "op")
+    before = _published(spark, path, number - 1)
+    buckets = before.count()
+    touched = ops.select(_bucket(buckets).alias("bucket")).distinct()
+    held = _stored_documents(spark, path, before.join(touched, "bucket", "left_semi"))
+    known = held.groupBy("id").agg(F.max("graph_version").alias("__held"))
+    applied = ops.join(known, "id", "left").filter("__held is null or graph_version > __held").drop("__held")
+    now = documents().withColumns({"op": F.lit("upsert"), "__live": F.lit(True)})
+    fresh = applied.join(now, ["id", "op"], "left").withColumns(
+        {"deleted": F.col("__live").isNull(), "bucket": _bucket(buckets)}).select(*held.columns)
+    _publish(held.join(applied.select("id"), "id", "left_anti").unionByName(fresh), touched, before, path, number)
+
+
+def stream_search_documents(cdc: DataFrame, documents: Callable[[], DataFrame], path: str, once: bool = True) -> StreamingQuery:
+    """T4: keeps the search documents of ``load_search_documents`` in step with the changelog.
+
+    ``documents`` gives the search documents of the tables as they are now; it is asked once per batch and joined with
+    the batch's concepts.
+    """
+    return start(cdc, path, lambda batch, n: apply_search_changes(batch, n, documents, path), once)
+
+
+def read_search_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The documents after the last batch: one version of each bucket, whatever the number of batches."""
+    last = spark.read.parquet(f"{path}/index").agg(F.max("batch")).first()[0]
+    return _stored_documents(spark, path, _published(spark, path, last)).filter("not deleted").drop("graph_version", "deleted", "bucket")
+
+
 def stream_reanalysis(activations: DataFrame, logs: DataFrame, path: str, newest: int = config.REANALYSIS_MAX_DOCUMENTS,
                       once: bool = True) -> StreamingQuery:
     """T5: documents to extract again for every activated concept."""

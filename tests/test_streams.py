@@ -28,3 +28,42 @@ def test_poison_rows_end_in_the_dead_letters(spark):
             jobs.file_stream(spark, folder, spark.createDataFrame([], schema).schema), path, handler))
     assert rows(jobs.output(spark, path, "ok"), "id") == [(1,), (2,), (3,)]
     assert rows(jobs.output(spark, path, "dead"), "id", "attempts") == [(0, 3)]
+
+
+def test_search_documents_follow_the_tables(spark):
+    """After every batch the sink equals the documents made from the tables; untouched buckets keep their files."""
+    from lexigraph.sources import exchange
+
+    skill = "id string, external_id string, canonical_name string, slug string, description string, category string, status string"
+    state = {f"s{i:02d}": "active" for i in range(40)}
+    forms = {(s, f"{s} form") for s in state}
+
+    def tables():
+        skills = spark.createDataFrame([(i, i, i, i, None, "tool", st) for i, st in state.items()], skill)
+        return exchange.search_documents(skills, spark.createDataFrame(sorted(forms), "skill_id string, surface_form string"))
+
+    def flat(df):
+        return sorted((r.id, r.canonical_name, r.page, tuple(r.aliases or ())) for r in df.collect())
+
+    path, log = work_dir(spark, "t4"), "entity_id string, graph_version bigint, mutation_type string"
+    jobs.load_search_documents(tables(), path, version=10, buckets=8)
+    assert flat(jobs.read_search_documents(spark, path)) == flat(tables())
+    batches = [
+        ({"s01": "deprecated", "new": "active"}, {("new", "a"), ("s02", "b")},
+         [("s01", 11, "skill_deprecated"), ("new", 12, "skill_created"), ("s02", 13, "alias_added")]),
+        ({}, set(), []),
+        ({"s03": "merged"}, {("s04", "c")},
+         [("s03", 21, "skill_merged"), ("s04", 22, "alias_added"), ("s01", 5, "skill_updated"), ("s02", 9, "skill_deprecated")]),
+        ({"s01": "active", "s05": "deprecated"}, set(), [("s01", 31, "skill_updated"), ("s05", 32, "skill_updated")]),
+    ]
+    for n, (changed, added, entries) in enumerate(batches):
+        before = {r.bucket: r.version for r in jobs._published(spark, path, n - 1).collect()}
+        state |= changed
+        forms |= added
+        batch = spark.createDataFrame(entries, log)
+        for _ in range(2 if n == 2 else 1):  # a batch that is run again changes nothing
+            jobs.apply_search_changes(batch, n, tables, path)
+        assert flat(jobs.read_search_documents(spark, path)) == flat(tables())
+        after = {r.bucket: r.version for r in jobs._published(spark, path, n).collect()}
+        assert len(after) == 8 and sum(v == n for v in after.values()) <= len(entries)
+        assert all(v in (n, before[b]) for b, v in after.items())
