@@ -65,7 +65,7 @@ def stream_extract(docs: DataFrame, forms: DataFrame, path: str, once: bool = Tr
     return to_batches(docs, path, work, once)
 
 
-CELL = "normalized_form string, b bigint, n bigint, first bigint, last bigint"
+CELL = "normalized_form string, b bigint, n bigint, first bigint, last bigint, event_time timestamp"
 
 
 def _cells(frame: pd.DataFrame) -> pd.DataFrame:
@@ -74,18 +74,21 @@ def _cells(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def stream_signals(signals: DataFrame, path: str, threshold: int = config.SIGNAL_THRESHOLD,
-                   gap_us: int = config.SIGNAL_GAP_DAYS * 86_400_000_000, once: bool = True) -> StreamingQuery:
+                   gap_us: int = config.SIGNAL_GAP_DAYS * 86_400_000_000, late: str = "1 day", once: bool = True) -> StreamingQuery:
     """Counter per form that triggers at the threshold, starts again, and is forgotten after a gap.
 
     Signals are summed per time bucket before the shuffle, so the state function of a frequent form receives a
-    few sums, not its signals.
+    few sums, not its signals. A form's state goes once the watermark is a gap past its last signal: what still may come
+    would start it again anyway, so a replay of old files gives the same triggers as the run of the time.
     """
     rows = signals.select("normalized_form", F.floor(F.col("ts_us") / F.lit(gap_us)).cast("bigint").alias("b"),
                           F.lit(1).cast("bigint").alias("n"), F.col("ts_us").alias("first"), F.col("ts_us").alias("last"))
 
     def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield _cells(frame)
+            cells = _cells(frame)
+            cells["event_time"] = pd.to_datetime(cells["last"], unit="us", utc=True)
+            yield cells
 
     def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -101,22 +104,14 @@ def stream_signals(signals: DataFrame, path: str, threshold: int = config.SIGNAL
             n = (n + int(cell.n)) % threshold
             last = int(cell.last) if last is None else max(last, int(cell.last))
         state.update((n, last))
-        state.setTimeoutDuration(max(1, gap_us // 1000))
+        state.setTimeoutTimestamp(max((last + gap_us) // 1000, state.getCurrentWatermarkMs()) + 1)
         if fired:
             yield pd.DataFrame({"normalized_form": [key[0]], "triggers": [fired], "last_us": [last]})
 
-    fired = (rows.mapInPandas(combine, CELL).groupBy("normalized_form").applyInPandasWithState(
+    fired = (rows.mapInPandas(combine, CELL).withWatermark("event_time", late).groupBy("normalized_form").applyInPandasWithState(
         count, "normalized_form string, triggers bigint, last_us bigint", "n bigint, last bigint", "append",
-        GroupStateTimeout.ProcessingTimeTimeout))
-    # A query with processing-time timeouts asks for further empty batches without end; over present data they
-    # are switched off (the query keeps the setting it was started with) and timeouts fire with the data.
-    spark, flag = signals.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = spark.conf.get(flag)
-    spark.conf.set(flag, str(not once).lower())
-    try:
-        return to_batches(fired, path, lambda b: b, once)
-    finally:
-        spark.conf.set(flag, before)
+        GroupStateTimeout.EventTimeTimeout))
+    return to_batches(fired, path, lambda b: b, once)
 
 
 def stream_cooccurrence(docs: DataFrame, path: str, once: bool = True) -> StreamingQuery:

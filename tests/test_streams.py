@@ -19,6 +19,20 @@ def test_signal_state_spans_batches_and_resets_after_a_gap(spark):
     assert rows(jobs.output(spark, path), "normalized_form", "triggers") == [("a", 1), ("b", 1)]
 
 
+def test_signal_state_expires_by_event_time(spark):
+    """A replay: the state of a form goes a gap after its last signal, and rows behind the watermark do not count."""
+    folder, path, schema = work_dir(spark, "in"), work_dir(spark, "t2"), "normalized_form string, ts_us bigint"
+    day, source = 86_400_000_000, jobs.file_stream
+    held = []
+    for n, batch in enumerate(([("x", day)] * 3, [("y", 33 * day)] * 3, [("y", 20 * day)] * 2 + [("x", 33 * day + i) for i in range(5)])):
+        arrive(spark, folder, batch, schema, n)
+        query = jobs.stream_signals(source(spark, folder, spark.createDataFrame([], schema).schema), path, 5, 30 * day)
+        jobs.finish(query)
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert held == [1, 1, 2]  # x goes with the second file (rows of 1970-01-01 would lie at the first watermark)
+    assert rows(jobs.output(spark, path), "normalized_form", "triggers") == [("x", 1)]
+
+
 def test_poison_rows_end_in_the_dead_letters(spark):
     folder, path, schema = work_dir(spark, "in"), work_dir(spark, "t7"), "id int, good boolean"
     handler = lambda df: df.withColumn("ok", F.col("good"))
