@@ -156,3 +156,29 @@ def test_bound_of_a_cell_holds():
     assert (cells.bounds(cells.angles(q)) >= best).all()
     near = cells.near(cells.angles(q), 60)
     assert ((near * cells.sizes).sum(axis=1) >= 60).all()
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_copies_meet_once_and_spread_vectors_meet_in_blocks(spark, monkeypatch, own):
+    """Bounds leave out nothing among random vectors: queries are not sent to every cell, copies not compared again."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(200, 16)).astype("float32")
+    m = base[np.arange(1000) % 200]
+    q = m[:300] if own else m[100:400]
+    monkeypatch.setattr(vectors, "BROADCAST_MAX_VALUES", 1024)
+    asked, whole = [], vectors._meet_in_cells
+
+    def counted(asks, placed, cells, match, block_rows):
+        asked.append(asks.count())
+        return whole(asks, placed, cells, match, block_rows)
+
+    monkeypatch.setattr(vectors, "_meet_in_cells", counted)
+    got = vectors.nearest(frame(spark, q, "query_id", "v"), frame(spark, m), 7, exclude_self=own, block_rows=64)
+    unit = lambda x: x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(m).T, 6)
+    want = []
+    for i in range(len(q)):
+        order = sorted((j for j in range(len(m)) if not (own and i == j)), key=lambda j: (-s[i, j], f"v{j:03d}"))
+        want += [(f"v{i:03d}", f"v{j:03d}", r + 1) for r, j in enumerate(order[:7])]
+    assert rows(got, "query_id", "id", "rank") == sorted(want)
+    assert sum(asked) < 3 * 200
