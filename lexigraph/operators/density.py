@@ -3,7 +3,7 @@
 Distances are one minus the cosine, to six digits. A vector's core distance is that of its ``k``-th neighbour; the reach of two
 neighbours is the largest of their distance and both core distances. The graph has an edge for each of the ``k`` nearest
 neighbours; clusters never span two of its components. Its spanning tree is found by Borůvka rounds (each
-component takes its shortest way out, pointers are doubled), so rounds follow the logarithm of the number of vectors.
+component takes its shortest way out, pointers are doubled), until the edges between components are few enough for one task.
 
 The tree's edges are then merged in order of length, a range of them at a time: each range joins components that the
 earlier ones have contracted, so no task holds more edges than a range has. Groups of at least ``least`` vectors are clusters;
@@ -22,6 +22,7 @@ from lexigraph.functions.vectors import DIGITS, nearest
 from lexigraph.plans.scale import cut
 
 CLOSEST = 10.0 ** -DIGITS  # copies count as this far apart
+FEW_EDGES = 200_000  # joined in one task at most, as in a range of ``condense``
 NODE = "rep string, n bigint, cid string, acc double, sub double"
 
 
@@ -47,12 +48,37 @@ def follow(pointers: DataFrame) -> DataFrame:
         pointers = step.select("v", "up")
 
 
+def _forest(edges: pd.DataFrame) -> pd.DataFrame:
+    """Kruskal over contracted edges ``a, b, w, la, lb``: rows ``tree`` (a, b, w) and ``label`` (a: old label, b: its component)."""
+    up = {v: v for side in ("la", "lb") for v in edges[side]}
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    kept = []
+    for r in edges.sort_values(["w", "a", "b"]).itertuples(index=False):
+        x, y = sorted((top(r.la), top(r.lb)))
+        if x != y:
+            up[y] = x
+            kept.append(("tree", r.a, r.b, r.w))
+    return pd.DataFrame(kept + [("label", v, top(v), 0.0) for v in up], columns=["kind", "a", "b", "w"])
+
+
 def spanning_tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The shortest tree of each component of ``edges(a, b, w)`` (ties by ends), and ``(v, component)``."""
     left = cut(edges.select("a", "b", "w", F.col("a").alias("la"), F.col("b").alias("lb")))
     labels = cut(left.select(F.col("a").alias("v")).unionByName(left.select(F.col("b").alias("v"))).distinct().withColumn("component", F.col("v")))
     tree = []
-    while not left.isEmpty():
+    while count := left.count():
+        if count <= FEW_EDGES:
+            done = cut(left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_forest, "kind string, a string, b string, w double"))
+            tree.append(done.filter("kind = 'tree'").select("a", "b", "w"))
+            ends = done.filter("kind = 'label'").select(F.col("a").alias("component"), F.col("b").alias("to"))
+            labels = cut(labels.join(ends, "component", "left").select("v", F.coalesce("to", "component").alias("component")))
+            break
         out = (left.select(F.col("la").alias("v"), F.struct("w", "a", "b", F.col("lb").alias("to")).alias("e"))
                .unionByName(left.select(F.col("lb").alias("v"), F.struct("w", "a", "b", F.col("la").alias("to")).alias("e"))))
         best = cut(out.groupBy("v").agg(F.min("e").alias("e")).select("v", "e.*"))

@@ -131,3 +131,18 @@ def test_few_vectors(spark):
     assert none.count() == 0
     got = density.density_clusters(frame(spark, np.array([[1.0, 0], [0, 0], [0.5, 0.5]])))
     assert [r["cluster"] for r in got.collect()] == [None] * 3
+
+
+def test_few_edges_take_few_steps(spark, monkeypatch):
+    """The number of Spark jobs does not follow the length of paths; with more edges than one task takes the tree is the same."""
+    names = [f"{i:03d}" for i in range(130)]
+    df = spark.createDataFrame([(a, b, 1.0 + (i * 37 % 11)) for i, (a, b) in enumerate(zip(names, names[1:])) if i != 70], "a string, b string, w double")
+    steps, whole = [], density.cut
+    monkeypatch.setattr(density, "cut", lambda frame: steps.append(1) or whole(frame))
+    tree, labels = density.spanning_tree(df)
+    assert len(steps) <= 5 and rows(tree, "a", "b", "w") == rows(df, "a", "b", "w")
+    assert sorted(r["count"] for r in labels.groupBy("component").count().collect()) == [59, 71]
+    monkeypatch.setattr(density, "FEW_EDGES", 40)
+    tree, labels = density.spanning_tree(df)
+    assert rows(tree, "a", "b", "w") == rows(df, "a", "b", "w")
+    assert sorted(r["count"] for r in labels.groupBy("component").count().collect()) == [59, 71]
