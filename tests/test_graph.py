@@ -104,3 +104,19 @@ def test_expand_never_repeats_or_revives(spark, make_edges, make_skills):
     assert got == {"p": (0.54, "parent"), "k": (0.54, "child")}
     deep = {x.skill_id: round(x.confidence, 4) for x in graph.expand(r, e, skills, depth=2).collect()}
     assert deep["g"] == 0.324 and graph.expand(r, e, skills, depth=0).count() == 0
+
+
+def test_new_siblings_stay_where_they_are(spark):
+    """Children of one parent are not shuffled once they are listed; those of several come once."""
+    from lexigraph.operators import joins
+
+    pairs = [("p", f"c{i:04d}") for i in range(1500)] + [("q", "x"), ("q", "y"), ("p", "y"), ("r", "y"), ("r", "z")]
+    us = [(1, "c0003"), (1, "c0003"), (1, "x"), (2, "y"), (3, "p")]
+    df = joins.new_siblings(spark.createDataFrame(us, "doc_id long, skill_id string"), spark.createDataFrame(pairs, "parent_id string, child_id string"))
+    want = set()
+    for d, s in us:
+        for p in {p for p, c in pairs if c == s}:
+            want |= {(d, c) for q, c in pairs if q == p and (d, c) not in us}
+    assert rows(df, "doc_id", "skill_id") == sorted(want)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [doc_id" not in plan[:plan.index("Generate")]
