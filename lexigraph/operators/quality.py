@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigraph import config
 from lexigraph.functions.text import normalized_name
+from lexigraph.plans.scale import cut
 
 
 def _hits(df: DataFrame, table: str, rule: str, where: Column | None = None, key: str = "id") -> DataFrame:
@@ -85,9 +86,10 @@ EDGE_KEY = ["source_skill_id", "target_skill_id", "relationship_type"]
 
 def check_duplicate_edges(new: DataFrame, edges: DataFrame) -> DataFrame:
     """Q3: proposed edges with the kind of duplicate: "existing", "batch" (a repeat within it) or NULL."""
-    known = edges.select(*EDGE_KEY).distinct().withColumn("__known", F.lit(True))
+    known = edges.select(*EDGE_KEY).distinct().withColumn("__known", F.lit(True)).hint("merge")
+    new = new.repartition(*EDGE_KEY)  # one shuffle for both joins; proposals may come from a single file
     first = new.groupBy(*EDGE_KEY).agg(F.min("id").alias("__first"))
-    return (new.join(known, EDGE_KEY, "left").join(first, EDGE_KEY)
+    return (new.join(known, EDGE_KEY, "left").join(first.hint("merge"), EDGE_KEY)
             .withColumn("duplicate", F.when(F.col("__known"), "existing")
                         .when(F.col("id") > F.col("__first"), "batch"))
             .drop("__known", "__first"))
@@ -144,10 +146,10 @@ def validate_edges(new: DataFrame, edges: DataFrame) -> DataFrame:
     from lexigraph.operators.graph import check_cycles, cycles
 
     self_edge = F.when(F.col("source_skill_id") == F.col("target_skill_id"), "self edge")
-    marked = check_duplicate_edges(new, edges).withColumn("__early", F.coalesce(
-        self_edge, F.when(F.col("duplicate").isNotNull(), "duplicate edge"))).drop("duplicate")
-    walked = check_cycles(marked.filter("__early is null"), edges).withColumn(
-        "reason", F.when(F.col("cycle_path").isNotNull(), "cycle"))
+    marked = cut(check_duplicate_edges(new, edges).withColumn("__early", F.coalesce(
+        self_edge, F.when(F.col("duplicate").isNotNull(), "duplicate edge"))).drop("duplicate"))
+    walked = cut(check_cycles(marked.filter("__early is null"), edges).withColumn(
+        "reason", F.when(F.col("cycle_path").isNotNull(), "cycle")).drop("cycle_path"))
     cols = ["source_skill_id", "target_skill_id", "relationship_type", "status"]
     sound = walked.filter("reason is null").withColumn("status", F.lit("active"))
     knots = cycles(edges.select(*cols).unionByName(sound.select(*cols)))

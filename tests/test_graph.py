@@ -120,3 +120,18 @@ def test_new_siblings_stay_where_they_are(spark):
     assert rows(df, "doc_id", "skill_id") == sorted(want)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [doc_id" not in plan[:plan.index("Generate")]
+
+
+def test_proposals_from_one_file_are_dealt_to_all_tasks(spark, make_edges, tmp_path):
+    """Proposals of a single file were joined and sorted in the tasks that read it."""
+    make_edges([("R", "A"), ("A", "B")]).write.parquet(f"{tmp_path}/edges")
+    make_edges([("B", "R"), ("A", "B"), ("C", "D"), ("D", "C")]).coalesce(1).write.parquet(f"{tmp_path}/new")
+    e, new = spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/new")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        dup = quality.check_duplicate_edges(new, e)
+        assert dup.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        got = {r.id.split("|", 1)[1]: r.reason for r in quality.validate_edges(new, e).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {"B|R": "cycle", "A|B": "duplicate edge", "C|D": "cycle within batch", "D|C": "cycle within batch"}
