@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from lexigraph.plans.cooccur_queries import _FLAT, flat
 from lexigraph.plans.metric_queries import RATES, classed
@@ -23,22 +26,34 @@ def _events(d: Derived, files: int | None = None) -> DataFrame:
     return _spread(d, raw, files)
 
 
-def _spread(d: Derived, rows: DataFrame, files: int) -> DataFrame:
+def _spread(d: Derived, rows: DataFrame, batches: int) -> DataFrame:
+    """Rows as a stream of so many batches. Files are as many as the tasks that make the rows, so none holds a share of the whole."""
     folder = work_dir(d.spark, "arrivals")
-    rows.repartition(files).write.parquet(folder)
-    return jobs.file_stream(d.spark, folder, rows.schema, files_per_batch=1)
+    rows.write.parquet(folder)
+    files = len(d.spark.read.parquet(folder).inputFiles())
+    if files < batches:  # a small table
+        few, folder, files = d.spark.read.parquet(folder), work_dir(d.spark, "arrivals"), batches
+        few.repartition(batches).write.parquet(folder)
+    return jobs.file_stream(d.spark, folder, rows.schema, files_per_batch=-(-files // batches))
+
+
+#: Rows of a file of arriving events.
+ARRIVING_ROWS = 250_000
 
 
-def _ordered(d: Derived, files: int = 3) -> DataFrame:
-    """The event table as a stream of several files that arrive one after another in event time."""
+def _in_turn(d: Derived, run: Callable[[Derived], StreamingQuery], slices: int = 3) -> None:
+    """Run a job over slices of the event table that arrive one after another in event time, each as files of bounded size.
+
+    ``run`` starts the job on the views whose event table is the stream; it goes on where it stopped after the slice before.
+    """
     raw = d.raw("events")
-    first, last = raw.select(F.min(micros("ts")), F.max(micros("ts"))).first()
-    width = (last - first) // files + 1 if first is not None else 1
-    folder = work_dir(d.spark, "arrivals")
-    for i in range(files):
+    first, last, n = raw.select(F.min(micros("ts")), F.max(micros("ts")), F.count(F.lit(1))).first()
+    width = (last - first) // slices + 1 if first is not None else 1
+    folder, files = work_dir(d.spark, "arrivals"), -(-n // (slices * ARRIVING_ROWS)) or 1
+    for i in range(slices):
         part = F.floor((micros("ts") - F.lit(first or 0)) / F.lit(width)) == i
-        raw.filter(part).coalesce(1).write.mode("append").parquet(folder)
-    return jobs.file_stream(d.spark, folder, raw.schema, files_per_batch=1)
+        raw.filter(part).repartition(files).write.mode("append").parquet(folder)
+        jobs.finish(run(_over(d, jobs.file_stream(d.spark, folder, raw.schema))))
 
 
 def _over(d: Derived, events: DataFrame) -> Derived:
@@ -66,7 +81,7 @@ c AS (SELECT normalized_form, session, count(*) // 5 AS n FROM s GROUP BY 1, 2)
 SELECT normalized_form, sum(n)::BIGINT AS triggers FROM c GROUP BY 1 HAVING sum(n) > 0""")
 def _(d):
     path = work_dir(d.spark, "t2")
-    jobs.finish(jobs.stream_signals(_over(d, _ordered(d)).signals(), path, gap_us=43_200_000_000))
+    _in_turn(d, lambda s: jobs.stream_signals(s.signals(), path, gap_us=43_200_000_000))
     return jobs.output(d.spark, path).groupBy("normalized_form").agg(F.sum("triggers").alias("triggers"))
 
 
@@ -119,8 +134,7 @@ def _(d):
 @query("t6_stream_changelog", "SELECT graph_version, mutation_type, entity_id FROM fx_changelog WHERE graph_version > 100")
 def _(d):
     path = work_dir(d.spark, "t6")
-    log = jobs.stream_changelog(_over(d, _ordered(d)).changelog(), 100)
-    jobs.finish(jobs.to_batches(log, path, lambda b: b))
+    _in_turn(d, lambda s: jobs.to_batches(jobs.stream_changelog(s.changelog(), 100), path, lambda b: b))
     return jobs.output(d.spark, path).select("graph_version", "mutation_type", "entity_id")
 
 
@@ -143,7 +157,7 @@ def _(d):
     path = work_dir(d.spark, "t8")
     ev = d.raw("events")
     folder = work_dir(d.spark, "arrivals")
-    ev.unionByName(ev).repartition(4).write.parquet(folder)
+    ev.unionByName(ev).write.parquet(folder)
     arriving = jobs.file_stream(d.spark, folder, ev.schema).withColumn("ts_us", micros("ts"))
     once = jobs.dedupe_stream(jobs.event_time(arriving), "event_id", within="60 days")
     jobs.finish(jobs.to_batches(once, path, lambda b: b))
@@ -166,7 +180,7 @@ WITH w AS (SELECT key, (ts_us // 3600000000 - i) * 3600000000 AS start_us FROM f
 SELECT key, start_us::BIGINT AS start_us, count(*) AS calls FROM w GROUP BY 1, 2 HAVING count(*) > 3""")
 def _(d):
     path = work_dir(d.spark, "t10")
-    jobs.finish(jobs.stream_rates(_over(d, _ordered(d)).log(), path, 3, "6 hours", "1 hour", "6 hours"))
+    _in_turn(d, lambda s: jobs.stream_rates(s.log(), path, 3, "6 hours", "1 hour", "6 hours"))
     return jobs.read_latest(d.spark, path, ["key", "start_us"], "calls")
 
 
@@ -178,7 +192,7 @@ SELECT key, request_class, start_us::BIGINT AS start_us, count(*) AS calls FROM
 HAVING count(*) > CASE request_class WHEN 'read' THEN 3 WHEN 'mutate' THEN 2 ELSE 1 END""")
 def _(d):
     path = work_dir(d.spark, "t10c")
-    jobs.finish(jobs.stream_rates(classed(_over(d, _ordered(d)).log()), path, RATES, "6 hours", "1 hour", "6 hours"))
+    _in_turn(d, lambda s: jobs.stream_rates(classed(s.log()), path, RATES, "6 hours", "1 hour", "6 hours"))
     return jobs.read_latest(d.spark, path, ["key", "request_class", "start_us"], "calls")
 
 
@@ -186,5 +200,5 @@ def _(d):
 SELECT normalized_form, strftime(ts, '%Y-%m-%d') AS day, count(*) AS mentions FROM fx_signals GROUP BY 1, 2""")
 def _(d):
     path = work_dir(d.spark, "t11")
-    jobs.finish(jobs.stream_velocity(_over(d, _ordered(d)).signals(), path))
+    _in_turn(d, lambda s: jobs.stream_velocity(s.signals(), path))
     return jobs.read_latest(d.spark, path, ["normalized_form", "day"], "mentions")

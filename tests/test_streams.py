@@ -81,3 +81,29 @@ def test_search_documents_follow_the_tables(spark):
         after = {r.bucket: r.version for r in jobs._published(spark, path, n).collect()}
         assert len(after) == 8 and sum(v == n for v in after.values()) <= len(entries)
         assert all(v in (n, before[b]) for b, v in after.items())
+
+
+def test_arrivals_are_files_of_bounded_size(spark, monkeypatch):
+    """A slice of events, or a share of the rows, was one file read by one task."""
+    from lexigraph.plans import stream_queries as sq
+    from lexigraph.sources.derived import Derived
+
+    d = Derived(spark, "/root/testdata/sf0.001")
+    ids = spark.range(0, 1000, 1, 8)
+    stream = sq._spread(d, ids, 2)
+    done = []
+    size = (F.count_distinct("file"), F.count(F.lit(1)))
+    jobs.finish(jobs.start(stream.withColumn("file", F.input_file_name()), sq.work_dir(spark, "spread"),
+                           lambda b, n: done.append(tuple(b.agg(*size).first()))))
+    assert [f for f, _ in done] == [4, 4] and sum(n for _, n in done) == 1000
+
+    def arrived():
+        seen, path = [], sq.work_dir(spark, "turns")
+        sq._in_turn(d, lambda s: jobs.start(s.raw("events").withColumn("file", F.input_file_name()), path,
+                                           lambda b, n: seen.append(tuple(b.agg(*size).first()))))
+        return seen
+
+    whole = arrived()
+    monkeypatch.setattr(sq, "ARRIVING_ROWS", whole[0][1] // 4)
+    cut = arrived()
+    assert [n for _, n in cut] == [n for _, n in whole] and all(a == 1 for a, _ in whole) and all(b >= 4 for b, _ in cut)
