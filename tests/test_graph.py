@@ -135,3 +135,21 @@ def test_proposals_from_one_file_are_dealt_to_all_tasks(spark, make_edges, tmp_p
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert got == {"B|R": "cycle", "A|B": "duplicate edge", "C|D": "cycle within batch", "D|C": "cycle within batch"}
+
+
+def test_proposals_that_share_a_start_walk_once(spark, make_edges):
+    """Every proposal carried its own copy of the paths up from its start; cycles and ties stay as they were."""
+    e = make_edges([("r", "b"), ("r", "a"), ("a", "x"), ("b", "x"), ("x", "y"), ("y", "x2"), ("x2", "x")])
+    new = make_edges([("y", g) for g in ("r", "a", "x", "y", "z")] + [("q", "r")]).unionByName(make_edges([("r", "y")], "child_of"))
+    new = new.unionByName(make_edges([("y", "r")], "requires"))
+    seen = []
+    real = graph.join_uneven
+    graph.join_uneven = lambda df, *a: seen.append(df.count()) or real(df, *a)
+    try:
+        got = {r.id: r.cycle_path for r in graph.check_cycles(new, e).collect()}
+    finally:
+        graph.join_uneven = real
+    assert seen[0] == 2  # y and q, not eight proposals
+    assert got == {"parent_of|y|r": ["y", "x", "a", "r"], "parent_of|y|a": ["y", "x", "a"], "parent_of|y|x": ["y", "x"],
+                   "parent_of|y|y": ["y"], "parent_of|y|z": None, "parent_of|q|r": None,
+                   "child_of|r|y": ["y", "x", "a", "r"], "requires|y|r": None}
