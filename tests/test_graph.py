@@ -106,6 +106,39 @@ def test_expand_never_repeats_or_revives(spark, make_edges, make_skills):
     assert deep["g"] == 0.324 and graph.expand(r, e, skills, depth=0).count() == 0
 
 
+def test_expanded_leaves_stay_where_they_are(spark, make_skills):
+    """Leaves of one parent are listed in the last stage: no shuffle carries them. The rest is compared with all ways, one by one."""
+    r = random.Random(4)
+    names = [f"n{i:02d}" for i in range(40)]
+    links = sorted({(names[r.randrange(12)], names[r.randrange(40)]) for _ in range(70)} - {(n, n) for n in names})
+    e = spark.createDataFrame(edge_rows(links), EDGE)
+    skills = make_skills(names[:33]).unionByName(make_skills(names[33:], "deprecated"))
+    have = {(d, n): r.randrange(1, 9) / 8 for d in range(6) for n in r.sample(names, 5)}
+    docs = spark.createDataFrame([(d, n, c) for (d, n), c in have.items()], "doc_id int, skill_id string, confidence double")
+    want: dict = {}
+    for (d, n), c in have.items():
+        ups = [a for a, b in links if b == n]
+        ways = ([(a, 0) for a in ups] + [(b, 1) for a, b in links if a == n] + [(b, 2) for a, b in links if a in ups])
+        for x, kind in ways:
+            if (d, x) not in have and x in names[:33]:
+                want[d, x] = max(want.get((d, x), (0, -9)), (c, -kind))
+    got = rows(graph.expand(docs, e, skills), "doc_id", "skill_id", "confidence", "expansion_type")
+    assert got == sorted((d, x, c * 0.6, graph.EXPANSIONS[-k]) for (d, x), (c, k) in want.items())
+    assert {k for *_, k in got} == set(graph.EXPANSIONS)
+
+    star = spark.range(3000).selectExpr("concat('e', id) AS id", "'p' AS source_skill_id", "concat('k', id) AS target_skill_id",
+                                        "'parent_of' AS relationship_type", "'active' AS status")
+    every = star.selectExpr("target_skill_id AS id", "'active' AS status")
+    docs = spark.range(200).selectExpr("id AS doc_id", "'k7' AS skill_id", "1.0D AS confidence")
+    before = max(spark.sparkContext.statusTracker().getJobIdsForGroup() or [-1])
+    assert graph.expand(docs, star, every).count() == 200 * 2999
+    store, moved = spark.sparkContext._jsc.sc().statusStore(), 0
+    for job in spark.sparkContext.statusTracker().getJobIdsForGroup():
+        for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds if job > before else ():
+            moved = max(moved, store.lastStageAttempt(stage).shuffleWriteRecords())
+    assert 0 < moved < 100_000
+
+
 def test_new_siblings_stay_where_they_are(spark):
     """Children of one parent are not shuffled once they are listed; those of several come once."""
     from lexigraph.operators import joins
