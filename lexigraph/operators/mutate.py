@@ -49,7 +49,8 @@ def record(changes: list[DataFrame], start: Column | int, actor: str = "system")
 
 def create_skills(skills: DataFrame, aliases: DataFrame, reqs: DataFrame, status: str = "candidate") -> Change:
     """M1: concepts from requests (req_id, name, description, category, source), each with a primary English alias."""
-    named = reqs.withColumn("name", sanitize(F.col("name")))
+    # Stored: names and slugs take a Python step each, and a task holds a worker for every such step of its stage.
+    named = cut(reqs.withColumn("name", sanitize(F.col("name"))))
     reason = (F.when(F.coalesce(F.length("name"), F.lit(0)) < 1, "name is empty")
               .when(F.length("name") > config.NAME_MAX_LENGTH, "name is too long")
               .when(F.length("description") > config.DESCRIPTION_MAX_LENGTH, "description is too long")

@@ -227,3 +227,13 @@ def test_cost_means_follow_the_calendar(spark):
     log = spark.createDataFrame([(0, 7.0), (60 * day, 1.0), (61 * day, 2.0)], "ts_us long, cost double").withColumn("ts", F.timestamp_micros("ts_us"))
     got = {r.day: (r.mean_before, r.alert) for r in metrics.cost_alerts(log).collect()}
     assert got["1970-01-01"] == (None, False) and got["1970-03-02"] == (0.0, True) and got["1970-03-03"] == (round(1 / 7, 4), True)
+
+
+def test_names_are_cleaned_once(spark, make_skills):
+    """One Python step a stage: cleaned names are stored before slugs are made of them."""
+    reqs = spark.createDataFrame([("1", " <b>Rust</b> ", None, "tool", "x"), ("2", "<i></i>", None, "tool", "x")],
+                                 "req_id string, name string, description string, category string, source string")
+    made = mutate.create_skills(make_skills(["Rust"]), spark.createDataFrame([], ALIAS), reqs)
+    assert rows(made.extra["skills"], "canonical_name", "slug") == [("Rust", "rust-2")]
+    assert rows(made.rejected) == [("2", "name is empty")]
+    assert "EvalPython" not in made.rejected._jdf.queryExecution().optimizedPlan().toString()
