@@ -251,13 +251,29 @@ def deprecate(skills: DataFrame, aliases: DataFrame, edges: DataFrame, reqs: Dat
                   judged.filter("reason is not null").select("skill_id", "reason"), {"edges": links})
 
 
-def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc: DataFrame,
+def _fold_pairs(pairs: DataFrame) -> DataFrame:
+    """Pairs that became one with their counts added, by type of source; a pair of one concept goes."""
+    pairs = pairs.filter("skill_a_id <> skill_b_id").select(
+        F.least("skill_a_id", "skill_b_id").alias("skill_a_id"),
+        F.greatest("skill_a_id", "skill_b_id").alias("skill_b_id"),
+        "source_type_counts", "last_seen_at", "created_at")
+    by_source = pairs.select("skill_a_id", "skill_b_id", "last_seen_at", "created_at",
+                             F.explode("source_type_counts").alias("source_type", "n"))
+    sums = by_source.groupBy("skill_a_id", "skill_b_id", "source_type").agg(
+        F.sum("n").alias("n"), F.max("last_seen_at").alias("last"), F.min("created_at").alias("first"))
+    return sums.groupBy("skill_a_id", "skill_b_id").agg(
+        F.sum("n").alias("co_occurrence_count"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "n")))).alias("source_type_counts"),
+        F.max("last").alias("last_seen_at"), F.min("first").alias("created_at"))
+
+
+def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc: DataFrame | None,
                  merges: DataFrame) -> Change:
     """M7: fold sources into survivors (``merges(source_id, target_id)``, one level).
 
     Ids are mapped in every table, then regrouped: self-loops go, the more certain of equivalent edges stays,
     counts of pairs that become one are added, survivors keep their own primary aliases. A merge that would close a
-    cycle in the hierarchy is rejected.
+    cycle in the hierarchy is rejected. Without ``cooc`` no table of pairs comes back; the others do not depend on it.
     """
     def mapped(df: DataFrame, *cols: str) -> DataFrame:
         for c in cols:
@@ -298,18 +314,6 @@ def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc:
     ends = ("source_skill_id", "target_skill_id")
     moved = windows.dedupe_edges(mapped(edges, *ends).filter("source_skill_id <> target_skill_id"))
     links = _supersedes(to)
-    pairs = mapped(cooc, "skill_a_id", "skill_b_id").filter("skill_a_id <> skill_b_id").select(
-        F.least("skill_a_id", "skill_b_id").alias("skill_a_id"),
-        F.greatest("skill_a_id", "skill_b_id").alias("skill_b_id"),
-        "source_type_counts", "last_seen_at", "created_at")
-    by_source = pairs.select("skill_a_id", "skill_b_id", "last_seen_at", "created_at",
-                             F.explode("source_type_counts").alias("source_type", "n"))
-    sums = by_source.groupBy("skill_a_id", "skill_b_id", "source_type").agg(
-        F.sum("n").alias("n"), F.max("last_seen_at").alias("last"), F.min("created_at").alias("first"))
-    counts = sums.groupBy("skill_a_id", "skill_b_id").agg(
-        F.sum("n").alias("co_occurrence_count"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_type", "n")))).alias("source_type_counts"),
-        F.max("last").alias("last_seen_at"), F.min("first").alias("created_at"))
     log = entries(to, "skill_merged", "skill", "s", F.col("t").alias("survivor")).unionByName(
         entries(links, "edge_created", "edge", "id", "target_skill_id")).unionByName(
         entries(edges.join(to.select(F.col("s").alias("source_skill_id")), "source_skill_id", "left_semi").unionByName(
@@ -318,8 +322,10 @@ def merge_skills(skills: DataFrame, aliases: DataFrame, edges: DataFrame, cooc:
     taken = aliases.join(to.select(F.col("s").alias("skill_id"), F.col("t").alias("survivor")), "skill_id")
     log = (log.unionByName(entries(taken, "alias_removed", "alias", "id", "skill_id"))
            .unionByName(entries(taken, "alias_added", "alias", "id", F.col("survivor").alias("skill_id"))))
-    return Change({"skills": new_skills, "aliases": _remap_aliases(aliases, to),
-                   "edges": moved.unionByName(links, allowMissingColumns=True), "co_occurrences": counts}, log,
+    tables = {"skills": new_skills, "aliases": _remap_aliases(aliases, to), "edges": moved.unionByName(links, allowMissingColumns=True)}
+    if cooc is not None:
+        tables["co_occurrences"] = _fold_pairs(mapped(cooc, "skill_a_id", "skill_b_id"))
+    return Change(tables, log,
                   judged.filter("reason is not null").select("source_id", "target_id", "reason"))
 
 

@@ -46,3 +46,13 @@ def test_large_groups_match_sql(spark, tmp_path, name):
     got = entry.queries()[name](spark, str(tmp_path)).toPandas()
     want = con.sql(entry.oracle_sql()[name]).df()
     assert len(con.sql("SELECT * FROM part").df()) > 1000 and normal(got) == normal(want)
+
+
+def test_merged_edges_need_no_pairs(spark, db, monkeypatch):
+    """Mentions and co-occurrence were derived for edges, concepts and aliases, which do not read them."""
+    from lexigraph.sources.derived import Derived
+
+    for view in ("mentions", "cooccurrence", "fresh_cooccurrence"):
+        monkeypatch.setattr(Derived, view, lambda self: 1 / 0)
+    for name in ("m7_edges", "m7_merge_skills", "m7_aliases"):
+        assert normal(entry.queries()[name](spark, FOLDER).toPandas()) == normal(db.sql(entry.oracle_sql()[name]).df())
