@@ -85,10 +85,13 @@ def round_trip(a: Tables, b: Tables) -> DataFrame:
             maps = [f.name for f in SCHEMAS[name].fields if f.dataType.typeName() == "map"]
             return conform(df, name).withColumns({m: F.array_sort(F.map_entries(m)) for m in maps})
 
-        x, y = plain(a[name]), plain(b[name])
-        for side, gone in (("left", x.exceptAll(y)), ("right", y.exceptAll(x))):
-            one = gone.agg(F.lit(name).alias("table"), F.lit(side).alias("side"), F.count(F.lit(1)).alias("rows"))
-            out = one if out is None else out.unionByName(one)
+        # Copies of each row counted in one pass: more on the left count up, more on the right count down.
+        x, y = plain(a[name]).withColumn("__n", F.lit(1)), plain(b[name]).withColumn("__n", F.lit(-1))
+        more = x.unionByName(y).groupBy(*[c for c in x.columns if c != "__n"]).agg(F.sum("__n").alias("__n"))
+        sums = more.agg(*[F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).alias(side)
+                          for side, n in (("left", F.col("__n")), ("right", -F.col("__n")))])
+        one = sums.select(F.lit(name).alias("table"), F.expr("stack(2, 'left', left, 'right', right) as (side, rows)"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -56,3 +56,20 @@ def test_merged_edges_need_no_pairs(spark, db, monkeypatch):
         monkeypatch.setattr(Derived, view, lambda self: 1 / 0)
     for name in ("m7_edges", "m7_merge_skills", "m7_aliases"):
         assert normal(entry.queries()[name](spark, FOLDER).toPandas()) == normal(db.sql(entry.oracle_sql()[name]).df())
+
+
+def test_versions_are_compared_in_one_pass(spark):
+    """Copies count; maps are compared as entries; each version of a table is read once."""
+    from lexigraph.sources import tables
+
+    row = "skill_a_id string, skill_b_id string, co_occurrence_count bigint, source_type_counts map<string,bigint>"
+    make = lambda *data: spark.createDataFrame(data, row)
+    one, two, none = ("a", "b", 1, {"cv": 1, "jd": 2}), ("a", "c", 2, {"cv": 2}), (None, None, None, None)
+    a = {"co_occurrences": make(one, one, one, none), "locales": spark.createDataFrame([("en", True)], "locale string, is_active boolean")}
+    b = {"co_occurrences": make(("a", "b", 1, {"jd": 2, "cv": 1}), two, two, none), "locales": a["locales"].limit(0)}
+    out = tables.round_trip(a, b)
+    assert sorted(map(tuple, out.collect())) == [("co_occurrences", "left", 2), ("co_occurrences", "right", 2), ("locales", "left", 1), ("locales", "right", 0)]
+    pairs = tables.round_trip(*({"co_occurrences": t["co_occurrences"]} for t in (a, b)))
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+    same = tables.round_trip({"locales": a["locales"].limit(0)}, {"locales": a["locales"].limit(0)})
+    assert sorted(map(tuple, same.collect())) == [("locales", "left", 0), ("locales", "right", 0)]
