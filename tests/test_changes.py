@@ -237,3 +237,13 @@ def test_names_are_cleaned_once(spark, make_skills):
     assert rows(made.extra["skills"], "canonical_name", "slug") == [("Rust", "rust-2")]
     assert rows(made.rejected) == [("2", "name is empty")]
     assert "EvalPython" not in made.rejected._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_forms_of_a_log_row_are_read_without_lambdas(spark):
+    from lexigraph.operators import joins
+
+    logs = spark.createDataFrame([(1, "h", 5, [("A", "a"), ("a", "a"), ("B", "b")]), (2, "i", 6, []), (3, "j", 7, None)],
+                                 "log_id int, document_hash string, created_at int, discovered_candidates array<struct<surface_form:string,normalized_form:string>>")
+    df = joins.candidate_forms(logs)
+    assert rows(df, "log_id", "normalized_form") == [(1, "a"), (1, "b")]
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
