@@ -186,3 +186,17 @@ def test_proposals_that_share_a_start_walk_once(spark, make_edges):
     assert got == {"parent_of|y|r": ["y", "x", "a", "r"], "parent_of|y|a": ["y", "x", "a"], "parent_of|y|x": ["y", "x"],
                    "parent_of|y|y": ["y"], "parent_of|y|z": None, "parent_of|q|r": None,
                    "child_of|r|y": ["y", "x", "a", "r"], "requires|y|r": None}
+
+
+def test_expansion_deals_no_rows_by_concept(spark, make_edges, make_skills):
+    """A concept found in very many documents would be one task's rows."""
+    e, skills = make_edges([("a", "b"), ("a", "c"), ("x", "c"), ("c", "d")]), make_skills(["a", "b", "c", "d", "x"])
+    found = spark.createDataFrame([(i, s, 1.0) for i in range(3) for s in ("b", "c", "W:unknown")], "doc_id int, skill_id string, confidence double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = graph.expand(found, e, skills)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(skill_id#" not in plan
+        assert {(r.doc_id, r.skill_id) for r in out.collect()} == {(i, s) for i in range(3) for s in ("a", "x", "d")}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
