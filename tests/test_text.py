@@ -174,3 +174,44 @@ def test_plan_does_not_follow_the_longest_form(spark):
         plan = extract.tag_exact(chunks, forms)._jdf.queryExecution().optimizedPlan().toString()
         sizes.append(len(plan))
     assert abs(sizes[1] - sizes[0]) < 200
+
+
+def shuffles_of_documents(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(doc_id#")
+
+
+def test_results_of_whole_documents_are_shuffled_once(spark):
+    """Tags, evidence and merged results of a document stay where its matches were dealt."""
+    chunks = extract.chunk_sections(extract.detect_sections(docs(spark, JD, CV)))
+    forms = spark.createDataFrame([("K:python", "python"), ("K:sql", "sql")], "skill_id string, form string")
+    merged = {}
+    for parts in (None, 3):
+        tags = extract.tag_exact(chunks, forms, carry=("section_weight",), parts=parts)
+        merged[parts] = extract.merge_results(extract.apply_weighting(extract.extract(tags)))
+    assert shuffles_of_documents(merged[3]) == 1 < shuffles_of_documents(merged[None])  # before they run: then the plan stands there twice
+    assert rows(merged[3]) == rows(merged[None]) and len(rows(merged[3], "doc_id")) == 3
+
+
+def test_matches_are_dealt_to_more_tasks_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr(config, "TAG_TASK_CHARS", 10)
+    assert extract.text_parts(docs(spark, "x" * 200, "y" * 5, None)) == 21
+    assert extract.text_parts(docs(spark, "x").limit(0)) == spark.sparkContext.defaultParallelism
+
+
+def test_metadata_shuffles_chunks_once_and_needs_no_graph(spark):
+    out = extract.extract_documents(
+        docs(spark, JD, CV), spark.createDataFrame([("K:python", "python")], "skill_id string, form string"), None, None, expand=False)
+    assert rows(out["metadata"], "doc_id", "chunks_processed", "sections_detected", "skills_found") == [(0, 5, 4, 1), (1, 5, 5, 1)]
+    chunks = out["chunks"].withColumn("doc_type", F.lit("jd"))
+    none = spark.createDataFrame([], "doc_id int")
+    assert shuffles_of_documents(extract.extraction_metadata(chunks, none.hint("broadcast"))) <= 2
+
+
+def test_short_sections_are_cut_as_long_ones_are(spark):
+    """The bound on characters decides only what the count of words would decide too."""
+    body = "a b\n\nc d\n\n" + "e " * 40
+    for text in (body, "a", "a" * 77, "word " * 30):
+        one = docs(spark, text)
+        short = extract.chunk_sections(extract.detect_sections(one), target=100, maximum=200)
+        pieces = one.withColumn("c", F.expr("1")).select(extract._pack(F.col("text"), F.lit(0), extract.STRUCTURAL_BREAKS, 100).alias("p")).first().p
+        assert rows(short, "start_offset", "end_offset") == [(p.start, p.start + p.len) for p in pieces]
