@@ -58,8 +58,8 @@ def output(spark: SparkSession, path: str, name: str = "out") -> DataFrame:
 def stream_extract(docs: DataFrame, forms: DataFrame, path: str, once: bool = True) -> StreamingQuery:
     """Concepts of arriving documents; a document arrives whole, so a batch can merge its results."""
     def work(batch: DataFrame) -> DataFrame:
-        chunks = extract.chunk_sections(extract.detect_sections(extract.clean_documents(batch)))
-        tags = extract.tag_exact(chunks, forms, carry=("section_weight",), parts=extract.text_parts(batch))
+        sections = extract.whole_sections(extract.detect_sections(extract.clean_documents(batch)))
+        tags = extract.tag_exact(sections, forms, carry=("section_weight",), parts=extract.text_parts(batch))
         return extract.merge_results(extract.apply_weighting(extract.extract(tags)))
 
     return to_batches(docs, path, work, once)

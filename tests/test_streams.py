@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from conftest import rows
+from lexigraph.operators import extract
 from lexigraph.plans.scale import work_dir
 from lexigraph.streaming import jobs
 
@@ -107,3 +108,19 @@ def test_arrivals_are_files_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(sq, "ARRIVING_ROWS", whole[0][1] // 4)
     cut = arrived()
     assert [n for _, n in cut] == [n for _, n in whole] and all(a == 1 for a, _ in whole) and all(b >= 4 for b, _ in cut)
+
+
+def test_names_at_the_edge_of_a_chunk_are_found_whole(spark):
+    """Chunks of a long text begin and end at words 1,000 and 1,153: a name there is neither lost nor found in parts."""
+    forms = spark.createDataFrame([(f, f) for f in ("alpha beta gamma", "alpha beta", "alpha", "beta")], "skill_id string, form string")
+    ahead = [*range(996, 1002), *range(1149, 1155)]
+    texts = [(n, " ".join(["lorem"] * n + ["Alpha", "Beta", "Gamma"] + ["ipsum"] * 400), "en", "web") for n in ahead]
+    texts += [(-n, "lorem " * 1500 + "Alpha\n\nBeta" + " ipsum" * n, "en", "web") for n in (5, 800)]
+    folder, path, schema = work_dir(spark, "in"), work_dir(spark, "t1"), "doc_id int, text string, locale string, source string"
+    arrive(spark, folder, texts, schema, 0)
+    docs = spark.read.parquet(folder)
+    jobs.finish(jobs.stream_extract(jobs.file_stream(spark, folder, docs.schema), forms, path))
+    want = sorted([(n, "alpha beta gamma") for n in ahead] + [(-n, "alpha beta") for n in (5, 800)])
+    assert rows(jobs.output(spark, path), "doc_id", "skill_id") == want
+    got = extract.extract_documents(docs, forms, None, None, expand=False, max_chars=None)["skills"]
+    assert rows(got, "doc_id", "skill_id") == want
