@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from conftest import EDGE, edge_rows, rows
 from lexigraph.operators import graph, quality
 
@@ -200,3 +202,20 @@ def test_expansion_deals_no_rows_by_concept(spark, make_edges, make_skills):
         assert {(r.doc_id, r.skill_id) for r in out.collect()} == {(i, s) for i in range(3) for s in ("a", "x", "d")}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_listings_are_dealt_by_their_rows(spark, make_skills, monkeypatch):
+    """Few bytes may stand for very many siblings: the tasks that list them follow the rows to come, not the bytes shuffled."""
+    from lexigraph import config
+    from lexigraph.operators import joins
+
+    star = spark.range(3000).selectExpr("concat('e', id) AS id", "'p' AS source_skill_id", "concat('k', id) AS target_skill_id",
+                                        "'parent_of' AS relationship_type", "'active' AS status").cache()
+    every = star.selectExpr("target_skill_id AS id", "'active' AS status")
+    docs = spark.range(64).selectExpr("id AS doc_id", "'k7' AS skill_id", "1.0D AS confidence")
+    monkeypatch.setattr(config, "LISTED_TASK_ROWS", 3000, raising=False)
+    for most, least in ((10_000, 30), (10, 9)):  # pages sent to all executors, pages met by parent and part
+        monkeypatch.setattr(config, "LISTED_BROADCAST_ROWS", most, raising=False)
+        for listed in (joins.new_siblings(docs, graph.hierarchy(star)), graph.expand(docs, star, every).filter("expansion_type = 'sibling'")):
+            seen = listed.withColumn("task", F.spark_partition_id()).agg(F.count_distinct("task"), F.count("*"), F.count_distinct("doc_id", "skill_id")).first()
+            assert seen[0] >= least and seen[1] == seen[2] == 64 * 2999
