@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigraph.functions.vectors import DIGITS, nearest
-from lexigraph.plans.scale import cut
+from lexigraph.plans.scale import cut, stored
 
 CLOSEST = 10.0 ** -DIGITS  # copies count as this far apart
 FEW_EDGES = 200_000  # joined in one task at most, as in a range of ``condense``
@@ -39,9 +39,9 @@ def reach_graph(vectors: DataFrame, k: int = 5) -> DataFrame:
 
 def follow(pointers: DataFrame) -> DataFrame:
     """``(v, up)`` with every ``up`` replaced by the end of its chain (a node that points to itself), doubling each step."""
-    pointers = cut(pointers.select("v", "up"))
+    pointers = stored(pointers.select("v", "up"))
     while True:
-        step = cut(pointers.join(pointers.select(F.col("v").alias("up"), F.col("up").alias("top")), "up")
+        step = stored(pointers.join(pointers.select(F.col("v").alias("up"), F.col("up").alias("top")), "up")
                    .select("v", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
         if step.filter("moved").isEmpty():
             return step.select("v", "up")
@@ -77,22 +77,22 @@ def spanning_tree(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             done = cut(left.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_forest, "kind string, a string, b string, w double"))
             tree.append(done.filter("kind = 'tree'").select("a", "b", "w"))
             ends = done.filter("kind = 'label'").select(F.col("a").alias("component"), F.col("b").alias("to"))
-            labels = cut(labels.join(ends, "component", "left").select("v", F.coalesce("to", "component").alias("component")))
+            labels = stored(labels.join(ends, "component", "left").select("v", F.coalesce("to", "component").alias("component")))
             break
         out = (left.select(F.col("la").alias("v"), F.struct("w", "a", "b", F.col("lb").alias("to")).alias("e"))
                .unionByName(left.select(F.col("lb").alias("v"), F.struct("w", "a", "b", F.col("la").alias("to")).alias("e"))))
-        best = cut(out.groupBy("v").agg(F.min("e").alias("e")).select("v", "e.*"))
+        best = stored(out.groupBy("v").agg(F.min("e").alias("e")).select("v", "e.*"))
         tree.append(best.select("a", "b", "w").distinct())
         # Two components that chose each other's edge would point in a circle: the smaller one is the root.
         back = best.select(F.col("v").alias("to"), F.col("to").alias("back"))
         roots = follow(best.join(back, "to", "left").select("v", F.when((F.col("back") == F.col("v")) & (F.col("v") < F.col("to")), F.col("v")).otherwise(F.col("to")).alias("up")))
         moved = roots.withColumnRenamed("up", "to")
-        labels = cut(labels.join(moved.withColumnRenamed("v", "component"), "component", "left").select("v", F.coalesce("to", "component").alias("component")))
+        labels = stored(labels.join(moved.withColumnRenamed("v", "component"), "component", "left").select("v", F.coalesce("to", "component").alias("component")))
         for end in ("la", "lb"):
             left = left.join(moved.withColumnRenamed("v", end), end).drop(end).withColumnRenamed("to", end)
         left = (left.filter("la <> lb").groupBy(F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
                 .agg(F.min(F.struct("w", "a", "b")).alias("e")).select("e.a", "e.b", "e.w", "la", "lb"))
-        left = cut(left)
+        left = stored(left)
     all_edges = edges.limit(0).select("a", "b", "w")
     for part in tree:
         all_edges = all_edges.unionByName(part)
@@ -168,10 +168,10 @@ def condense(tree: DataFrame, labels: DataFrame, least: int = 5, range_edges: in
         closed.append(done.filter("kind = 'closed'").select(F.col("x").alias("cid"), F.col("y").alias("parent"), "n", F.col("p").alias("stability"), "chosen"))
         moved = done.filter("kind = 'node'").select(F.col("x").alias("rep"), F.col("y").alias("to"))
         homes = done.filter("kind = 'home'").select(F.col("x").alias("rep"), F.col("y").alias("into"))
-        places = cut(places.join(homes, "rep", "left").join(moved, "rep", "left")
+        places = stored(places.join(homes, "rep", "left").join(moved, "rep", "left")
                      .select("v", "component", F.coalesce("to", "rep").alias("rep"), F.coalesce("home", "into").alias("home")))
         states = done.filter("kind = 'state'").select(F.col("x").alias("rep"), "n", F.col("y").alias("cid"), F.col("p").alias("acc"), F.col("q").alias("sub"))
-        nodes = cut(nodes.join(moved, "rep", "left_anti").unionByName(states))
+        nodes = stored(nodes.join(moved, "rep", "left_anti").unionByName(states))
     # What is left open are the components themselves; they count as clusters if there are several.
     roots = cut(nodes.filter("cid is not null"))
     several = roots.limit(2).count() > 1
@@ -184,10 +184,10 @@ def condense(tree: DataFrame, labels: DataFrame, least: int = 5, range_edges: in
 
 def highest_chosen(clusters: DataFrame) -> DataFrame:
     """``(cid, top)``: the highest chosen cluster at or above each one, by pointers doubled up the tree."""
-    up = cut(clusters.select("cid", F.col("parent").alias("up"), F.when(F.col("chosen"), F.col("cid")).alias("top")))
+    up = stored(clusters.select("cid", F.col("parent").alias("up"), F.when(F.col("chosen"), F.col("cid")).alias("top")))
     while not up.filter("up is not null").isEmpty():
         above = up.select(F.col("cid").alias("up"), F.col("up").alias("next"), F.col("top").alias("higher"))
-        up = cut(up.join(above, "up", "left").select("cid", F.col("next").alias("up"), F.coalesce("higher", "top").alias("top")))
+        up = stored(up.join(above, "up", "left").select("cid", F.col("next").alias("up"), F.coalesce("higher", "top").alias("top")))
     return up.select("cid", "top")
 
 

@@ -146,3 +146,12 @@ def test_few_edges_take_few_steps(spark, monkeypatch):
     tree, labels = density.spanning_tree(df)
     assert rows(tree, "a", "b", "w") == rows(df, "a", "b", "w")
     assert sorted(r["count"] for r in labels.groupBy("component").count().collect()) == [59, 71]
+
+
+def test_estimates_do_not_grow_with_the_rounds(spark):
+    """Pointers up a long chain of clusters: a join's estimated size is a product, and must not be multiplied on from round to round."""
+    n = 200
+    chain = spark.createDataFrame([(f"c{i:03d}", f"c{i - 1:03d}" if i else None, i in (20, 90)) for i in range(n)], "cid string, parent string, chosen boolean")
+    top = density.highest_chosen(chain)
+    assert top._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10 ** 20
+    assert [tuple(r) for r in top.orderBy("cid").collect()] == [(f"c{i:03d}", "c020" if i >= 20 else None) for i in range(n)]
