@@ -182,3 +182,33 @@ def test_copies_meet_once_and_spread_vectors_meet_in_blocks(spark, monkeypatch,
         want += [(f"v{i:03d}", f"v{j:03d}", r + 1) for r, j in enumerate(order[:7])]
     assert rows(got, "query_id", "id", "rank") == sorted(want)
     assert sum(asked) < 3 * 200
+
+
+@pytest.mark.parametrize("share", [-1.0, 1e9])  # in blocks, in cells
+def test_search_within_groups_meets_its_group_only(spark, monkeypatch, share):
+    rng = np.random.default_rng(5)
+    m, q = rng.normal(size=(400, 8)), rng.normal(size=(90, 8))
+    m[17] = m[3]
+    monkeypatch.setattr(vectors, "BROADCAST_MAX_VALUES", 1024)
+    monkeypatch.setattr(vectors, "GRID_SHARE", share)
+    monkeypatch.setattr(vectors, "GRID_ROWS", 32)
+    grp = lambda i: "abc"[0 if i % 7 else 1 + i % 2]
+    by = F.udf(lambda i: grp(int(i[1:])) if i != "v399" else "alone")
+    qs, vs = frame(spark, q, "query_id", "q").withColumn("grp", by("query_id")), frame(spark, m).withColumn("grp", by("id"))
+    got = vectors.nearest(qs, vs, 4, least=-0.2, same_group=True, block_rows=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert ("FlatMapGroupsInPandas [grp#" in plan) == (share < 0)
+    unit = lambda x: x.astype("float32").astype(float) / np.linalg.norm(x.astype("float32").astype(float), axis=1, keepdims=True)
+    s = np.round(unit(q) @ unit(m).T, 6)
+    want = []
+    for i in range(90):
+        mine = sorted((j for j in range(399) if grp(j) == grp(i) and s[i, j] >= -0.2), key=lambda j: (-s[i, j], j))
+        want += [(f"q{i:03d}", f"v{j:03d}", r + 1) for r, j in enumerate(mine[:4])]
+    assert rows(got, "query_id", "id", "rank") == sorted(want)
+
+
+def test_places_of_a_mask():
+    rng = np.random.default_rng(1)
+    for shape, share in (((3, 5), 0.5), ((7, 9), 0.0), ((61, 1000), 0.001), ((1, 8), 1.0), ((2, 0), 0.5)):
+        mask = rng.random(shape) < share
+        assert (vectors._places(mask) == np.flatnonzero(mask)).all()
